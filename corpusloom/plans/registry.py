@@ -1,0 +1,6 @@
+"""Queries over the driver's tables, with the SQL that checks them."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE: dict = {}
