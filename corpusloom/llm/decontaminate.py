@@ -65,15 +65,12 @@ def _fold(hashes: Column) -> Column:
 def probes(docs: DataFrame, key: list[str], text: str, lengths: list[int]) -> DataFrame:
     """A row for each window of a document: key, first word, length, hash."""
 
+    def of_length(h: Column, n: int) -> Column:
+        each = F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: F.struct(i.alias("at"), F.lit(n).alias("len"), _fold(F.slice(h, i + 1, n)).alias("h")))
+        return F.when(F.size(h) >= n, each).otherwise(F.array().cast("array<struct<at:int,len:int,h:bigint>>"))
+
     def spots(h: Column) -> Column:
-        every = [
-            F.when(
-                F.size(h) >= n,
-                F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i, n=n: F.struct(i.alias("at"), F.lit(n).alias("len"), _fold(F.slice(h, i + 1, n)).alias("h"))),
-            ).otherwise(F.array().cast("array<struct<at:int,len:int,h:bigint>>"))
-            for n in lengths
-        ]
-        return every[0] if len(every) == 1 else F.concat(*every)
+        return F.concat(*[of_length(h, n) for n in lengths])
 
     hashes = F.transform(words(F.col(text)), lambda x: F.xxhash64(x))
     return docs.select(*key, F.explode(let(hashes, spots)).alias("w")).select(*key, "w.at", "w.len", "w.h")
