@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, line_dedup, quality
-from corpusloom.llm.common import sha256_hex, table
+import public_tokenizers
+
+from corpusloom.llm import decontaminate, line_dedup, quality, token_store
+from corpusloom.llm.common import new_path, sha256_hex, table
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,5 +27,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", *[F.col(f"{names['features']}.{c}").alias(c) for c in quality.FEATURES], "base_failed", "kept", F.col("quality").alias("quality"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op4_decontamination, op7_quality_rules)}
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_path(spark, "token-store")
+    token_store.write_store(table(spark, sf_dir, "documents").select("doc_id", "text"), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_store.read_store(spark, folder).select(F.col("doc").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op4_decontamination, op7_quality_rules, op8_token_store)}
 ORACLE: dict[str, str] = {}
