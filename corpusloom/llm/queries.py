@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from corpusloom.llm import decontaminate, line_dedup, quality, token_store
+from corpusloom.llm import chat, decontaminate, html_text, licences, line_dedup, pieces, quality, token_store
 from corpusloom.llm.common import new_path, sha256_hex, table
 
 
@@ -17,11 +17,24 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", sha256_hex(F.coalesce("text", F.lit(""))).alias("kept_sha256"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.report(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", sha256_hex(F.array_join("items", ",")).alias("items_sha256"), "contaminated")
 
 
+def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "digest", "licence", F.array_join("statements", ",").alias("statements"))
+
+
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link_messages(table(spark, sf_dir, "conversations"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored, _, names = quality.score(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     return scored.select("doc_id", *[F.col(f"{names['features']}.{c}").alias(c) for c in quality.FEATURES], "base_failed", "kept", F.col("quality").alias("quality"))
@@ -33,5 +46,15 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(spark, folder).select(F.col("doc").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op4_decontamination, op7_quality_rules, op8_token_store)}
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    back = pieces.decode(coded, model)
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_xxhash64"), F.char_length("decoded").cast("long").alias("n_chars_decoded"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_line_dedup, op3_html_extraction, op4_decontamination, op5_licence_scan, op6_chat_formatting, op7_quality_rules, op8_token_store, op10_sentencepiece)
+}
 ORACLE: dict[str, str] = {}
