@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from corpusloom.llm import chat, decontaminate, html_text, licences, line_dedup, pieces, quality, token_store
+from corpusloom.llm import chat, decontaminate, html_text, licences, line_dedup, near_dedup, pieces, quality, token_store
 from corpusloom.llm.common import new_path, sha256_hex, table
 
 
@@ -46,6 +46,10 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(spark, folder).select(F.col("doc").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.groups(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("doc", "doc_id")
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
@@ -55,6 +59,6 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_line_dedup, op3_html_extraction, op4_decontamination, op5_licence_scan, op6_chat_formatting, op7_quality_rules, op8_token_store, op10_sentencepiece)
+    for f in (op1_line_dedup, op3_html_extraction, op4_decontamination, op5_licence_scan, op6_chat_formatting, op7_quality_rules, op8_token_store, op9_near_dedup, op10_sentencepiece)
 }
 ORACLE: dict[str, str] = {}
