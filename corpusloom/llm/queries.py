@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from corpusloom.llm import chat, decontaminate, html_text, licences, line_dedup, near_dedup, pieces, quality, token_store
+from corpusloom.llm import chat, decontaminate, html_text, licences, line_dedup, near_dedup, pieces, quality, substring_dedup, token_store
 from corpusloom.llm.common import new_path, sha256_hex, table
 
 
@@ -17,6 +17,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", sha256_hex(F.coalesce("text", F.lit(""))).alias("kept_sha256"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False).withColumnRenamed("doc", "doc_id")
+
+
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
 
@@ -59,6 +63,6 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_line_dedup, op3_html_extraction, op4_decontamination, op5_licence_scan, op6_chat_formatting, op7_quality_rules, op8_token_store, op9_near_dedup, op10_sentencepiece)
+    for f in (op1_line_dedup, op2_substring_dedup, op3_html_extraction, op4_decontamination, op5_licence_scan, op6_chat_formatting, op7_quality_rules, op8_token_store, op9_near_dedup, op10_sentencepiece)
 }
 ORACLE: dict[str, str] = {}
