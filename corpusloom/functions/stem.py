@@ -227,8 +227,8 @@ def stem_word(kind: str, word: str) -> str:
     return STEMMERS[kind](word)
 
 
-def stem(words: Column, kind: str) -> Column:
-    """Stems of an array of lower-case words."""
+def stem(words: Column, kind: str, shortest: int = 1) -> Column:
+    """Stems of an array of lower-case words; those with fewer letters than ``shortest`` stay as they are."""
     if kind not in STEMMERS:
         raise ValueError(f"no stemmer {kind!r}; there are {', '.join(STEMMERS)}")
 
@@ -236,6 +236,6 @@ def stem(words: Column, kind: str) -> Column:
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda ws: None if ws is None else [stem_word(kind, w) for w in ws])
+        return values.map(lambda ws: None if ws is None else [stem_word(kind, w) if len(w) >= shortest else w for w in ws])
 
     return run(words)

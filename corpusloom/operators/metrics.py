@@ -44,8 +44,7 @@ def bleu_words(text: Column) -> Column:
 
 def rouge_words(text: Column) -> Column:
     """Lower-case words of a-z and 0-9; those longer than three letters are stemmed."""
-    found = F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), r"\s+"), lambda w: w != "")
-    return F.transform(F.arrays_zip(found.alias("w"), stem(found, "porter").alias("s")), lambda x: F.when(F.char_length(x["w"]) > 3, x["s"]).otherwise(x["w"]))
+    return stem(F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), r"\s+"), lambda w: w != ""), "porter", shortest=4)
 
 
 def ngrams(items: Column, n: int) -> Column:
@@ -107,7 +106,8 @@ def _f(matched: Column, h: Column, r: Column) -> Column:
 
 def rouge_n(pairs: DataFrame, n: int) -> DataFrame:
     """id, rouge: F of the n-grams of stemmed words, for every pair."""
-    cut = pairs.select("id", ngrams(rouge_words(F.col("hypothesis")), n).alias("hw"), ngrams(rouge_words(F.col("reference")), n).alias("rw"))
+    words = pairs.select("id", rouge_words(F.col("hypothesis")).alias("hw"), rouge_words(F.col("reference")).alias("rw"))
+    cut = words.select("id", ngrams(F.col("hw"), n).alias("hw"), ngrams(F.col("rw"), n).alias("rw"))
     stats = overlap(cut, "hw", "rw", 1)
     found = stats.select("id", _f(F.col("matched"), F.col("in_hypothesis"), F.col("in_reference")).alias("rouge"))
     return pairs.select("id").join(found, "id", "left").select("id", F.coalesce("rouge", F.lit(0.0)).alias("rouge"))

@@ -1,6 +1,305 @@
-"""Queries over the driver's tables, with the SQL that checks them."""
+"""Queries over the driver's tables, with the SQL that checks them.
+
+Every query runs over its whole tables. Integers are given as BIGINT, so that
+results of different engines have one schema.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from corpusloom.functions import analysis, counts, facts, links, papers, titles
+from corpusloom.functions.text import words
+from corpusloom.operators import islands, judging, metrics, retrieval, review, tasks
+from corpusloom.plans import oracle
+from corpusloom.sources import web
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f):
+        QUERIES[name or f.__name__] = f
+        if sql:
+            ORACLE[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def longs(df: DataFrame) -> DataFrame:
+    """All integer columns as BIGINT."""
+    return df.select(*[F.col(c).cast("long").alias(c) if t in ("int", "smallint", "tinyint") else F.col(c) for c, t in df.dtypes])
+
+
+# -- retrieval
+
+
+def _run(spark: SparkSession, sf_dir: str, model: str, depth: int = 10) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("docno"), "text")
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    return retrieval.retrieve(docs, asked, words(F.col("text")), words(F.col("text")), model, depth, digits=6)
+
+
+def _ranked(model: str):
+    return lambda spark, sf_dir: longs(_run(spark, sf_dir, model))
+
+
+for _model in retrieval.MODELS:
+    query(oracle.ranked(_model), f"{_model.replace('-', '_')}_top10")(_ranked(_model))
+
+
+@query(oracle.TOKENIZE)
+def tokenize_docs(spark, sf_dir):
+    tokens = words(F.col("text"))
+    return longs(table(spark, sf_dir, "documents").select("doc_id", F.size(tokens).alias("n_tokens"), F.size(F.array_distinct(tokens)).alias("n_distinct")))
+
+
+@query(oracle.INDEX_STATS)
+def index_stats(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("docno"), "text")
+    index = retrieval.build_index(docs, words(F.col("text")))
+    terms = index.terms.agg(F.count("*").alias("terms"), F.sum("df").alias("postings"), F.max("df").alias("max_df"))
+    return index.stats.select("n", "total", F.round("avdl", 6).alias("avdl")).crossJoin(terms)  # one row each
+
+
+@query()
+def stemmed_bm25_top10(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("docno"), "text")
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    return longs(retrieval.retrieve(docs, asked, analysis.index_tokens(F.col("text"), "en"), analysis.index_tokens(F.col("text"), "en"), depth=10))
+
+
+@query(oracle.POOL)
+def pool_topk(spark, sf_dir):
+    pools = judging.pool(judging.union_runs([_run(spark, sf_dir, "bm25"), _run(spark, sf_dir, "tf-idf")]), 5)
+    return pools.select("qid", F.array_join("docnos", ",").alias("docnos"), F.size("docnos").cast("long").alias("size"))
+
+
+@query(oracle.NDCG)
+def ndcg_at_10(spark, sf_dir):
+    run = _run(spark, sf_dir, "bm25")
+    judged = run.join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("docno"), F.col("quality").alias("rel")), "docno")
+    return judging.ndcg(run, judged).select("qid", F.round("ndcg", 6).alias("ndcg"))
+
+
+@query(oracle.HISTOGRAM)
+def label_histogram(spark, sf_dir):
+    judged = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    return judging.label_histogram(judged, "lang", "quality")
+
+
+@query(oracle.ACCURACY)
+def accuracy_constant(spark, sf_dir):
+    truths = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("antrag"), F.col("quality").alias("result"))
+    return judging.accuracy(truths.select("antrag", F.lit(1).alias("result")), truths).select(F.round("accuracy", 9).alias("accuracy"))
+
+
+@query(oracle.ID_CHECK)
+def set_ops(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"))
+    return metrics.mismatched_ids(labels, docs)
+
+
+# -- documents and pages
+
+
+@query(oracle.ROUTING)
+def language_routing(spark, sf_dir):
+    status = F.when(F.col("lang").isin(*web.LANGUAGES), F.concat(F.lit("written-"), F.col("lang"))).otherwise("excluded")
+    return table(spark, sf_dir, "documents").groupBy(status.alias("status")).count().withColumnRenamed("count", "n")
+
+
+@query(oracle.LANGUAGE)
+def language_detection(spark, sf_dir):
+    found = web.detect_language(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", found.alias("language"))
+
+
+@query(oracle.PROJECTION)
+def doc_projection(spark, sf_dir):
+    title = F.trim(F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1))
+    heading = F.trim(F.regexp_extract("html", r"(?s)<h1>(.*?)</h1>", 1))
+    rows = table(spark, sf_dir, "pages").select(F.concat(F.lit("<urn:uuid:"), F.col("page_id").cast("string"), F.lit(">")).alias("record_id"), "url", F.lit("en").alias("language"), title.alias("title"), heading.alias("content"))
+    return web.project_documents(rows)
+
+
+@query()
+def html_main_text(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", F.col("html").cast("binary").alias("body"), F.lit("utf-8").alias("charset"))
+    return web.main_content(pages).select("page_id", "title", F.char_length("content").cast("long").alias("n_chars"), "failure")
+
+
+# -- tasks
+
+
+def _task_shapes(spark, sf_dir):
+    """Orders as tasks: line items are participants; every seventh claims no teams."""
+    people = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
+    teams = F.col("o_custkey") % 7
+    return table(spark, sf_dir, "orders").join(people, "o_orderkey", "left").select(F.col("o_orderkey").alias("task_id"), F.coalesce("n", F.lit(0)).alias("n"), teams.alias("teams"), "o_orderpriority", "o_orderstatus", "o_orderdate")
+
+
+@query(oracle.COVERAGE)
+def task_coverage(spark, sf_dir):
+    rows = _task_shapes(spark, sf_dir)
+    return rows.select("task_id", "n", "teams", F.when(F.col("teams") != 0, F.col("n") / F.col("teams")).alias("ratio"))
+
+
+@query(oracle.SELECT)
+def corpus_select(spark, sf_dir):
+    rows = _task_shapes(spark, sf_dir).withColumn("ratio", F.when(F.col("teams") != 0, F.col("n") / F.col("teams")))
+    level = F.when(F.col("o_orderpriority") == "1-URGENT", "high").when(F.col("o_orderpriority") == "2-HIGH", "medium").otherwise("low")
+    order = tasks.ranking(F.col("ratio"), level, F.col("o_orderstatus") == "F", F.col("n"), F.col("task_id"))
+    return rows.orderBy(*order).limit(tasks.TARGET).select("task_id", "n", "teams", "ratio")
+
+
+@query(oracle.VIOLATIONS)
+def corpus_violations(spark, sf_dir):
+    """Tasks are orders; their documents are the parts of their items, of which one is often in several tasks."""
+    items = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 2 and l_orderkey % 10 = 1").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_partkey").cast("string").alias("pdf_url"))).alias("participants"), F.count("*").alias("n"))
+    rows = items.select(
+        F.concat(F.lit("t"), (F.col("l_orderkey") % 1000).cast("string")).alias("task_id"), "participants", F.struct(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("pdf_url")).alias("overview"),
+        F.struct((F.col("n") / (1 + F.col("l_orderkey") % 3)).alias("coverage_ratio")).alias("counts"),
+    )
+    return tasks.violations(rows).distinct()
+
+
+@query(oracle.REPORT)
+def venue_year_report(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("parent_venue"), F.year("o_orderdate").alias("year"))
+    return longs(tasks.venue_year_report(rows))
+
+
+@query(oracle.ARGMAX)
+def weighted_overlap_argmax(spark, sf_dir):
+    """Parts of a brand as papers of a section; those of size 1 are its overviews."""
+    rows = table(spark, sf_dir, "part").select(F.lit("P").alias("parent_venue"), F.lit(2000).alias("year"), F.col("p_brand").alias("volume"), F.lit(0).alias("section_no"), F.col("p_partkey").alias("position"), F.concat_ws(" ", "p_name", "p_type").alias("title"), "p_size")
+    found = tasks.best_overview(rows.filter("p_size > 1"), rows.filter("p_size = 1"))
+    return found.select(F.col("volume").alias("brand"), F.col("position").alias("part"), "overview")
+
+
+# -- islands, searches, facts
+
+
+@query(oracle.SESSIONS)
+def islands_sessions(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    gap = micros - F.lag(micros).over(w)
+    rows = table(spark, sf_dir, "events").withColumn("_new", gap > 1_800_000_000)
+    found = islands.islands(rows, ["user_id"], ["ts", "event_id"], F.col("_new"))
+    return found.groupBy("user_id", "island").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query(oracle.SEARCH)
+def line_search(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("lang", F.col("doc_id").alias("filename"), "text")
+    return longs(review.search(docs, oracle.SEARCH_QUERY, 20, case="lang").withColumnRenamed("document", "doc_id"))
+
+
+@query(oracle.DATES)
+def date_checks(spark, sf_dir):
+    left = F.date_format("o_orderdate", "d.M.yyyy")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", facts.compare_dates(left, F.lit("<="), F.lit("1995-06-17")).alias("c"))
+    return rows.select("o_orderkey", F.col("c.passed").alias("passed"), F.col("c.expression").alias("expression"))
+
+
+@query(oracle.SUMS)
+def decimal_sums(spark, sf_dir):
+    money = F.col("l_extendedprice").cast("decimal(18,2)")
+    totals = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum(money).alias("total"), F.collect_list(money).alias("amounts"))
+    checked = totals.select("l_orderkey", facts.sum_amounts(F.col("amounts"), F.col("total")).alias("s"))
+    return checked.select("l_orderkey", F.col("s.total").cast("double").alias("total"), F.col("s.passed").alias("passed"))
+
+
+# -- metrics
+
+
+def _turn_pairs(spark, sf_dir):
+    """The first two turns of each conversation."""
+    turns = table(spark, sf_dir, "conversations")
+    of = lambda n, name: turns.filter(F.col("turn") == n).groupBy(F.col("conv_id").alias("id")).agg(F.min("text").alias(name))
+    return of(1, "hypothesis").join(of(0, "reference"), "id")
+
+
+@query(oracle.NGRAMS)
+def ngram_overlap(spark, sf_dir):
+    cut = _turn_pairs(spark, sf_dir).select("id", words(F.col("hypothesis")).alias("h"), words(F.col("reference")).alias("r"))
+    return longs(metrics.overlap(cut, "h", "r", 4))
+
+
+@query(oracle.CHRF)
+def chrf_corpus(spark, sf_dir):
+    return metrics.chrf(_turn_pairs(spark, sf_dir)).select(F.round("chrf", 6).alias("chrf"))
+
+
+@query(oracle.BLEU)
+def bleu_corpus(spark, sf_dir):
+    return metrics.bleu(_turn_pairs(spark, sf_dir)).select(F.round("bleu", 6).alias("bleu"))
+
+
+@query()
+def rouge_scores(spark, sf_dir):
+    pairs = _turn_pairs(spark, sf_dir)
+    return metrics.rouge_n(pairs, 1).withColumnRenamed("rouge", "rouge1").join(metrics.rouge_n(pairs, 2).withColumnRenamed("rouge", "rouge2"), "id").join(metrics.rouge_l(pairs).withColumnRenamed("rouge", "rougel"), "id")
+
+
+# -- functions of titles and papers, on the cases whose answers are known
+
+
+def _cases(spark, cases, column):
+    return spark.createDataFrame([(i, a) for i, (a, _) in enumerate(cases)], "id long, input string").select("id", column(F.col("input")).alias("output"))
+
+
+for _name, _cases_of, _column in (
+    ("title_keys", oracle.TITLE_KEYS, titles.normalize_title),
+    ("title_words", oracle.TITLE_WORDS, lambda c: F.array_join(F.array_sort(titles.title_tokens(c)), " ")),
+    ("venue_names", oracle.VENUES, titles.venue),
+    ("task_names", oracle.TASK_NAMES, titles.task_name),
+    ("team_names", oracle.TEAMS, titles.team_name),
+    ("task_numbers", oracle.NUMBERS, titles.task_number),
+    ("slugs", oracle.SLUGS, titles.slugify),
+    ("team_counts", oracle.TEAM_COUNTS, lambda c: counts.first_count(counts.opening(c), counts.TEAM_PATTERNS).cast("string")),
+    ("run_counts", oracle.RUN_COUNTS, lambda c: counts.run_count(c).cast("string")),
+    ("code_urls", oracle.CODE_URLS, lambda c: F.array_join(F.transform(links.code_links(c)["code"], lambda x: F.concat_ws("=", x["url"], x["evidence"].cast("string"))), " ")),
+    ("third_party_urls", oracle.THIRD_PARTY, lambda c: links.is_third_party(c).cast("string")),
+    ("paper_titles", oracle.PAPERS_TITLES, papers.title),
+    ("paper_abstracts", oracle.PAPERS_ABSTRACTS, papers.abstract),
+    ("english_tokens", oracle.ENGLISH, lambda c: F.array_join(analysis.tokens(c, "en"), " ")),
+    ("german_tokens", oracle.GERMAN, lambda c: F.array_join(analysis.tokens(c, "de"), " ")),
+    ("parsed_dates", oracle.PARSED_DATES, lambda c: facts.parse_date(c).cast("string")),
+):
+    query(oracle.expected(_cases_of), _name)(lambda spark, sf_dir, c=_cases_of, f=_column: _cases(spark, c, f))
+
+
+@query(oracle.TABLES)
+def md_tables(spark, sf_dir):
+    docs = spark.createDataFrame([("a", oracle.TABLE_TEXT)], "doc string, text string")
+    return longs(islands.markdown_tables(docs, "doc", "text").select("doc", "table_no", F.size(papers.table_rows(F.col("lines"))).alias("n_rows"), F.array_join("lines", "/").alias("lines")))
+
+
+@query(oracle.REGIONS)
+def table_regions(spark, sf_dir):
+    pages = spark.createDataFrame(oracle.RULED_PAGES, "doc string, page int, lines array<struct<x1:double,x2:double,y1:double,y2:double>>")
+    return longs(islands.table_regions(islands.rules(pages)))
+
+
+@query(oracle.DECISIONS)
+def conversation_decisions(spark, sf_dir):
+    answers = spark.createDataFrame([(c, a) for c, a, *_ in oracle.ANSWERS], "case_id string, answer string")
+    return review.parse_decisions(answers).select("case_id", "result", "begruendung", "problem")
+
+
+@query(oracle.POLICY)
+def policy_lookup(spark, sf_dir):
+    return longs(review.lookup_policy(spark, "Doppelfinanzierung Stipendium").select("key", "score"))
