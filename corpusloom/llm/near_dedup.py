@@ -11,8 +11,8 @@ number. Nodes that share a band of their signatures are candidates. A bucket isn
 turned into pairs of all its members: each member is compared with one centre,
 on full sets, and whatever the links join is one component. Buckets whose
 members then lie in one component are done. The others get further centres, and
-what is still apart after these is compared pair by pair, except where exact
-distances to the first centre, or set sizes, rule a link out. Nothing is capped.
+what is still apart after these is compared pair by pair, except where the exact
+overlap with the first centre and what is shared besides rule a link out. Nothing is capped.
 
 A link of similarity 0.75 shares no band with probability (1 - 0.75 ** ROWS) ** BANDS,
 5 in a million; of 0.8, 5 in a hundred million.
@@ -207,21 +207,38 @@ def _stars(members: DataFrame, salt: int, labelled: bool) -> DataFrame:
     return pairs.select(F.least("doc", "c.doc").alias("a"), F.greatest("doc", "c.doc").alias("b")).distinct()
 
 
-def _rest(members: DataFrame, compared: DataFrame) -> DataFrame:
+def _explode_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for doc, items in zip(batch.column(0), batch.column(1), strict=True):
+            values = np.frombuffer(items.as_buffer(), dtype=np.int64)
+            yield pa.record_batch([pa.array(np.full(len(values), doc.as_py())), pa.array(values)], names=["doc", "item"])
+
+
+def _shared_items(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """doc, n_shared: how many shingles of each member some other member has too."""
+    rows = sets.join(members.select("doc").distinct(), "doc", "left_semi").mapInArrow(_explode_sets, "doc long, item long")
+    known = rows.groupBy("item").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("item")
+    return rows.join(known, "item", "left_semi").groupBy("doc").agg(F.count("*").alias("n_shared"))
+
+
+def _rest(members: DataFrame, compared: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs of one bucket and two components that aren't compared yet and may be linked: a, b.
 
-    Distances (1 - similarity) obey the triangle inequality: two documents
-    whose distances to a common document differ by more than that of a link
-    can't be linked. The common one is the first centre.
+    Two members share at most as much of the bucket's centre as the one that has
+    less of it, and outside of it at most what others have too. Where that, against their sizes,
+    falls short of a link, there is none. Copies with changes of their own share
+    nothing outside, so nearly all pairs of a crowd fall away before any set is read.
     """
     first = members.groupBy("key").agg(F.min("doc").alias("c"))
-    known = compared.select(F.col("a").alias("c"), F.col("b").alias("doc"), F.greatest(F.lit(0.0), 1 - F.col("both") / F.col("all")).alias("far"))
-    seen = members.join(first, "key").join(known, ["c", "doc"], "left").select("key", "doc", "n", "label", F.when(F.col("doc") == F.col("c"), 0.0).otherwise(F.col("far")).alias("far"))
+    known = compared.select(F.col("a").alias("c"), F.col("b").alias("doc"), "both").distinct()
+    seen = members.join(first, "key").join(known, ["c", "doc"], "left").join(_shared_items(members, sets), "doc", "left")
+    inner = F.when(F.col("doc") == F.col("c"), F.col("n")).otherwise(F.coalesce("both", F.lit(0)))
+    seen = cut(seen.select("key", "doc", "n", "label", inner.alias("inner"), F.greatest(F.coalesce("n_shared", F.lit(0)) - inner, F.lit(0)).alias("outer")), "bounds")
+    seen = seen.filter((F.col("inner") + F.col("outer")) * 100 >= F.col("n") * PERCENT)
     x, y = seen.alias("x"), seen.alias("y")
-    slack = 1 - PERCENT / 100 + 1e-9
-    near = F.coalesce(F.abs(F.col("x.far") - F.col("y.far")) <= slack, F.lit(True))
-    sized = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * PERCENT
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.doc") < F.col("y.doc")) & (F.col("x.label") != F.col("y.label")) & near & sized)
+    most = F.least("x.inner", "y.inner") + F.least("x.outer", "y.outer")
+    may = most * (100 + PERCENT) >= (F.col("x.n") + F.col("y.n")) * PERCENT
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.doc") < F.col("y.doc")) & (F.col("x.label") != F.col("y.label")) & may)
     return pairs.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct().join(compared, ["a", "b"], "left_anti")
 
 
@@ -248,7 +265,7 @@ def groups(docs: DataFrame, text: str = "text", doc: str = "doc_id", max_broadca
         members = cut(_unresolved(buckets, labels), "unresolved")
         if members.isEmpty():
             break
-        pairs = _rest(members, compared) if salt is None else _stars(members, salt, labelled=True).join(compared, ["a", "b"], "left_anti")
+        pairs = _rest(members, compared, sets) if salt is None else _stars(members, salt, labelled=True).join(compared, ["a", "b"], "left_anti")
         more = verify(pairs, sets)
         found = links(more)
         compared = compared.unionByName(more)
