@@ -10,8 +10,8 @@ Documents with equal shingle sets are one node from then on, whatever their
 number. Nodes that share a band of their signatures are candidates. A bucket isn't
 turned into pairs of all its members: each member is compared with one centre,
 on full sets, and whatever the links join is one component. Buckets whose
-members then lie in one component are done. The others get further centres, and
-what is still apart after these is compared pair by pair, except where the exact
+members then lie in one component are done. In the others, what is still
+apart is compared pair by pair, except where the exact
 overlap with the first centre and what is shared besides rule a link out. Nothing is capped.
 
 A link of similarity 0.75 shares no band with probability (1 - 0.75 ** ROWS) ** BANDS,
@@ -42,8 +42,6 @@ SHINGLE = 5
 PERCENT = 75
 #: Ids that are broadcast to pick documents; more of them are joined by a shuffle.
 MAX_BROADCAST = 500_000
-#: Rounds of further centres before single pairs.
-STARS = 2
 
 
 def signatures(sets: list[np.ndarray], places: int = PLACES) -> np.ndarray:
@@ -192,19 +190,10 @@ def _unresolved(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(split, "key", "left_semi")
 
 
-def _stars(members: DataFrame, salt: int, labelled: bool) -> DataFrame:
-    """Pairs of each bucket's centre with its other members, of another component: a, b.
-
-    The first centre is the smallest id, later ones come in the order of a hash.
-    """
-    order = F.col("doc") if salt == 0 else F.xxhash64("doc", F.lit(salt))
-    kept = ["doc", "n", *(["label"] if labelled else [])]
-    centres = members.groupBy("key").agg(F.min(F.struct(order.alias("o"), *kept)).alias("c")).select("key", "c")
-    pairs = members.join(centres, "key").filter(F.col("doc") != F.col("c.doc"))
-    if labelled:
-        pairs = pairs.filter(F.col("label") != F.col("c.label"))
-    pairs = pairs.filter(F.least("n", "c.n") * 100 >= F.greatest("n", "c.n") * PERCENT) if salt else pairs
-    return pairs.select(F.least("doc", "c.doc").alias("a"), F.greatest("doc", "c.doc").alias("b")).distinct()
+def _stars(members: DataFrame) -> DataFrame:
+    """Pairs of each bucket's centre, its smallest id, with its other members: a, b."""
+    centres = members.groupBy("key").agg(F.min("doc").alias("a"))
+    return members.join(centres, "key").filter(F.col("doc") != F.col("a")).select("a", F.col("doc").alias("b")).distinct()
 
 
 def _explode_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,21 +245,16 @@ def groups(docs: DataFrame, text: str = "text", doc: str = "doc_id", max_broadca
     shared = every.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("key")
     buckets = cut(every.join(shared, "key", "left_semi"), "buckets")
     sets = cut(_pick(rows, buckets.select("doc").distinct(), max_broadcast).mapInArrow(_sets, "doc long, items binary"), "sets")
-    compared = verify(_stars(buckets, 0, labelled=False), sets)
+    compared = verify(_stars(buckets), sets)
     same_id = full.select(F.col("doc").alias("a"), "s1", "s2").join(nodes.select("s1", "s2", F.col("node").alias("b")), ["s1", "s2"]).filter("a != b").select("a", "b")
     repeated = full.groupBy("doc").agg(F.min("s1").alias("x"), F.max("s1").alias("y")).filter("x != y").select(F.col("doc").alias("a"))
     extra = same_id.join(repeated, "a", "left_semi")  # an id with several texts joins their nodes
     labels = components(links(compared).unionByName(extra))
-    for salt in (*range(1, STARS + 1), None):
-        members = cut(_unresolved(buckets, labels), "unresolved")
-        if members.isEmpty():
-            break
-        pairs = _rest(members, compared, sets) if salt is None else _stars(members, salt, labelled=True).join(compared, ["a", "b"], "left_anti")
-        more = verify(pairs, sets)
-        found = links(more)
-        compared = compared.unionByName(more)
-        if not found.isEmpty():
-            labels = components(links(compared).unionByName(extra))
+    members = cut(_unresolved(buckets, labels), "unresolved")
+    if not members.isEmpty():
+        more = verify(_rest(members, compared, sets), sets)
+        if not links(more).isEmpty():
+            labels = components(links(compared).unionByName(links(more)).unionByName(extra))
     placed = signed.join(nodes.select("s1", "s2", "node"), ["s1", "s2"], "left").withColumn("node", F.when((F.col("n") > 0) & F.col("doc").isNotNull(), F.col("node")).otherwise(F.col("doc")))
     out = placed.join(labels, "node", "left").select("doc", F.col("n").alias("n_shingles"), F.coalesce("label", "node").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc") == F.col("component_id"), F.lit(True)))
