@@ -29,7 +29,9 @@ from __future__ import annotations
 import hashlib
 import io
 import os
+import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -48,17 +50,30 @@ MAGIC = b"CLTOKEN1"
 HEAD = len(MAGIC) + 32
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 400, 4000, 64 * 1024
 LEVEL = 3
-#: Words whose ids a worker remembers, some 200 bytes each; a full memory is emptied, and results don't depend on it.
-REMEMBER = 600_000
+#: Word parts whose ids a worker remembers, some 200 bytes each; a full memory is emptied, and results don't depend on it.
+REMEMBER = 900_000
 CHUNK_CHARS = 1_000_000
 
 
+def _of_kind(kind: str) -> str:
+    """Latin-1 characters of a Unicode category, for a character class."""
+    return "".join(re.escape(chr(i)) for i in range(256) if unicodedata.category(chr(i))[0] == kind)
+
+
+#: How the tokenizer parts a text in lower case: letters, contractions, single digits, runs of other marks.
+_PART = re.compile(rf"[{_of_kind('L')}]+|'s|'t|'re|'ve|'m|'ll|'d|[{_of_kind('N')}]|[^\t-\r \x85\xa0{_of_kind('L')}{_of_kind('N')}]+")
+#: Bytes as the characters that stand for them in byte-level vocabularies.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = dict(zip(_PLAIN, _PLAIN, strict=True)) | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+
+
 class WordMemory:
-    """Ids of whole texts from remembered ids of their words.
+    """Ids of whole texts from remembered ids of their parts.
 
-    The tokenizer ends every token at white space, so that a text's ids are
-    those of its space-separated words in order; each distinct word is given to
-    the tokenizer once. Valid for tokenizers that drop white space.
+    The tokenizer parts a text before it encodes, and each part on its own. For
+    texts of Latin-1 characters the parts are found here, and each distinct one is
+    given to the tokenizer's model once. All other texts, and those that may hold special
+    tokens, go through the whole tokenizer.
     """
 
     def __init__(self, path: str, remember: int = REMEMBER):
@@ -66,41 +81,41 @@ class WordMemory:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True) + 1, dtype=bool)
-        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
-            self.ends[i] = token.endswith("</w>")
-        self.remember, self.known = remember, {"": b""}
-
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        run = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        return [np.array(e.ids, dtype="<u4") for e in run(texts, add_special_tokens=False)]
-
-    def _learn(self, words: set[str]) -> None:
-        plain = [w for w in words if w.isalpha()]
-        groups = [plain[i : i + 1000] for i in range(0, len(plain), 1000)]
-        rest = [w for w in words if not w.isalpha()]
-        for group in groups:  # one call for many words: each ends with its one end-of-word token
-            (ids,) = self._ids([" ".join(group)])
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) != len(group) or (len(ids) and ends[-1] != len(ids)):
-                rest += group
-                continue
-            data, at = ids.tobytes(), [0, *(ends * 4).tolist()]
-            self.known.update(zip(group, [data[a:b] for a, b in zip(at, at[1:], strict=False)], strict=True))
-        for i in range(0, len(rest), 1000):
-            group = rest[i : i + 1000]
-            self.known.update(zip(group, [x.tobytes() for x in self._ids(group)], strict=True))
+        self.remember, self.known = remember, {}
+
+    def _learn(self, parts: set[str]) -> None:
+        tokenize, known = self.tokenizer.model.tokenize, self.known
+        for p in parts:
+            shown = p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(_BYTES)
+            known[p] = b"".join([t.id.to_bytes(4, "little") for t in tokenize(shown)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Of each text its ids as little-endian unsigned 32-bit integers."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        split, odd = [], []
+        for i, t in enumerate(texts):
+            try:
+                t.encode("latin-1")
+            except UnicodeEncodeError:
+                odd.append(i)
+                split.append(())
+                continue
+            if "<|" in t:
+                odd.append(i)
+                split.append(())
+            else:
+                split.append(_PART.findall(t.lower()))
         new = set().union(*split).difference(self.known)
         if len(self.known) + len(new) > self.remember:
-            self.known = {"": b""}
-            new = set().union(*split).difference(self.known)
+            self.known = {}
+            new = set().union(*split)
         self._learn(new)
         get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        out = [b"".join(map(get, parts)) for parts in split]
+        if odd:
+            run = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+            for i, e in zip(odd, run([texts[i] for i in odd], add_special_tokens=False), strict=True):
+                out[i] = np.array(e.ids, dtype="<u4").tobytes()
+        return out
 
 
 _memories: dict[str, WordMemory] = {}
