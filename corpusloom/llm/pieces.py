@@ -103,8 +103,10 @@ class PieceModel:
         self.lowest = min(self.scores.values(), default=0.0)
         multi = [p for p in self.ids if len(p) > 1]
         self.by_word = not any(SPACE in p.lstrip(SPACE) or "\n" in p for p in multi)
-        self.pairs: dict[str, dict[str, bool]] = {}
+        self.endings = {p[i:] for p in self.ids for i in range(len(p))}
+        self.pairs: dict[str, dict[str, bool]] = {}  # of a piece: which pieces stay apart from it
         self.n_pairs = 0
+        self.packed = {p: np.array(self.id_list(p), dtype="<u4").tobytes() for p in self.ids}
 
     def normalize(self, text: str) -> str:
         if not self.plain:
@@ -133,13 +135,6 @@ class PieceModel:
             border -= at < border
             parts[at - 1 : at + 1] = [parts[at - 1] + parts[at]]
 
-    def neighbours(self, piece: str) -> dict[str, bool]:
-        """Of the pieces met after this one, whether the two stay apart; filled by the search."""
-        found = self.pairs.get(piece)
-        if found is None:
-            found = self.pairs[piece] = {}
-        return found
-
     def id_list(self, piece: str) -> list[int]:
         if piece in self.ids:
             return [self.ids[piece]]
@@ -153,6 +148,7 @@ class StreamingViterbi:
         self.model = model
         self.text = ""  # since the last committed boundary
         self.last: list[str] = [""]  # of each boundary: the survivor's last piece
+        self.after: list[dict | None] = [None]  # of a BPE model: what is known of pieces after it
         self.score: list[float] = [0.0]  # of a unigram model
         self.before = ""  # the last committed piece
         self.widest = 0
@@ -162,40 +158,71 @@ class StreamingViterbi:
         out: list[int] = []
         step, width = self._bpe if self.model.kind == BPE else self._unigram, 4 * self.model.longest
         while len(self.last) <= len(self.text):
-            step(min(len(self.text), width))
+            step(min(len(self.text), max(width, len(self.last))))  # beyond the usual width if paths didn't meet
             if len(self.last) > width:
                 out += self._commit(self._meet())
         return out
 
     def finish(self) -> list[int]:
         out = self._commit(len(self.last) - 1)
-        self.before = ""
+        self.before, self.after[0] = "", None
         return out
 
+    def short(self, text: str) -> list[str]:
+        """The pieces of a text that fits in the window.
+
+        Survivors only hang on what stands before them, so those of the
+        beginning that the text shares with the one before it are kept: texts in order
+        are searched from where they part.
+        """
+        same, old = 0, self.text
+        for a, b in zip(text, old, strict=False):
+            if a != b:
+                break
+            same += 1
+        self.text = text
+        del self.last[same + 1 :], self.after[same + 1 :], self.score[same + 1 :]
+        (self._bpe if self.model.kind == BPE else self._unigram)(len(text))
+        pieces, at = [], len(text)
+        while at > 0:
+            pieces.append(self.last[at])
+            at -= len(pieces[-1])
+        pieces.reverse()
+        return pieces
+
     def _bpe(self, to: int) -> None:
         """Survivors of the boundaries up to ``to``."""
-        m, text, last = self.model, self.text, self.last
-        ids, longest = m.ids, m.longest
-        after = [m.neighbours(p) if p else None for p in last]
-        if self.before:
-            after[0] = m.neighbours(self.before)
+        m, text, last, after = self.model, self.text, self.last, self.after
+        ids, endings, pairs = m.ids, m.endings, m.pairs
         for end in range(len(last), to + 1):
-            for start in range(end - longest if end > longest else 0, end):
+            start = end - 1
+            piece = text[start:end]
+            fitting = [(start, piece)]  # what may end here, shortest first
+            while start > 0:
+                start -= 1
                 piece = text[start:end]
-                if piece in ids or start == end - 1:
-                    known = after[start]
-                    if known is None:
-                        break
-                    fits = known.get(piece)
-                    if fits is None:
-                        fits = known[piece] = m.apart(last[start] or self.before, piece)
-                        m.n_pairs += 1
-                    if fits:
-                        break
+                if piece not in endings:
+                    break
+                if piece in ids:
+                    fitting.append((start, piece))
+            while fitting:
+                start, piece = fitting.pop()
+                known = after[start]
+                if known is None:
+                    break
+                fits = known.get(piece)
+                if fits is None:
+                    fits = known[piece] = m.apart(last[start] or self.before, piece)
+                    m.n_pairs += 1
+                if fits:
+                    break
             last.append(piece)
-            after.append(m.neighbours(piece))
+            known = pairs.get(piece)
+            if known is None:
+                known = pairs[piece] = {}
+            after.append(known)
         if m.n_pairs > 2 * REMEMBER:
-            m.pairs.clear()
+            m.pairs = {}
             m.n_pairs = 0
 
     def _unigram(self, to: int) -> None:
@@ -232,6 +259,8 @@ class StreamingViterbi:
             at -= len(self.last[at])
         if pieces:
             self.before = pieces[0]
+        if self.model.kind == BPE:
+            self.after = [self.model.pairs.setdefault(self.before, {}) if self.before else None, *self.after[boundary + 1 :]]
         self.text, self.last = self.text[boundary:], ["", *self.last[boundary + 1 :]]
         if self.model.kind == UNIGRAM:
             self.score = [s - self.score[boundary] for s in self.score[boundary:]]
@@ -253,6 +282,14 @@ class Encoder:
             ids += search.feed(text[i : i + 4096])
         return np.array(ids + search.finish(), dtype="<u4").tobytes()
 
+    def _learn(self, words: set[str]) -> None:
+        search, packed, known, width = StreamingViterbi(self.model), self.model.packed, self.known, 4 * self.model.longest
+        for w in sorted(words):
+            if len(w) > width:
+                known[w] = self._stream(w)
+            else:
+                known[w] = b"".join([packed[p] if p in packed else np.array(self.model.id_list(p), dtype="<u4").tobytes() for p in search.short(w)])
+
     def _words(self, norm: str) -> list[str]:
         if not self.model.by_word:
             return [norm]
@@ -260,17 +297,19 @@ class Encoder:
             return _SPLIT.findall(norm)
         return norm.replace("\n", "\0\n\0").replace(SPACE, "\0" + SPACE).split("\0")
 
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Of each text the ids as little-endian unsigned 32-bit integers."""
+        split = [self._words(self.model.normalize(t)) for t in texts]
+        new = set().union(*split).difference(self.known)
+        if len(self.known) + len(new) > self.remember:
+            self.known = {"": b""}
+            new = set().union(*split).difference(self.known)
+        self._learn(new)
+        get = self.known.__getitem__
+        return [b"".join(map(get, words)) for words in split]
+
     def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        words = self._words(self.model.normalize(text))
-        known = self.known
-        new = set(words).difference(known)
-        if len(known) + len(new) > self.remember:
-            known = self.known = {"": b""}
-            new = set(words)
-        for w in new:
-            known[w] = self._stream(w)
-        return b"".join(map(known.__getitem__, words))
+        return self.encode_all([text])[0]
 
     def decode(self, ids: bytes) -> str:
         surface = self.model.surface
@@ -296,14 +335,14 @@ def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids") ->
     at = docs.columns.index(text)
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run = encoder(model).encode
+        run = encoder(model).encode_all
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            for a, b in runs([t or "" for t in texts]):
-                coded = [None if t is None else run(t) for t in texts[a:b]]
-                ends = np.cumsum([0, *[len(c or b"") // 4 for c in coded]])
-                values = pa.array(np.frombuffer(b"".join(c or b"" for c in coded), dtype="<i4"))
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=pa.array([c is None for c in coded]))
+            for a, b in runs([t or "" for t in texts], 2_000_000):
+                coded = run([t or "" for t in texts[a:b]])
+                ends = np.cumsum([0, *[len(c) // 4 for c in coded]])
+                values = pa.array(np.frombuffer(b"".join(coded), dtype="<i4"))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=pa.array([t is None for t in texts[a:b]]))
                 part = batch.slice(a, b - a)
                 yield pa.record_batch([*part.columns, lists], names=schema.names)
 
