@@ -2,11 +2,14 @@
 
 A page is stripped to lines, one for each block element, in page order. A
 line's length counts the characters that can belong to an article: none in
-menus, adverts, forms and the like, none outside the page's article or main
-element if it has one, none where most of the line is link text. The sums of
-these lengths over a sliding window of lines rise steeply where the article
-starts and fall to nothing where it ends; between the surge and the dive lies
-the text. Of all such stretches those with a fair share of the longest one's text count.
+menus, adverts, forms and the like, none in links of an article or main element,
+none elsewhere where most of the line is link text; where a page has such an
+element, lines outside of it weigh a third. The sums of these lengths over a
+sliding window of lines, which doesn't reach across the ends of such an element,
+rise steeply where the article starts and fall to nothing where it ends; between
+the surge and the dive lies the text. On pages without such an element, of all
+such stretches those with a fair share of the longest one's text count. An
+article or main element with a surge is kept but for window-long runs of links.
 
 Defined cases: a null, empty or text-free page has an empty text; tags left
 open end with their parent; a page cut off inside a tag or comment loses that
@@ -28,6 +31,8 @@ from corpusloom.llm.common import fresh, ship
 
 #: Lines in a window, and the characters a window needs to count as a surge.
 WINDOW, SURGE = 3, 80
+#: What a character in an article or main element weighs against one outside of it.
+WEIGHT = 3
 #: A further stretch is kept if it has this share of the longest one's text.
 SHARE = 0.3
 
@@ -86,15 +91,15 @@ def _main(tag: str, rest: str) -> bool:
 
 
 class _Lines:
-    """Lines of a page: text, characters of it in links, whether it is outside, whether in an article."""
+    """Lines of a page: text, characters of it in links, whether it is outside, the number of its article or 0."""
 
     def __init__(self) -> None:
-        self.rows: list[tuple[str, int, bool, bool]] = []
+        self.rows: list[tuple[str, int, bool, int]] = []
         self.text: list[str] = []
         self.linked = 0
-        self.state = (False, False)
+        self.state = (False, 0)
 
-    def add(self, text: str, link: bool, state: tuple[bool, bool]) -> None:
+    def add(self, text: str, link: bool, state: tuple[bool, int]) -> None:
         if state != self.state:
             if text.isspace():
                 return
@@ -111,9 +116,9 @@ class _Lines:
         self.text, self.linked = [], 0
 
 
-def lines(page: str) -> list[tuple[str, int, bool, bool]]:
-    out, stack = _Lines(), []  # of open elements: tag, outside, in an article, in a link
-    at, state, link = 0, (False, False), False
+def lines(page: str) -> list[tuple[str, int, bool, int]]:
+    out, stack = _Lines(), []  # of open elements: tag, outside, outermost article, in a link
+    at, state, link, articles = 0, (False, 0), False, 0
     while at < len(page):
         m = _TOKEN.search(page, at)
         if m is None:
@@ -148,33 +153,68 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
                 end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
                 at = end.end() if end else len(page)
             elif tag not in VOID and not m[3].endswith("/"):
-                above = stack[-1][1:] if stack else (False, False, False)
-                stack.append((tag, above[0] or _outside(tag, m[3]), above[1] or _main(tag, m[3]), above[2] or tag == "a"))
-        (state, link) = ((stack[-1][1], stack[-1][2]), stack[-1][3]) if stack else ((False, False), False)
+                above = stack[-1][1:] if stack else (False, 0, False)
+                article = above[1]
+                if not article and _main(tag, m[3]):
+                    article = articles = articles + 1
+                stack.append((tag, above[0] or _outside(tag, m[3]), article, above[2] or tag == "a"))
+        (state, link) = ((stack[-1][1], stack[-1][2]), stack[-1][3]) if stack else ((False, 0), False)
     out.end()
     return out.rows
 
 
+def _size(text: str, linked: int, outside: bool, article: int, marked: bool) -> int:
+    if outside:
+        return 0
+    if article:
+        return WEIGHT * max(len(text) - linked, 0)
+    return 0 if 2 * linked > len(text) else len(text) if marked else WEIGHT * len(text)
+
+
+def _sums(size: list[int], article: list[int]) -> list[int]:
+    """Of each line's window, which ends with its article."""
+    return [sum(n for n, a in zip(size[i : i + WINDOW], article[i : i + WINDOW], strict=True) if a == article[i]) for i in range(len(size))]
+
+
+def _link_runs(rows: list[tuple[str, int, bool, int]], size: list[int]) -> set[int]:
+    """Lines of articles in runs of at least a window of lines that are links only."""
+    out, run = set(), []
+    for i, (_, _, outside, article) in enumerate(rows):
+        if outside:
+            continue
+        if size[i] or not article or (run and rows[run[-1]][3] != article):
+            run = []
+        if not size[i] and article:
+            run.append(i)
+            if len(run) >= WINDOW:
+                out.update(run)
+    return out
+
+
 def main_text(page: str | None) -> str:
     rows = lines(page or "")
-    marked = any(inside and not outside for _, _, outside, inside in rows)
-    size = [0 if outside or (marked and not inside) or (not marked and 2 * linked > len(text)) else len(text) for text, linked, outside, inside in rows]
-    sums = [sum(size[i : i + WINDOW]) for i in range(len(size))]
-    if not any(sums):
-        return ""
-    surge = 1 if marked else min(SURGE, max(sums))
+    article = [0 if outside else a for _, _, outside, a in rows]
+    marked = any(article)
+    size = [_size(*row, marked) for row in rows]
+    sums = _sums(size, article)
+    if not any(sums):  # an article of links only is one all the same
+        return "\n\n".join(rows[k][0] for k, a in enumerate(article) if a)
+    surge = min(WEIGHT * SURGE, max(sums))
     found, i = [], 0
     while i < len(sums):
         if sums[i] < surge or not size[i]:
             i += 1
             continue
         start = i
-        while i < len(sums) and sums[i]:  # to the dive
+        while i < len(sums) and sums[i] and article[i] == article[start]:  # to the dive
             i += 1
         found.append((sum(size[start:i]), start, i))
     most = max(total for total, _, _ in found)
-    keep = [k for total, a, b in found if marked or total >= SHARE * most for k in range(a, b)]
-    return "\n\n".join(rows[k][0] for k in keep if size[k])
+    whole = {article[a] for _, a, _ in found} - {0}
+    links = _link_runs(rows, size)
+    keep = {k for total, a, b in found if marked or total >= SHARE * most for k in range(a, b) if size[k]}
+    keep |= {k for k, a in enumerate(article) if a in whole and k not in links}
+    return "\n\n".join(rows[k][0] for k in sorted(keep))
 
 
 def extract(pages: DataFrame, html: str = "html", text: str = "text", n_chars: str = "n_chars", keep: list[str] | None = None) -> DataFrame:
