@@ -48,13 +48,24 @@ OUTSIDE = frozenset(
     "aside audio button canvas datalist dialog fieldset footer form head header iframe input label legend math menu meter nav noembed noframes noscript "
     "object optgroup option output progress script search select style svg template textarea title video xmp".split()
 )
-#: Words in class and id attributes that say the same.
+#: Words in class and id attributes that say the same, alone or in a compound with each other or the words of BESIDE.
 OUTSIDE_WORDS = frozenset(
     "ad ads adbox advert advertisement advertisements adverts adslot adsense banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies copyright "
     "disclaimer discussion disqus dropdown feedback footer form gdpr header hidden legal login masthead menu modal nav navbar navigation navi newsletter notice notices notification "
     "pager pagination popup popover promo promoted promotion recommended recommendations related replies reply respond responses rss search share sharing sidebar sidenav "
     "signin signup skip social sponsor sponsored subscribe subscription tags toc toolbar topbar topnav tracking widget widgets warning alert".split()
 )
+BESIDE = frozenset(
+    "site page main top bottom left right primary secondary global mobile user post article entry box block list section area wrapper wrap container bar inner content "
+    "item items unit panel link links text message title form and".split()
+)
+#: Of these words those that a paragraph of an article may have.
+MILD_WORDS = frozenset("alert copyright disclaimer legal notice notices notification share sharing social tags warning".split())
+#: Those of which the elements hold articles of their own.
+LIST_WORDS = frozenset(
+    "comment comments commentlist discussion disqus promo promoted promotion recommended recommendations related replies reply respond responses sidebar sidenav sponsored widget widgets".split()
+)
+TEXT_ELEMENTS = frozenset("b blockquote cite code dd dt em h1 h2 h3 h4 h5 h6 i li p pre q span strong td u".split())
 OUTSIDE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation note search status toolbar".split())
 IMPLIED_END = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Block elements that end an open paragraph.
@@ -66,40 +77,60 @@ _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
-def _outside(tag: str, rest: str) -> bool:
-    if tag in OUTSIDE:
-        return True
+def _class_words(value: str) -> set[str]:
+    """Of a class or id attribute the words that mark its element: whole names, or compounds of known words only."""
+    out = set()
+    for name in value.split():
+        parts = [w.lower() for w in _PART.findall(name)]
+        told = OUTSIDE_WORDS.intersection(parts)
+        if told and all(w in OUTSIDE_WORDS or w in BESIDE for w in parts) and not (parts[0] in ("post", "article", "entry") and "header" in told):
+            out |= told
+    return out
+
+
+def _outside(tag: str, rest: str, in_article: bool) -> tuple[bool, str]:
+    """Whether an element never belongs to an article, and what it is if it doesn't unless it holds one: "part" or "list"."""
+    if tag in OUTSIDE and tag != "form":
+        return True, ""
+    kind = "part" if tag == "form" else ""
     if tag in ("body", "html", "article", "main") or not rest or rest.isspace():
-        return False
+        return False, kind
     for name, *values in _ATTRIBUTE.findall(rest):
         name, value = name.lower(), "".join(values)
         if name in ("class", "id"):
-            if any(w.lower() in OUTSIDE_WORDS for w in _PART.findall(value)):
-                return True
+            told = _class_words(value)
+            if in_article and tag in TEXT_ELEMENTS:
+                told -= MILD_WORDS
+            if told:
+                kind = "list" if kind == "list" or told & LIST_WORDS else "part"
         elif name == "role":
             if value.lower() in OUTSIDE_ROLES:
-                return True
+                return True, ""
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
+            return True, ""
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return True, ""
+    return False, kind
 
 
 def _main(tag: str, rest: str) -> bool:
     return tag in ("article", "main") or (bool(rest) and re.search(r"role\s*=\s*[\"']?(?:main|article)\b|itemprop\s*=\s*[\"']?articleBody\b", rest, re.I) is not None)
 
 
+#: Of a line: whether it is outside, the number of its article or 0, the elements around it that are outside unless they hold the article.
+State = tuple[bool, int, tuple[int, ...]]
+
+
 class _Lines:
-    """Lines of a page: text, characters of it in links, whether it is outside, the number of its article or 0."""
+    """Lines of a page: text, characters of it in links, state."""
 
     def __init__(self) -> None:
-        self.rows: list[tuple[str, int, bool, int]] = []
+        self.rows: list[tuple[str, int, State]] = []
         self.text: list[str] = []
         self.linked = 0
-        self.state = (False, 0)
+        self.state: State = (False, 0, ())
 
-    def add(self, text: str, link: bool, state: tuple[bool, int]) -> None:
+    def add(self, text: str, link: bool, state: State) -> None:
         if state != self.state:
             if text.isspace():
                 return
@@ -112,13 +143,15 @@ class _Lines:
         if self.text:
             text = " ".join(entities.unescape("".join(self.text)).split())
             if text:
-                self.rows.append((text, self.linked, *self.state))
+                self.rows.append((text, self.linked, self.state))
         self.text, self.linked = [], 0
 
 
 def lines(page: str) -> list[tuple[str, int, bool, int]]:
-    out, stack = _Lines(), []  # of open elements: tag, outside, outermost article, in a link
-    at, state, link, articles = 0, (False, 0), False, 0
+    out, stack = _Lines(), []  # of open elements: tag, state, in a link
+    none: State = (False, 0, ())
+    at, state, link, articles = 0, none, False, 0
+    doubtful: list[tuple[str, bool]] = []  # of elements that a word marks: kind, whether in an article
     while at < len(page):
         m = _TOKEN.search(page, at)
         if m is None:
@@ -153,14 +186,40 @@ def lines(page: str) -> list[tuple[str, int, bool, int]]:
                 end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
                 at = end.end() if end else len(page)
             elif tag not in VOID and not m[3].endswith("/"):
-                above = stack[-1][1:] if stack else (False, 0, False)
-                article = above[1]
+                (outside, article, around), linked = stack[-1][1:] if stack else (none, False)
+                surely, kind = _outside(tag, m[3], article > 0)
+                if kind:
+                    doubtful.append((kind, article > 0))
+                    around = (*around, len(doubtful) - 1)
                 if not article and _main(tag, m[3]):
                     article = articles = articles + 1
-                stack.append((tag, above[0] or _outside(tag, m[3]), article, above[2] or tag == "a"))
-        (state, link) = ((stack[-1][1], stack[-1][2]), stack[-1][3]) if stack else ((False, 0), False)
+                stack.append((tag, (outside or surely, article, around), linked or tag == "a"))
+        state, link = stack[-1][1:] if stack else (none, False)
     out.end()
-    return out.rows
+    held = _held(out.rows, doubtful)
+    return [(text, linked, outside or not held.issuperset(around), article) for text, linked, (outside, article, around) in out.rows]
+
+
+def _held(rows: list[tuple[str, int, State]], doubtful: list[tuple[str, bool]]) -> set[int]:
+    """The elements that a word marks but that hold an article, or, on a page without one, most of its text.
+
+    Lists (of comments, of other stories) do so only if no article, or no text, is elsewhere.
+    """
+    if not doubtful:
+        return set()
+    size = [0 if outside else max(len(text) - linked, 0) for text, linked, (outside, _, _) in rows]
+    seen = any(n and article and not around for n, (_, _, (_, article, around)) in zip(size, rows, strict=True))
+    share, articles = [0] * len(doubtful), [False] * len(doubtful)
+    for n, (_, _, (_, article, around)) in zip(size, rows, strict=True):
+        for e in around:
+            share[e] += n
+            articles[e] |= n > 0 and article > 0 and not doubtful[e][1]
+    holds = {e for e, (kind, _) in enumerate(doubtful) if articles[e] and (kind == "part" or not seen)}
+    seen = seen or bool(holds)
+    if seen:
+        return holds
+    left = sum(n for n, (_, _, (_, _, around)) in zip(size, rows, strict=True) if not around)
+    return {e for e, (kind, _) in enumerate(doubtful) if 2 * share[e] > sum(size) and (kind == "part" or left < SURGE)}
 
 
 def _size(text: str, linked: int, outside: bool, article: int, marked: bool) -> int:

@@ -1,5 +1,7 @@
 """Pages whose main text is known: articles beside stories, wrappers, parted sections."""
 
+import pytest
+
 from corpusloom.llm import html_text
 
 PROSE = ("a sentence of ordinary prose goes here. " * 4).strip()
@@ -18,3 +20,30 @@ def test_runs_of_links_in_an_article_are_dropped_by_density_and_single_ones_are_
 
 def test_an_article_of_links_only_keeps_them():
     assert html_text.main_text("<article><ul>" + "<li><a href=x>link</a>" * 4 + "</ul></article>") == "\n\n".join(["link"] * 4)
+
+
+@pytest.mark.parametrize("wrapper", ["div class='has-sidebar'", "div id='page-with-menu'", "div class=nav-fixed", "form", "div class='menu'", "div id=widget", "div class='page hasSidebar'"])
+def test_a_wrapper_with_a_class_word_hides_no_article(wrapper):
+    page = f"<{wrapper}><div class=menu>Menu</div><article><p>{PROSE}</p></article><form>q</form></{wrapper.split()[0]}>"
+    assert html_text.main_text(page) == PROSE
+
+
+@pytest.mark.parametrize("wrapper", ["form", "div class=widget-header", "div class=top-nav", "div class='has-sidebar'"])
+def test_a_wrapper_round_most_of_the_text_hides_none(wrapper):
+    page = f"<{wrapper}><div>{PROSE}</div><div>{PROSE}</div></{wrapper.split()[0]}><div class=site-footer>{PROSE[:60]}</div>"
+    assert html_text.main_text(page) == f"{PROSE}\n\n{PROSE}"
+
+
+def test_comments_longer_than_the_story_stay_outside():
+    assert html_text.main_text(f"<div>{PROSE} x</div><div class=comments>" + f"<p>{PROSE}</p>" * 3 + "</div>") == f"{PROSE} x"
+
+
+def test_paragraphs_of_an_article_with_mild_class_words_stay():
+    words = ["warning", "notice", "legal", "share", "tags"]
+    page = "<article>" + "".join(f"<p class={w}>{w} {PROSE}</p>" for w in words) + "<p class=ad>buy</p><div class=share-links>share</div></article>"
+    assert html_text.main_text(page) == "\n\n".join(f"{w} {PROSE}" for w in words)
+
+
+def test_lists_of_other_articles_stay_outside():
+    others = f"<div class=related><article>{PROSE}</article></div><section id=comments><article>{PROSE}</article></section>"
+    assert html_text.main_text(f"<article><p>{PROSE} x</p></article>{others}") == f"{PROSE} x"
