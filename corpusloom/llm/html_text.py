@@ -5,11 +5,12 @@ line's length counts the characters that can belong to an article: none in
 menus, adverts, forms and the like, none in links of an article or main element,
 none elsewhere where most of the line is link text; where a page has such an
 element, lines outside of it weigh a third. The sums of these lengths over a
-sliding window of lines, which doesn't reach across the ends of such an element,
-rise steeply where the article starts and fall to nothing where it ends; between
-the surge and the dive lies the text. On pages without such an element, of all
-such stretches those with a fair share of the longest one's text count. An
-article or main element with a surge is kept but for window-long runs of links.
+sliding window of lines, which passes over what is outside and doesn't reach
+across the ends of such an element, rise steeply where the article starts and
+fall to nothing where it ends; between the surge and the dive lies the text.
+Every such stretch counts, and so do the other lines of the elements in which one
+surges. An article or main element with a surge is kept but for window-long runs
+of links.
 
 Defined cases: a null, empty or text-free page has an empty text; tags left
 open end with their parent; a page cut off inside a tag or comment loses that
@@ -33,8 +34,6 @@ from corpusloom.llm.common import fresh, ship
 WINDOW, SURGE = 3, 80
 #: What a character in an article or main element weighs against one outside of it.
 WEIGHT = 3
-#: A further stretch is kept if it has this share of the longest one's text.
-SHARE = 0.3
 
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
@@ -43,6 +42,8 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 SPACED = frozenset("br td th img".split())
+#: Elements that hold paragraphs; the lines of one stay together.
+HOLDERS = frozenset("article blockquote center details div main section td".split())
 #: Elements whose text never belongs to an article.
 OUTSIDE = frozenset(
     "aside audio button canvas datalist dialog fieldset footer form head header iframe input label legend math menu meter nav noembed noframes noscript "
@@ -122,20 +123,22 @@ State = tuple[bool, int, tuple[int, ...]]
 
 
 class _Lines:
-    """Lines of a page: text, characters of it in links, state."""
+    """Lines of a page: text, characters of it in links, state, the number of the element that holds it or 0."""
 
     def __init__(self) -> None:
-        self.rows: list[tuple[str, int, State]] = []
+        self.rows: list[tuple[str, int, State, int]] = []
         self.text: list[str] = []
-        self.linked = 0
+        self.linked = self.holder = 0
         self.state: State = (False, 0, ())
 
-    def add(self, text: str, link: bool, state: State) -> None:
+    def add(self, text: str, link: bool, state: State, holder: int) -> None:
         if state != self.state:
             if text.isspace():
                 return
             self.end()
             self.state = state
+        if not self.text:
+            self.holder = holder
         self.text.append(text)
         self.linked += len(text) if link else 0
 
@@ -143,29 +146,30 @@ class _Lines:
         if self.text:
             text = " ".join(entities.unescape("".join(self.text)).split())
             if text:
-                self.rows.append((text, self.linked, self.state))
+                self.rows.append((text, self.linked, self.state, self.holder))
         self.text, self.linked = [], 0
 
 
-def lines(page: str) -> list[tuple[str, int, bool, int]]:
-    out, stack = _Lines(), []  # of open elements: tag, state, in a link
+def lines(page: str) -> list[tuple[str, int, int, int]]:
+    """Of the lines that aren't outside: text, characters of it in links, the number of its article or 0, of its holder or 0."""
+    out, stack = _Lines(), []  # of open elements: tag, state, in a link, holder
     none: State = (False, 0, ())
-    at, state, link, articles = 0, none, False, 0
+    at, state, link, holder, articles, holders = 0, none, False, 0, 0, 0
     doubtful: list[tuple[str, bool]] = []  # of elements that a word marks: kind, whether in an article
     while at < len(page):
         m = _TOKEN.search(page, at)
         if m is None:
-            out.add(page[at:], link, state)
+            out.add(page[at:], link, state, holder)
             break
         if m.start() > at:
-            out.add(page[at : m.start()], link, state)
+            out.add(page[at : m.start()], link, state, holder)
         at, tag = m.end(), (m[2] or "").lower()
         if not tag:
             continue
         if tag in BLOCKS:
             out.end()
         elif tag in SPACED:
-            out.add(" ", False, state)
+            out.add(" ", False, state, holder)
         if m[1]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
@@ -186,31 +190,33 @@ def lines(page: str) -> list[tuple[str, int, bool, int]]:
                 end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
                 at = end.end() if end else len(page)
             elif tag not in VOID and not m[3].endswith("/"):
-                (outside, article, around), linked = stack[-1][1:] if stack else (none, False)
+                (outside, article, around), linked, holder = stack[-1][1:] if stack else (none, False, 0)
                 surely, kind = _outside(tag, m[3], article > 0)
                 if kind:
                     doubtful.append((kind, article > 0))
                     around = (*around, len(doubtful) - 1)
                 if not article and _main(tag, m[3]):
                     article = articles = articles + 1
-                stack.append((tag, (outside or surely, article, around), linked or tag == "a"))
-        state, link = stack[-1][1:] if stack else (none, False)
+                if tag in HOLDERS:
+                    holder = holders = holders + 1
+                stack.append((tag, (outside or surely, article, around), linked or tag == "a", holder))
+        state, link, holder = stack[-1][1:] if stack else (none, False, 0)
     out.end()
     held = _held(out.rows, doubtful)
-    return [(text, linked, outside or not held.issuperset(around), article) for text, linked, (outside, article, around) in out.rows]
+    return [(text, linked, article, holder) for text, linked, (outside, article, around), holder in out.rows if not outside and held.issuperset(around)]
 
 
-def _held(rows: list[tuple[str, int, State]], doubtful: list[tuple[str, bool]]) -> set[int]:
+def _held(rows: list[tuple[str, int, State, int]], doubtful: list[tuple[str, bool]]) -> set[int]:
     """The elements that a word marks but that hold an article, or, on a page without one, most of its text.
 
     Lists (of comments, of other stories) do so only if no article, or no text, is elsewhere.
     """
     if not doubtful:
         return set()
-    size = [0 if outside else max(len(text) - linked, 0) for text, linked, (outside, _, _) in rows]
-    seen = any(n and article and not around for n, (_, _, (_, article, around)) in zip(size, rows, strict=True))
+    size = [0 if outside else max(len(text) - linked, 0) for text, linked, (outside, _, _), _ in rows]
+    seen = any(n and article and not around for n, (_, _, (_, article, around), _) in zip(size, rows, strict=True))
     share, articles = [0] * len(doubtful), [False] * len(doubtful)
-    for n, (_, _, (_, article, around)) in zip(size, rows, strict=True):
+    for n, (_, _, (_, article, around), _) in zip(size, rows, strict=True):
         for e in around:
             share[e] += n
             articles[e] |= n > 0 and article > 0 and not doubtful[e][1]
@@ -218,13 +224,11 @@ def _held(rows: list[tuple[str, int, State]], doubtful: list[tuple[str, bool]])
     seen = seen or bool(holds)
     if seen:
         return holds
-    left = sum(n for n, (_, _, (_, _, around)) in zip(size, rows, strict=True) if not around)
+    left = sum(n for n, (_, _, (_, _, around), _) in zip(size, rows, strict=True) if not around)
     return {e for e, (kind, _) in enumerate(doubtful) if 2 * share[e] > sum(size) and (kind == "part" or left < SURGE)}
 
 
-def _size(text: str, linked: int, outside: bool, article: int, marked: bool) -> int:
-    if outside:
-        return 0
+def _size(text: str, linked: int, article: int, marked: bool) -> int:
     if article:
         return WEIGHT * max(len(text) - linked, 0)
     return 0 if 2 * linked > len(text) else len(text) if marked else WEIGHT * len(text)
@@ -235,15 +239,13 @@ def _sums(size: list[int], article: list[int]) -> list[int]:
     return [sum(n for n, a in zip(size[i : i + WINDOW], article[i : i + WINDOW], strict=True) if a == article[i]) for i in range(len(size))]
 
 
-def _link_runs(rows: list[tuple[str, int, bool, int]], size: list[int]) -> set[int]:
+def _link_runs(size: list[int], article: list[int]) -> set[int]:
     """Lines of articles in runs of at least a window of lines that are links only."""
     out, run = set(), []
-    for i, (_, _, outside, article) in enumerate(rows):
-        if outside:
-            continue
-        if size[i] or not article or (run and rows[run[-1]][3] != article):
+    for i, (n, a) in enumerate(zip(size, article, strict=True)):
+        if n or not a or (run and article[run[-1]] != a):
             run = []
-        if not size[i] and article:
+        if not n and a:
             run.append(i)
             if len(run) >= WINDOW:
                 out.update(run)
@@ -252,27 +254,28 @@ def _link_runs(rows: list[tuple[str, int, bool, int]], size: list[int]) -> set[i
 
 def main_text(page: str | None) -> str:
     rows = lines(page or "")
-    article = [0 if outside else a for _, _, outside, a in rows]
+    article = [a for _, _, a, _ in rows]
     marked = any(article)
-    size = [_size(*row, marked) for row in rows]
+    size = [_size(text, linked, a, marked) for text, linked, a, _ in rows]
     sums = _sums(size, article)
     if not any(sums):  # an article of links only is one all the same
         return "\n\n".join(rows[k][0] for k, a in enumerate(article) if a)
     surge = min(WEIGHT * SURGE, max(sums))
-    found, i = [], 0
+    keep, whole, held, i = set(), set(), set(), 0
     while i < len(sums):
         if sums[i] < surge or not size[i]:
             i += 1
             continue
         start = i
         while i < len(sums) and sums[i] and article[i] == article[start]:  # to the dive
+            if size[i]:
+                keep.add(i)
+                if sums[i] >= surge:
+                    held.add(rows[i][3])
             i += 1
-        found.append((sum(size[start:i]), start, i))
-    most = max(total for total, _, _ in found)
-    whole = {article[a] for _, a, _ in found} - {0}
-    links = _link_runs(rows, size)
-    keep = {k for total, a, b in found if marked or total >= SHARE * most for k in range(a, b) if size[k]}
-    keep |= {k for k, a in enumerate(article) if a in whole and k not in links}
+        whole.add(article[start])
+    links = _link_runs(size, article)
+    keep |= {k for k, (_, _, a, holder) in enumerate(rows) if (a in whole and k not in links if a else size[k] and holder in held)}
     return "\n\n".join(rows[k][0] for k in sorted(keep))
 
 

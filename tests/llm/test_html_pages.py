@@ -47,3 +47,25 @@ def test_paragraphs_of_an_article_with_mild_class_words_stay():
 def test_lists_of_other_articles_stay_outside():
     others = f"<div class=related><article>{PROSE}</article></div><section id=comments><article>{PROSE}</article></section>"
     assert html_text.main_text(f"<article><p>{PROSE} x</p></article>{others}") == f"{PROSE} x"
+
+
+LINKS = "<ul>" + "<li><a href=x>Another story</a>" * 4 + "</ul>"
+ADVERT = "<div class=ad>buy</div>" * 3
+
+
+@pytest.mark.parametrize("between", [LINKS, ADVERT])
+@pytest.mark.parametrize("wrapper", ["body", "div", "section"])
+def test_a_closing_section_after_adverts_or_links_stays(between, wrapper):
+    long, closing = [f"{i} {PROSE}" for i in range(19)], [f"{i} {PROSE}" for i in range(3)]
+    page = f"<{wrapper}>" + "".join(f"<p>{x}</p>" for x in long) + between + "".join(f"<p>{x}</p>" for x in closing) + between + f"<p>Short end.</p></{wrapper}>"
+    assert html_text.main_text(page) == "\n\n".join([*long, *closing, "Short end."])
+
+
+def test_a_short_section_in_a_div_of_its_own_stays_beside_a_long_one():
+    page = f"<div><p>{PROSE}</p><p>{PROSE * 30}</p></div>{LINKS}<div><p>{PROSE}</p></div>{LINKS}<div>Imprint</div>"
+    assert html_text.main_text(page) == f"{PROSE}\n\n{PROSE * 30}\n\n{PROSE}"
+
+
+def test_a_short_article_parted_by_adverts_surges_all_the_same():
+    article = "<aside>buy</aside>".join(f"<p>{PROSE[:60]}</p>" for _ in range(4))
+    assert html_text.main_text(f"<article>{article}</article>" + f"<p>{PROSE}</p>" * 3) == "\n\n".join([PROSE[:60]] * 4 + [PROSE] * 3)
