@@ -36,6 +36,11 @@ def ranked(model: str) -> str:
     return f"{_JOINED},\n{_ctes('r', model)}\nSELECT qid, docno, rank, score FROM r"
 
 
+def over_all(sql: str) -> str:
+    """The same over the documents of all languages."""
+    return sql.replace(" WHERE lang = 'en'", "")
+
+
 TOKENIZE = f"SELECT doc_id, len(t)::BIGINT AS n_tokens, len(list_distinct(t))::BIGINT AS n_distinct FROM (SELECT doc_id, {_TOKENS.format('text')} AS t FROM documents)"
 INDEX_STATS = f"""WITH d AS (SELECT doc_id, {_TOKENS.format("text")} AS t FROM documents), p AS (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest(t) AS term FROM d)),
 df AS (SELECT term, count(*) AS df FROM p GROUP BY 1)

@@ -1,12 +1,14 @@
 """Queries over the driver's tables, with the SQL that checks them.
 
-Every query runs over its whole tables. Integers are given as BIGINT, so that
+Queries run over their whole tables, but for some whose SQL names a part; beside
+each of these is one over the whole, with ``_all`` to its name. Integers are given as BIGINT, so that
 results of different engines have one schema.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,18 +46,22 @@ def longs(df: DataFrame) -> DataFrame:
 # -- retrieval
 
 
-def _run(spark: SparkSession, sf_dir: str, model: str, depth: int = 10) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("docno"), "text")
+def _run(spark: SparkSession, sf_dir: str, model: str, depth: int = 10, languages: tuple[str, ...] | None = ("en",)) -> DataFrame:
+    """Ranks of the documents in ``languages``, or with None of all documents, in one index."""
+    docs = table(spark, sf_dir, "documents")
+    docs = (docs if languages is None else docs.filter(F.col("lang").isin(*languages))).select(F.col("doc_id").alias("docno"), "text")
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
     return retrieval.retrieve(docs, asked, words(F.col("text")), words(F.col("text")), model, depth, digits=6)
 
 
-def _ranked(model: str):
-    return lambda spark, sf_dir: longs(_run(spark, sf_dir, model))
+def _ranked(model: str, languages: tuple[str, ...] | None = ("en",)):
+    return lambda spark, sf_dir: longs(_run(spark, sf_dir, model, languages=languages))
 
 
+# Those without a suffix run over English documents only, as their SQL does.
 for _model in retrieval.MODELS:
     query(oracle.ranked(_model), f"{_model.replace('-', '_')}_top10")(_ranked(_model))
+    query(oracle.over_all(oracle.ranked(_model)), f"{_model.replace('-', '_')}_top10_all")(_ranked(_model, None))
 
 
 @query(oracle.TOKENIZE)
@@ -72,17 +78,35 @@ def index_stats(spark, sf_dir):
     return index.stats.select("n", "total", F.round("avdl", 6).alias("avdl")).crossJoin(terms)  # one row each
 
 
+def _stemmed(spark: SparkSession, sf_dir: str, language: str, analysed: bool) -> DataFrame:
+    """Ranks within the documents of one language, or with "" within those that name none."""
+    tokens = analysis.index_tokens(F.col("text"), language) if analysed else words(F.col("text"))
+    docs = table(spark, sf_dir, "documents").filter(F.coalesce("lang", F.lit("")) == language).select(F.col("doc_id").alias("docno"), "text")
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    return retrieval.retrieve(docs, asked, tokens, tokens, depth=10).select(F.lit(language).alias("lang"), "qid", "docno", "rank", "score")
+
+
 @query()
 def stemmed_bm25_top10(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("docno"), "text")
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
-    return longs(retrieval.retrieve(docs, asked, analysis.index_tokens(F.col("text"), "en"), analysis.index_tokens(F.col("text"), "en"), depth=10))
+    """Ten documents of each language, each in its own index; stems where there is an analysis, words elsewhere."""
+    found = sorted(r[0] for r in table(spark, sf_dir, "documents").select(F.coalesce("lang", F.lit("")).alias("lang")).distinct().collect())  # languages are few
+    runs = [_stemmed(spark, sf_dir, language, language in analysis.LANGUAGES) for language in found]
+    return longs(reduce(DataFrame.unionByName, runs or [_stemmed(spark, sf_dir, "en", True)]))
+
+
+def _pools(spark: SparkSession, sf_dir: str, languages: tuple[str, ...] | None) -> DataFrame:
+    pools = judging.pool(judging.union_runs([_run(spark, sf_dir, m, languages=languages) for m in ("bm25", "tf-idf")]), 5)
+    return pools.select("qid", F.array_join("docnos", ",").alias("docnos"), F.size("docnos").cast("long").alias("size"))
 
 
 @query(oracle.POOL)
 def pool_topk(spark, sf_dir):
-    pools = judging.pool(judging.union_runs([_run(spark, sf_dir, "bm25"), _run(spark, sf_dir, "tf-idf")]), 5)
-    return pools.select("qid", F.array_join("docnos", ",").alias("docnos"), F.size("docnos").cast("long").alias("size"))
+    return _pools(spark, sf_dir, ("en",))
+
+
+@query(oracle.over_all(oracle.POOL))
+def pool_topk_all(spark, sf_dir):
+    return _pools(spark, sf_dir, None)
 
 
 @query(oracle.NDCG)

@@ -21,3 +21,15 @@ def test_violations_of_late_items_and_other_orders_are_found(spark, folder):
     sf = folder(lineitem=(items, "l_orderkey long, l_linenumber int, l_partkey long"))
     found = {tuple(r) for r in registry.QUERIES["corpus_violations_all"](spark, sf).collect()}
     assert found == {("duplicate task_id", "t2"), ("pdf_url in several tasks", "30"), ("coverage_ratio out of bounds", "t6")}
+
+
+def test_documents_of_all_languages_are_retrieved(spark, folder):
+    filler = [(i, f"anderes wort nummer w{'abcdefghij'[i - 10]}", "en") for i in range(10, 18)]
+    docs = [(1, "häuser stehen am ufer", "de"), (2, "les maisons du port", "fr"), (3, "houses stand here", "en"), (4, "houses without language", None), *filler]
+    asked = [(7, "häuser am ufer"), (8, "maisons port"), (9, "houses")]
+    sf = folder(documents=(docs, "doc_id long, text string, lang string"), benchmark=(asked, "item_id long, text string"))
+    got = {(r.qid, r.docno) for r in registry.QUERIES["bm25_top10_all"](spark, sf).collect()}
+    assert got == {(7, 1), (8, 2), (9, 3), (9, 4)}
+    assert {r.qid: r.docnos for r in registry.QUERIES["pool_topk_all"](spark, sf).collect()} == {7: "1", 8: "2", 9: "3,4"}
+    stemmed = {(r.lang, r.qid, r.docno, r["rank"]) for r in registry.QUERIES["stemmed_bm25_top10"](spark, sf).collect()}
+    assert stemmed == {("de", 7, 1, 1), ("fr", 8, 2, 1), ("en", 9, 3, 1), ("", 9, 4, 1)}
