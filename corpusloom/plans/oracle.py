@@ -56,6 +56,13 @@ NDCG = f"""{_JOINED},
 j AS (SELECT qid, docno, rank, quality AS rel FROM r JOIN labels ON doc_id = docno),
 best AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rel DESC, docno) AS place FROM j)
 SELECT qid, round(CASE WHEN i > 0 THEN g / i ELSE 0 END, 6) AS ndcg FROM (SELECT qid, sum((pow(2.0, rel) - 1) / log2(place + 1)) AS i, sum((pow(2.0, rel) - 1) / log2(rank + 1)) AS g FROM best GROUP BY 1)"""
+NDCG_ALL = f"""{over_all(_JOINED)},
+{_ctes("r", "bm25")},
+dw AS (SELECT docno, ' ' || array_to_string(tok, ' ') || ' ' AS w FROM d), bw AS (SELECT item_id AS qid, ' ' || array_to_string({_TOKENS.format("text")}, ' ') || ' ' AS w FROM benchmark),
+j AS (SELECT DISTINCT qid, docno FROM dw JOIN bw ON contains(dw.w, bw.w) WHERE trim(bw.w) <> ''),
+best AS (SELECT qid, docno, row_number() OVER (PARTITION BY qid ORDER BY docno) AS place FROM j),
+i AS (SELECT qid, sum(1 / log2(place + 1)) AS i FROM best WHERE place <= 10 GROUP BY 1), g AS (SELECT qid, sum(1 / log2(rank + 1)) AS g FROM r JOIN j USING (qid, docno) GROUP BY 1)
+SELECT qid, round(coalesce(g, 0) / i, 6) AS ndcg FROM i LEFT JOIN g USING (qid)"""
 HISTOGRAM = "SELECT lang, count(*) FILTER (quality = 0) AS c0, count(*) FILTER (quality = 1) AS c1, count(*) FILTER (quality = 2) AS c2, count(*) FILTER (quality = 3) AS c3, count(*) AS total FROM labels JOIN documents USING (doc_id) GROUP BY 1"
 ACCURACY = "SELECT round(avg(CASE WHEN quality = 1 THEN 1.0 ELSE 0.0 END), 9)::DOUBLE AS accuracy FROM labels"
 ID_CHECK = "SELECT doc_id AS id, 'missing' AS problem FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'unexpected' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)"

@@ -33,3 +33,14 @@ def test_documents_of_all_languages_are_retrieved(spark, folder):
     assert {r.qid: r.docnos for r in registry.QUERIES["pool_topk_all"](spark, sf).collect()} == {7: "1", 8: "2", 9: "3,4"}
     stemmed = {(r.lang, r.qid, r.docno, r["rank"]) for r in registry.QUERIES["stemmed_bm25_top10"](spark, sf).collect()}
     assert stemmed == {("de", 7, 1, 1), ("fr", 8, 2, 1), ("en", 9, 3, 1), ("", 9, 4, 1)}
+
+
+def test_relevant_documents_that_the_run_misses_lower_ndcg(spark, folder):
+    docs = [(i, "rare thing", "en") for i in range(1, 13)] + [(50, "some rare thing with a far longer text " * 30, "de")] + [(i, f"other text {i}", "en") for i in range(60, 80)]
+    asked = [(1, "Rare thing with"), (2, "no document holds this")]
+    sf = folder(documents=(docs, "doc_id long, text string, lang string"), benchmark=(asked, "item_id long, text string"))
+    judged = {tuple(r) for r in registry._holders(spark, sf).collect()}
+    assert judged == {(1, 50, 1)}
+    run = spark.createDataFrame([(1, i, i, 1.0) for i in range(1, 11)], "qid long, docno long, rank int, score double")
+    assert [tuple(r) for r in registry.judging.ndcg(run, registry._holders(spark, sf)).collect()] == [(1, 0.0)]
+    assert [r.qid for r in registry.QUERIES["ndcg_at_10_all"](spark, sf).collect()] == [1]
