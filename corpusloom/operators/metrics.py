@@ -1,11 +1,14 @@
 """Scores of texts against reference texts: BLEU, chrF, ROUGE.
 
-n-gram counts are made and matched as rows and summed over the corpus. Only the
-longest common subsequence, a recurrence over two texts, runs in Python.
+A pair's n-grams are counted and matched inside its row, and so is its longest
+common subsequence, in Arrow batches; what is shuffled are sums over the corpus.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,31 +45,38 @@ def bleu_words(text: Column) -> Column:
     return F.filter(F.split(out, r"(?U)\s+"), lambda w: w != "")
 
 
-def rouge_words(text: Column) -> Column:
+def rouge_words(text: Column, stems: bool = True) -> Column:
     """Lower-case words of a-z and 0-9; those longer than three letters are stemmed."""
-    return stem(F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), r"\s+"), lambda w: w != ""), "porter", shortest=4)
+    words = F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), r"\s+"), lambda w: w != "")
+    return stem(words, "porter", shortest=4) if stems else words
 
 
-def ngrams(items: Column, n: int) -> Column:
-    """All n-grams of an array of strings, as strings."""
-    starts = F.sequence(F.lit(1), F.size(items) - n + 1)
-    return F.when(F.size(items) >= n, F.transform(starts, lambda i: F.array_join(F.slice(items, i, n), "\x1f"))).otherwise(F.array().cast("array<string>"))
+def clipped_matches(a: Sequence, b: Sequence, n: int) -> tuple[int, int, int]:
+    """Of the n-grams of two texts or lists: matches, each at most as often as in either, and how many either has."""
+    if isinstance(a, str):
+        x, y = (Counter(s[i : i + n] for i in range(len(s) - n + 1)) for s in (a, b))
+    else:
+        x, y = (Counter(zip(*[s[i:] for i in range(n)], strict=False)) for s in (a, b))
+    return sum(min(c, y[gram]) for gram, c in x.items() if gram in y), max(0, len(a) - n + 1), max(0, len(b) - n + 1)
 
 
 def overlap(pairs: DataFrame, hypothesis: str, reference: str, order: int) -> DataFrame:
-    """id, n, matched, in_hypothesis, in_reference: clipped matches of the n-grams up to ``order`` of two arrays of strings."""
-
-    def side(items: str, name: str) -> DataFrame:
-        grams = F.flatten(F.array(*[F.transform(ngrams(F.col(items), n), _tagged(n)) for n in range(1, order + 1)]))
-        rows = pairs.select("id", F.explode(grams).alias("g")).select("id", "g.n", "g.gram")
-        return rows.groupBy("id", "n", "gram").agg(F.count("*").alias(name))
+    """id, n, matched, in_hypothesis, in_reference: clipped matches of the n-grams up to ``order``.
 
-    both = side(hypothesis, "h").join(side(reference, "r"), ["id", "n", "gram"], "full_outer").na.fill(0, ["h", "r"])
-    return both.groupBy("id", "n").agg(F.sum(F.least("h", "r")).alias("matched"), F.sum("h").alias("in_hypothesis"), F.sum("r").alias("in_reference"))
+    The columns hold arrays of strings, or texts, whose characters count. A pair is
+    matched within its row, so that only figures leave it; orders that neither side reaches have no row.
+    A null counts as empty.
+    """
+    ship(pairs.sparkSession)
 
+    @F.pandas_udf("array<long>")
+    def figures(a: pd.Series, b: pd.Series) -> pd.Series:
+        plain = lambda s: "" if s is None else s if isinstance(s, str) else list(s)
+        return pd.Series([[v for n in range(1, order + 1) for v in clipped_matches(plain(x), plain(y), n)] for x, y in zip(a, b, strict=True)])
 
-def _tagged(n: int):
-    return lambda gram: F.struct(F.lit(n).alias("n"), gram.alias("gram"))
+    rows = pairs.select("id", figures(hypothesis, reference).alias("f")).select("id", "f", F.explode(F.sequence(F.lit(1), F.lit(order))).alias("n"))
+    named = [F.get("f", 3 * (F.col("n") - 1) + i).alias(c) for i, c in enumerate(("matched", "in_hypothesis", "in_reference"))]
+    return rows.select("id", "n", *named).filter("in_hypothesis > 0 or in_reference > 0")
 
 
 def bleu(pairs: DataFrame) -> DataFrame:
@@ -91,7 +101,7 @@ def bleu(pairs: DataFrame) -> DataFrame:
 
 def chrf(pairs: DataFrame) -> DataFrame:
     """Corpus chrF2 from 0 to 100, over characters without white space."""
-    chars = lambda c: F.filter(F.split(F.regexp_replace(c, r"(?U)\s+", ""), ""), lambda x: x != "")
+    chars = lambda c: F.regexp_replace(c, r"(?U)\s+", "")
     cut = pairs.select("id", chars(F.col("hypothesis")).alias("hc"), chars(F.col("reference")).alias("rc"))
     stats = overlap(cut, "hc", "rc", CHRF_ORDER).groupBy("n").agg(F.sum("matched").alias("m"), F.sum("in_hypothesis").alias("h"), F.sum("in_reference").alias("r"))
     known = stats.filter("h > 0 and r > 0").agg(F.avg(F.col("m") / F.col("h")).alias("p"), F.avg(F.col("m") / F.col("r")).alias("q"))
@@ -104,11 +114,10 @@ def _f(matched: Column, h: Column, r: Column) -> Column:
     return F.when(matched > 0, 2.0 * matched / (h + r)).otherwise(0.0)
 
 
-def rouge_n(pairs: DataFrame, n: int) -> DataFrame:
-    """id, rouge: F of the n-grams of stemmed words, for every pair."""
-    words = pairs.select("id", rouge_words(F.col("hypothesis")).alias("hw"), rouge_words(F.col("reference")).alias("rw"))
-    cut = words.select("id", ngrams(F.col("hw"), n).alias("hw"), ngrams(F.col("rw"), n).alias("rw"))
-    stats = overlap(cut, "hw", "rw", 1)
+def rouge_n(pairs: DataFrame, n: int, stems: bool = True) -> DataFrame:
+    """id, rouge: F of the n-grams of words, stemmed or with ``stems`` false as they are, for every pair."""
+    cut = pairs.select("id", rouge_words(F.col("hypothesis"), stems).alias("hw"), rouge_words(F.col("reference"), stems).alias("rw"))
+    stats = overlap(cut, "hw", "rw", n).filter(F.col("n") == n)
     found = stats.select("id", _f(F.col("matched"), F.col("in_hypothesis"), F.col("in_reference")).alias("rouge"))
     return pairs.select("id").join(found, "id", "left").select("id", F.coalesce("rouge", F.lit(0.0)).alias("rouge"))
 
@@ -146,4 +155,4 @@ def evaluate(pairs: DataFrame) -> DataFrame:
     return out
 
 
-__all__ = ["align", "bleu", "chrf", "evaluate", "mismatched_ids", "ngrams", "overlap", "rouge_l", "rouge_n"]
+__all__ = ["align", "bleu", "chrf", "evaluate", "mismatched_ids", "clipped_matches", "overlap", "rouge_l", "rouge_n"]

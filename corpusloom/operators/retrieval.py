@@ -1,24 +1,28 @@
 """Ranked retrieval: one index, ten weighting models.
 
-The index is a postings table (term, docno, tf, dl) with its statistics. All
-models are expressions over one joined relation, so that an index serves every one
-of them. For a known set of queries only postings of their terms are ever built:
-documents are tokenised, terms that no query has drop out before the shuffle.
+The index is a postings table (term, docno, tf, dl) with its statistics, kept
+in files: built once, queried often. Its files hold whole documents, dealt out by
+their ids in buckets, so that a document's score is summed where its postings lie:
+nothing but each partition's best documents is shuffled. All models are
+expressions over one relation, so that an index serves every one of them. A
+model's weight of a term in a document is computed once, whatever the number of
+queries that ask for the term.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 K1, B, K3 = 1.2, 0.75, 8.0
 MU, LAMBDA, C = 2500.0, 0.15, 1.0
 DEPTH = 1000
-#: Distinct query terms that are broadcast to filter postings; more are joined by a shuffle.
+#: Terms of queries that are broadcast to the postings; more of them are joined by a shuffle.
 MAX_BROADCAST_TERMS = 1_000_000
 
 
@@ -36,19 +40,19 @@ def _guarded(condition: Column, value: Column) -> Column:
 def bm25(p) -> Column:
     """The idf isn't clamped: a term in more than half of all documents counts against them."""
     idf = _log2((p.n - p.df + 0.5) / (p.df + 0.5))
-    return idf * (K1 + 1) * p.tf / (p.tf + K1 * (1 - B + B * p.dl / p.avdl)) * ((K3 + 1) * p.qtf / (K3 + p.qtf))
+    return idf * (K1 + 1) * p.tf / (p.tf + K1 * (1 - B + B * p.dl / p.avdl))
 
 
 def tf_idf(p) -> Column:
-    return p.qtf * K1 * p.tf / (p.tf + K1 * (1 - B + B * p.dl / p.avdl)) * _log2(p.n / p.df + 1)
+    return K1 * p.tf / (p.tf + K1 * (1 - B + B * p.dl / p.avdl)) * _log2(p.n / p.df + 1)
 
 
 def dirichlet_lm(p) -> Column:
-    return p.qtf * (_log2(1 + p.tf / (MU * p.cf / p.total)) + _log2(MU / (p.dl + MU)))
+    return (_log2(1 + p.tf / (MU * p.cf / p.total)) + _log2(MU / (p.dl + MU)))
 
 
 def hiemstra_lm(p) -> Column:
-    return p.qtf * _log2(1 + LAMBDA * p.tf * p.total / ((1 - LAMBDA) * p.cf * p.dl))
+    return _log2(1 + LAMBDA * p.tf * p.total / ((1 - LAMBDA) * p.cf * p.dl))
 
 
 def _tfn(p) -> Column:
@@ -57,46 +61,50 @@ def _tfn(p) -> Column:
 
 def pl2(p) -> Column:
     tfn, lam = _tfn(p), p.cf / p.n
-    return p.qtf * (tfn * _log2(tfn / lam) + (lam - tfn) * _LOG_E + 0.5 * _log2(2 * math.pi * tfn)) / (tfn + 1)
+    return (tfn * _log2(tfn / lam) + (lam - tfn) * _LOG_E + 0.5 * _log2(2 * math.pi * tfn)) / (tfn + 1)
 
 
 def dph(p) -> Column:
     f = p.tf / p.dl
     gain = p.tf * _log2(p.tf * (p.avdl / p.dl) * (p.n / p.cf)) + 0.5 * _log2(2 * math.pi * p.tf * (1 - f))
-    return _guarded(f < 1, p.qtf * (1 - f) * (1 - f) / (p.tf + 1) * gain)
+    return _guarded(f < 1, (1 - f) * (1 - f) / (p.tf + 1) * gain)
 
 
 def dlh(p) -> Column:
     f = p.tf / p.dl
     gain = p.tf * _log2(p.tf * (p.avdl / p.dl) * (p.n / p.cf)) + (p.dl - p.tf) * _log2(1 - f) + 0.5 * _log2(2 * math.pi * p.tf * (1 - f))
-    return _guarded(f < 1, p.qtf * gain / (p.tf + 0.5))
+    return _guarded(f < 1, gain / (p.tf + 0.5))
 
 
 def lgd(p) -> Column:
     lam = p.df / p.n
-    return p.qtf * _log2((lam + _tfn(p)) / lam)
+    return _log2((lam + _tfn(p)) / lam)
 
 
 def dfic(p) -> Column:
     e = p.cf * p.dl / p.total
-    return _guarded(p.tf > e, p.qtf * _log2(1 + (p.tf - e) * (p.tf - e) / e))
+    return _guarded(p.tf > e, _log2(1 + (p.tf - e) * (p.tf - e) / e))
 
 
 def dfiz(p) -> Column:
     e = p.cf * p.dl / p.total
-    return _guarded(p.tf > e, p.qtf * _log2(1 + (p.tf - e) / F.sqrt(e)))
+    return _guarded(p.tf > e, _log2(1 + (p.tf - e) / F.sqrt(e)))
 
 
 MODELS = {"bm25": bm25, "tf-idf": tf_idf, "dirichlet-lm": dirichlet_lm, "hiemstra-lm": hiemstra_lm, "pl2": pl2, "dph": dph, "dlh": dlh, "lgd": lgd, "dfic": dfic, "dfiz": dfiz}
 
 
+def query_weight(model: str, qtf: Column) -> Column:
+    """What a term's weight is multiplied by for its frequency in the query."""
+    return (K3 + 1) * qtf / (K3 + qtf) if model == "bm25" else qtf
+
+
 @dataclass(frozen=True)
 class _Posting:
     """The figures that a model may use, as columns of doubles."""
 
     tf: Column
     dl: Column
-    qtf: Column
     df: Column
     cf: Column
     n: Column
@@ -118,32 +126,68 @@ def query_terms(queries: DataFrame, tokens: Column, qid: str = "qid") -> DataFra
     return queries.select(F.col(qid).alias("qid"), F.explode(tokens).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
 
 
-def build_index(documents: DataFrame, tokens: Column, docno: str = "docno", only: DataFrame | None = None) -> Index:
-    """The index of all terms, or with ``only`` (a frame with term) of those terms.
+def build_index(documents: DataFrame, tokens: Column, docno: str = "docno", buckets: int | None = None) -> Index:
+    """The index as a plan, which is run anew by each query; ``write_index`` keeps it.
 
-    Lengths and totals always count all tokens.
+    Documents are dealt out by their ids once, before their words are counted.
     """
-    tokenised = documents.select(F.col(docno).alias("docno"), tokens.alias("tokens"))
-    rows = tokenised.select("docno", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    if only is not None:
-        wanted = only.select("term").distinct()
-        few = wanted.limit(MAX_BROADCAST_TERMS + 1).count() <= MAX_BROADCAST_TERMS
-        rows = rows.join(F.broadcast(wanted) if few else wanted, "term", "left_semi")
-    postings = rows.groupBy("term", "docno", "dl").agg(F.count("*").alias("tf"))
-    terms = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    rows = documents.select(F.col(docno).alias("docno"), tokens.alias("tokens"))
+    dealt = rows.repartition(*([buckets] if buckets else []), "docno")
+    postings = dealt.select("docno", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term")).groupBy("docno", "term", "dl").agg(F.count("*").alias("tf"))
     length = F.size("tokens").cast("long")
-    stats = tokenised.agg(F.count("*").alias("n"), F.coalesce(F.sum(length), F.lit(0)).alias("total"), F.avg(length).alias("avdl"))
-    return Index(postings, terms, stats)
+    stats = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(length), F.lit(0)).alias("total"), F.avg(length).alias("avdl"))
+    return Index(postings, _terms(postings), stats)
+
+
+def _terms(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+def write_index(documents: DataFrame, tokens: Column, folder: str, docno: str = "docno", buckets: int | None = None) -> Index:
+    """Build the index, write it to ``folder`` and give it back as it is read from there.
+
+    The texts are read once. ``buckets``, by default as many as shuffle partitions, should be such that the
+    postings of one fit in an executor's memory.
+    """
+    spark = documents.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    postings = build_index(documents, tokens, docno, buckets).postings
+    kind = postings.schema["docno"].dataType.simpleString()
+    name = _table_name(folder)
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    postings.write.mode("overwrite").format("parquet").bucketBy(buckets, "docno").sortBy("term").option("path", f"{folder}/postings").saveAsTable(name)
+    _terms(spark.table(name)).write.mode("overwrite").parquet(f"{folder}/terms")
+    n = documents.select(docno).count()  # documents without words count too
+    total = spark.read.parquet(f"{folder}/terms").agg(F.coalesce(F.sum("cf"), F.lit(0))).first()[0]
+    about = [(n, total, total / n if n else None, buckets, kind)]
+    spark.createDataFrame(about, "n long, total long, avdl double, buckets int, docno string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/about")
+    return read_index(spark, folder)
+
+
+def _table_name(folder: str) -> str:
+    return f"corpusloom_index_{hashlib.sha256(folder.encode()).hexdigest()[:20]}"
+
+
+def read_index(spark: SparkSession, folder: str) -> Index:
+    """An index that ``write_index`` wrote, in this session or another."""
+    about, name = spark.read.parquet(f"{folder}/about"), _table_name(folder)
+    buckets, kind = about.select("buckets", "docno").first()
+    if not spark.catalog.tableExists(name):
+        spark.sql(f"CREATE TABLE {name} (docno {kind}, term STRING, dl BIGINT, tf BIGINT) USING parquet CLUSTERED BY (docno) SORTED BY (term) INTO {buckets} BUCKETS LOCATION '{folder}/postings'")
+    return Index(spark.table(name), spark.read.parquet(f"{folder}/terms"), about.select("n", "total", "avdl"))
 
 
 def score(index: Index, queries: DataFrame, model: str = "bm25") -> DataFrame:
     """qid, docno, score, of every document that shares a term with the query."""
     if model not in MODELS:
         raise ValueError(f"no weighting model {model!r}; there are {', '.join(MODELS)}")
-    asked = queries.join(index.terms, "term").crossJoin(F.broadcast(index.stats))  # stats: one row
-    joined = index.postings.join(asked, "term")
-    p = _Posting(*[F.col(c).cast("double") for c in ("tf", "dl", "qtf", "df", "cf", "n", "total", "avdl")])
-    return joined.select("qid", "docno", MODELS[model](p).alias("part")).groupBy("qid", "docno").agg(F.sum("part").alias("score"))
+    few = queries.limit(MAX_BROADCAST_TERMS + 1).count() <= MAX_BROADCAST_TERMS
+    small = F.broadcast if few else lambda df: df
+    terms = index.terms.join(small(queries.select("term").distinct()), "term", "left_semi").crossJoin(F.broadcast(index.stats))  # stats: one row
+    p = _Posting(*[F.col(c).cast("double") for c in ("tf", "dl", "df", "cf", "n", "total", "avdl")])
+    weighted = index.postings.join(small(terms), "term").select("docno", "term", MODELS[model](p).alias("weight"))
+    asked = queries.select("qid", "term", query_weight(model, F.col("qtf").cast("double")).alias("times"))
+    return weighted.join(small(asked), "term").groupBy("qid", "docno").agg(F.sum(F.col("weight") * F.col("times")).alias("score"))
 
 
 def rank(scores: DataFrame, depth: int = DEPTH, digits: int | None = 9) -> DataFrame:
@@ -156,10 +200,14 @@ def rank(scores: DataFrame, depth: int = DEPTH, digits: int | None = 9) -> DataF
     return scores.withColumn("score", shown).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= depth).select("qid", "docno", "rank", "score")
 
 
+def search(index: Index, queries: DataFrame, query_tokens: Column, model: str = "bm25", depth: int = DEPTH, qid: str = "qid", digits: int | None = 9) -> DataFrame:
+    """Ranked documents of every query, from an index."""
+    return rank(score(index, query_terms(queries, query_tokens, qid), model), depth, digits)
+
+
 def retrieve(documents: DataFrame, queries: DataFrame, doc_tokens: Column, query_tokens: Column, model: str = "bm25", depth: int = DEPTH, docno: str = "docno", qid: str = "qid", digits: int | None = 9) -> DataFrame:
     """Ranked documents of every query, from the texts, in one plan."""
-    asked = query_terms(queries, query_tokens, qid)
-    return rank(score(build_index(documents, doc_tokens, docno, only=asked), asked, model), depth, digits)
+    return search(build_index(documents, doc_tokens, docno), queries, query_tokens, model, depth, qid, digits)
 
 
 def dataset_language(queries: DataFrame, language: str = "language") -> str:

@@ -19,7 +19,7 @@ def test_violations_of_late_items_and_other_orders_are_found(spark, folder):
     # orders 2 and 1002 share an id, 3 and 4 a part in their third items; 5 has four items for a ratio of 4 / 3, 6 has two for 2
     items = [(2, 1, 20), (1002, 1, 21), (3, 3, 30), (4, 3, 30), (5, 1, 50), (5, 2, 51), (5, 3, 52), (5, 4, 53), (6, 1, 60), (6, 2, 61)]
     sf = folder(lineitem=(items, "l_orderkey long, l_linenumber int, l_partkey long"))
-    found = {tuple(r) for r in registry.QUERIES["corpus_violations_all"](spark, sf).collect()}
+    found = {tuple(r) for r in registry.QUERIES["corpus_violations"](spark, sf).collect()}
     assert found == {("duplicate task_id", "t2"), ("pdf_url in several tasks", "30"), ("coverage_ratio out of bounds", "t6")}
 
 
@@ -28,9 +28,9 @@ def test_documents_of_all_languages_are_retrieved(spark, folder):
     docs = [(1, "häuser stehen am ufer", "de"), (2, "les maisons du port", "fr"), (3, "houses stand here", "en"), (4, "houses without language", None), *filler]
     asked = [(7, "häuser am ufer"), (8, "maisons port"), (9, "houses")]
     sf = folder(documents=(docs, "doc_id long, text string, lang string"), benchmark=(asked, "item_id long, text string"))
-    got = {(r.qid, r.docno) for r in registry.QUERIES["bm25_top10_all"](spark, sf).collect()}
+    got = {(r.qid, r.docno) for r in registry.QUERIES["bm25_top10"](spark, sf).collect()}
     assert got == {(7, 1), (8, 2), (9, 3), (9, 4)}
-    assert {r.qid: r.docnos for r in registry.QUERIES["pool_topk_all"](spark, sf).collect()} == {7: "1", 8: "2", 9: "3,4"}
+    assert {r.qid: r.docnos for r in registry.QUERIES["pool_topk"](spark, sf).collect()} == {7: "1", 8: "2", 9: "3,4"}
     stemmed = {(r.lang, r.qid, r.docno, r["rank"]) for r in registry.QUERIES["stemmed_bm25_top10"](spark, sf).collect()}
     assert stemmed == {("de", 7, 1, 1), ("fr", 8, 2, 1), ("en", 9, 3, 1), ("", 9, 4, 1)}
 
@@ -43,4 +43,4 @@ def test_relevant_documents_that_the_run_misses_lower_ndcg(spark, folder):
     assert judged == {(1, 50, 1)}
     run = spark.createDataFrame([(1, i, i, 1.0) for i in range(1, 11)], "qid long, docno long, rank int, score double")
     assert [tuple(r) for r in registry.judging.ndcg(run, registry._holders(spark, sf)).collect()] == [(1, 0.0)]
-    assert [r.qid for r in registry.QUERIES["ndcg_at_10_all"](spark, sf).collect()] == [1]
+    assert [r.qid for r in registry.QUERIES["ndcg_at_10"](spark, sf).collect()] == [1]
