@@ -49,7 +49,7 @@ def first_count(text: Column, patterns: tuple[str, ...]) -> Column:
 def team_count(text: Column, n_papers: Column) -> Column:
     """Claimed teams; null where more papers per team than plausible show a misreading."""
     teams = first_count(opening(text), TEAM_PATTERNS)
-    return F.when(n_papers / teams <= MOST_PAPERS_PER_TEAM, teams)
+    return F.when(n_papers / teams > MOST_PAPERS_PER_TEAM, F.lit(None)).otherwise(teams)
 
 
 def run_count(text: Column) -> Column:

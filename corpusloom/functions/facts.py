@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import casefold, strip
+from corpusloom.functions.text import casefold, let, strip
 
 OPERATORS = ("<", "<=", "==", ">=", ">")
 MONEY = "decimal(18,4)"
@@ -28,11 +28,17 @@ def compare_dates(left: Column, operator: Column, right: Column) -> Column:
     return F.struct(passed.alias("passed"), F.concat_ws(" ", a.cast("string"), operator, b.cast("string")).alias("expression"))
 
 
-def sum_amounts(amounts: Column, expected: Column, tolerance: str = "0.01") -> Column:
+def compare_all(comparisons: Column) -> Column:
+    """Of an array of structs of name, operator, left and right, an array of name, passed and expression; null if it is empty."""
+    done = F.transform(comparisons, lambda c: let(compare_dates(c["left"], c["operator"], c["right"]), lambda r: F.struct(c["name"].alias("name"), r["passed"].alias("passed"), r["expression"].alias("expression"))))
+    return F.when(F.size(comparisons) > 0, done)
+
+
+def sum_amounts(amounts: Column, expected: Column, tolerance: Column | str = "0.01") -> Column:
     """Struct of total, difference and passed, in exact decimals; null for no amounts."""
     total = F.aggregate(F.transform(amounts, lambda x: x.cast(MONEY)), F.lit(0).cast(MONEY), lambda a, b: (a + b).cast(MONEY))
     difference = (total - expected.cast(MONEY)).cast(MONEY)
-    return F.when(F.size(amounts) > 0, F.struct(total.alias("total"), difference.alias("difference"), (F.abs(difference) <= F.lit(tolerance).cast(MONEY)).alias("passed")))
+    return F.when(F.size(amounts) > 0, F.struct(total.alias("total"), difference.alias("difference"), (F.abs(difference) <= (F.lit(tolerance) if isinstance(tolerance, str) else tolerance).cast(MONEY)).alias("passed")))
 
 
 def _folded(values: Column) -> Column:

@@ -72,3 +72,8 @@ def quality_flags(chars: Column, pages: Column, least_per_page: int = 200, least
             F.when(pages.isNull(), F.lit("page count could not be determined")),
         )
     )
+
+
+def needs_ocr(flags: Column, ocr_used: Column) -> Column:
+    """Whether a text should be parsed again with an OCR server: something speaks against it, and it had none."""
+    return (F.size(flags) > 0) & ~ocr_used

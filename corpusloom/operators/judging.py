@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import json
+import logging
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusloom.session import ship
+
+log = logging.getLogger(__name__)
 LABELS = (0, 1, 2, 3)
 
 
@@ -49,6 +56,32 @@ def unknown_ids(pools: DataFrame, queries: DataFrame, documents: DataFrame) -> D
     return docs.select(F.lit("document").alias("kind"), F.col("docno").cast("string").alias("id")).unionByName(qids.select(F.lit("query").alias("kind"), F.col("qid").cast("string").alias("id")))
 
 
+def judge(asked: DataFrame, model: Callable[[dict], list[dict]]) -> DataFrame:
+    """qid, labels: what a model says of each request (qid, request), in the order of the candidates.
+
+    ``model`` takes a request as a dict and gives for each candidate a dict with label and record, a JSON
+    text of its own. It is called in the workers, once for each request; a call that fails gives null labels.
+    Of labels that aren't integers, such as booleans, nulls are made, which ``invalid_responses`` reports.
+    """
+    ship(asked.sparkSession)
+    whole = lambda x: x if type(x) is int else None  # noqa: E731  a boolean is no label
+
+    def work(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            said: list[str | None] = []
+            for request in batch["request"]:
+                try:
+                    said.append(json.dumps([{"label": whole(x.get("label")), "record": x.get("record")} for x in model(json.loads(request))]))
+                except Exception:
+                    log.exception("a request failed")
+                    said.append(None)
+            yield pd.DataFrame({"qid": batch["qid"], "labels": said})
+
+    kind = asked.schema["qid"].dataType.simpleString()
+    rows = asked.select("qid", F.to_json("request").alias("request")).mapInPandas(work, f"qid {kind}, labels string")
+    return rows.select("qid", F.from_json("labels", "array<struct<label:int,record:string>>").alias("labels"))
+
+
 def align_responses(asked: DataFrame, answers: DataFrame) -> DataFrame:
     """qid, judgments: labels in the order of the candidates, with the judge's own record of each.
 

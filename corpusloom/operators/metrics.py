@@ -31,6 +31,15 @@ def align(predictions: DataFrame, truths: DataFrame, key: str = "id", text: str
     return predictions.select(F.col(key).alias("id"), F.col(text).alias("hypothesis")).join(truths.select(F.col(key).alias("id"), F.col(text).alias("reference")), "id")
 
 
+def checked_pairs(predictions: DataFrame, truths: DataFrame, key: str = "id", text: str = "summary", shown: int = 10) -> DataFrame:
+    """id, hypothesis, reference; ids that only one side has are an error that names some of each kind."""
+    bad = mismatched_ids(predictions, truths, key)
+    told = {kind: [r["id"] for r in bad.filter(F.col("problem") == kind).orderBy("id").limit(shown).collect()] for kind in ("missing", "unexpected")}
+    if any(told.values()):
+        raise ValueError("ids differ; " + "; ".join(f"{k}: {', '.join(map(str, v))}" for k, v in told.items() if v))
+    return align(predictions, truths, key, text)
+
+
 def bleu_words(text: Column) -> Column:
     """Words as the 13a tokeniser of machine translation parts them; case counts."""
     out = F.replace(F.replace(text, F.lit("<skipped>"), F.lit("")), F.lit("-\n"), F.lit(""))
@@ -155,4 +164,4 @@ def evaluate(pairs: DataFrame) -> DataFrame:
     return out
 
 
-__all__ = ["align", "bleu", "chrf", "evaluate", "mismatched_ids", "clipped_matches", "overlap", "rouge_l", "rouge_n"]
+__all__ = ["align", "bleu", "checked_pairs", "chrf", "evaluate", "mismatched_ids", "clipped_matches", "overlap", "rouge_l", "rouge_n"]

@@ -11,15 +11,20 @@ denominator, so that ties are ties.
 
 from __future__ import annotations
 
+import logging
 from math import lcm
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from corpusloom.functions import titles
 from corpusloom.functions.links import link_class
+from corpusloom.session import ship
 
+log = logging.getLogger(__name__)
 SECTION = ["parent_venue", "year", "volume", "section_no"]
 #: Up to this many overviews in a section weights are exact: a multiple of all counts.
 EXACT_UP_TO = 20
@@ -113,16 +118,31 @@ def build_tasks(papers: DataFrame, extracted_at: Column | str) -> DataFrame:
     )
 
 
-def by_confidence(tasks: DataFrame, level: str = "high") -> DataFrame:
-    """Tasks of one confidence, or all."""
-    return tasks if level == "all" else tasks.filter(F.col("provenance.confidence") == level)
+def by_confidence(tasks: DataFrame, level: str = "high", task_id: str | None = None) -> DataFrame:
+    """Tasks of one confidence, or all; with ``task_id`` that one only, whose absence is an error."""
+    if level not in (*CONFIDENCE_ORDER, "all"):
+        raise ValueError(f"no confidence {level!r}; there are {', '.join([*CONFIDENCE_ORDER, 'all'])}")
+    found = tasks if level == "all" else tasks.filter(F.col("provenance.confidence") == level)
+    if task_id is None:
+        return found
+    one = found.filter(F.col("task_id") == task_id)
+    if one.isEmpty():
+        raise ValueError(f"no task {task_id!r} of confidence {level!r}")
+    return one
+
+
+@F.pandas_udf(T.DoubleType())
+def _rounded(values: pd.Series) -> pd.Series:
+    """To three digits of the exact binary value, unlike SQL, which rounds the shortest decimal."""
+    return values.map(lambda v: round(v, 3), na_action="ignore")
 
 
 def join_counts(tasks: DataFrame, counts: DataFrame) -> DataFrame:
     """With ``counts``: papers, claimed teams and runs (task_id, teams, runs), and their ratio, unrounded in ``ratio``."""
+    ship(tasks.sparkSession)
     n = F.size("participants")
     ratio = F.when(F.col("teams") != 0, n / F.col("teams"))
-    nested = F.struct(n.alias("notebook_papers"), F.col("teams").alias("teams_claimed_in_overview"), F.col("runs").alias("runs_claimed_in_overview"), F.round(ratio, 3).alias("coverage_ratio"), ratio.alias("ratio"))
+    nested = F.struct(n.alias("notebook_papers"), F.col("teams").alias("teams_claimed_in_overview"), F.col("runs").alias("runs_claimed_in_overview"), _rounded(ratio).alias("coverage_ratio"), ratio.alias("ratio"))
     return tasks.join(counts.select("task_id", "teams", "runs"), "task_id", "left").withColumn("counts", nested).drop("teams", "runs")
 
 
@@ -176,6 +196,14 @@ def select_corpus(tasks: DataFrame, target: int = TARGET, tie: str = "task_id")
     return tasks.orderBy(*order).limit(target)
 
 
+def candidate_problems(tasks: DataFrame, most: int = 20) -> DataFrame:
+    """rule, subject: what is wrong with candidates before they have counts. It is logged, ``most`` of it, and stops nothing."""
+    found = violations(tasks.withColumn("counts", F.struct(F.lit(None).cast("double").alias("coverage_ratio"))))
+    for row in found.orderBy("rule", "subject").limit(most).collect():
+        log.error("%s: %s", row["rule"], row["subject"])
+    return found
+
+
 def violations(tasks: DataFrame) -> DataFrame:
     """rule, subject: what must not be in a corpus. It is written only if there is nothing here."""
     rule = lambda name, df, column: df.select(F.lit(name).alias("rule"), F.col(column).alias("subject"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from corpusloom.functions.titles import TITLE_STOPWORDS
 from corpusloom.sources.web import PROFILES
 
 _TOKENS = r"regexp_extract_all(lower({}), '\p{{L}}+')"
@@ -73,8 +74,7 @@ SELECT DISTINCT 'duplicate task_id' AS rule, task_id AS subject FROM t GROUP BY
 UNION ALL SELECT 'pdf_url in several tasks', url FROM u GROUP BY url HAVING count(DISTINCT task_id) > 1
 UNION ALL SELECT DISTINCT 'coverage_ratio out of bounds', task_id FROM t WHERE ratio NOT BETWEEN 0 AND 1.5"""
 REPORT = "SELECT o_orderpriority AS parent_venue, year(o_orderdate)::BIGINT AS year, count(*) AS tasks FROM orders GROUP BY 1, 2"
-_STOP = "a an the of in on at for to and or with overview task tasks lab labs extended abstract clef detection classification identification prediction recognition analysis approach using based model models system systems method methods challenge evaluation text"
-ARGMAX = rf"""WITH p AS (SELECT p_brand AS brand, p_partkey AS part, p_size, unnest(list_distinct(list_filter(regexp_extract_all(lower(regexp_replace(p_name || ' ' || p_type, '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[a-z0-9]+'), lambda w: length(w) > 1 AND w NOT IN ({", ".join(f"'{w}'" for w in _STOP.split())})))) AS token FROM part),
+ARGMAX = rf"""WITH p AS (SELECT p_brand AS brand, p_partkey AS part, p_size, unnest(list_distinct(list_filter(regexp_extract_all(lower(regexp_replace(p_name || ' ' || p_type, '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[a-z0-9]+'), lambda w: length(w) > 1 AND w NOT IN ({", ".join(f"'{w}'" for w in TITLE_STOPWORDS)})))) AS token FROM part),
 o AS (SELECT brand, part AS overview, token, count(*) OVER (PARTITION BY brand, token) AS n FROM p WHERE p_size = 1),
 s AS (SELECT p.brand, p.part, overview, sum(CASE WHEN n <= 20 THEN (232792560 // n)::DECIMAL(38, 9) ELSE (232792560 / n)::DECIMAL(38, 9) END) AS score FROM p JOIN o USING (brand, token) WHERE p_size > 1 GROUP BY 1, 2, 3),
 b AS (SELECT *, max(score) OVER (PARTITION BY brand, part) AS top FROM s)
@@ -91,7 +91,7 @@ n AS (SELECT *, lag(l) OVER w AS before, lead(l) OVER w AS after FROM x WINDOW w
 s AS (SELECT lang, doc_id, line, {_SCORE} AS score, concat_ws(' ', nullif(trim(before), ''), nullif(trim(l), ''), nullif(trim(after), '')) AS snippet FROM n)
 SELECT lang, score::BIGINT AS score, doc_id, line::BIGINT AS line, snippet FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, doc_id, line) AS k FROM s WHERE score > 0) WHERE k <= 20"""
 DATES = "SELECT o_orderkey, o_orderdate::DATE <= DATE '1995-06-17' AS passed, strftime(o_orderdate, '%Y-%m-%d') || ' <= 1995-06-17' AS expression FROM orders"
-SUMS = "SELECT l_orderkey, sum(l_extendedprice::DECIMAL(18, 2))::DOUBLE AS total, true AS passed FROM lineitem GROUP BY 1"
+SUMS = "SELECT l_orderkey, sum(l_extendedprice::DECIMAL(18, 2))::DOUBLE AS total, -((l_orderkey % 4 - 1) * 0.01)::DOUBLE AS difference, l_orderkey % 4 <> 3 AS passed FROM lineitem GROUP BY 1"
 _PAIRS = "h AS (SELECT conv_id AS id, min(text) AS text FROM conversations WHERE turn = 1 GROUP BY 1), r AS (SELECT conv_id AS id, min(text) AS text FROM conversations WHERE turn = 0 GROUP BY 1), k AS (SELECT id FROM h JOIN r USING (id))"
 
 

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from corpusloom.operators.tasks import by_confidence
 
 QUERY = "qid string, query string, original_query struct<language:string,description:string,narrative:string>"
 DOCUMENT = "doc_id string, url string, language string, title string, content string, text string"
@@ -35,6 +38,42 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def json_object(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """One row for each file, which must hold one JSON object; the first that doesn't is named in the error."""
+    whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+    kind = F.schema_of_variant(F.try_parse_json("value"))
+    bad = whole.filter(~F.coalesce(kind.startswith("OBJECT"), F.lit(False))).orderBy("file").limit(1).collect()
+    if bad:
+        raise ValueError(f"no JSON object in {bad[0]['file']}")
+    return whole.select("file", F.from_json("value", schema).alias("o")).select("file", "o.*")
+
+
+def candidates(spark: SparkSession, path: str, level: str = "high", task_id: str | None = None) -> DataFrame:
+    """Candidate tasks of one confidence or all, or one of them."""
+    return by_confidence(require_rows(json_lines(spark, path, TASK), f"candidates in {path}"), level, task_id)
+
+
+_TASK_OF_FILE = r"([^/]+)\.json$"
+
+
+def counts(spark: SparkSession, folder: str) -> DataFrame:
+    """task_id, teams, runs, of a folder with a file for each task, which the file is named after."""
+    rows = json_object(spark, folder, "teams int, runs int")
+    return rows.select(F.regexp_extract("file", _TASK_OF_FILE, 1).alias("task_id"), "teams", "runs")
+
+
+def code_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Links of participants, of a folder with a file for each task that holds an array of them."""
+    entry = LINKS.removeprefix("task_id string, ")
+    rows = spark.read.text(folder, wholetext=True).select(F.regexp_extract("_metadata.file_path", _TASK_OF_FILE, 1).alias("task_id"), F.from_json("value", f"array<struct<{_nested(entry)}>>", {"mode": "FAILFAST"}).alias("x"))
+    return rows.select("task_id", F.explode("x").alias("e")).select("task_id", "e.*")
+
+
+def _nested(fields: str) -> str:
+    """Fields of a table as those of a struct."""
+    return T._parse_datatype_string(fields).simpleString().removeprefix("struct<").removesuffix(">")
+
+
 def queries(spark: SparkSession, path: str) -> DataFrame:
     """Queries; numeric ids become strings."""
     return require_rows(json_lines(spark, path, QUERY), f"queries in {path}")

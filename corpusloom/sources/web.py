@@ -6,10 +6,12 @@ import gzip
 import io
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -86,9 +88,24 @@ def responses(data: bytes) -> Iterator[tuple]:
                 yield (*row, None, f"{type(e).__name__}: {e}")
 
 
+def archives(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files that a path or glob names, sorted."""
+    try:
+        return sorted(r[0] for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path").collect())
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return []
+        raise
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Response records of all archives at a path, one task for a file."""
+    """Response records of all archives that a path or glob names, one task for a file; none are an error.
+
+    An archive is one value here, so it must have less than 2 GB.
+    """
     ship(spark)
+    if not archives(spark, path):
+        raise ValueError(f"no archives at {path}")
     names = ["record_id", "url", "content_type", "charset", "body", "error"]
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,6 +135,7 @@ class _Text(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.open: list[str] = []  # as they count: hidden elements as aside
         self.stack: list[str] = []  # as they are named
+        self.counts: Counter[str] = Counter()  # of open elements by name
         self.title: list[str] = []
         self.parts: list[str] = []
 
@@ -129,12 +147,15 @@ class _Text(HTMLParser):
             hidden = re.search(r"\b(ad|ads|advert\w*|comments?|cookie\w*|sidebar|breadcrumbs?|newsletter|navigation)\b", named)
             self.open.append("aside" if hidden and tag not in ("body", "html", "article", "main") else tag)
             self.stack.append(tag)
+            self.counts[tag] += 1
 
     def handle_endtag(self, tag):
-        if tag in self.stack:
-            while self.stack.pop() != tag:
+        if self.counts[tag]:
+            last = None
+            while last != tag:
+                last = self.stack.pop()
                 self.open.pop()
-            self.open.pop()
+                self.counts[last] -= 1
         if tag in self.BLOCKS:
             self.parts.append("\n")
 
