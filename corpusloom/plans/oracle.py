@@ -91,7 +91,7 @@ n AS (SELECT *, lag(l) OVER w AS before, lead(l) OVER w AS after FROM x WINDOW w
 s AS (SELECT lang, doc_id, line, {_SCORE} AS score, concat_ws(' ', nullif(trim(before), ''), nullif(trim(l), ''), nullif(trim(after), '')) AS snippet FROM n)
 SELECT lang, score::BIGINT AS score, doc_id, line::BIGINT AS line, snippet FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, doc_id, line) AS k FROM s WHERE score > 0) WHERE k <= 20"""
 DATES = "SELECT o_orderkey, o_orderdate::DATE <= DATE '1995-06-17' AS passed, strftime(o_orderdate, '%Y-%m-%d') || ' <= 1995-06-17' AS expression FROM orders"
-SUMS = "SELECT l_orderkey, sum(l_extendedprice::DECIMAL(18, 2))::DOUBLE AS total, -((l_orderkey % 4 - 1) * 0.01)::DOUBLE AS difference, l_orderkey % 4 <> 3 AS passed FROM lineitem GROUP BY 1"
+SUMS = "SELECT l_orderkey, sum(l_extendedprice::DECIMAL(18, 2))::DOUBLE AS total, ((1 - l_orderkey % 4) * 0.01)::DOUBLE AS difference, l_orderkey % 4 <> 3 AS passed FROM lineitem GROUP BY 1"
 _PAIRS = "h AS (SELECT conv_id AS id, min(text) AS text FROM conversations WHERE turn = 1 GROUP BY 1), r AS (SELECT conv_id AS id, min(text) AS text FROM conversations WHERE turn = 0 GROUP BY 1), k AS (SELECT id FROM h JOIN r USING (id))"
 
 
