@@ -2,58 +2,43 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions.text import let
+from corpusloom.session import cut, new_path, scratch, ship
+
+__all__ = ["SPACE_CLASS", "WORD", "cut", "fresh", "let", "lower_ascii", "new_path", "row_keys", "scratch", "sha256_hex", "ship", "spread_join", "table"]
+
 #: ASCII white space, as the word rules of several operators name it.
 SPACE_CLASS = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE_CLASS}]+"
 
-_folders: dict[str, str] = {}
+#: Rows of one key that ``spread_join`` leaves together, and how many keys with more it broadcasts at most.
+HOT_ROWS, HOT_KEYS = 256, 50_000
 
 
-def work_folder(spark: SparkSession) -> str:
-    """A folder of this session that driver and executors share.
+def spread_join(big: DataFrame, small: DataFrame, on: list[str], rows: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """``big.join(small, on, how)`` where a few keys may hold very many rows of ``big``.
 
-    It lies in ``spark.checkpoint.dir``. Only where that is unset, as in local
-    tests, a temporary folder is used.
+    ``counts`` (``small``, where that has one row for each key) gives the number of ``big``'s rows of each key
+    in its column ``rows``; it is read more than once, so it should come from files. The rows of
+    keys with very many of them are dealt over several salts, for which ``small``'s
+    rows are repeated. No more than HOT_KEYS keys can count as such, so that they fit in a
+    broadcast.
     """
-    app = spark.sparkContext.applicationId
-    if app not in _folders:
-        top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corpusloom-")
-        _folders[app] = f"{top.rstrip('/')}/corpusloom-{uuid.uuid4().hex}"
-        atexit.register(_drop, spark, _folders[app])
-    return _folders[app]
-
-
-def _drop(spark: SparkSession, folder: str) -> None:
-    try:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    except Exception:  # the JVM may be gone by now; what is left is a work folder
-        pass
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{work_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
-
-
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later steps start from the files."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` evaluated once for each row, however often the body uses it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    own, counts = counts is None, small if counts is None else counts
+    total, top = counts.agg(F.coalesce(F.sum(rows), F.lit(0)), F.coalesce(F.max(rows), F.lit(0))).first()
+    most = max(HOT_ROWS, total // HOT_KEYS)
+    if top <= most:
+        return big.join(small, on, how)
+    salts = F.greatest(F.ceil(F.col(rows) / most), F.lit(1)).cast("int")
+    hot = F.broadcast(counts.filter(F.col(rows) > most).select(*on, salts.alias("_salts")))
+    salt = F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*big.columns), F.col("_salts"))).cast("int")
+    dealt = big.join(hot, on, "left").withColumn("_salt", salt).drop("_salts")
+    of = small.withColumn("_salts", salts) if own else small.join(hot, on, "left")
+    repeated = of.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return dealt.join(repeated, [*on, "_salt"], how).drop("_salt")
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -90,20 +75,3 @@ def sha256_hex(text: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Give the executors this package, wherever the driver has it from."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    top = Path(__file__).resolve().parent.parent
-    archive = Path(tempfile.mkdtemp(prefix="corpusloom-code-")) / f"{top.name}.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        for path in sorted(top.rglob("*.py")):
-            z.write(path, path.relative_to(top.parent))
-    spark.sparkContext.addPyFile(str(archive))
-    _shipped.add(app)

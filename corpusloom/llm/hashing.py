@@ -26,38 +26,75 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class _Powers:
-    """Powers of an odd number modulo 2 ** 64, as many as were asked for."""
+#: Bytes that are hashed at a time, however long the texts are.
+BLOCK = 1 << 20
 
-    def __init__(self, base: int):
-        self.base, self.table = base, np.ones(1, dtype=U)
 
-    def __call__(self, n: int) -> np.ndarray:
-        while len(self.table) < n:
-            step = U(pow(self.base, len(self.table), 2**64))
-            with np.errstate(over="ignore"):
-                self.table = np.concatenate([self.table, self.table * step])
-        return self.table[:n]
+def _powers_of(base: int, n: int) -> np.ndarray:
+    """The first n powers of an odd number modulo 2 ** 64."""
+    out = np.ones(n, dtype=U)
+    with np.errstate(over="ignore"):
+        done = 1
+        while done < n:
+            step = U(pow(base, done, 2**64))
+            out[done : 2 * done] = out[: min(done, n - done)] * step
+            done *= 2
+    return out
 
 
-_powers, _inverses = _Powers(_BASE), _Powers(_INVERSE)
+_tables: dict[int, np.ndarray] = {}
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _kept(base: int, n: int) -> np.ndarray:
+    """Powers from a table that a worker keeps, 8 MB at most; more of them are made anew."""
+    if n > BLOCK + 1:
+        return _powers_of(base, n)
+    if base not in _tables or len(_tables[base]) < n:
+        _tables[base] = _powers_of(base, min(BLOCK + 1, max(2 * n, 1 << 16)))
+    return _tables[base][:n]
+
+
+def powers(n: int) -> np.ndarray:
+    return _kept(_BASE, n)
+
+
+def inverses(n: int) -> np.ndarray:
+    return _kept(_INVERSE, n)
+
+
+def word_hashes(texts: list[bytes], block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
     """Of all words of all texts, in order: their hashes, and where each text's words start (one more than texts).
 
-    A-Z count as a-z; words are split at ASCII white space.
+    A-Z count as a-z; words are split at ASCII white space. Texts are read in
+    blocks; what a block has of a word that goes on in the next one is carried over.
     """
-    data = LOWER[np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)]
-    sizes = np.array([len(t) + 1 for t in texts])
-    solid = ~SPACE[data]
-    edge = np.flatnonzero(np.diff(solid, prepend=False, append=False))
-    start, end = edge[0::2], edge[1::2]
-    first = np.searchsorted(start, np.concatenate([[0], np.cumsum(sizes)]))
-    sums = np.zeros(len(data) + 1, dtype=U)
-    np.cumsum((data.astype(U) + U(1)) * _powers(len(data)), out=sums[1:])
-    hashes = mix((sums[end] - sums[start]) * _inverses(len(data) + 1)[start] + (end - start).astype(U) * U(0xFF51AFD7ED558CCD))
-    return hashes, first
+    data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
+    hashes, starts = [], []
+    part, length, began = U(0), 0, 0  # of the word that is open at the end of the last block
+    for at in range(0, len(data), block):
+        piece = LOWER[data[at : at + block]]
+        solid = ~SPACE[piece]
+        edge = np.flatnonzero(np.diff(solid, prepend=False, append=False))
+        start, end = edge[0::2], edge[1::2]
+        sums = np.zeros(len(piece) + 1, dtype=U)
+        np.cumsum((piece.astype(U) + U(1)) * powers(len(piece)), out=sums[1:])
+        value, size, where = (sums[end] - sums[start]) * inverses(len(piece) + 1)[start], (end - start).astype(U), start + at
+        if length:
+            if solid[0]:
+                with np.errstate(over="ignore"):
+                    value[0] = part + value[0] * U(pow(_BASE, length, 2**64))
+                size[0] += U(length)
+                where[0] = began
+            else:
+                value, size, where = np.concatenate([[part], value]), np.concatenate([[U(length)], size]), np.concatenate([[began], where])
+        length = 0
+        if solid[-1]:
+            part, length, began = value[-1], int(size[-1]), int(where[-1])
+            value, size, where = value[:-1], size[:-1], where[:-1]
+        hashes.append(mix(value + size * U(0xFF51AFD7ED558CCD)))
+        starts.append(where)
+    begins = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), begins)
 
 
 def shingle_sets(texts: list[bytes], width: int = 5) -> Iterator[np.ndarray]:

@@ -10,9 +10,21 @@ Documents with equal shingle sets are one node from then on, whatever their
 number. Nodes that share a band of their signatures are candidates. A bucket isn't
 turned into pairs of all its members: each member is compared with one centre,
 on full sets, and whatever the links join is one component. Buckets whose
-members then lie in one component are done. In the others, what is still
-apart is compared pair by pair, except where the exact
-overlap with the first centre and what is shared besides rule a link out. Nothing is capped.
+members then lie in one component are done. What the others hold is divided
+further, by conditions that every link meets, until what is left is done too:
+
+- By size. Linked sets differ in size by a quarter at most, and share no more
+  than each of them has of shingles that others have too. Each member joins the
+  cells (bucket, its size class, a partner's size class) in which it can have a link.
+- By rare shingles. Two linked sets share one of their rarest shingles, of
+  as many as the overlap leaves to spare: if they share none of these, too few
+  are left. Members meet by (shingle, two size classes).
+
+Groups of one component need no more comparisons. In the others, members outside of the
+largest component are compared with those that the places of the shared shingle allow;
+where they are many, EACH of them at a time, and what is then still apart goes
+through the same again. No step emits more rows than a multiple of its input, and nothing
+is capped.
 
 A link of similarity 0.75 shares no band with probability (1 - 0.75 ** ROWS) ** BANDS,
 5 in a million; of 0.8, 5 in a hundred million.
@@ -25,14 +37,16 @@ empty table gives an empty result; extra columns pass through ``dedup``.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import cut, fresh, ship
+from corpusloom.llm.common import cut, fresh, scratch, ship, spread_join
 from corpusloom.llm.hashing import U, byte_runs, mix, shingle_sets
 
 ROWS, BANDS = 4, 32
@@ -42,6 +56,8 @@ SHINGLE = 5
 PERCENT = 75
 #: Ids that are broadcast to pick documents; more of them are joined by a shuffle.
 MAX_BROADCAST = 500_000
+#: Members that all others of their group are compared with at a time.
+EACH = 64
 
 
 def signatures(sets: list[np.ndarray], places: int = PLACES) -> np.ndarray:
@@ -148,10 +164,16 @@ def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), batch.column(1), pa.array([n for n, _ in both], pa.int64()), pa.array([m for _, m in both], pa.int64())], names=["a", "b", "both", "all"])
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs a, b with the exact sizes of intersection and union of their sets: a, b, both, all."""
-    right = pairs.join(sets.select(F.col("doc").alias("b"), F.col("items").alias("y")), "b")
-    rows = right.join(sets.select(F.col("doc").alias("a"), F.col("items").alias("x")), "a").select("a", "b", "x", "y")
+def verify(pairs: DataFrame, sets: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """Pairs a, b with the exact sizes of intersection and union of their sets: a, b, both, all.
+
+    A centre with very many partners has them dealt over several tasks.
+    """
+    pairs = cut(pairs, "pairs")
+    small = F.broadcast if pairs.count() <= max_broadcast else lambda df: df
+    centres = cut(sets.select(F.col("doc").alias("a"), F.col("items").alias("x")).join(small(pairs.groupBy("a").agg(F.count("*").alias("rows"))), "a"), "centres")
+    right = sets.select(F.col("doc").alias("b"), F.col("items").alias("y")).join(small(pairs), "b")
+    rows = spread_join(right, centres, ["a"], "rows").select("a", "b", "x", "y")
     return cut(rows.mapInArrow(_compare, "a long, b long, both long, all long"), "compared")
 
 
@@ -163,18 +185,20 @@ def components(edges: DataFrame) -> DataFrame:
     """node, label: the smallest node that can be reached, of every node with an edge.
 
     Each round, a node takes the smallest label among its neighbours', then its
-    label's label. Labels meet in few rounds, as links mostly are stars.
+    label's label. Labels meet in few rounds, as links mostly are stars. A node
+    with very many neighbours, or followers, has them dealt over several tasks.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")), "labels")
+    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label"), F.count("*").alias("rows")), "labels")
     while True:
-        heard = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))
-        step = labels.join(heard, "node").select("node", F.least("label", "heard").alias("next"), F.col("label").alias("old"))
-        up = step.select(F.col("node").alias("next"), F.col("next").alias("above"))
-        after = cut(step.join(up, "next", "left").select("node", F.least("next", F.coalesce("above", "next")).alias("label"), "old"), "labels")
-        labels = after.select("node", "label")
-        if after.filter("label != old").isEmpty():
-            return labels
+        heard = spread_join(both, labels.withColumnRenamed("node", "b"), ["b"], "rows").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))
+        step = cut(labels.join(heard, "node").select("node", F.least("label", "heard").alias("next"), F.col("label").alias("old"), "rows"), "steps")
+        moved = step.filter(F.col("node") != F.col("next")).select(F.col("node").alias("next"), F.col("next").alias("above"))
+        up = cut(step.groupBy("next").agg(F.count("*").alias("followers")).join(moved, "next"), "above")
+        labels = cut(spread_join(step, up, ["next"], "followers", "left").select("node", F.coalesce("above", "next").alias("label"), "rows", "old"), "labels")
+        if labels.filter("label != old").isEmpty():
+            return labels.select("node", "label")
+        labels = labels.drop("old")
 
 
 def _pick(docs: DataFrame, ids: DataFrame, max_broadcast: int) -> DataFrame:
@@ -183,81 +207,175 @@ def _pick(docs: DataFrame, ids: DataFrame, max_broadcast: int) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, "doc", "left_semi")
 
 
-def _unresolved(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of the buckets that hold more than one component: key, doc, n, label."""
-    named = buckets.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", F.coalesce("label", "doc").alias("label"))
-    split = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-    return named.join(split, "key", "left_semi")
+def _of_mixed(rows: DataFrame, on: list[str], sides: bool = False) -> DataFrame:
+    """The rows (with doc, label) of groups that hold more than one component and, with ``sides``, members for either side."""
+    which = [F.max("low").alias("_low"), F.max("high").alias("_high")] if sides else []
+    groups = rows.groupBy(*on).agg(F.min("label").alias("_first"), F.max("label").alias("_last"), F.count("*").alias("_rows"), *which).filter("_first < _last")
+    if sides:
+        groups = groups.filter("_low and _high")
+    return spread_join(rows, cut(groups.select(*on, "_rows"), "mixed"), on, "_rows").drop("_rows")
 
 
-def _stars(members: DataFrame) -> DataFrame:
-    """Pairs of each bucket's centre, its smallest id, with its other members: a, b."""
-    centres = members.groupBy("key").agg(F.min("doc").alias("a"))
-    return members.join(centres, "key").filter(F.col("doc") != F.col("a")).select("a", F.col("doc").alias("b")).distinct()
+def _stars(buckets: DataFrame) -> DataFrame:
+    """Pairs of each bucket's centre, its smallest id, with those of its other members that aren't too large or too small for a link: a, b."""
+    n, m = F.col("n"), F.col("centre.n")
+    fits = F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT
+    return buckets.filter((F.col("doc") != F.col("centre.doc")) & fits).select(F.col("centre.doc").alias("a"), F.col("doc").alias("b")).distinct()
 
 
 def _explode_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for doc, items in zip(batch.column(0), batch.column(1), strict=True):
             values = np.frombuffer(items.as_buffer(), dtype=np.int64)
-            yield pa.record_batch([pa.array(np.full(len(values), doc.as_py())), pa.array(values)], names=["doc", "item"])
+            for at in range(0, len(values), 1 << 20):
+                part = values[at : at + (1 << 20)]
+                yield pa.record_batch([pa.array(np.full(len(part), doc.as_py())), pa.array(part)], names=["doc", "item"])
 
 
 def _shared_items(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """doc, n_shared: how many shingles of each member some other member has too."""
+    """doc, item, found: the shingles of members that some other member has too, and how many have each."""
     rows = sets.join(members.select("doc").distinct(), "doc", "left_semi").mapInArrow(_explode_sets, "doc long, item long")
-    known = rows.groupBy("item").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("item")
-    return rows.join(known, "item", "left_semi").groupBy("doc").agg(F.count("*").alias("n_shared"))
+    known = cut(rows.groupBy("item").agg(F.count("*").alias("found")).filter("found > 1"), "known")
+    return cut(spread_join(rows, known, ["item"], "found"), "shared")
+
+
+#: How wide size classes are, for cells of buckets and for those of shingles; small sizes are classes of their own.
+WIDE, NARROW = 20, 100
+
+
+def _size_class(n: Column, width: int) -> Column:
+    """Classes are 1 / width of the size wide."""
+    larger = width + F.floor(F.log(n / width) / math.log(1 + 1 / width) + 1e-9)
+    return F.when(n < width, n).otherwise(larger).cast("int")
+
+
+def _class_start(size_class: Column, width: int) -> Column:
+    """No set of the class is smaller."""
+    larger = F.floor(F.exp((size_class - width) * math.log(1 + 1 / width)) * width)
+    return F.when(size_class < width, size_class).otherwise(larger).cast("long")
+
+
+def _smallest_partner(n: Column) -> Column:
+    return F.greatest(F.ceil(n * PERCENT / 100 - 1e-9), F.lit(1))
+
+
+def _cells(members: DataFrame, shared: Column) -> DataFrame:
+    """A row for each member and size class in which it may have a partner, if ``shared`` of its shingles are found elsewhere."""
+    n, most = F.col("n"), F.least(F.col("n") * 100 / PERCENT, shared * (100 + PERCENT) / PERCENT - F.col("n"))
+    able = members.filter(shared * 100 >= n * PERCENT)
+    bottom, top = _size_class(_smallest_partner(n), WIDE), _size_class(F.greatest(F.floor(most), F.lit(1)), WIDE)
+    return able.withColumn("own", _size_class(n, WIDE)).withColumn("other", F.explode(F.sequence(bottom, F.greatest(top, bottom)))).select(*members.columns, "other", *_sides())
+
+
+def _sides() -> list[Column]:
+    own, other = F.col("own"), F.col("other")
+    return [F.least(own, other).alias("c1"), F.greatest(own, other).alias("c2"), (own <= other).alias("low"), (own >= other).alias("high")]
+
 
+def _prefixes(wanted: DataFrame, shared: DataFrame) -> DataFrame:
+    """item, c1, c2 and members: the rarest shingles of which linked sets share one.
+
+    ``wanted`` has, of each doc, n, n_shared, label and the size classes in which it needs partners (other).
+    """
+    n = F.col("n")
+    fine = F.sequence(_size_class(_class_start(F.col("other"), WIDE), NARROW), _size_class(_class_start(F.col("other") + 1, WIDE), NARROW))
+    pick = wanted.withColumn("other", F.explode(fine)).groupBy("doc", "n", "n_shared", "label").agg(F.collect_set("other").alias("others"), F.min("other").alias("least"))  # 60 classes at most
+    order = Window.partitionBy("doc", "n").orderBy("found", "item")
+    least = lambda other: F.greatest(_class_start(other, NARROW), _smallest_partner(n))
+    spare = lambda other: (n - F.col("place")) * (100 + PERCENT) >= (n + least(other)) * PERCENT
+    rows = shared.join(pick, "doc").withColumn("place", n - F.col("n_shared") + F.row_number().over(order) - 1).filter(spare(F.col("least")))
+    rows = rows.withColumn("other", F.explode("others")).filter(spare(F.col("other"))).withColumn("own", _size_class(n, NARROW))
+    return rows.select("item", "doc", "n", "label", "place", *_sides())
+
+
+_GROUP, _MEMBER = ["item", "c1", "c2"], ["doc", "n", "label", "place", "low", "high"]
+
+
+def _allowed(low: str, high: str) -> Column:
+    """Whether the places of a shared shingle leave enough of both sets for a link."""
+    need = (F.col(f"{low}.n") + F.col(f"{high}.n")) * PERCENT
+    return ((F.col(f"{low}.n") - F.col(f"{low}.place")) * (100 + PERCENT) >= need) & ((F.col(f"{high}.n") - F.col(f"{high}.place")) * (100 + PERCENT) >= need)
+
+
+def _groups(rows: DataFrame) -> DataFrame:
+    """Of each group: how many rows it has (m), the largest component (main) and its rows (k)."""
+    by_label = rows.groupBy(*_GROUP, "label").agg(F.count("*").alias("k"))
+    return cut(by_label.groupBy(*_GROUP).agg(F.sum("k").alias("m"), F.max("k").alias("k"), F.max_by("label", F.struct("k", "label")).alias("main")), "groups")
 
-def _rest(members: DataFrame, compared: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of one bucket and two components that aren't compared yet and may be linked: a, b.
 
-    Two members share at most as much of the bucket's centre as the one that has
-    less of it, and outside of it at most what others have too. Where that, against their sizes,
-    falls short of a link, there is none. Copies with changes of their own share
-    nothing outside, so nearly all pairs of a crowd fall away before any set is read.
+def _settle(rows: DataFrame, compared: DataFrame, sets: DataFrame, relabel, each: int) -> None:
+    """Compare what may still be linked in the groups of rare shingles.
+
+    Of each pair at least one is outside of the group's largest component. Some ``each`` of those
+    a group are compared with all its members and leave it, until it has one component.
+    ``relabel`` takes further comparisons and gives back the labels of all nodes.
     """
-    first = members.groupBy("key").agg(F.min("doc").alias("c"))
-    known = compared.select(F.col("a").alias("c"), F.col("b").alias("doc"), "both").distinct()
-    seen = members.join(first, "key").join(known, ["c", "doc"], "left").join(_shared_items(members, sets), "doc", "left")
-    inner = F.when(F.col("doc") == F.col("c"), F.col("n")).otherwise(F.coalesce("both", F.lit(0)))
-    seen = cut(seen.select("key", "doc", "n", "label", inner.alias("inner"), F.greatest(F.coalesce("n_shared", F.lit(0)) - inner, F.lit(0)).alias("outer")), "bounds")
-    seen = seen.filter((F.col("inner") + F.col("outer")) * 100 >= F.col("n") * PERCENT)
-    x, y = seen.alias("x"), seen.alias("y")
-    most = F.least("x.inner", "y.inner") + F.least("x.outer", "y.outer")
-    may = most * (100 + PERCENT) >= (F.col("x.n") + F.col("y.n")) * PERCENT
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.doc") < F.col("y.doc")) & (F.col("x.label") != F.col("y.label")) & may)
-    return pairs.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct().join(compared, ["a", "b"], "left_anti")
-
-
-def groups(docs: DataFrame, text: str = "text", doc: str = "doc_id", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    rows, turn = cut(_of_mixed(rows, _GROUP, sides=True), "prefixes"), 0
+    while not rows.isEmpty():
+        groups, member = _groups(rows), F.struct(*_MEMBER)
+        chosen = (F.col("label") != F.col("main")) & (F.pmod(F.xxhash64("doc", F.lit(turn)), F.ceil((F.col("m") - F.col("k")) / each)) == 0)
+        placed = cut(spread_join(rows, groups, _GROUP, "m").withColumn("chosen", chosen), "placed")
+        x, y = placed.select(*_GROUP, member.alias("x")), placed.filter("chosen").select(*_GROUP, member.alias("y"))
+        pairs = spread_join(x, y, _GROUP, "m", counts=groups).filter((F.col("x.label") != F.col("y.label")) & ((F.col("x.low") & F.col("y.high")) | (F.col("x.high") & F.col("y.low"))) & _allowed("x", "y"))
+        pairs = pairs.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct()
+        labels = relabel(verify(pairs.join(compared, ["a", "b"], "left_anti"), sets))
+        left = placed.filter(F.col("m") - F.col("k") > each).filter("not chosen").drop("label")
+        left = left.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+        rows, turn = cut(_of_mixed(left.select(*_GROUP, *_MEMBER), _GROUP, sides=True), "prefixes"), turn + 1
+
+
+def groups(docs: DataFrame, text: str = "text", doc: str = "doc_id", max_broadcast: int = MAX_BROADCAST, each: int = EACH) -> DataFrame:
     """Of every row: doc, n_shingles, component_id and kept.
 
     ``component_id`` is the smallest id that links lead to. Ids are integers.
+    Results don't depend on ``max_broadcast`` and ``each``.
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
     signed = cut(rows.mapInArrow(_sign, _SIGNED), "signed")
     full = signed.filter("n > 0 and doc is not null")
-    nodes = cut(full.groupBy("s1", "s2").agg(F.min("doc").alias("node"), F.min("n").alias("n"), F.min("bands").alias("bands")), "nodes")
+    nodes = cut(full.groupBy("s1", "s2").agg(F.min("doc").alias("node"), F.min("n").alias("n"), F.min("bands").alias("bands"), F.count("*").alias("rows")), "nodes")
+    with scratch(docs.sparkSession):
+        labels = cut(_labels(rows, full, nodes, max_broadcast, each), "labels", inner=False)
+    placed = _with_node(signed, nodes).withColumn("node", F.when((F.col("n") > 0) & F.col("doc").isNotNull(), F.col("node")).otherwise(F.col("doc")))
+    out = placed.join(labels, "node", "left").select("doc", F.col("n").alias("n_shingles"), F.coalesce("label", "node").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc") == F.col("component_id"), F.lit(True)))
+
+
+def _labels(rows: DataFrame, full: DataFrame, nodes: DataFrame, max_broadcast: int, each: int) -> DataFrame:
+    """node, label: the component of every node with a link."""
     every = nodes.select(F.explode("bands").alias("key"), F.col("node").alias("doc"), "n")
-    shared = every.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("key")
-    buckets = cut(every.join(shared, "key", "left_semi"), "buckets")
+    shared = every.groupBy("key").agg(F.min(F.struct("doc", "n")).alias("centre"), F.count("*").alias("rows")).filter("rows > 1")
+    buckets = cut(spread_join(every, cut(shared, "keys"), ["key"], "rows").drop("rows"), "buckets")
     sets = cut(_pick(rows, buckets.select("doc").distinct(), max_broadcast).mapInArrow(_sets, "doc long, items binary"), "sets")
-    compared = verify(_stars(buckets), sets)
-    same_id = full.select(F.col("doc").alias("a"), "s1", "s2").join(nodes.select("s1", "s2", F.col("node").alias("b")), ["s1", "s2"]).filter("a != b").select("a", "b")
+    compared = [verify(_stars(buckets), sets, max_broadcast)]
+    same_id = _with_node(full, nodes).select(F.col("doc").alias("a"), F.col("node").alias("b")).filter("a != b")
     repeated = full.groupBy("doc").agg(F.min("s1").alias("x"), F.max("s1").alias("y")).filter("x != y").select(F.col("doc").alias("a"))
-    extra = same_id.join(repeated, "a", "left_semi")  # an id with several texts joins their nodes
-    labels = components(links(compared).unionByName(extra))
-    members = cut(_unresolved(buckets, labels), "unresolved")
+    extra = cut(same_id.join(repeated, "a", "left_semi"), "extra")  # an id with several texts joins their nodes
+    found: list[DataFrame] = []
+
+    def relabel(more: DataFrame | None = None) -> DataFrame:
+        if more is not None:
+            compared.append(more)
+        if more is None or not links(more).isEmpty():
+            found.append(components(reduce(DataFrame.unionByName, map(links, compared), extra)))
+        return found[-1]
+
+    named = buckets.join(relabel().withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", F.coalesce("label", "doc").alias("label"))
+    members = cut(_of_mixed(named, ["key"]), "unresolved")
     if not members.isEmpty():
-        more = verify(_rest(members, compared, sets), sets)
-        if not links(more).isEmpty():
-            labels = components(links(compared).unionByName(links(more)).unionByName(extra))
-    placed = signed.join(nodes.select("s1", "s2", "node"), ["s1", "s2"], "left").withColumn("node", F.when((F.col("n") > 0) & F.col("doc").isNotNull(), F.col("node")).otherwise(F.col("doc")))
-    out = placed.join(labels, "node", "left").select("doc", F.col("n").alias("n_shingles"), F.coalesce("label", "node").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc") == F.col("component_id"), F.lit(True)))
+        cell = ["key", "c1", "c2"]
+        members = cut(_of_mixed(_cells(members, F.col("n")), cell, sides=True).select("key", "doc", "n", "label").distinct(), "unresolved")
+        shared = _shared_items(members, sets)
+        figures = members.join(shared.groupBy("doc").agg(F.count("*").alias("n_shared")), "doc")
+        wanted = cut(_of_mixed(_cells(figures, F.col("n_shared")), cell, sides=True).select("doc", "other", "n", "n_shared", "label").distinct(), "cells")
+        _settle(_prefixes(wanted, shared), compared[0], sets, relabel, each)
+    return found[-1]
+
+
+def _with_node(signed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows with the node of their set, if they have one; a third of all rows may have one set."""
+    return spread_join(signed.select("doc", "n", "s1", "s2"), nodes.select("s1", "s2", "node", "rows"), ["s1", "s2"], "rows", "left").drop("rows")
 
 
 def dedup(docs: DataFrame, text: str = "text", doc: str = "doc_id", **options) -> DataFrame:

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import cut, new_path, ship
 from corpusloom.llm.files import open_random, written_whole
-from corpusloom.llm.hashing import U, _inverses, _powers, byte_runs, mix
+from corpusloom.llm.hashing import U, byte_runs, inverses, mix, powers
 
 LENGTH = 50
 K = 16
@@ -109,17 +109,36 @@ def _read_block(folder: str, name: str) -> tuple[np.ndarray, list[bytes]]:
     return t.column("doc").to_numpy(), t.column("text").to_pylist()
 
 
+def _runs(texts: list[bytes]) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+    """Runs of some CHUNK_BYTES of pieces, and of each piece its text's place and where it starts there.
+
+    Long texts come in pieces that share LENGTH - 1 bytes, so that each window is in one of them.
+    """
+    pieces, row, at, size = [], [], [], 0
+    for i, t in enumerate(texts):
+        for p in range(0, max(1, len(t) - LENGTH + 1), CHUNK_BYTES):
+            pieces.append(t if len(t) < CHUNK_BYTES + LENGTH else t[p : p + CHUNK_BYTES + LENGTH - 1])
+            row.append(i)
+            at.append(p)
+            size += len(pieces[-1])
+            if size >= CHUNK_BYTES:
+                yield pieces, np.array(row), np.array(at)
+                pieces, row, at, size = [], [], [], 0
+    if pieces:
+        yield pieces, np.array(row), np.array(at)
+
+
 # -- steps 2 and 3: keys and segments
 
 
 def _least(data: np.ndarray, k: int, seed: int, length: int) -> np.ndarray:
     """Of each window its least hash of k bytes."""
-    powers = _powers(k + 1)
+    table = powers(k + 1)
     rolled = {1: data.astype(U) + U(seed)}
     size = 1
     while size * 2 <= k:
         x = rolled[size]
-        rolled[size * 2] = x[:-size] * powers[size] + x[size:] if len(x) > size else x[:0]
+        rolled[size * 2] = x[:-size] * table[size] + x[size:] if len(x) > size else x[:0]
         size *= 2
     h, used = None, 0
     for size in sorted(rolled, reverse=True):
@@ -129,7 +148,7 @@ def _least(data: np.ndarray, k: int, seed: int, length: int) -> np.ndarray:
                 h, used = part, size
             else:
                 n = max(0, len(part) - used)
-                h, used = h[:n] * powers[size] + part[used : used + n], used + size
+                h, used = h[:n] * table[size] + part[used : used + n], used + size
     m, span, width = mix(h), 1, length - k + 1
     while span * 2 <= width:
         m = np.minimum(m[:-span], m[span:]) if len(m) > span else m[:0]
@@ -169,8 +188,8 @@ class Segments:
         self.start = at[first]  # in data
         end = self.start + self.n + length - 1
         sums = np.zeros(len(data) + 1, dtype=U)
-        np.cumsum((data.astype(U) + U(1)) * _powers(len(data)), out=sums[1:])
-        self.hash = mix((sums[end] - sums[self.start]) * _inverses(len(data) + 1)[self.start] + self.n.astype(U) * U(0xFF51AFD7ED558CCD))
+        np.cumsum((data.astype(U) + U(1)) * powers(len(data)), out=sums[1:])
+        self.hash = mix((sums[end] - sums[self.start]) * inverses(len(data) + 1)[self.start] + self.n.astype(U) * U(0xFF51AFD7ED558CCD))
 
 
 def _tag(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -185,10 +204,10 @@ def _keys(folder: str, buckets: int):
         for name in (x for b in batches for x in b.column(0).to_pylist()):
             docs, texts = _read_block(folder, name)
             keys, rows = [], []
-            for a, b in byte_runs(list(map(len, texts)), CHUNK_BYTES):
-                s = Segments(texts[a:b])
+            for pieces, of, _ in _runs(texts):
+                s = Segments(pieces)
                 keys.append(s.key)
-                rows.append(s.row + a)
+                rows.append(of[s.row])
             key, row = np.concatenate(keys), np.concatenate(rows)
             if not len(key):
                 continue
@@ -283,11 +302,11 @@ def _send(folder: str, buckets: int, tasks: int):
             wanted = _Wanted(rows, buckets)
             docs, texts = _read_block(folder, name)
             parts, base, content = [], 0, []
-            for a, b in byte_runs(list(map(len, texts)), CHUNK_BYTES):
-                s, good = wanted.segments(texts[a:b])
+            for pieces, of, _ in _runs(texts):
+                s, good = wanted.segments(pieces)
                 i = np.flatnonzero(good)
                 if len(i):
-                    parts.append((s.key[i], s.hash[i], docs[s.row[i] + a], s.start[i] + base, s.n[i] + LENGTH - 1))
+                    parts.append((s.key[i], s.hash[i], docs[of[s.row[i]]], s.start[i] + base, s.n[i] + LENGTH - 1))
                     content.append(s.data)
                     base += len(s.data)
             if not parts:
@@ -406,8 +425,8 @@ def _hash_segments(data: np.ndarray, size: np.ndarray) -> np.ndarray:
     ends = np.cumsum(size)
     starts = ends - size
     sums = np.zeros(len(data) + 1, dtype=U)
-    np.cumsum((data.astype(U) + U(1)) * _powers(len(data)), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * _inverses(len(data) + 1)[starts] + (size - LENGTH + 1).astype(U) * U(0xFF51AFD7ED558CCD))
+    np.cumsum((data.astype(U) + U(1)) * powers(len(data)), out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * inverses(len(data) + 1)[starts] + (size - LENGTH + 1).astype(U) * U(0xFF51AFD7ED558CCD))
 
 
 def _answer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -482,9 +501,23 @@ def _report(folder: str, buckets: int, with_text: bool):
             begin = np.cumsum(windows) - windows
             order = np.argsort(mixed)
             mixed, windows, begin = mixed[order], windows[order], begin[order]
-            for a, b in byte_runs(list(map(len, texts)), CHUNK_BYTES):
-                gone = _marked(texts[a:b], docs[a:b], wanted, plain, owner, mixed, windows, begin, owners)
-                yield _figures(docs[a:b], texts[a:b], gone, with_text)
+            long = np.zeros(0, bool)  # what goes of a text that comes in pieces
+            for pieces, of, at in _runs(texts):
+                gone = _marked(pieces, docs[of], wanted, plain, owner, mixed, windows, begin, owners)
+                whole, here = [], 0
+                for piece, i, p in zip(pieces, of.tolist(), at.tolist(), strict=True):
+                    g, n = gone[here : here + len(piece)], len(texts[i])
+                    here += len(piece)
+                    if len(piece) < n:
+                        if p == 0:
+                            long = np.zeros(n, bool)
+                        long[p : p + len(piece)] |= g
+                        if p + len(piece) < n:
+                            continue
+                        g = long
+                    whole.append((docs[i], texts[i], g))
+                if whole:
+                    yield _figures(whole, with_text)
 
     return work
 
@@ -510,15 +543,13 @@ def _marked(texts, docs, wanted, plain, owner, mixed, windows, begin, owners) ->
     return np.cumsum(step[:-1]) > 0
 
 
-def _figures(docs: np.ndarray, texts: list[bytes], gone: np.ndarray, with_text: bool) -> pa.RecordBatch:
-    rows, at = [], 0
-    for doc, text in zip(docs.tolist(), texts, strict=True):
-        g = gone[at : at + len(text)]
-        at += len(text)
+def _figures(whole: list[tuple[int, bytes, np.ndarray]], with_text: bool) -> pa.RecordBatch:
+    rows = []
+    for doc, text, g in whole:
         removed = int(g.sum())
         kept = np.frombuffer(text, np.uint8)[~g].tobytes() if removed else text
         spans = int(g[0]) + int((g[1:] & ~g[:-1]).sum()) if removed else 0
-        rows.append((None if doc == MISSING else doc, len(text), removed, spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
+        rows.append((None if doc == MISSING else int(doc), len(text), removed, spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
     columns = list(zip(*rows, strict=True)) or [[]] * 6
     return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
@@ -543,10 +574,10 @@ def dedup_substrings(docs: DataFrame, text: str = "text", doc: str = "doc_id", w
     repeated = cut(keys.repartition(tasks, "bucket").mapInArrow(_repeated(hot_blocks), "bucket long, block string, n long, data binary"), "repeated")
     n_repeated = repeated.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     transforms = max(shuffle, n_repeated * 70 // (12 << 20))
-    per_block = repeated.groupBy("block").agg(F.collect_list(F.struct("bucket", "data")).alias("rows"))
+    per_block = repeated.repartition(spread, "block").groupBy("block").agg(F.collect_list(F.struct("bucket", "data")).alias("rows"))
     sent = per_block.mapInArrow(_send(folder, buckets, 4 * transforms), "task long, block string, n long, data binary")
     answers = sent.repartition(transforms, "task").mapInArrow(_answer, "block string, data binary")
-    per_block_answers = answers.groupBy("block").agg(F.collect_list("data").alias("answers"))
-    work = blocks.select("block").join(per_block, "block", "left").join(per_block_answers, "block", "left").select("block", "rows", "answers")
+    per_block_answers = answers.repartition(spread, "block").groupBy("block").agg(F.collect_list("data").alias("answers"))
+    work = blocks.select("block").repartition(spread, "block").join(per_block, "block", "left").join(per_block_answers, "block", "left").select("block", "rows", "answers")
     out = work.mapInArrow(_report(folder, buckets, with_text), "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out if with_text else out.drop("kept")
