@@ -84,10 +84,10 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc: str = "doc_id", site:
     """``docs`` with boilerplate lines taken out of its texts, and two added columns.
 
     The first added column counts the lines of the text before, the second
-    those removed. ``drop_emptied`` drops documents all of whose content was removed; those
+    those removed; a name that ``docs`` has already gets an underscore in front. ``drop_emptied`` drops documents all of whose content was removed; those
     that were empty before stay.
     """
-    k1, k2, gone, kept = fresh(docs, "k1", "k2", "gone", "kept")
+    k1, k2, gone, kept, *added = fresh(docs, "k1", "k2", "gone", "kept", *added)
     found = removed_lines(docs, text, doc, site, **options).select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("gone").alias(gone))
     keyed = docs.withColumns(dict(zip((k1, k2), row_keys(doc, text), strict=True)))
     joined = keyed.join(found.hint("shuffle_hash"), [k1, k2], "left")

@@ -34,15 +34,20 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.llm.common import fresh, ship
-from corpusloom.llm.token_store import runs
+from corpusloom.llm.hashing import byte_runs
 
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
-#: Words, and pairs of pieces, that a worker remembers; a full memory is emptied, and results don't depend on it.
-REMEMBER = 400_000
+#: Bytes of words, and pairs of pieces, that a worker remembers; a full memory is emptied, and results don't depend on it.
+REMEMBER, REMEMBER_PAIRS = 40 << 20, 250_000
+#: What an entry takes besides the characters of its word, some 200 bytes; words longer than LONG_WORD aren't remembered.
+ENTRY, LONG_WORD = 200, 1000
+#: Characters that are encoded at a time, whole texts at least.
+CHUNK_CHARS = 500_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -221,7 +226,7 @@ class StreamingViterbi:
             if known is None:
                 known = pairs[piece] = {}
             after.append(known)
-        if m.n_pairs > 2 * REMEMBER:
+        if m.n_pairs > REMEMBER_PAIRS:
             m.pairs = {}
             m.n_pairs = 0
 
@@ -273,7 +278,11 @@ _SPLIT = re.compile(rf"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
 class Encoder:
     def __init__(self, path: str, remember: int = REMEMBER):
         self.model, self.remember = PieceModel(path), remember
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[str, bytes] = {"": b""}
+        self.held = 0
 
     def _stream(self, text: str) -> bytes:
         search = StreamingViterbi(self.model)
@@ -301,12 +310,18 @@ class Encoder:
         """Of each text the ids as little-endian unsigned 32-bit integers."""
         split = [self._words(self.model.normalize(t)) for t in texts]
         new = set().union(*split).difference(self.known)
-        if len(self.known) + len(new) > self.remember:
-            self.known = {"": b""}
+        size = sum(map(len, new)) * 2 + len(new) * ENTRY
+        if self.held + size > self.remember:
+            self.forget()
             new = set().union(*split).difference(self.known)
+            size = sum(map(len, new)) * 2 + len(new) * ENTRY
         self._learn(new)
+        self.held += size
         get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        out = [b"".join(map(get, words)) for words in split]
+        for w in [w for w in new if len(w) > LONG_WORD]:
+            del self.known[w]
+        return out
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
@@ -327,24 +342,35 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with the ids of each text, an array of int, in a new column."""
+def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """``docs`` with the ids of each text, an array of int, in a new column.
+
+    ``decoded`` names a further column for the text that the ids stand for, as
+    ``decode`` gives it, made by the same worker.
+    """
     ship(docs.sparkSession)
     (ids,) = fresh(docs, ids)
-    schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False))])
+    added = [T.StructField(ids, T.ArrayType(T.IntegerType(), False))]
+    if decoded:
+        added.append(T.StructField(*fresh(docs.withColumn(ids, F.lit(0)), decoded), T.StringType()))
+    schema = T.StructType([*docs.schema.fields, *added])
     at = docs.columns.index(text)
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run = encoder(model).encode_all
+        coder = encoder(model)
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            for a, b in runs([t or "" for t in texts], 2_000_000):
-                coded = run([t or "" for t in texts[a:b]])
+            column = batch.column(at)
+            sizes = [len(x.as_buffer()) if x.is_valid else 0 for x in column.cast(pa.large_binary())]
+            for a, b in byte_runs(sizes, CHUNK_CHARS):
+                part = batch.slice(a, b - a)
+                texts = part.column(at).to_pylist()
+                coded = coder.encode_all([t or "" for t in texts])
                 ends = np.cumsum([0, *[len(c) // 4 for c in coded]])
                 values = pa.array(np.frombuffer(b"".join(coded), dtype="<i4"))
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=pa.array([t is None for t in texts[a:b]]))
-                part = batch.slice(a, b - a)
-                yield pa.record_batch([*part.columns, lists], names=schema.names)
+                out = [*part.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=pa.array([t is None for t in texts]))]
+                if decoded:
+                    out.append(pa.array([None if t is None else coder.decode(c) for t, c in zip(texts, coded, strict=True)], pa.string()))
+                yield pa.record_batch(out, names=schema.names)
 
     return docs.mapInArrow(work, schema)
 

@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import json
 import os
 import re
 import struct
@@ -50,8 +51,10 @@ MAGIC = b"CLTOKEN1"
 HEAD = len(MAGIC) + 32
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 400, 4000, 64 * 1024
 LEVEL = 3
-#: Word parts whose ids a worker remembers, some 200 bytes each; a full memory is emptied, and results don't depend on it.
-REMEMBER = 900_000
+#: Bytes of word parts and their ids that a worker remembers; a full memory is emptied, and results don't depend on it.
+REMEMBER = 150 << 20
+#: What an entry takes besides the characters of its part; parts longer than LONG_PART aren't remembered.
+ENTRY, LONG_PART = 170, 1000
 CHUNK_CHARS = 1_000_000
 
 
@@ -67,13 +70,35 @@ _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = dict(zip(_PLAIN, _PLAIN, strict=True)) | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 
 
+#: What a tokenizer file must say for its texts to be parted here.
+_KNOWN_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_KNOWN_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+_KNOWN_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+
+
+def _parts_as_known(path: str) -> bool:
+    """Whether a tokenizer file normalises and parts texts as this module does; others go through the whole tokenizer."""
+    with open(path, encoding="utf-8") as f:
+        said = json.load(f)
+    normalizer, splitter = said.get("normalizer") or {}, (said.get("pre_tokenizer") or {}).get("pretokenizers") or [{}, {}]
+    return (
+        normalizer.get("normalizers") == _KNOWN_NORMALIZER
+        and len(splitter) == 2
+        and splitter[0] == _KNOWN_SPLIT
+        and _KNOWN_BYTES.items() <= splitter[1].items()
+        and not said.get("post_processor")
+        and all("<|" in t["content"] for t in said.get("added_tokens") or [])
+    )
+
+
 class WordMemory:
     """Ids of whole texts from remembered ids of their parts.
 
     The tokenizer parts a text before it encodes, and each part on its own. For
     texts of Latin-1 characters the parts are found here, and each distinct one is
     given to the tokenizer's model once. All other texts, and those that may hold special
-    tokens, go through the whole tokenizer.
+    tokens, go through the whole tokenizer, and so do all texts where the file parts them
+    in another way.
     """
 
     def __init__(self, path: str, remember: int = REMEMBER):
@@ -81,7 +106,8 @@ class WordMemory:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.remember, self.known = remember, {}
+        self.by_part = _parts_as_known(path)
+        self.remember, self.known, self.held = remember, {}, 0
 
     def _learn(self, parts: set[str]) -> None:
         tokenize, known = self.tokenizer.model.tokenize, self.known
@@ -99,18 +125,23 @@ class WordMemory:
                 odd.append(i)
                 split.append(())
                 continue
-            if "<|" in t:
+            if not self.by_part or "<|" in t:
                 odd.append(i)
                 split.append(())
             else:
                 split.append(_PART.findall(t.lower()))
         new = set().union(*split).difference(self.known)
-        if len(self.known) + len(new) > self.remember:
-            self.known = {}
+        size = sum(map(len, new)) * 2 + len(new) * ENTRY
+        if self.held + size > self.remember:
+            self.known, self.held = {}, 0
             new = set().union(*split)
+            size = sum(map(len, new)) * 2 + len(new) * ENTRY
         self._learn(new)
+        self.held += size
         get = self.known.__getitem__
         out = [b"".join(map(get, parts)) for parts in split]
+        for p in [p for p in new if len(p) > LONG_PART]:
+            del self.known[p]
         if odd:
             run = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
             for i, e in zip(odd, run([texts[i] for i in odd], add_special_tokens=False), strict=True):
