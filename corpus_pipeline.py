@@ -12,36 +12,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import decontaminate, line_dedup, near_dedup, pieces, quality
-from corpusloom.llm.common import cut, table
+from corpusloom.llm.common import cut, fresh, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or that the label model holds for bad go."""
+    """Documents that fail the base rules or that the label model holds for bad go.
+
+    Null and empty texts have no words, which fails; repeated rows are judged alike.
+    """
     return quality.filter_quality(docs)
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found on many sites stay only where they were first; what had nothing else goes."""
-    left = line_dedup.dedup_lines(docs, added=("_n_lines", "_n_removed"), drop_emptied=True)
-    changed = F.col("_n_removed") > 0
-    return left.withColumn("n_chars", F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    """Lines found on many sites stay only where they were first; what had nothing else goes.
+
+    n_chars follows the text; a null text stays null; other columns stay as they are.
+    """
+    n_lines, n_removed = fresh(docs, "n_lines", "n_removed")
+    left = line_dedup.dedup_lines(docs, added=(n_lines, n_removed), drop_emptied=True)
+    n_chars = F.when(F.col(n_removed) > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    return left.withColumn("n_chars", n_chars).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that with the smallest id."""
+    """One document of each group stays, that with the smallest id, and all without words or id."""
     return near_dedup.dedup(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark window go."""
+    """Documents that hold a benchmark window go; a null text holds none."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each text, and whether they decode to it."""
+    """Ids of each text, and whether they decode to it; a null text has null ids. Other columns than the text stay."""
     model = public_tokenizers.path("piece_bpe_32k.model")
-    back = pieces.decode(pieces.encode(docs, model, ids="ids"), model, text="decoded")
-    return back.select("doc_id", "lang", "source", "n_chars", "ids", F.size("ids").cast("long").alias("n_ids"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+    ids, n_ids, decoded, same = fresh(docs, "ids", "n_ids", "decoded", "round_trip")
+    back = pieces.encode(docs, model, ids=ids, decoded=decoded)
+    added = [F.size(ids).cast("long").alias(n_ids), F.col(decoded).eqNullSafe(F.col("text")).alias(same)]
+    return back.select(*[c for c in docs.columns if c != "text"], ids, *added)
 
 
 STAGES = [
