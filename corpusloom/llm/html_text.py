@@ -22,7 +22,9 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -66,6 +68,8 @@ MILD_WORDS = frozenset("alert copyright disclaimer legal notice notices notifica
 LIST_WORDS = frozenset(
     "comment comments commentlist discussion disqus promo promoted promotion recommended recommendations related replies reply respond responses sidebar sidenav sponsored widget widgets".split()
 )
+#: Elements with such a word in each other that are told apart; what lies deeper counts as part of the last of them.
+DEEPEST = 50
 TEXT_ELEMENTS = frozenset("b blockquote cite code dd dt em h1 h2 h3 h4 h5 h6 i li p pre q span strong td u".split())
 OUTSIDE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation note search status toolbar".split())
 IMPLIED_END = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -73,7 +77,8 @@ IMPLIED_END = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"},
 ENDS_P = BLOCKS - {"body", "html", "caption", "tbody", "tfoot", "thead", "tr", "option", "optgroup", "legend"}
 ENDS_AT = frozenset("article aside blockquote body div dl footer form header html main nav ol section table td th ul".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s>/]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s>/]*)((?:\"[^\"]*\"|'[^']*'|[^>])*+)(?:>|\Z)", re.S)
+_raw_end = lru_cache(len(RAW))(lambda tag: re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I))
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -150,12 +155,52 @@ class _Lines:
         self.text, self.linked = [], 0
 
 
+class _Stack:
+    """Open elements: tag, state, in a link, holder.
+
+    Each scope, which an element of ENDS_AT opens, counts the open tags in it, so
+    that looking for one that isn't there takes no walk.
+    """
+
+    def __init__(self) -> None:
+        self.rows: list[tuple[str, State, bool, int]] = []
+        self.all: Counter[str] = Counter()
+        self.scopes: list[tuple[int, Counter[str]]] = [(0, Counter())]  # place of its element, tags above it
+
+    def top(self) -> tuple[State, bool, int]:
+        return self.rows[-1][1:] if self.rows else ((False, 0, ()), False, 0)
+
+    def push(self, tag: str, state: State, link: bool, holder: int) -> None:
+        if tag in ENDS_AT:
+            self.scopes.append((len(self.rows), Counter()))
+        else:
+            self.scopes[-1][1][tag] += 1
+        self.all[tag] += 1
+        self.rows.append((tag, state, link, holder))
+
+    def close(self, tags: set[str] | frozenset[str], beyond: bool = False) -> None:
+        """End the last open element of ``tags`` and what is in it; one outside of the scope only if ``beyond``."""
+        at, inside = self.scopes[-1]
+        around = len(self.scopes) > 1 and self.rows[at][0] in tags
+        if not around and not any(inside[t] for t in tags) and not (beyond and any(self.all[t] for t in tags)):
+            return
+        while True:
+            tag = self.rows.pop()[0]
+            self.all[tag] -= 1
+            if tag in ENDS_AT:
+                self.scopes.pop()
+            else:
+                self.scopes[-1][1][tag] -= 1
+            if tag in tags:
+                return
+
+
 def lines(page: str) -> list[tuple[str, int, int, int]]:
     """Of the lines that aren't outside: text, characters of it in links, the number of its article or 0, of its holder or 0."""
-    out, stack = _Lines(), []  # of open elements: tag, state, in a link, holder
-    none: State = (False, 0, ())
-    at, state, link, holder, articles, holders = 0, none, False, 0, 0, 0
+    out, stack = _Lines(), _Stack()
+    at, articles, holders = 0, 0, 0
     doubtful: list[tuple[str, bool]] = []  # of elements that a word marks: kind, whether in an article
+    state, link, holder = stack.top()
     while at < len(page):
         m = _TOKEN.search(page, at)
         if m is None:
@@ -171,36 +216,25 @@ def lines(page: str) -> list[tuple[str, int, int, int]]:
         elif tag in SPACED:
             out.add(" ", False, state, holder)
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-                if stack[i][0] in ENDS_AT and tag not in ENDS_AT:
-                    break
+            stack.close({tag}, beyond=tag in ENDS_AT)
         else:
-            ends = IMPLIED_END.get(tag, set()) | ({"p"} if tag in ENDS_P else set())
-            if ends:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in ends:
-                        del stack[i:]
-                        break
-                    if stack[i][0] in ENDS_AT:
-                        break
+            if ends := IMPLIED_END.get(tag, set()) | ({"p"} if tag in ENDS_P else set()):
+                stack.close(ends)
             if tag in RAW:
-                end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+                end = _raw_end(tag).search(page, at)
                 at = end.end() if end else len(page)
             elif tag not in VOID and not m[3].endswith("/"):
-                (outside, article, around), linked, holder = stack[-1][1:] if stack else (none, False, 0)
+                (outside, article, around), linked, inner = stack.top()
                 surely, kind = _outside(tag, m[3], article > 0)
                 if kind:
                     doubtful.append((kind, article > 0))
-                    around = (*around, len(doubtful) - 1)
+                    around = (*around, len(doubtful) - 1) if len(around) < DEEPEST else around
                 if not article and _main(tag, m[3]):
                     article = articles = articles + 1
                 if tag in HOLDERS:
-                    holder = holders = holders + 1
-                stack.append((tag, (outside or surely, article, around), linked or tag == "a", holder))
-        state, link, holder = stack[-1][1:] if stack else (none, False, 0)
+                    inner = holders = holders + 1
+                stack.push(tag, (outside or surely, article, around), linked or tag == "a", inner)
+        state, link, holder = stack.top()
     out.end()
     held = _held(out.rows, doubtful)
     return [(text, linked, article, holder) for text, linked, (outside, article, around), holder in out.rows if not outside and held.issuperset(around)]
