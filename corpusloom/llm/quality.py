@@ -2,13 +2,13 @@
 
 Every rule looks at one figure of a text and votes good, votes bad or abstains.
 How far each rule can be trusted isn't set by hand: expectation-maximisation
-estimates, from all documents, how often it is right on good and on bad texts.
+estimates, from all documents that pass the base rules, how often it is right on good and on bad texts.
 The posterior probability that a text is good then decides, so that one odd
 figure doesn't cost a document its place, as it would where all rules must pass.
 
 Only DataFrame functions touch the rows. The model is fitted to the histogram
-of vote patterns, which has at most 3 ** len(RULES) rows, however many
-documents there are.
+of vote patterns, which has at most 3 ** len(RULES) rows (531,441; some hundreds
+in practice), however many documents there are.
 
 Defined cases: a null or empty text has no words, which fails the base rules;
 rows that repeat are judged alike, each for itself; an empty table gives an
@@ -26,7 +26,13 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import SPACE_CLASS, WORD, cut, fresh, let
 
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-_MORE = ("n_letters", "n_upper", "n_lines", "n_ended", "n_distinct")
+_MORE = ("n_letters", "n_upper", "n_lines", "n_ended", "n_distinct", "n_function", "n_adjacent", "n_bare")
+#: Common words of English, Spanish, French and German that running prose can't do without.
+FUNCTION_WORDS = (
+    "the of and to in a is that for it as was with be by on not he at are this have from or had an which one "
+    "de la que el en y los del se las por un para con no una su al lo le et les des est dans qui pas sur au par il plus ce pour avec "
+    "der die und von zu das mit sich auf für ist im dem nicht ein eine auch es er als"
+).split()
 
 
 def _repeat_words(hashes: Column, n: Column) -> Column:
@@ -67,6 +73,8 @@ def features(text: Column) -> Column:
             n.cast("long").alias("n_words"),
             _repeat_words(hashes, n).alias("n_repeat_words"),
             F.size(F.array_distinct(hashes)).cast("long").alias("n_distinct"),
+            F.size(F.filter(hashes, lambda h: h.isin(*[F.xxhash64(F.lit(w)) for w in dict.fromkeys(FUNCTION_WORDS)]))).cast("long").alias("n_function"),
+            F.size(F.filter(hashes, lambda h, i: h == F.get(hashes, i - 1))).cast("long").alias("n_adjacent"),
         )
 
     def of_lines(lines: Column) -> Column:
@@ -91,6 +99,9 @@ def features(text: Column) -> Column:
             x["l"]["n_lines"].alias("n_lines"),
             x["l"]["n_ended"].alias("n_ended"),
             x["w"]["n_distinct"].alias("n_distinct"),
+            x["w"]["n_function"].alias("n_function"),
+            x["w"]["n_adjacent"].alias("n_adjacent"),
+            F.regexp_count(text, F.lit(rf"(?<![^{SPACE_CLASS}])[^{SPACE_CLASS}\p{{L}}\p{{N}}]+(?![^{SPACE_CLASS}])")).cast("long").alias("n_bare"),
         ),
     )
 
@@ -121,11 +132,17 @@ RULES = (
     Rule("symbols", "n_symbols", "n_words", (0, 0.01), (0, 0.1)),
     Rule("repeated_lines", "n_dup_lines", "n_lines", (0, 0.02), (0, 0.3), ("n_lines", 2)),
     Rule("repeated_windows", "n_repeat_words", "n_words", (0, 0.02), (0, 0.2), ("n_words", 20)),
-    Rule("letters", "n_letters", "word_chars", (0.85, 1), (0.65, 1)),
+    Rule("letters", "n_letters", "word_chars", (0.85, 1), (0.65, 1), ("n_words", 20)),
     Rule("capitals", "n_upper", "n_letters", (0, 0.15), (0, 0.35), ("n_letters", 20)),
     Rule("line_ends", "n_ended", "n_lines", (0.7, 1), (0.3, 1), ("n_words", 20)),
     Rule("variety", "n_distinct", "n_words", (0.3, 1), (0.15, 1), ("n_words", 50)),
+    Rule("function_words", "n_function", "n_words", (0.1, 1), (0.04, 1), ("n_words", 50)),
+    Rule("stutter", "n_adjacent", "n_words", (0, 0.04), (0, 0.1)),
+    Rule("bare_marks", "n_bare", "n_words", (0, 0.05), (0, 0.2)),
 )
+#: What a rule is taken to be before any document is seen: how often its vote is right on good and on bad texts,
+#: the share of good texts, and how many documents that counts for.
+ON_GOOD, ON_BAD, SHARE, WEIGHT = 0.98, 0.3, 0.8, 20
 
 
 def base_failed(x: Column) -> Column:
@@ -153,30 +170,29 @@ class LabelModel:
         return 1 / (1 + F.exp(-s))
 
 
-def fit(histogram: list[tuple[tuple[int, ...], int]], rules: int, rounds: int = 100, tolerance: float = 1e-7) -> LabelModel:
+def fit(histogram: list[tuple[tuple[int, ...], int]], rules: int, rounds: int = 300, tolerance: float = 1e-7) -> LabelModel:
     """Expectation-maximisation over vote patterns and how many documents show each.
 
-    It starts from the majority of votes. Beta(4, 2) priors keep a rule that
-    seldom votes from ending at certainty, or upside down. No documents give the priors.
+    It starts from the priors: rules seldom vote bad on good texts, and a bad text
+    fails few of them. The priors count for WEIGHT documents in each step, which keeps a
+    rule that seldom votes from ending at certainty, or upside down. No documents give the priors.
     """
     histogram = sorted(histogram)
-    p = [min(0.95, max(0.05, 0.5 + sum(v) / (2 * max(1, sum(map(abs, v)))))) for v, _ in histogram]
-    model = LabelModel((2 / 3,) * rules, (2 / 3,) * rules, 0.5)
+    total = sum(n for _, n in histogram)
+    model = LabelModel((ON_GOOD,) * rules, (ON_BAD,) * rules, SHARE)
     for _ in range(rounds):
+        p = [model.posterior(list(v)) for v, _ in histogram]
         good, bad = [], []
         for r in range(rules):
             g = [(q * n, v[r]) for q, (v, n) in zip(p, histogram, strict=True) if v[r]]
             b = [((1 - q) * n, v[r]) for q, (v, n) in zip(p, histogram, strict=True) if v[r]]
-            good.append((4 + sum(w for w, v in g if v > 0)) / (6 + sum(w for w, _ in g)))
-            bad.append((4 + sum(w for w, v in b if v < 0)) / (6 + sum(w for w, _ in b)))
-        total = sum(n for _, n in histogram)
-        share = (2 + sum(q * n for q, (_, n) in zip(p, histogram, strict=True))) / (4 + total)
+            good.append((WEIGHT * ON_GOOD + sum(w for w, v in g if v > 0)) / (WEIGHT + sum(w for w, _ in g)))
+            bad.append((WEIGHT * ON_BAD + sum(w for w, v in b if v < 0)) / (WEIGHT + sum(w for w, _ in b)))
+        share = (WEIGHT * SHARE + sum(q * n for q, (_, n) in zip(p, histogram, strict=True))) / (WEIGHT + total)
         # a rule that is no better than chance loses its say; it never speaks for the other side
         pairs = [(g, b) if g + b > 1 else ((g + 1 - b) / 2, (b + 1 - g) / 2) for g, b in zip(good, bad, strict=True)]
-        model = LabelModel(tuple(g for g, _ in pairs), tuple(b for _, b in pairs), share)
-        new = [model.posterior(list(v)) for v, _ in histogram]
-        moved, p = max((abs(a - b) for a, b in zip(p, new, strict=True)), default=0.0), new
-        if moved < tolerance:
+        old, model = model, LabelModel(tuple(g for g, _ in pairs), tuple(b for _, b in pairs), share)
+        if max(abs(x - y) for x, y in zip(old.on_good + old.on_bad, model.on_good + model.on_bad, strict=True)) < tolerance:
             break
     return model
 
@@ -193,7 +209,7 @@ def score(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES,
     x, quality, base, kept = fresh(spare, "features", "quality", "base_failed", "kept")
     figures = cut(docs.withColumn(x, features(docs[text])).select(*[docs[c] for c in keep], x), "quality")
     votes = [r.vote(F.col(x)) for r in rules]
-    counts = figures.groupBy(*[v.alias(f"v{i}") for i, v in enumerate(votes)]).count()
+    counts = figures.filter(~base_failed(F.col(x))).groupBy(*[v.alias(f"v{i}") for i, v in enumerate(votes)]).count()
     model = fit([(tuple(row[:-1]), row[-1]) for row in counts.collect()], len(rules))  # at most 3 ** len(rules) rows
     out = figures.withColumn(base, base_failed(F.col(x))).withColumn(quality, model.column(votes))
     out = out.withColumn(kept, ~F.col(base) & (F.col(quality) >= 0.5))
