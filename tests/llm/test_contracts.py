@@ -123,8 +123,52 @@ def test_chains_and_crowds_of_near_copies(spark):
         for k in range(0, 60, 9):
             w[(k + i) % 60] = f"far{i}x{k}"
         rows.append((900 + i, " ".join(w)))
-    got = near_dedup.groups(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert answers(got, 3) == brute.op9(rows)
+    for i in range(30):  # a second crowd, near to the first one but not linked with it, and bridges
+        w = list(base)
+        w[:4] = ["other", "words", "stand", "here"]
+        w[10 + i % 40], w[(i * 7 + 9) % 50 + 8] = f"p{i}", f"q{i % 3}"
+        rows.append((1200 + i, " ".join(w[: 60 - i % 9])))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for each in (near_dedup.EACH, 3):
+        assert answers(near_dedup.groups(frame, each=each), 3) == brute.op9(rows)
+
+
+def test_texts_longer_than_a_piece_op2(spark):
+    import random
+
+    r = random.Random(8)
+    passage = "".join(r.choice("abcdefgh") for _ in range(300))
+    long = "".join(r.choice("0123456789ABCDEF") for _ in range(substring_dedup.CHUNK_BYTES + 200_000))
+    at = substring_dedup.CHUNK_BYTES - 120
+    docs = spark.createDataFrame([(1, "first " + passage), (2, long[:at] + passage + long[at:]), (3, long), (4, long[at - 60 : at + 60])], "doc_id long, text string")
+    got = answers(substring_dedup.dedup_substrings(docs, with_text=False), 4)
+    assert got[1][1] == 0 and got[2][1:3] == (300, 1) and got[2][3] == brute.sha(long)
+    assert got[3][1:3] == (len(long), 1) and got[3][3] == brute.sha("")  # each byte is in 50 bytes that document 2 has too
+    assert got[4][0] == 120
+
+
+def test_hot_keys_are_dealt_out(spark, monkeypatch):
+    from corpusloom.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    rows = [(i % 3 if i % 2 else 7, i) for i in range(60)]
+    big, small = spark.createDataFrame(rows, "k int, v int"), spark.createDataFrame([(7, "hot", 30), (1, "few", 10), (9, "none", 0)], "k int, name string, n long")
+    for how in ("inner", "left"):
+        got = common.spread_join(big, small, ["k"], "n", how).select("k", "v", "name").collect()
+        want = big.join(small, "k", how).select("k", "v", "name").collect()
+        assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str)
+
+
+def test_words_are_hashed_alike_in_any_blocks():
+    from corpusloom.llm.hashing import word_hashes
+
+    texts = [b"ab  Cd\n" * 3, b"", b" ", b"abcdefghijkl" * 5, b"x ab", b"cd\tab"]
+    whole, first = word_hashes(texts)
+    words = [w for t in texts for w in t.lower().split()]
+    assert len(whole) == len(words) and len(set(whole.tolist())) == len(set(words))
+    for block in (1, 2, 3, 7, 64):
+        got, at = word_hashes(texts, block)
+        assert (got == whole).all() and (at == first).all()
 
 
 def test_empty_tables(spark, odd_docs):
