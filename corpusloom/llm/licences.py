@@ -1,7 +1,8 @@
 """Licence scans by canonical digests.
 
 Texts are brought to one canonical form, in which case, punctuation, white
-space, copyright lines and equivalent spellings don't count. Whole texts, and each
+space, copyright notices and equivalent spellings of whole words don't count. A notice is a line
+that begins with one, or what stands in a line from it to the licence's own words. Whole texts, and each
 single line of them, are then looked up by digest among known licences and known
 licence statements. The known side is a table built here, of fixed size, and is
 broadcast; no text is ever compared with another.
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import row_keys
+from corpusloom.llm.common import cut, let, row_keys
 
 #: Spellings that count as equal, after the matching guidelines of the public licence list.
 EQUIVALENT = {
@@ -74,18 +75,18 @@ LICENCE_DIGESTS = {
     "CC0-1.0": "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",
     "GFDL-1.2": "15f6a8d360ffdecc988c29279c00f23e20de17f14f2a06572ab0d41de6e98b7b",
     "GFDL-1.3": "2d36daeff2ad303badb6dee8149748be25e22974dd468e1e8a55cf40f16fc01d",
-    "GPL-1.0": "98db0b473e0a45a62b04a39b6b864b4e079a58d513e2196f94fe7252fa8574a6",
-    "GPL-2.0": "e95eb1718f9f373d56cc586a5f7d1bfa11668867f6e85e982d2b6108b97d90a1",
-    "GPL-3.0": "5ddbbfd6f06064786540b1b9a7a010ea84028b9333128f6a0d09b0be10b872c4",
+    "GPL-1.0": "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224",
+    "GPL-2.0": "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821",
+    "GPL-3.0": "5fc5b48e8eeed6e5e77c32ad8641a6bc04d25011d6b500aa7dc7f3183ab812ea",
     "ISC": "f172f90a892d869d5d840d5f4363218a9b21bdb1bd3925ba9c752d1660134fee",
     "ISC (untitled)": "217da0747cec63a2e734185db11cbaa819bcd9e5b83cd12f812128fffe66e26a",
-    "LGPL-2.0": "e4deecd0730802431ad09f00ae3793f3703c8e4dba639586545d9f958405614d",
-    "LGPL-2.1": "d3826e4e563a04a354453ff139a32b19d6c3fe283f518eb566107c54e18cd01f",
+    "LGPL-2.0": "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908",
+    "LGPL-2.1": "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891",
     "LGPL-3.0": "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
     "MIT": "35a446201226de6b27cfb7106d0f6c697f63bfeac2913dcf89024911e66ef164",
     "MIT (untitled)": "0cf21bdfd1964a97a8615e128534845826afbc887edc95aa5c925cbf64386b5c",
     "MPL-1.1": "f77c59051c0127d677dcce7ba0d4733294974749a7b4155250912498d92767d6",
-    "MPL-2.0": "9e79a7d513376f6fa1500e4df4f6276c6e7e61c5c3e28dcdb1acee24033acc56",
+    "MPL-2.0": "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9",
 }
 
 #: Names under which statements call a licence.
@@ -109,12 +110,22 @@ _VERBS = ("licensed under", "released under", "distributed under", "available un
 _OPENINGS = ("", "the terms of ", "a ")
 
 
+#: How licences and statements go on after a copyright notice in the same line.
+_BODY = r"(?:permission is (?:hereby )?granted|permission to use|redistribution and use|licensed under|released under|this (?:software|program|work|library) is)"
+#: Copyright lines; what a notice in a line stands before stays.
+_NOTICE_LINE = rf"(?m)^[ \t>*#/;-]*(?:copyright\b(?! (?:notice|holder|owner|law|and|license|statement))|©|\(c\))(?:(?!{_BODY}).)*|^[ \t]*all rights reserved\.?[ \t]*$"
+_NOTICE_INSIDE = rf"(?:copyright (?:\(c\)|©|\d{{4}})|©|\(c\) \d{{4}})(?:(?!{_BODY}).)*(?={_BODY})"
+
+
 def canonical(text: Column) -> Column:
-    """The text in canonical form, line by line."""
-    out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?m)^[ \t>*#/;-]*(?:copyright\b(?! (?:notice|holder|owner|law|and|license|statement))|©|\(c\)).*$|^[ \t]*all rights reserved\.?[ \t]*$", "")
-    out = F.regexp_replace(out, r"[^\p{L}\p{N}\n]+", " ")
+    """The text in canonical form, line by line. Each word stands between spaces of its own, so that only whole words are replaced."""
+    out = F.lower(F.coalesce(text, F.lit("")))
+    for notice in (_NOTICE_LINE, _NOTICE_INSIDE):
+        out = F.regexp_replace(out, notice, "")
+    out = F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(out, r"[^\p{L}\p{N}\n]+", "  "), "\n", " \n "), F.lit(" "))
     for spelt, plain in EQUIVALENT.items():
-        out = F.replace(out, F.lit(spelt), F.lit(plain))
+        for ending in ("", "s"):
+            out = F.replace(out, F.lit(f" {spelt}{ending} ".replace(" ", "  ")[1:-1]), F.lit(f" {plain}{ending} ".replace(" ", "  ")[1:-1]))
     return out
 
 
@@ -133,19 +144,30 @@ def statements() -> list[tuple[str, str]]:
 
 
 def known(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    """Digests of whole licences, and of statements: digest, licence."""
+    """Digests of whole licences (digest, licence), and of statements (digest, licence, length in canonical form)."""
     whole = spark.createDataFrame(sorted((d, i) for i, d in LICENCE_DIGESTS.items()), "digest string, licence string")
     rows = spark.createDataFrame(statements(), "licence string, statement string")
-    lines = rows.select(digest(canonical(F.col("statement"))).alias("digest"), "licence").groupBy("digest").agg(F.min("licence").alias("licence"))
+    form = rows.select(_joined(canonical(F.col("statement"))).alias("form"), "licence")
+    lines = form.groupBy(F.sha2("form", 256).alias("digest"), F.char_length("form").alias("length")).agg(F.min("licence").alias("licence"))
     return whole, lines
 
 
 def scan(docs: DataFrame, text: str = "text", doc: str = "doc_id") -> DataFrame:
-    """Of every row: doc, digest (of its whole text), licence (null if it isn't one), statements (licences named in its lines, sorted)."""
+    """Of every row: doc, digest (of its whole text), licence (null if it isn't one), statements (licences named in its lines, sorted).
+
+    Texts are brought to canonical form once. Lines longer than every statement can't be one and aren't hashed.
+    """
     whole, lines = known(docs.sparkSession)
+    longest = lines.agg(F.max("length")).first()[0]
     k1, k2 = row_keys(doc, text)
-    base = docs.select(F.col(doc).alias("doc"), k1.alias("k1"), k2.alias("k2"), canonical(F.col(text)).alias("canonical"))
-    each = base.select("k1", "k2", F.explode(F.split("canonical", "\n")).alias("line")).filter(F.char_length(F.trim("line")) > 0).select("k1", "k2", digest(F.col("line")).alias("digest"))
-    hits = each.join(F.broadcast(lines), "digest").groupBy("k1", "k2").agg(F.array_sort(F.collect_set("licence")).alias("statements"))
-    out = base.select("doc", "k1", "k2", digest(F.col("canonical")).alias("digest")).join(F.broadcast(whole), "digest", "left").join(hits, ["k1", "k2"], "left")
+
+    def digests(of: Column) -> Column:
+        short = F.filter(F.transform(F.split(of, "\n"), _joined), lambda x: F.char_length(x).between(1, longest))
+        return F.struct(digest(of).alias("digest"), F.transform(short, lambda x: F.sha2(x, 256)).alias("lines"))
+
+    rows = docs.select(F.col(doc).alias("doc"), k1.alias("k1"), k2.alias("k2"), let(canonical(F.col(text)), digests).alias("d"))
+    base = cut(rows.select("doc", "k1", "k2", "d.digest", "d.lines"), "digests")
+    each = base.select("k1", "k2", F.explode("lines").alias("digest"))
+    hits = each.join(F.broadcast(lines.select("digest", "licence")), "digest").groupBy("k1", "k2").agg(F.array_sort(F.collect_set("licence")).alias("statements"))
+    out = base.drop("lines").join(F.broadcast(whole), "digest", "left").join(hits, ["k1", "k2"], "left")
     return out.select(F.col("doc").alias(doc), "digest", "licence", F.coalesce("statements", F.array().cast("array<string>")).alias("statements"))

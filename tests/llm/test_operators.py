@@ -1,6 +1,8 @@
 """Parts of the operators on small cases of their own."""
 
+import itertools
 import random
+import re
 import time
 
 import numpy as np
@@ -13,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpusloom.llm import chat, html_text, licences, line_dedup, near_dedup, pieces, quality, queries, substring_dedup, token_store
-from tests.llm.conftest import SF, prose
+from tests.llm.conftest import LOREM, SF, prose
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 ALPHABET = ["a", "b", " ", "  ", "the", "ing", "▁", "漢", "字", "\n", "\t", "é", "ß", "1", ".", "!!", "http", "\x00", "ation", "<|endoftext|>", "'s", "É", "İ", "ΑΣ", "²"]
@@ -139,6 +141,29 @@ def test_whole_licences_and_statements(spark):
     assert licences.scan(docs).count() == 8 and licences.scan(docs.limit(0)).count() == 0
 
 
+MIT = (
+    'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, '
+    "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+    "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. '
+    "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, "
+    "OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+
+
+def test_notices_in_one_line_and_whole_words_only(spark):
+    rows = [
+        (1, "Copyright (c) 2020 X. " + MIT), (2, "MIT License Copyright (c) 2020 X " + MIT), (3, "MIT License\n\n© 2020 X, all rights reserved. " + MIT), (4, MIT.replace("sublicense", "sub licence").replace("limitation", "limitations")),
+        (5, "Copyright 2021 X. Licensed under the MIT Licence."), (6, "a programmer's licences " * 3000 + "\nReleased under the MIT License"), (None, MIT),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"digest": F.lit("x"), "k1": F.lit(1)})
+    got = {r["doc_id"]: (r["licence"], r["statements"]) for r in licences.scan(docs).collect()}
+    assert [got[i][0] for i in (1, 2, 3, 4, 5, 6, None)] == ["MIT (untitled)", "MIT", "MIT", None, None, None, "MIT (untitled)"]
+    assert got[5][1] == ["MIT"] and got[6][1] == ["MIT"]
+    form = spark.createDataFrame([("licence licences LICENCE, programmers programmes sub license",)], "t string").select(licences._joined(licences.canonical(F.col("t")))).first()[0]
+    assert form == "license licenses license programmers programs sublicense"
+
+
 # -- conversations
 
 TALK = [
@@ -179,6 +204,63 @@ def test_op6_keeps_every_message(spark):
     assert queries.QUERIES["op6_chat_formatting"](spark, SF).count() == raw.distinct().count()
 
 
+def replies_by_rule(talk):
+    """What op6 says of messages with distinct turns: reply_to, thread, depth, n_quoted, n_linked, own text."""
+    normal = lambda x: re.sub(r"^[^a-z0-9]+|[^a-z0-9]+$", "", re.sub(r"\s+", " ", x.lower()))
+    parsed, first, out = {}, {}, {}
+    for conv, turn, text in sorted(talk):
+        rows = []
+        for line in text.split("\n"):
+            marks = re.match(r"(?:\s*>)*", line)[0]
+            body = line[len(marks) :]
+            rows.append((marks.count(">"), body.removeprefix(" ") if marks else line))
+        solid = [r for r in rows if r[1].strip()]
+        runs = [(k, "\n".join(b for _, b in g)) for k, g in itertools.groupby(solid, lambda r: r[0])]
+        own = re.sub(r"^(?:[ \t]*\n)+|(?:\n[ \t]*)+$", "", "\n".join(b for k, b in rows if k == 0))
+        passages = {(k, normal(b)) for k, b in [*rows, *runs, (0, own)]} - {(k, "") for k in range(9)}
+        parsed[conv, turn] = (passages, sum(k > 0 and b.strip() != "" for k, b in rows), own)
+        for k, p in passages:
+            if k == 0:
+                first[conv, p] = min(first.get((conv, p), turn), turn)
+    for (conv, turn), (passages, n_quoted, own) in sorted(parsed.items()):
+        votes, n = {}, 0
+        for k, p in passages:
+            at = first.get((conv, p))
+            if k and at is not None and at < turn:
+                votes[k, at], n = votes.get((k, at), 0) + len(p), n + 1
+        at = max(((-k, w, at) for (k, at), w in votes.items()), default=(0, 0, None))[2]
+        up = out.get((conv, at))
+        out[conv, turn] = (at, up[1] if up else turn, up[2] + 1 if up else 0, n_quoted, n, own)
+    return out
+
+
+def test_generated_quotations_against_plain_rules(spark):
+    r, talk = random.Random(4), []
+    for conv in range(40):
+        said: list[str] = []
+        for turn in range(r.choice([1, 3, 12, 60])):
+            lines = []
+            for _ in range(r.randrange(3)):
+                if said:
+                    quoted = r.choice(said[-6:]).split("\n")
+                    a = r.randrange(len(quoted))
+                    lines += [r.choice(["> ", ">", "  > "]) + x for x in quoted[a : a + r.randrange(1, 4)]]
+                lines += [" ".join(r.choice(LOREM) for _ in range(r.randrange(1, 7))) for _ in range(r.randrange(3))] + [""] * r.randrange(2)
+            lines.append(f"line {conv} {turn}" if r.random() < 0.7 else "Thanks!")
+            said.append("\n".join(lines))
+            talk.append((conv, turn, said[-1]))
+    want = replies_by_rule(talk)
+    got = chat.link_messages(spark.createDataFrame([(c, t, "user", x) for c, t, x in talk], "conv_id long, turn int, role string, text string")).collect()
+    assert {(x["conv_id"], x["turn"]): (x["reply_to"], x["thread"], x["depth"], x["n_quoted"], x["n_linked"], x["text"]) for x in got} == want
+    assert sum(v[0] is not None for v in want.values()) > 100 and max(v[2] for v in want.values()) > 5
+
+
+def test_repeated_and_missing_turns(spark):
+    rows = [(1, 1, "a", "one"), (1, 1, "b", "two"), (1, 1, "a", "one"), (1, 2, "a", "> two"), (1, None, "a", "> one"), (None, 1, "a", "x"), (None, 2, "b", "> x"), (2, 3, None, None), (2, 4, "a", "long line\n" * 5000)]
+    got = sorted(((r["conv_id"], r["turn"], r["reply_to"], r["n_linked"]) for r in chat.link_messages(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()), key=str)
+    assert got == sorted([(1, 1, None, 0), (1, 1, None, 0), (1, 2, 1, 1), (1, None, None, 0), (None, 1, None, 0), (None, 2, 1, 1), (2, 3, None, 0), (2, 4, None, 0)], key=str)
+
+
 # -- quality
 
 
