@@ -11,12 +11,14 @@ from corpusloom.functions.text import let
 CODE_URL = r"https?://(?:www\.)?(?:github\.com|gitlab\.[a-z0-9.\-]+|zenodo\.org/record|huggingface\.co)/\S+"
 TIRA_URL = r"https?://(?:www\.)?tira\.io/\S+"
 DOCKER_IMAGE = r"\bdocker\.io/[\w\-./:]+"
+#: Fixed patterns: headings of reference lists, and what says that code is there.
 REFERENCES = r"(?imdU)^[ \t]*(?:\d+\.?\s*)?(references|bibliography|works cited)[ \t]*$"
 AVAILABILITY = (
     r"(our code|source code|code is available|code are available|code can be found|is available at|are available at|"
     r"we release|publicly available|made available|reproducib|our implementation|our repository|"
     r"github repository|our system is available|we provide the code|implementation is available)"
 )
+#: Fixed patterns: who owns what a URL names; models that are named without an owner.
 OWNER = r"^https?://(?:www\.)?(?:github\.com|gitlab\.[^/]+|huggingface\.co|zenodo\.org)/([^/\s?#]+)"
 BARE_MODEL = r"^(bert|roberta|distilbert|albert|xlm|xlnet|gpt2|gpt-2|t5|flan|deberta|electra|bart|mbart|mt5|opt|bloom|llama)[\w.\-]*$"
 #: Owners of what others build upon.
@@ -32,6 +34,7 @@ THIRD_PARTIES = (
     "salesforce databricks mosaicml togethercomputer thudm internlm "
     "openai-community datasets sebastianruder zenodo"
 ).split()
+#: Characters around a link that may hold evidence; how far into a text its references can start.
 BEFORE, AFTER = 240, 120
 REFERENCES_FROM = 0.3
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.session import ship
+from corpusloom.session import cut, ship
 
 RESPONSE = "record_id string, url string, content_type string, charset string, body binary, error string"
 PAPER = "section string, section_no int, position int, title string, authors array<string>, pdf_url string"
@@ -228,15 +228,16 @@ def project_documents(rows: DataFrame, record_id: str = "record_id") -> DataFram
 def build_documents(records: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> tuple[DataFrame, DataFrame]:
     """Documents in the wanted languages, and how many records were processed, written (by language), excluded and failed.
 
-    Cheap filters come first: only HTML pages are parsed at all.
+    Records are read once: what they give is kept in the shared folder. Only HTML pages are parsed.
     """
-    html = F.col("content_type") == "text/html"
-    parsed = main_content(records.filter(html)).withColumn("content", F.trim("content")).withColumn("language", detect_language(F.col("content")))
+    html = F.coalesce(F.col("content_type") == "text/html", F.lit(False))
+    parsed = main_content(records.withColumn("body", F.when(html, F.col("body")))).withColumn("content", F.trim("content")).withColumn("language", detect_language(F.col("content")))
     failed = F.coalesce(F.col("error"), F.col("failure")).isNotNull()
-    status = F.when(failed, "failed").when(F.col("language").isin(*languages), F.concat(F.lit("written-"), F.col("language"))).otherwise("excluded")
-    named = parsed.withColumn("status", status)
-    counts = named.groupBy("status").count().unionByName(records.agg(F.count("*").alias("count")).select(F.lit("processed").alias("status"), "count"))
-    return project_documents(named.filter(F.col("status").startswith("written"))), counts
+    status = F.when(~html, None).when(failed, "failed").when(F.col("language").isin(*languages), F.concat(F.lit("written-"), F.col("language"))).otherwise("excluded")
+    named = cut(parsed.withColumn("status", status).drop("body"), "pages")
+    counts = named.filter("status is not null").groupBy("status").count()
+    processed = named.agg(F.count("*").alias("count")).select(F.lit("processed").alias("status"), "count")
+    return project_documents(named.filter(F.col("status").startswith("written"))), counts.unionByName(processed)
 
 
 class _Tree(HTMLParser):

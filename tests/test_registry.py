@@ -1,12 +1,17 @@
 """Every registered query of the library against its SQL, on the small tables."""
 
 import math
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pandas as pd
 import pytest
 
-from corpusloom.plans import registry
+from corpusloom.plans import registry, rows  # noqa: F401  rows adds its queries to the registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -20,7 +25,7 @@ def duck():
     return con
 
 
-def rows(df: pd.DataFrame) -> list[tuple]:
+def values(df: pd.DataFrame) -> list[tuple]:
     def one(v):
         if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
             return "~"
@@ -35,7 +40,7 @@ def test_query_matches_sql(spark, duck, name):
     ours = registry.QUERIES[name](spark, SF).toPandas()
     theirs = duck.sql(registry.ORACLE[name]).df()
     assert sorted(ours.columns) == sorted(theirs.columns)
-    assert rows(ours) == rows(theirs)
+    assert values(ours) == values(theirs)
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE)))
@@ -43,8 +48,18 @@ def test_other_queries_run(spark, name):
     assert registry.QUERIES[name](spark, SF).count() > 0
 
 
-def test_entry_imports_without_the_llm_folder():
+def test_entry_offers_the_library(spark):
     import __spark_entry__
 
     assert "bm25_top10" in __spark_entry__.queries()
     assert set(registry.ORACLE) <= set(__spark_entry__.oracle_sql())
+
+
+def test_entry_imports_without_the_llm_folder(tmp_path):
+    top = Path(registry.__file__).parents[2]
+    shutil.copytree(top / "corpusloom", tmp_path / "corpusloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(top / "__spark_entry__.py", tmp_path)
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(*e.queries()); print(*e.oracle_sql())"], cwd=tmp_path, capture_output=True, text=True, timeout=120, env={**os.environ, "PYTHONPATH": ""})
+    assert said.returncode == 0, said.stderr
+    names, checked = (line.split() for line in said.stdout.splitlines()[-2:])
+    assert set(names) == set(registry.QUERIES) and set(checked) == set(registry.ORACLE)
