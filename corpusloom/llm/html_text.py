@@ -7,9 +7,9 @@ none elsewhere where most of the line is link text; where a page has such an
 element, lines outside of it weigh a third. The sums of these lengths over a
 sliding window of lines, which passes over what is outside and doesn't reach
 across the ends of such an element, rise steeply where the article starts and
-fall to nothing where it ends; between the surge and the dive lies the text.
-Every such stretch counts, and so do the other lines of the elements in which one
-surges. An article or main element with a surge is kept but for window-long runs
+fall to next to nothing where it ends; between the surge and the dive lies the text.
+Every such stretch counts, and so do the other lines of the elements that hold most of
+a window that surges. An article or main element with a surge is kept but for window-long runs
 of links.
 
 Defined cases: a null, empty or text-free page has an empty text; tags left
@@ -32,8 +32,8 @@ from pyspark.sql import types as T
 
 from corpusloom.llm.common import fresh, ship
 
-#: Lines in a window, and the characters a window needs to count as a surge.
-WINDOW, SURGE = 3, 80
+#: Lines in a window, the characters a window needs to count as a surge, and those below which it is a dive.
+WINDOW, SURGE, DIVE = 3, 80, 20
 #: What a character in an article or main element weighs against one outside of it.
 WEIGHT = 3
 
@@ -295,16 +295,17 @@ def main_text(page: str | None) -> str:
     if not any(sums):  # an article of links only is one all the same
         return "\n\n".join(rows[k][0] for k, a in enumerate(article) if a)
     surge = min(WEIGHT * SURGE, max(sums))
+    dive = min(WEIGHT * DIVE, surge)
     keep, whole, held, i = set(), set(), set(), 0
     while i < len(sums):
         if sums[i] < surge or not size[i]:
             i += 1
             continue
         start = i
-        while i < len(sums) and sums[i] and article[i] == article[start]:  # to the dive
+        while i < len(sums) and sums[i] >= dive and article[i] == article[start]:
             if size[i]:
                 keep.add(i)
-                if sums[i] >= surge:
+                if sums[i] >= surge and 2 * sum(size[k] for k in range(i, min(i + WINDOW, len(rows))) if rows[k][3] == rows[i][3]) >= sums[i]:
                     held.add(rows[i][3])
             i += 1
         whole.add(article[start])

@@ -1,8 +1,11 @@
 """Pages whose main text is known: articles beside stories, wrappers, parted sections."""
 
+import random
+
 import pytest
 
 from corpusloom.llm import html_text
+from tests.llm.conftest import LOREM
 
 PROSE = ("a sentence of ordinary prose goes here. " * 4).strip()
 
@@ -69,3 +72,31 @@ def test_a_short_section_in_a_div_of_its_own_stays_beside_a_long_one():
 def test_a_short_article_parted_by_adverts_surges_all_the_same():
     article = "<aside>buy</aside>".join(f"<p>{PROSE[:60]}</p>" for _ in range(4))
     assert html_text.main_text(f"<article>{article}</article>" + f"<p>{PROSE}</p>" * 3) == "\n\n".join([PROSE[:60]] * 4 + [PROSE] * 3)
+
+
+def generated(r, article):
+    """A page and the text of its article: headings, long and short paragraphs, with an advert, a menu and a comment around."""
+    says = lambda a, b: " ".join(r.choice(LOREM) for _ in range(r.randrange(a, b)))
+    blocks = [says(3, 8), says(30, 60)] + [says(*r.choice([(1, 4), (15, 40), (30, 80)])) + "." for _ in range(r.randrange(2, 9))] + [says(30, 50) + "."]
+    inside = f"<h1>{blocks[0]}</h1>" + "".join(f"<p>{b.replace(' alpha ', ' <b>alpha</b> ', 1)}</p>" for b in blocks[1:])
+    tag = "article" if article else "div"
+    around = f"<nav><a href=/>{says(1, 3)}</a> <a href=/x>{says(1, 3)}</a></nav><div class=ad>{says(10, 30)}</div>"
+    after = f"<aside>{says(10, 30)}</aside><section class=comments><p>{says(20, 40)}</p></section><footer>&copy; {says(2, 6)}</footer>"
+    return f"<html><head><title>{says(2, 4)}</title></head><body>{around}<{tag}>{inside}</{tag}>{after}</body></html>", "\n\n".join(blocks)
+
+
+def test_generated_pages_with_and_without_an_article_element():
+    r = random.Random(12)
+    for k in range(120):
+        page, want = generated(r, article=k % 2 == 0)
+        assert html_text.main_text(page) == want
+
+
+def test_density_decides_what_is_kept(monkeypatch):
+    story = "".join(f"<p>{'words of the story ' * 8}{i}</p>" for i in range(6))
+    far = "<p>some</p><p>short</p><p>lines</p><p>here</p>"
+    page = f"<div><p>Stray</p>{far}</div><div>{story}</div><div>{far}<p>more</p></div><article><p>Teaser</p></article>"
+    dense = html_text.main_text(page)
+    assert "story" in dense and "Stray" not in dense and "Teaser" not in dense and "more" not in dense
+    monkeypatch.setattr(html_text, "SURGE", 1)
+    assert "Stray" in html_text.main_text(page) and "Teaser" in html_text.main_text(page)
