@@ -132,10 +132,16 @@ def link_messages(talk: DataFrame, conversation: str = "conv_id", turn: str = "t
     )
 
 
-def conversations(linked: DataFrame, conversation: str = "conv_id", turn: str = "turn", block: int = 1000) -> DataFrame:
-    """Whole threads as arrays of formatted messages, in reply order.
+def in_order(linked: DataFrame, conversation: str = "conv_id", turn: str = "turn", block: int = 1000) -> DataFrame:
+    """Whole threads in reply order: conversation, thread, part and messages, an array of structs of turn, chat and the other columns.
 
-    A thread longer than ``block`` turns is given in parts, numbered from 0, so that no row grows without bound.
+    A thread longer than ``block`` turns is given in parts, numbered from 0, so that no row grows with it.
     """
-    part = F.floor((F.col(turn) - F.col("thread")) / block).alias("part")
-    return linked.groupBy(conversation, "thread", part).agg(F.transform(F.array_sort(F.collect_list(F.struct(turn, "chat"))), lambda x: x["chat"]).alias("messages"))
+    part = F.coalesce(F.floor((F.col(turn) - F.col("thread")) / block), F.lit(0)).alias("part")
+    inside = [turn, "chat", *[c for c in linked.columns if c not in (conversation, turn, "thread", "chat")]]
+    return linked.groupBy(conversation, "thread", part).agg(F.array_sort(F.collect_list(F.struct(*inside))).alias("messages"))
+
+
+def conversations(linked: DataFrame, conversation: str = "conv_id", turn: str = "turn", block: int = 1000) -> DataFrame:
+    """Whole threads as arrays of formatted messages, in reply order and in parts as by ``in_order``."""
+    return in_order(linked, conversation, turn, block).withColumn("messages", F.transform("messages", lambda x: x["chat"]))
