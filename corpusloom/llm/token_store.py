@@ -15,8 +15,8 @@ A shard file::
     8 bytes   magic again
 
 The dictionary is trained on a bounded sample: the documents with the smallest
-hashes, ``SAMPLE_DOCS`` of them, ``SAMPLE_CHARS`` characters of each. It only
-affects sizes; every document is encoded whole.
+hashes, ``SAMPLE_DOCS`` of them, ``SAMPLE_CHARS`` characters of each, from a
+place that a hash chooses. It only affects sizes; every document is encoded whole.
 
 Defined cases: a null text counts as empty and has only the end id; null ids
 come first; rows of one id are ordered by their texts' hashes; repeated rows
@@ -293,7 +293,9 @@ def _sample(rows: DataFrame) -> list[str]:
     keys = [r[0] for r in rows.select("k1").orderBy("k1").limit(SAMPLE_DOCS).collect()]
     if not keys:
         return []
-    picked = rows.filter(F.col("k1") <= keys[-1]).select(F.substring("text", 1, SAMPLE_CHARS).alias("text"), "k1").orderBy("k1").limit(SAMPLE_DOCS)
+    start = F.pmod(F.xxhash64(F.lit(3), "k2"), F.greatest(F.char_length("text") - SAMPLE_CHARS + 1, F.lit(1)))
+    cut = F.substr("text", (start + 1).cast("int"), F.lit(SAMPLE_CHARS))
+    picked = rows.filter(F.col("k1") <= keys[-1]).select(cut.alias("text"), "k1").orderBy("k1").limit(SAMPLE_DOCS)
     return [r[0] for r in picked.collect()]
 
 
