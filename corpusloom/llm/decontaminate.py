@@ -5,7 +5,7 @@ windows are hashed in place and probed against it; each probe that hits is
 verified word by word, and then its span, or its document, goes.
 
 The set is broadcast while its number of windows is at most
-``MAX_BROADCAST``; a larger one is joined by a shuffle on the window's hash,
+``MAX_BROADCAST`` and it takes no more than ``MAX_BROADCAST_BYTES``; a larger one is joined by a shuffle on the window's hash,
 whose hot keys adaptive execution splits. Only hits ever travel: texts move
 once, and only where a document has hits to verify.
 
@@ -28,8 +28,8 @@ WORD_BYTES = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
 #: What stands between words before A-Z become a-z.
 NOT_WORD = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 ITEM_WORD = rf"[^{WORD_BYTES}]+"
-#: Windows, each of one hash, one text and its items: some 300 bytes each, or 60 MB in all.
-MAX_BROADCAST = 200_000
+#: Windows that are broadcast, and bytes of their words and items.
+MAX_BROADCAST, MAX_BROADCAST_BYTES = 200_000, 64 << 20
 
 
 def words(text: Column) -> Column:
@@ -84,14 +84,15 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc: str = "
     """
     spark = docs.sparkSession
     known = benchmark_windows(benchmark, item, item_text, window)
-    sizes = {r["len"]: r["n"] for r in known.groupBy("len").agg(F.count("*").alias("n")).collect()}  # at most `window` rows
+    taken = F.octet_length(F.array_join("words", " ")) + F.octet_length(F.array_join("items", " ")) + 16 * (F.size("words") + F.size("items"))
+    sizes = known.groupBy("len").agg(F.count("*").alias("n"), F.sum(taken).alias("bytes")).collect()  # at most `window` rows
     empty = spark.createDataFrame([], "k1 long, k2 long, spots array<int>, items array<string>")
     if not sizes:
         return empty
-    if sum(sizes.values()) <= max_broadcast:
+    if sum(r["n"] for r in sizes) <= max_broadcast and sum(r["bytes"] for r in sizes) <= MAX_BROADCAST_BYTES:
         known = F.broadcast(known)
     keyed = docs.select(F.col(text).alias("text"), *[k.alias(n) for k, n in zip(row_keys(doc, text), ("k1", "k2"), strict=True)])
-    hits = probes(keyed, ["k1", "k2"], "text", sorted(sizes)).join(known, ["h", "len"])
+    hits = probes(keyed, ["k1", "k2"], "text", sorted(r["len"] for r in sizes)).join(known, ["h", "len"])
     per_doc = hits.groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "words", "items")).alias("hits"))
     checked = keyed.join(per_doc, ["k1", "k2"]).select(
         "k1", "k2", let(words(F.col("text")), lambda w: F.filter(F.col("hits"), lambda x: _window(w, x["at"], F.size(x["words"])) == x["words"])).alias("hits")
