@@ -337,8 +337,9 @@ def groups(docs: DataFrame, text: str = "text", doc: str = "doc_id", max_broadca
     nodes = cut(full.groupBy("s1", "s2").agg(F.min("doc").alias("node"), F.min("n").alias("n"), F.min("bands").alias("bands"), F.count("*").alias("rows")), "nodes")
     with scratch(docs.sparkSession):
         labels = cut(_labels(rows, full, nodes, max_broadcast, each), "labels", inner=False)
-    placed = _with_node(signed, nodes).withColumn("node", F.when((F.col("n") > 0) & F.col("doc").isNotNull(), F.col("node")).otherwise(F.col("doc")))
-    out = placed.join(labels, "node", "left").select("doc", F.col("n").alias("n_shingles"), F.coalesce("label", "node").alias("component_id"))
+    named = cut(nodes.select("s1", "s2", "node", "rows").join(labels, "node", "left").select("s1", "s2", F.coalesce("label", "node").alias("component"), "rows"), "components")
+    known = F.when((F.col("n") > 0) & F.col("doc").isNotNull(), F.col("component")).otherwise(F.col("doc"))
+    out = _of_sets(signed, named).select("doc", F.col("n").alias("n_shingles"), known.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc") == F.col("component_id"), F.lit(True)))
 
 
@@ -349,7 +350,7 @@ def _labels(rows: DataFrame, full: DataFrame, nodes: DataFrame, max_broadcast: i
     buckets = cut(spread_join(every, cut(shared, "keys"), ["key"], "rows").drop("rows"), "buckets")
     sets = cut(_pick(rows, buckets.select("doc").distinct(), max_broadcast).mapInArrow(_sets, "doc long, items binary"), "sets")
     compared = [verify(_stars(buckets), sets, max_broadcast)]
-    same_id = _with_node(full, nodes).select(F.col("doc").alias("a"), F.col("node").alias("b")).filter("a != b")
+    same_id = _of_sets(full, nodes.select("s1", "s2", "node", "rows")).select(F.col("doc").alias("a"), F.col("node").alias("b")).filter("a != b")
     repeated = full.groupBy("doc").agg(F.min("s1").alias("x"), F.max("s1").alias("y")).filter("x != y").select(F.col("doc").alias("a"))
     extra = cut(same_id.join(repeated, "a", "left_semi"), "extra")  # an id with several texts joins their nodes
     found: list[DataFrame] = []
@@ -373,9 +374,10 @@ def _labels(rows: DataFrame, full: DataFrame, nodes: DataFrame, max_broadcast: i
     return found[-1]
 
 
-def _with_node(signed: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Rows with the node of their set, if they have one; a third of all rows may have one set."""
-    return spread_join(signed.select("doc", "n", "s1", "s2"), nodes.select("s1", "s2", "node", "rows"), ["s1", "s2"], "rows", "left").drop("rows")
+def _of_sets(signed: DataFrame, told: DataFrame) -> DataFrame:
+    """Rows with what is told of their set (by s1, s2; rows counts those that have it); a third of all rows may have one set, or none."""
+    s1 = F.when(F.col("n") > 0, F.col("s1")).otherwise(F.xxhash64("doc")).alias("s1")
+    return spread_join(signed.select("doc", "n", s1, "s2"), told, ["s1", "s2"], "rows", "left").drop("rows")
 
 
 def dedup(docs: DataFrame, text: str = "text", doc: str = "doc_id", **options) -> DataFrame:
