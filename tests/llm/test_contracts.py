@@ -202,3 +202,17 @@ def test_null_ids(spark):
     got = {(r["doc"], r["n_bytes"]): r["n_removed"] for r in substring_dedup.dedup_substrings(rows).collect()}
     n = len(prose(30, 1))
     assert got == {(None, n): n, (1, n): 0, (None, 0): 0}
+
+
+def test_op10_ids_are_the_library_s_over_the_whole_table(spark, docs):
+    import sentencepiece
+
+    from corpusloom.llm import pieces
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=model)
+    coded = pieces.encode(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), model, decoded="decoded")
+    got = {r["doc_id"]: (r["ids"], r["decoded"]) for r in coded.collect()}
+    for d, text, _ in docs:
+        ids = None if text is None else library.encode(text)
+        assert got[d] == (ids, None if text is None else library.decode(ids))
