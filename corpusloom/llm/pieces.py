@@ -42,8 +42,9 @@ from corpusloom.llm.hashing import byte_runs
 
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
-#: Bytes of words, and pairs of pieces, that a worker remembers; a full memory is emptied, and results don't depend on it.
-REMEMBER, REMEMBER_PAIRS = 40 << 20, 250_000
+#: Bytes of words, and pairs of pieces, that a worker remembers; results don't depend on it. When as many are new,
+#: words that weren't met since the last time are forgotten, so that there are twice as many at most.
+REMEMBER, REMEMBER_PAIRS = 45 << 20, 500_000
 #: What an entry takes besides the characters of its word, some 200 bytes; words longer than LONG_WORD aren't remembered.
 ENTRY, LONG_WORD = 200, 1000
 #: Characters that are encoded at a time, whole texts at least.
@@ -278,12 +279,20 @@ _SPLIT = re.compile(rf"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
 class Encoder:
     def __init__(self, path: str, remember: int = REMEMBER):
         self.model, self.remember = PieceModel(path), remember
-        self.forget()
-
-    def forget(self) -> None:
         self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
         self.held = 0
 
+    def _size(self, words: Iterable[str], n: int) -> int:
+        return sum(map(len, words)) * 2 + n * ENTRY
+
+    def _recall(self, words: set[str]) -> set[str]:
+        """Takes over what is known of the words from the older memory; gives back those that are in neither."""
+        old = words & self.older.keys()
+        self.known.update({w: self.older[w] for w in old})
+        self.held += self._size(old, len(old))
+        return words - old
+
     def _stream(self, text: str) -> bytes:
         search = StreamingViterbi(self.model)
         ids: list[int] = []
@@ -309,17 +318,18 @@ class Encoder:
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Of each text the ids as little-endian unsigned 32-bit integers."""
         split = [self._words(self.model.normalize(t)) for t in texts]
-        new = set().union(*split).difference(self.known)
-        size = sum(map(len, new)) * 2 + len(new) * ENTRY
+        words = set().union(*split)
+        new = self._recall(words.difference(self.known))
+        size = self._size(new, len(new))
         if self.held + size > self.remember:
-            self.forget()
-            new = set().union(*split).difference(self.known)
-            size = sum(map(len, new)) * 2 + len(new) * ENTRY
+            self.older, self.known, self.held = self.known, {"": b""}, 0
+            new = self._recall(words.difference(self.known))
+            size = self._size(new, len(new))
         self._learn(new)
         self.held += size
         get = self.known.__getitem__
         out = [b"".join(map(get, words)) for words in split]
-        for w in [w for w in new if len(w) > LONG_WORD]:
+        for w in [w for w in words if len(w) > LONG_WORD]:
             del self.known[w]
         return out
 
