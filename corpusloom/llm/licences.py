@@ -162,7 +162,8 @@ def scan(docs: DataFrame, text: str = "text", doc: str = "doc_id") -> DataFrame:
     k1, k2 = row_keys(doc, text)
 
     def digests(of: Column) -> Column:
-        short = F.filter(F.transform(F.split(of, "\n"), _joined), lambda x: F.char_length(x).between(1, longest))
+        near = F.filter(F.split(of, "\n"), lambda x: F.char_length(x).between(1, 2 * longest + 4))  # in canonical form two spaces stand for one
+        short = F.filter(F.transform(near, _joined), lambda x: F.char_length(x).between(1, longest))
         return F.struct(digest(of).alias("digest"), F.transform(short, lambda x: F.sha2(x, 256)).alias("lines"))
 
     rows = docs.select(F.col(doc).alias("doc"), k1.alias("k1"), k2.alias("k2"), let(canonical(F.col(text)), digests).alias("d"))
