@@ -6,8 +6,8 @@ verified word by word, and then its span, or its document, goes.
 
 The set is broadcast while its number of windows is at most
 ``MAX_BROADCAST`` and it takes no more than ``MAX_BROADCAST_BYTES``; a larger one is joined by a shuffle on the window's hash,
-whose hot keys adaptive execution splits. Only hits ever travel: texts move
-once, and only where a document has hits to verify.
+whose hot keys adaptive execution splits. Only hits ever travel, and the texts
+of documents that have hits to verify.
 
 Defined cases: null and empty texts have no words and no hits; an item of fewer
 words than a window counts as one window of its own length; an item without
@@ -21,21 +21,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import fresh, let, lower_ascii, row_keys
+from corpusloom.llm.common import cut, fresh, let, lower_ascii, row_keys
 
 WINDOW = 10
 WORD_BYTES = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
 #: What stands between words before A-Z become a-z.
 NOT_WORD = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
-ITEM_WORD = rf"[^{WORD_BYTES}]+"
+ITEM_WORD = rf"[^{WORD_BYTES}]++"
 #: Windows that are broadcast, and bytes of their words and items.
 MAX_BROADCAST, MAX_BROADCAST_BYTES = 200_000, 64 << 20
+#: Documents with hits whose keys are broadcast, so that no other text is shuffled; more of them are joined by a shuffle.
+MAX_HIT_KEYS = 1_000_000
 
 
 def words(text: Column) -> Column:
     return F.regexp_extract_all(lower_ascii(F.coalesce(text, F.lit(""))), F.lit(ITEM_WORD), F.lit(0))
 
 
+def count_words(text: Column) -> Column:
+    """How many words there are, by a text of their first characters: no word is made for it."""
+    firsts = F.regexp_replace(F.coalesce(text, F.lit("")), rf"[{NOT_WORD}]*+([^{NOT_WORD}])[^{NOT_WORD}]*+|[{NOT_WORD}]++\z", "$1")
+    return F.char_length(firsts).cast("long")
+
+
 def _window(array: Column, start: Column, length: Column) -> Column:
     return F.slice(array, start + 1, length)
 
@@ -93,7 +101,9 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc: str = "
         known = F.broadcast(known)
     keyed = docs.select(F.col(text).alias("text"), *[k.alias(n) for k, n in zip(row_keys(doc, text), ("k1", "k2"), strict=True)])
     hits = probes(keyed, ["k1", "k2"], "text", sorted(r["len"] for r in sizes)).join(known, ["h", "len"])
-    per_doc = hits.groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "words", "items")).alias("hits"))
+    per_doc = cut(hits.groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "words", "items")).alias("hits")), "hits")
+    if per_doc.count() <= MAX_HIT_KEYS:
+        keyed = keyed.join(F.broadcast(per_doc.select("k1", "k2")), ["k1", "k2"], "left_semi")
     checked = keyed.join(per_doc, ["k1", "k2"]).select(
         "k1", "k2", let(words(F.col("text")), lambda w: F.filter(F.col("hits"), lambda x: _window(w, x["at"], F.size(x["words"])) == x["words"])).alias("hits")
     )
@@ -106,7 +116,7 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc: str = "
 def report(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc: str = "doc_id", **options) -> DataFrame:
     """Of every document: doc, n_words, n_hit, n_items, items (sorted strings) and contaminated."""
     keys = row_keys(doc, text)
-    base = docs.select(F.col(doc), F.regexp_count(lower_ascii(F.coalesce(F.col(text), F.lit(""))), F.lit(ITEM_WORD)).cast("long").alias("n_words"), keys[0].alias("k1"), keys[1].alias("k2"))
+    base = docs.select(F.col(doc), count_words(F.col(text)).alias("n_words"), keys[0].alias("k1"), keys[1].alias("k2"))
     found = find(docs, benchmark, text, doc, **options)
     none = F.array().cast("array<string>")
     return base.join(found, ["k1", "k2"], "left").select(
