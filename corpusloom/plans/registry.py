@@ -112,16 +112,22 @@ def pool_topk(spark, sf_dir):
     return pools.select("qid", F.array_join("docnos", ",").alias("docnos"), F.size("docnos").cast("long").alias("size"))
 
 
+#: Items whose texts are broadcast to the documents' windows; more of them are joined by a shuffle.
+MAX_BROADCAST_ITEMS = 20_000
+
+
 def _holders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """qid, docno, rel: of all documents those that hold the whole text of an item, by its words, whatever a run found."""
+    hashed = lambda w: F.transform(w, lambda x: F.xxhash64(x))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("docno"), words(F.col("text")).alias("_w"))
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), words(F.col("text")).alias("_q")).filter(F.size("_q") > 0)
     line = lambda w: F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
-    firsts = asked.withColumn("_n", F.least(F.size("_q"), F.lit(10))).select("qid", "_n", F.xxhash64(F.slice("_q", 1, F.col("_n"))).alias("_h"), line(F.col("_q")).alias("_q"))
-    lengths = [r[0] for r in firsts.select("_n").distinct().collect()]  # ten at most
+    firsts = asked.withColumn("_n", F.least(F.size("_q"), F.lit(10))).select("qid", "_n", F.xxhash64(F.slice(hashed(F.col("_q")), 1, F.col("_n"))).alias("_h"), line(F.col("_q")).alias("_q"))
+    lengths = {r[0]: r[1] for r in firsts.groupBy("_n").count().collect()}  # ten at most
     at = lambda w, n: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.struct(F.lit(n).alias("_n"), F.xxhash64(F.slice(w, i, n)).alias("_h")))).otherwise(F.array().cast("array<struct<_n:int,_h:bigint>>"))
-    starts = F.concat(*[at(F.col("_w"), n) for n in lengths]) if lengths else F.array().cast("array<struct<_n:int,_h:bigint>>")
-    met = docs.select("docno", F.explode(F.array_distinct(starts)).alias("_s")).select("docno", "_s.*").join(firsts, ["_n", "_h"])
+    starts = F.concat(*[at(F.col("_w"), n) for n in sorted(lengths)]) if lengths else F.array().cast("array<struct<_n:int,_h:bigint>>")
+    small = F.broadcast if sum(lengths.values()) <= MAX_BROADCAST_ITEMS else lambda df: df
+    met = docs.select("docno", hashed(F.col("_w")).alias("_w")).select("docno", F.explode(starts).alias("_s")).select("docno", "_s.*").join(small(firsts), ["_n", "_h"]).distinct()
     held = met.join(docs.select("docno", line(F.col("_w")).alias("_d")), "docno").filter(F.contains("_d", "_q"))
     return held.select("qid", "docno", F.lit(1).alias("rel")).distinct()
 
