@@ -122,6 +122,65 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, d.doc_id)
 FROM docs d LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
 """
 
+_WORDS11 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP11 = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS d, doc_id, {_WORDS11} AS w FROM documents
+), totals AS (
+  SELECT count(*) FILTER (len(w) > 0) AS total_n, sum(len(w))::BIGINT AS total_l FROM docs
+), counts AS (
+  SELECT d, any_value(doc_id) AS doc_id, term, any_value(n) AS n, count(*) AS tf FROM (SELECT d, doc_id, len(w) AS n, unnest(w) AS term FROM docs) GROUP BY d, term
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * any_value(total_n) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM counts, totals GROUP BY term
+), asked AS (
+  SELECT row, item_id, term, count(*) AS times FROM (SELECT row_number() OVER () AS row, item_id, unnest({_WORDS11}) AS term FROM benchmark) GROUP BY row, item_id, term
+), scores AS (
+  SELECT row, item_id, d, doc_id, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * total_n) // total_l))))::BIGINT AS score
+  FROM asked JOIN counts USING (term) JOIN weights USING (term), totals GROUP BY row, item_id, d, doc_id
+), ranked AS (
+  SELECT item_id, (row_number() OVER (PARTITION BY row ORDER BY score DESC, doc_id NULLS LAST))::INTEGER AS rank, doc_id, score FROM scores WHERE score > 0
+)
+SELECT * FROM ranked WHERE rank <= 20
+"""
+
+OP12 = OP9.replace(">= 75 *", ">= 80 *").replace(", coalesce(component_id, d.doc_id) = d.doc_id AS kept", "")
+
+#: The checksum goes byte by byte over a table that a rule makes.
+OP13 = r"""
+WITH RECURSIVE bits AS (
+  SELECT list(c ORDER BY i) AS crc FROM (SELECT i, list_reduce([i::BIGINT, 1, 2, 3, 4, 5, 6, 7, 8], lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) AS t(i))
+), runs AS (
+  SELECT doc_id, word, count(*) AS times FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS word FROM documents WHERE text IS NOT NULL
+  ) WHERE length(word) >= 5 GROUP BY doc_id, word
+), hashed AS MATERIALIZED (
+  SELECT doc_id, word, times, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, len(b), 2), lambda i: 16 * instr('0123456789ABCDEF', b[i]) + instr('0123456789ABCDEF', b[i + 1]) - 17)), lambda c, x: xor(crc[(xor(c, x) & 255) + 1], c >> 8))) AS h
+  FROM (SELECT doc_id, word, times, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || word)) AS b, crc FROM runs, bits)
+), words AS MATERIALIZED (
+  SELECT word, sum(times)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 97 = 0 THEN substring(word, 1, (h % length(word))::INTEGER) || substring(word, (h % length(word))::INTEGER + 2) ELSE word END AS word, times FROM hashed
+  ) WHERE length(word) >= 5 GROUP BY word HAVING sum(times) >= 3
+), cuts AS MATERIALIZED (
+  SELECT DISTINCT word, n, p, substring(word, 1, p) || substring(word, p + 2) AS rest FROM words, unnest(range(length(word))) AS t(p)
+), pairs AS MATERIALIZED (
+  SELECT x.word AS word, y.word AS other, y.n AS other_n FROM cuts x JOIN cuts y ON x.rest = y.rest AND x.p = y.p AND x.word <> y.word
+  UNION SELECT w.word, c.word, c.n FROM words w JOIN cuts c ON w.word = c.rest
+  UNION SELECT c.word, w.word, w.n FROM words w JOIN cuts c ON w.word = c.rest
+), best AS (
+  SELECT word, count(*) AS n_near, min({'n': -other_n, 'word': other}) AS top FROM pairs GROUP BY word
+), near AS MATERIALIZED (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -top.n >= 2 * n THEN top.word END AS form, CASE WHEN -top.n >= 2 * n THEN -top.n END AS form_n FROM words LEFT JOIN best USING (word)
+), forms AS MATERIALIZED (
+  SELECT word, form FROM near WHERE form IS NOT NULL
+), ways AS (
+  SELECT word, form AS root, 1 AS step FROM forms
+  UNION ALL SELECT w.word, f.form, step + 1 FROM ways w JOIN forms f ON f.word = w.root
+), last AS (
+  SELECT word, arg_max(root, step) AS root FROM ways GROUP BY word
+)
+SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n::BIGINT AS form_n FROM near LEFT JOIN last USING (word)
+"""
+
 ORACLE = {
     "op1_line_dedup": OP1,
     "op2_substring_dedup": OP2,
@@ -129,4 +188,7 @@ ORACLE = {
     "op4_decontamination": OP4,
     "quality_figures": FIGURES,
     "op9_near_dedup": OP9,
+    "op11_lexical_search": OP11,
+    "op12_jaccard_join": OP12,
+    "op13_spelling_variants": OP13,
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from corpusloom.llm import chat, decontaminate, html_text, licences, line_dedup, near_dedup, pieces, quality, substring_dedup, token_store
+from corpusloom.llm import chat, decontaminate, html_text, lexical, licences, line_dedup, near_dedup, pieces, quality, spelling, substring_dedup, token_store, trie_join
 from corpusloom.llm.common import new_path, sha256_hex, table
 from corpusloom.llm.oracle import ORACLE  # noqa: F401  for the entry point
 
@@ -64,6 +64,18 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_xxhash64"), F.char_length("decoded").cast("long").alias("n_chars_decoded"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_join.groups(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("doc", "doc_id")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def quality_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The figures of op7 that don't hang on its model, which SQL can check."""
     docs = table(spark, sf_dir, "documents").select("doc_id", quality.features(F.col("text")).alias("x"))
@@ -72,5 +84,5 @@ def quality_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_substring_dedup, op3_html_extraction, op4_decontamination, op5_licence_scan, op6_chat_formatting, op7_quality_rules, op8_token_store, op9_near_dedup, op10_sentencepiece, quality_figures)
+    for f in (op1_line_dedup, op2_substring_dedup, op3_html_extraction, op4_decontamination, op5_licence_scan, op6_chat_formatting, op7_quality_rules, op8_token_store, op9_near_dedup, op10_sentencepiece, op11_lexical_search, op12_jaccard_join, op13_spelling_variants, quality_figures)
 }
