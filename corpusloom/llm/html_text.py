@@ -9,259 +9,31 @@ sliding window of lines, which passes over what is outside and doesn't reach
 across the ends of such an element, rise steeply where the article starts and
 fall to next to nothing where it ends; between the surge and the dive lies the text.
 Every such stretch counts, and so do the other lines of the elements that hold most of
-a window that surges. An article or main element with a surge is kept but for window-long runs
-of links.
+a window that surges, and all lines of an article or main element with a surge: headings, short
+paragraphs and lists of links in it are part of it. Left out there are only runs of a window's length or
+more of lines that are links and in no list.
 
 Defined cases: a null, empty or text-free page has an empty text; tags left
-open end with their parent; a page cut off inside a tag or comment loses that
-rest; repeated pages are each extracted; an empty table gives an empty result;
+open end with their parent; a page cut off inside a comment loses that rest; stray quotes end with their tag; repeated pages are each extracted; an empty table gives an empty result;
 extra columns pass through.
 """
 
 from __future__ import annotations
 
-import html as entities
-import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from corpusloom.llm.common import fresh, ship
+from corpusloom.sources.content import parse
 
 #: Lines in a window, the characters a window needs to count as a surge, and those below which it is a dive.
 WINDOW, SURGE, DIVE = 3, 80, 20
 #: What a character in an article or main element weighs against one outside of it.
 WEIGHT = 3
 
-BLOCKS = frozenset(
-    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
-    "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody tfoot thead tr ul caption search".split()
-)
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-SPACED = frozenset("br td th img".split())
-#: Elements that hold paragraphs; the lines of one stay together.
-HOLDERS = frozenset("article blockquote center details div main section td".split())
-#: Elements whose text never belongs to an article.
-OUTSIDE = frozenset(
-    "aside audio button canvas datalist dialog fieldset footer form head header iframe input label legend math menu meter nav noembed noframes noscript "
-    "object optgroup option output progress script search select style svg template textarea title video xmp".split()
-)
-#: Words in class and id attributes that say the same, alone or in a compound with each other or the words of BESIDE.
-OUTSIDE_WORDS = frozenset(
-    "ad ads adbox advert advertisement advertisements adverts adslot adsense banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies copyright "
-    "disclaimer discussion disqus dropdown feedback footer form gdpr header hidden legal login masthead menu modal nav navbar navigation navi newsletter notice notices notification "
-    "pager pagination popup popover promo promoted promotion recommended recommendations related replies reply respond responses rss search share sharing sidebar sidenav "
-    "signin signup skip social sponsor sponsored subscribe subscription tags toc toolbar topbar topnav tracking widget widgets warning alert".split()
-)
-BESIDE = frozenset(
-    "site page main top bottom left right primary secondary global mobile user post article entry box block list section area wrapper wrap container bar inner content "
-    "item items unit panel link links text message title form and".split()
-)
-#: Of these words those that a paragraph of an article may have.
-MILD_WORDS = frozenset("alert copyright disclaimer legal notice notices notification share sharing social tags warning".split())
-#: Those of which the elements hold articles of their own.
-LIST_WORDS = frozenset(
-    "comment comments commentlist discussion disqus promo promoted promotion recommended recommendations related replies reply respond responses sidebar sidenav sponsored widget widgets".split()
-)
-#: Elements with such a word in each other that are told apart; what lies deeper counts as part of the last of them.
-DEEPEST = 50
-TEXT_ELEMENTS = frozenset("b blockquote cite code dd dt em h1 h2 h3 h4 h5 h6 i li p pre q span strong td u".split())
-OUTSIDE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation note search status toolbar".split())
-IMPLIED_END = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: Block elements that end an open paragraph.
-ENDS_P = BLOCKS - {"body", "html", "caption", "tbody", "tfoot", "thead", "tr", "option", "optgroup", "legend"}
-ENDS_AT = frozenset("article aside blockquote body div dl footer form header html main nav ol section table td th ul".split())
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s>/]*)((?:\"[^\"]*\"|'[^']*'|[^>])*+)(?:>|\Z)", re.S)
-_raw_end = lru_cache(len(RAW))(lambda tag: re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I))
-_ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
-
-
-def _class_words(value: str) -> set[str]:
-    """Of a class or id attribute the words that mark its element: whole names, or compounds of known words only."""
-    out = set()
-    for name in value.split():
-        parts = [w.lower() for w in _PART.findall(name)]
-        told = OUTSIDE_WORDS.intersection(parts)
-        if told and all(w in OUTSIDE_WORDS or w in BESIDE for w in parts) and not (parts[0] in ("post", "article", "entry") and "header" in told):
-            out |= told
-    return out
-
-
-def _outside(tag: str, rest: str, in_article: bool) -> tuple[bool, str]:
-    """Whether an element never belongs to an article, and what it is if it doesn't unless it holds one: "part" or "list"."""
-    if tag in OUTSIDE and tag != "form":
-        return True, ""
-    kind = "part" if tag == "form" else ""
-    if tag in ("body", "html", "article", "main") or not rest or rest.isspace():
-        return False, kind
-    for name, *values in _ATTRIBUTE.findall(rest):
-        name, value = name.lower(), "".join(values)
-        if name in ("class", "id"):
-            told = _class_words(value)
-            if in_article and tag in TEXT_ELEMENTS:
-                told -= MILD_WORDS
-            if told:
-                kind = "list" if kind == "list" or told & LIST_WORDS else "part"
-        elif name == "role":
-            if value.lower() in OUTSIDE_ROLES:
-                return True, ""
-        elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True, ""
-        elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True, ""
-    return False, kind
-
-
-def _main(tag: str, rest: str) -> bool:
-    return tag in ("article", "main") or (bool(rest) and re.search(r"role\s*=\s*[\"']?(?:main|article)\b|itemprop\s*=\s*[\"']?articleBody\b", rest, re.I) is not None)
-
-
-#: Of a line: whether it is outside, the number of its article or 0, the elements around it that are outside unless they hold the article.
-State = tuple[bool, int, tuple[int, ...]]
-
-
-class _Lines:
-    """Lines of a page: text, characters of it in links, state, the number of the element that holds it or 0."""
-
-    def __init__(self) -> None:
-        self.rows: list[tuple[str, int, State, int]] = []
-        self.text: list[str] = []
-        self.linked = self.holder = 0
-        self.state: State = (False, 0, ())
-
-    def add(self, text: str, link: bool, state: State, holder: int) -> None:
-        if state != self.state:
-            if text.isspace():
-                return
-            self.end()
-            self.state = state
-        if not self.text:
-            self.holder = holder
-        self.text.append(text)
-        self.linked += len(text) if link else 0
-
-    def end(self) -> None:
-        if self.text:
-            text = " ".join(entities.unescape("".join(self.text)).split())
-            if text:
-                self.rows.append((text, self.linked, self.state, self.holder))
-        self.text, self.linked = [], 0
-
-
-class _Stack:
-    """Open elements: tag, state, in a link, holder.
-
-    Each scope, which an element of ENDS_AT opens, counts the open tags in it, so
-    that looking for one that isn't there takes no walk.
-    """
-
-    def __init__(self) -> None:
-        self.rows: list[tuple[str, State, bool, int]] = []
-        self.all: Counter[str] = Counter()
-        self.scopes: list[tuple[int, Counter[str]]] = [(0, Counter())]  # place of its element, tags above it
-
-    def top(self) -> tuple[State, bool, int]:
-        return self.rows[-1][1:] if self.rows else ((False, 0, ()), False, 0)
-
-    def push(self, tag: str, state: State, link: bool, holder: int) -> None:
-        if tag in ENDS_AT:
-            self.scopes.append((len(self.rows), Counter()))
-        else:
-            self.scopes[-1][1][tag] += 1
-        self.all[tag] += 1
-        self.rows.append((tag, state, link, holder))
-
-    def close(self, tags: set[str] | frozenset[str], beyond: bool = False) -> None:
-        """End the last open element of ``tags`` and what is in it; one outside of the scope only if ``beyond``."""
-        at, inside = self.scopes[-1]
-        around = len(self.scopes) > 1 and self.rows[at][0] in tags
-        if not around and not any(inside[t] for t in tags) and not (beyond and any(self.all[t] for t in tags)):
-            return
-        while True:
-            tag = self.rows.pop()[0]
-            self.all[tag] -= 1
-            if tag in ENDS_AT:
-                self.scopes.pop()
-            else:
-                self.scopes[-1][1][tag] -= 1
-            if tag in tags:
-                return
-
-
-def lines(page: str) -> list[tuple[str, int, int, int]]:
-    """Of the lines that aren't outside: text, characters of it in links, the number of its article or 0, of its holder or 0."""
-    out, stack = _Lines(), _Stack()
-    at, articles, holders = 0, 0, 0
-    doubtful: list[tuple[str, bool]] = []  # of elements that a word marks: kind, whether in an article
-    state, link, holder = stack.top()
-    while at < len(page):
-        m = _TOKEN.search(page, at)
-        if m is None:
-            out.add(page[at:], link, state, holder)
-            break
-        if m.start() > at:
-            out.add(page[at : m.start()], link, state, holder)
-        at, tag = m.end(), (m[2] or "").lower()
-        if not tag:
-            continue
-        if tag in BLOCKS:
-            out.end()
-        elif tag in SPACED:
-            out.add(" ", False, state, holder)
-        if m[1]:
-            stack.close({tag}, beyond=tag in ENDS_AT)
-        else:
-            if ends := IMPLIED_END.get(tag, set()) | ({"p"} if tag in ENDS_P else set()):
-                stack.close(ends)
-            if tag in RAW:
-                end = _raw_end(tag).search(page, at)
-                at = end.end() if end else len(page)
-            elif tag not in VOID and not m[3].endswith("/"):
-                (outside, article, around), linked, inner = stack.top()
-                surely, kind = _outside(tag, m[3], article > 0)
-                if kind:
-                    doubtful.append((kind, article > 0))
-                    around = (*around, len(doubtful) - 1) if len(around) < DEEPEST else around
-                if not article and _main(tag, m[3]):
-                    article = articles = articles + 1
-                if tag in HOLDERS:
-                    inner = holders = holders + 1
-                stack.push(tag, (outside or surely, article, around), linked or tag == "a", inner)
-        state, link, holder = stack.top()
-    out.end()
-    held = _held(out.rows, doubtful)
-    return [(text, linked, article, holder) for text, linked, (outside, article, around), holder in out.rows if not outside and held.issuperset(around)]
-
-
-def _held(rows: list[tuple[str, int, State, int]], doubtful: list[tuple[str, bool]]) -> set[int]:
-    """The elements that a word marks but that hold an article, or, on a page without one, most of its text.
-
-    Lists (of comments, of other stories) do so only if no article, or no text, is elsewhere.
-    """
-    if not doubtful:
-        return set()
-    size = [0 if outside else max(len(text) - linked, 0) for text, linked, (outside, _, _), _ in rows]
-    seen = any(n and article and not around for n, (_, _, (_, article, around), _) in zip(size, rows, strict=True))
-    share, articles = [0] * len(doubtful), [False] * len(doubtful)
-    for n, (_, _, (_, article, around), _) in zip(size, rows, strict=True):
-        for e in around:
-            share[e] += n
-            articles[e] |= n > 0 and article > 0 and not doubtful[e][1]
-    holds = {e for e, (kind, _) in enumerate(doubtful) if articles[e] and (kind == "part" or not seen)}
-    seen = seen or bool(holds)
-    if seen:
-        return holds
-    left = sum(n for n, (_, _, (_, _, around), _) in zip(size, rows, strict=True) if not around)
-    return {e for e, (kind, _) in enumerate(doubtful) if 2 * share[e] > sum(size) and (kind == "part" or left < SURGE)}
-
-
 def _size(text: str, linked: int, article: int, marked: bool) -> int:
     if article:
         return WEIGHT * max(len(text) - linked, 0)
@@ -273,13 +45,13 @@ def _sums(size: list[int], article: list[int]) -> list[int]:
     return [sum(n for n, a in zip(size[i : i + WINDOW], article[i : i + WINDOW], strict=True) if a == article[i]) for i in range(len(size))]
 
 
-def _link_runs(size: list[int], article: list[int]) -> set[int]:
-    """Lines of articles in runs of at least a window of lines that are links only."""
+def _link_runs(size: list[int], article: list[int], listed: list[bool]) -> set[int]:
+    """Lines of articles in runs of at least a window of lines that are links only and in no list: they never surge."""
     out, run = set(), []
-    for i, (n, a) in enumerate(zip(size, article, strict=True)):
-        if n or not a or (run and article[run[-1]] != a):
+    for i, (n, a, item) in enumerate(zip(size, article, listed, strict=True)):
+        if n or not a or item or (run and article[run[-1]] != a):
             run = []
-        if not n and a:
+        if not n and a and not item:
             run.append(i)
             if len(run) >= WINDOW:
                 out.update(run)
@@ -287,7 +59,8 @@ def _link_runs(size: list[int], article: list[int]) -> set[int]:
 
 
 def main_text(page: str | None) -> str:
-    rows = lines(page or "")
+    parsed = parse(page or "")
+    rows = parsed.lines
     article = [a for _, _, a, _ in rows]
     marked = any(article)
     size = [_size(text, linked, a, marked) for text, linked, a, _ in rows]
@@ -309,7 +82,7 @@ def main_text(page: str | None) -> str:
                     held.add(rows[i][3])
             i += 1
         whole.add(article[start])
-    links = _link_runs(size, article)
+    links = _link_runs(size, article, parsed.listed)
     keep |= {k for k, (_, _, a, holder) in enumerate(rows) if (a in whole and k not in links if a else size[k] and holder in held)}
     return "\n\n".join(rows[k][0] for k in sorted(keep))
 
@@ -326,4 +99,5 @@ def extract(pages: DataFrame, html: str = "html", text: str = "text", n_chars: s
             texts = [main_text(x.as_py()) for x in batch.column(len(keep))]
             yield pa.record_batch([*batch.columns[: len(keep)], pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=schema.names)
 
-    return pages.select(*[pages[c] for c in keep], pages[html].alias("_html")).mapInArrow(work, schema)
+    (page,) = fresh(pages, "html")
+    return pages.select(*[pages[c] for c in keep], pages[html].alias(page)).mapInArrow(work, schema)

@@ -1,10 +1,12 @@
 """Pages whose main text is known: articles beside stories, wrappers, parted sections."""
 
 import random
+from html.parser import HTMLParser
 
 import pytest
 
 from corpusloom.llm import html_text
+from corpusloom.llm.html_text import main_text
 from tests.llm.conftest import LOREM
 
 PROSE = ("a sentence of ordinary prose goes here. " * 4).strip()
@@ -100,3 +102,65 @@ def test_density_decides_what_is_kept(monkeypatch):
     assert "story" in dense and "Stray" not in dense and "Teaser" not in dense and "more" not in dense
     monkeypatch.setattr(html_text, "SURGE", 1)
     assert "Stray" in html_text.main_text(page) and "Teaser" in html_text.main_text(page)
+
+
+class _Reader(HTMLParser):
+    """Texts of the paragraphs, by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__()
+        self.texts, self.at = [], None
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "p":
+            self.at = []
+
+    def handle_startendtag(self, tag, attrs):  # a paragraph doesn't end with />
+        self.handle_starttag(tag, attrs)
+
+    def handle_endtag(self, tag):
+        if tag == "p" and self.at is not None:
+            self.texts.append(" ".join("".join(self.at).split()))
+            self.at = None
+
+    def handle_data(self, data):
+        if self.at is not None:
+            self.at.append(data)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_hostile_markup_is_read_as_the_standard_parser_reads_it(seed):
+    r = random.Random(seed)
+    odd = ['class="a""', "data-a=it's", "title='say \"x\"'", 'title="it\'s"', 'x="1"y="2"', "a=b\"c", "'", '"', "=x", "data-x = 'a > b'", "b= c", "a='", "/", "checked", 'href="?a=1&b=2"', "style=color:red;"]
+    page = []
+    for i in range(6):
+        attributes = " ".join(r.choice([o for o in odd if o != "a='"]) for _ in range(r.randrange(0, 4)))
+        page.append(f"<p {attributes}>Paragraph {i} holds some forty words it's said, {' and more'.join('of them' for _ in range(12))} \"end\".</p>\n")
+    page = "<html><body><article>" + "".join(page) + "</article></body></html>"
+    reader = _Reader()
+    reader.feed(page)
+    assert main_text(page).split("\n\n") == reader.texts
+
+
+def test_one_stray_quote_loses_no_text():
+    body = "This paragraph has words enough to be an article, and then some more of them to be sure."
+    for tag in ('<p class="a"">', "<p data-a=it's>", '<p ">', "<p =\">"):
+        page = f"<body>{tag}{body}</p><p title=\"x\">It's {body}</p></body>"
+        assert main_text(page) == f"{body}\n\nIt's {body}", tag
+
+
+def test_deep_nesting_lists_of_links_and_compound_classes():
+    body = "This paragraph has words enough to be an article, and then some more of them to be sure."
+    deep = "".join(f'<div class="sidebar-{i}">' for i in range(300))
+    assert main_text(f"<article><p>{body}</p>{deep}<p>hidden {body}</p>{'</div>' * 300}<p>{body}</p></article>") == f"{body}\n\n{body}"
+    refs = "".join(f'<li><a href="/{i}">Reference number {i}</a></li>' for i in range(5))
+    assert main_text(f"<article><p>{body}</p><p>{body}</p><ul>{refs}</ul></article>").endswith("Reference number 3\n\nReference number 4")
+    for name in ("comment-thread-1", "user-comments-v2", "gdpr-layer", "cookieBanner3"):
+        assert main_text(f'<article><p>{body}</p><p>{body}</p></article><div class="{name}"><p>Reader says {body}</p><p>{body}</p></div>') == f"{body}\n\n{body}", name
+    assert main_text(f'<div class="page-with-sidebar"><p>{body}</p><p>{body}</p></div>') == f"{body}\n\n{body}"
+
+
+def test_extract_takes_any_column_names(spark):
+    df = spark.createDataFrame([(1, "<p>" + "word " * 40 + "</p>", "a", "b")], "page_id long, html string, _html string, text string")
+    row = html_text.extract(df).first()
+    assert row["_html"] == "a" and row["text"] == "b" and row["_text"].startswith("word word")
