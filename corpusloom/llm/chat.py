@@ -16,13 +16,14 @@ message keys. No conversation is ever gathered in one task.
 Defined cases: a null text counts as empty; null conversations and turns are
 values of their own; messages equal in conversation, turn, role and text count as one;
 a message never answers a later one or itself; messages without links start
-threads of their own; an empty table gives an empty result; extra columns stay
+threads of their own, whatever their turns; a thread longer than a part goes on in
+further parts by rank; an empty table gives an empty result; extra columns stay
 out.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import SPACE_CLASS, cut, let
@@ -120,7 +121,8 @@ def link_messages(talk: DataFrame, conversation: str = "conv_id", turn: str = "t
     Columns: conversation, turn, role, reply_to (turn of the message it
     answers, null if none), thread (turn of the thread's first message), depth,
     n_quoted (quoted lines), n_linked (quoted passages with an original), text (without
-    quotations) and chat (the same, formatted). A conversation reads by thread, then turn.
+    quotations), chat (the same, formatted), root (the key of the thread's first message) and
+    message (its own key). A conversation reads by thread, then turn.
     """
     said = cut(messages(talk, conversation, turn, role, text), "messages")
     links = cut(reply_links(said), "replies")
@@ -128,18 +130,33 @@ def link_messages(talk: DataFrame, conversation: str = "conv_id", turn: str = "t
     n_quoted = F.size(F.filter("lines", lambda x: (x["level"] > 0) & ~x["body"].rlike(_BLANK))).cast("long")
     return out.select(
         F.col("conv").alias(conversation), F.col("turn").alias(turn), F.col("role").alias(role), F.col("at").alias("reply_to"), "thread", F.col("depth").cast("long").alias("depth"), n_quoted.alias("n_quoted"),
-        F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), F.col("own").alias(text), format_turn(F.col("role"), F.col("own")).alias("chat"),
+        F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), F.col("own").alias(text), format_turn(F.col("role"), F.col("own")).alias("chat"), "root", F.col("key").alias("message"),
     )
 
 
+def ranked(linked: DataFrame, turn: str = "turn") -> DataFrame:
+    """``linked`` with place: how many messages of its thread come before each, by turn, then key.
+
+    Messages are put in order over all partitions, so that a thread of any length is ranked by as many tasks as it fills.
+    """
+    row = cut(linked.repartitionByRange("root", turn, "message").sortWithinPartitions("root", turn, "message").withColumn("_row", F.monotonically_increasing_id()), "ranked")
+    slot = F.shiftright("_row", 33).alias("_slot")
+    runs = row.groupBy("root", slot).agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy("root").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition that the thread fills
+    offsets = runs.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    placed = row.withColumn("_slot", slot).join(offsets, ["root", "_slot"])
+    return placed.withColumn("place", F.col("_before") + F.col("_row") - F.col("_first")).drop("_row", "_slot", "_first", "_n", "_before")
+
+
 def in_order(linked: DataFrame, conversation: str = "conv_id", turn: str = "turn", block: int = 1000) -> DataFrame:
-    """Whole threads in reply order: conversation, thread, part and messages, an array of structs of turn, chat and the other columns.
+    """Whole threads in reply order: conversation, thread, root, part and messages, an array of structs of place, turn, chat and the other columns.
 
-    A thread longer than ``block`` turns is given in parts, numbered from 0, so that no row grows with it.
+    A thread of more than ``block`` messages is given in parts, numbered from 0, so that no row grows with it.
     """
-    part = F.coalesce(F.floor((F.col(turn) - F.col("thread")) / block), F.lit(0)).alias("part")
-    inside = [turn, "chat", *[c for c in linked.columns if c not in (conversation, turn, "thread", "chat")]]
-    return linked.groupBy(conversation, "thread", part).agg(F.array_sort(F.collect_list(F.struct(*inside))).alias("messages"))
+    placed = ranked(linked, turn)
+    inside = ["place", turn, "chat", *[c for c in linked.columns if c not in (conversation, turn, "thread", "chat", "root")]]
+    inner = [F.pmod("place", F.lit(block)).alias("place"), *inside[1:]]
+    return placed.withColumn("part", F.floor(F.col("place") / block)).groupBy(conversation, "thread", "root", "part").agg(F.array_sort(F.collect_list(F.struct(*inner))).alias("messages"))
 
 
 def conversations(linked: DataFrame, conversation: str = "conv_id", turn: str = "turn", block: int = 1000) -> DataFrame:

@@ -39,8 +39,9 @@ def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each message, from the conversations that are built of them: its thread's part, and its place in there."""
     linked = chat.link_messages(table(spark, sf_dir, "conversations"))
-    built = chat.in_order(linked).select("conv_id", "thread", "part", F.posexplode("messages").alias("place", "m"))
-    return built.select(*[F.col(c) if c in ("conv_id", "thread") else F.col(f"m.{c}") for c in linked.columns], "part", F.col("place").cast("long").alias("place"))
+    built = chat.in_order(linked).select("conv_id", "thread", "root", "part", F.explode("messages").alias("m"))
+    own = ("conv_id", "thread", "root")
+    return built.select(*[F.col(c) if c in own else F.col(f"m.{c}") for c in linked.columns], "part", "m.place")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
