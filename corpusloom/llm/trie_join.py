@@ -1,9 +1,11 @@
 """N-gram Jaccard join by a prefix tree over globally ordered sets.
 
 Every document is the set of its hashed word n-grams. The n-grams have one
-order over the whole corpus, rarer ones first (by a sketch of all counts; any order gives the
-same links, this one the fewest candidates). Two sets that are similar enough share one of
-their first n-grams: of n, those up to n - ceil(n * PERCENT / 100) + 1.
+order over the whole corpus, by how many distinct sets have them (counts from HOT on are one), then by hash. They are counted
+exactly: all of them travel once, packed, by ranges, and those that several sets have go
+back to their sets. What a set has alone comes first in its order and meets nothing, so it needs no place in a trie. Two
+sets that are similar enough share one of their first n-grams: of n, those up to n - ceil(n * PERCENT / 100) + 1; a set that
+shares less than PERCENT of its own has no link.
 
 Sets that such shared beginnings connect, directly or through others, form a
 cluster, and all links lie within clusters. A set travels to its cluster's task once. There the
@@ -18,8 +20,7 @@ level, many at a time, in numpy.
 Documents with equal sets are one node from the start. A cluster with more n-grams
 than LIMIT is done in turns: the trie of a bounded part of it (of those not in its largest class)
 goes to several tasks, each of which walks a part of its sets through it. Those in the trie are then
-finished, and what is left is clustered anew by beginnings that different classes share.
-Nothing is capped or dropped.
+finished, and the others go on while their cluster has several classes. Nothing is capped or dropped.
 
 Defined cases: a null or empty text, or one of white space, has no n-grams and
 is linked with nothing; fewer words than an n-gram are one n-gram; rows with a null
@@ -36,7 +37,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import cut, scratch, ship, spread_join
@@ -46,8 +47,13 @@ from corpusloom.llm.near_dedup import components
 SHINGLE = 5
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 80
-#: Counters of the sketch that orders n-grams.
-SKETCH_BITS = 18
+SEEDS = (0x1234567, 0xABCDEF987)
+#: Bits of hashes that n-grams are told apart by.
+TOKEN_BITS = 56
+#: Counts up to which n-grams are ordered; so many sets of a chunk with one n-gram make it a hot one.
+HOT = 64
+#: N-grams that a task deals out at a time, and of a range, about.
+CHUNK, RANGE = 4 << 20, 2 << 20
 #: N-grams of a cluster that one task joins at a time.
 LIMIT = 1 << 21
 #: Nodes whose ids are broadcast to pick texts; more of them are joined by a shuffle.
@@ -63,77 +69,172 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
 
 
 def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, n and two hashes of each set; at the end, in a row of n = -1, how many n-grams fall on each counter."""
-    kind = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("sketch", pa.binary())])
-    counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+    """doc, n and two hashes of each set."""
     for batch in batches:
         for a, texts in _texts(batch):
             sets = list(shingle_sets(texts, SHINGLE))
-            counts += np.bincount((np.concatenate(sets) & U(len(counts) - 1)).astype(np.int64), minlength=len(counts))
-            n = np.array([len(s) for s in sets], dtype=np.int64)
-            hashes = [np.array([mix(s ^ U(seed)).sum(dtype=U) for s in sets], dtype=U).view(np.int64) for seed in (0x1234567, 0xABCDEF987)]
-            yield pa.record_batch([batch.column(0).slice(a, len(texts)), pa.array(n), *map(pa.array, hashes), pa.nulls(len(texts), pa.binary())], schema=kind)
-    if counts.any():
-        yield pa.record_batch([pa.array([x], f.type) for x, f in zip((None, -1, 0, 0, counts.astype("<i8").tobytes()), kind, strict=True)], schema=kind)
+            hashes = [np.array([_set_hash(s, seed) for s in sets], dtype=U).view(np.int64) for seed in SEEDS]
+            yield pa.record_batch([batch.column(0).slice(a, len(texts)), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, hashes)], names=["doc", "n", "s1", "s2"])
 
 
-_SLICES = 64
+def _set_hash(s: np.ndarray, seed: int) -> int:
+    return int(mix(s ^ U(seed)).sum(dtype=U)) if len(s) else 0
 
 
-def _add_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of the sketches' slices, in a stream: one array for each slice is held."""
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            part = np.frombuffer(x.as_buffer(), dtype="<i8")
-            sums[k] = sums[k] + part if k in sums else part
-    for k, x in sums.items():
-        yield pa.record_batch([pa.array([k], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["slice", "counts"])
+#: Rows between the steps that count n-grams: a place (a range of n-grams, or a bucket of sets), a kind, and packed arrays.
+_PACKED = "place int, kind int, x binary, y binary, z binary"
+_ENTRY, _HOT, _COUNT, _SIZE = range(4)
+
 
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    place, kind, *data = zip(*rows, strict=True)
+    return pa.record_batch([pa.array(place, pa.int32()), pa.array(kind, pa.int32()), *[pa.array(c, pa.binary()) for c in data]], names=["place", "kind", "x", "y", "z"])
 
-def frequency_levels(signed: DataFrame) -> np.ndarray:
-    """Of each counter, how much more than the mean it has, as a power of two; 2 ** SKETCH_BITS bytes, whatever the corpus."""
-    width = (1 << SKETCH_BITS) // _SLICES * 8
-    parts = signed.filter("n = -1").select(F.explode(F.sequence(F.lit(0), F.lit(_SLICES - 1))).alias("slice"), "sketch")
-    parts = parts.select("slice", F.substring("sketch", F.col("slice") * width + 1, F.lit(width)).alias("counts"))
-    total = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-    for r in parts.repartition(_SLICES, "slice").mapInArrow(_add_up, "slice int, counts binary").collect():  # one row for each slice
-        total[r["slice"] * width // 8 :][: width // 8] = np.frombuffer(r["counts"], dtype="<i8")
-    more = total / max(total.mean(), 1)
-    return np.where((more >= 2) & (total >= 16), np.log2(np.maximum(more, 1)), 0).astype(np.uint8)
 
+def _bytes(x: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of numbers, all first bytes, then all second ones: equal ones lie together for compression."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
-def _ordered(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """The set as ordered numbers: the level of each n-gram, then 58 bits of its hash."""
-    return np.sort((levels[(s & U(len(levels) - 1)).astype(np.int64)].astype(U) << U(58)) | (s >> U(6)))
 
+def _numbers(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), dtype=np.uint8)
+    out[:, :width] = np.frombuffer(data, dtype=np.uint8).reshape(width, -1).T
+    return out.reshape(-1).view("<u8")
 
-def beginning(n: int) -> int:
-    """How many of a set's first n-grams meet one of a similar set's."""
-    return n - (n * PERCENT + 99) // 100 + 1
 
+def _deal(ranges: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The n-grams of sets (num, s1, text), each with its set's number, by ranges of n-grams.
+
+    An n-gram that HOT sets of one chunk have isn't sent to its range set by set: its entries go to any range, as
+    ones whose count is HOT, and their number to its own.
+    """
+    bits = ranges.bit_length() - 1
+
+    def rows_of(tokens: np.ndarray, nums: np.ndarray, salt: int) -> Iterator[tuple]:
+        by = np.argsort(tokens, kind="stable")
+        tokens, nums = tokens[by], nums[by]
+        first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+        times = np.diff(np.append(first, len(tokens)))
+        hot = np.repeat(times >= HOT, times)
+        if hot.any():
+            yield salt % ranges, _HOT, _bytes(tokens[hot], 7), _bytes(nums[hot], 5), b""
+            known, many = tokens[first[times >= HOT]], times[times >= HOT]
+            for place in np.unique(known >> U(TOKEN_BITS - bits)).tolist():
+                own = known >> U(TOKEN_BITS - bits) == U(place)
+                yield place, _COUNT, _bytes(known[own], 7), _bytes(many[own], 5), b""
+            tokens, nums = tokens[~hot], nums[~hot]
+        ends = np.searchsorted(tokens >> U(TOKEN_BITS - bits), np.arange(ranges + 1, dtype=U))
+        for place in np.flatnonzero(np.diff(ends)).tolist():
+            a, b = ends[place], ends[place + 1]
+            yield place, _ENTRY, _bytes(tokens[a:b], 6), _bytes(nums[a:b], 5), b""
 
-def _beginnings(levels: np.ndarray) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, nums, size, chunks = [], [], 0, 0
         for batch in batches:
-            for a, texts in _texts(batch):
-                sets = [_ordered(s, levels)[: beginning(len(s))] for s in shingle_sets(texts, SHINGLE)]
-                node = np.repeat(batch.column(0).slice(a, len(texts)).to_numpy(), [len(s) for s in sets])
-                yield pa.record_batch([pa.array(np.concatenate(sets).view(np.int64)), pa.array(node)], names=["token", "node"])
+            raw = [x or b"" for x in batch.column(2).cast(pa.binary()).to_pylist()]
+            for a, b in byte_runs([len(x) + 1 for x in raw]):
+                for num, s1, s in zip(batch.column(0)[a:b].to_pylist(), batch.column(1)[a:b].to_pylist(), shingle_sets(raw[a:b], SHINGLE), strict=True):
+                    if len(s) and np.array(_set_hash(s, SEEDS[0]), dtype=U).view(np.int64) == s1:  # another text of the id isn't this set
+                        sets.append(s >> U(64 - TOKEN_BITS))
+                        nums.append(num)
+                        size += len(s)
+                if size >= CHUNK:
+                    yield _packed(list(rows_of(np.concatenate(sets), np.repeat(np.array(nums), [len(s) for s in sets]), nums[0] + chunks)))
+                    sets, nums, size, chunks = [], [], 0, chunks + 1
+        if sets:
+            yield _packed(list(rows_of(np.concatenate(sets), np.repeat(np.array(nums), [len(s) for s in sets]), nums[0] + chunks)))
+
+    return run
+
+
+def _places(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """Rows (kind, x, y, z) of each place; rows come in order of places."""
+    last, held = None, []
+    for batch in batches:
+        for place, *row in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
+            if place != last and held:
+                yield last, held
+                held = []
+            last = place
+            held.append(row)
+    if held:
+        yield last, held
+
+
+def _shared(ranges: int, buckets: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of each range the n-grams that several sets have, with their counts up to HOT in front, by buckets of sets."""
+    bits = ranges.bit_length() - 1
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for place, rows in _places(batches):
+            top = U(place >> (bits - 8)) << U(48)
+            none = np.zeros(0, dtype=U)
+            of = lambda kind, k, width: np.concatenate([none, *[_numbers(r[k], width) for r in rows if r[0] == kind]])  # noqa: B023, E731
+            tokens, nums = of(_ENTRY, 1, 6) | top, of(_ENTRY, 2, 5)
+            by = np.argsort(tokens, kind="stable")
+            tokens, nums = tokens[by], nums[by]
+            first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, dtype=np.int64)
+            times = np.diff(np.append(first, len(tokens)))
+            known = of(_COUNT, 1, 7)  # of these n-grams a chunk alone has HOT
+            level = np.where(np.isin(tokens[first], known), HOT, np.minimum(times, HOT))
+            level = np.repeat(level, times)
+            keep = level > 1
+            tokens = np.concatenate([tokens[keep] | (level[keep].astype(U) << U(TOKEN_BITS)), of(_HOT, 1, 7) | U(HOT << TOKEN_BITS)])
+            nums = np.concatenate([nums[keep], of(_HOT, 2, 5)])
+            by = np.lexsort((nums, nums % U(buckets)))
+            tokens, nums = tokens[by], nums[by]
+            ends = np.searchsorted(nums % U(buckets), np.arange(buckets + 1, dtype=U))
+            out = [(bucket, _ENTRY, _bytes(tokens[a:b], 8), _bytes(nums[a:b], 5), b"") for bucket, (a, b) in enumerate(zip(ends, ends[1:], strict=False)) if b > a]
+            if out:
+                yield _packed(out)
 
     return run
 
 
-def _full_sets(levels: np.ndarray) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _sizes(buckets: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sizes of sets (num, n), by buckets of sets."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, texts in _texts(batch):
-                sets = [_ordered(s, levels).tobytes() for s in shingle_sets(texts, SHINGLE)]
-                yield pa.record_batch([batch.column(0).slice(a, len(texts)), pa.array(sets, pa.binary())], names=["node", "items"])
+            num, n = (batch.column(c).to_numpy() for c in range(2))
+            if len(num):
+                yield _packed([(b, _SIZE, _bytes(num[num % buckets == b], 5), _bytes(n[num % buckets == b], 5), b"") for b in np.unique(num % buckets).tolist()])
 
     return run
 
 
+def _able(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node (its number), n and items, in order, of sets that share enough of their n-grams with others to have a link."""
+    for _, rows in _places(batches):
+        none = np.zeros(0, dtype=U)
+        of = lambda kind, k, width: np.concatenate([none, *[_numbers(r[k], width) for r in rows if r[0] == kind]])  # noqa: B023, E731
+        items, nums = of(_ENTRY, 1, 8), of(_ENTRY, 2, 5)
+        sized, n = of(_SIZE, 1, 5), of(_SIZE, 2, 5)
+        by = np.argsort(sized)
+        sized, n = sized[by], n[by].astype(np.int64)
+        by = np.lexsort((items, nums))
+        items, nums = items[by], nums[by]
+        own, first, k = np.unique(nums, return_index=True, return_counts=True)
+        n = n[np.searchsorted(sized, own)]
+        able = np.flatnonzero(k * 100 >= n * PERCENT)
+        for at in range(0, len(able), 1000):
+            some = able[at : at + 1000]
+            yield pa.record_batch([pa.array(own[some].astype(np.int64)), pa.array(n[some]), pa.array([items[first[i] : first[i] + k[i]].tobytes() for i in some], pa.binary())], names=["node", "n", "items"])
+
+
+def beginning(n: int, k: int) -> int:
+    """How many of a set's k shared n-grams are among its first n-grams, of which similar sets share one; its own n-grams come before them."""
+    return max(0, n - (n * PERCENT + 99) // 100 + 1 - (n - k))
+
+
+def _beginnings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        items = [np.frombuffer(x.as_buffer(), dtype=np.int64) for x in batch.column(2)]
+        items = [x[: beginning(n, len(x))] for n, x in zip(batch.column(1).to_pylist(), items, strict=True)]
+        node = np.repeat(batch.column(0).to_numpy(), [len(x) for x in items])
+        yield pa.record_batch([pa.array(np.concatenate([*items, np.zeros(0, dtype=np.int64)])), pa.array(node)], names=["token", "node"])
+
+
 def need(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """The least intersection of sets of n and m that makes a link."""
     return (PERCENT * (n + m) + 99 + PERCENT) // (100 + PERCENT)
@@ -146,7 +247,7 @@ class Trie:
     An edge has at most SEGMENT tokens. Leaves are in order, so that an edge's are a range.
     """
 
-    def __init__(self, sets: list[np.ndarray], n: np.ndarray, groups: np.ndarray):
+    def __init__(self, sets: list[np.ndarray], n: np.ndarray, groups: np.ndarray, n_groups: int):
         keys = [s.astype(">u4").tobytes() for s in sets]
         self.order = np.array(sorted(range(len(sets)), key=lambda i: (groups[i], keys[i])), dtype=np.int64)
         self.tokens = np.concatenate([*sets, np.zeros(0, dtype=np.int64)]).astype(np.int64)
@@ -192,7 +293,7 @@ class Trie:
         by = np.argsort(parent, kind="stable")
         self.children, owner = by, parent[by]
         self.child_from, self.child_to = np.searchsorted(owner, np.arange(len(first))), np.searchsorted(owner, np.arange(len(first)), side="right")
-        g = -1 - np.arange(int(groups.max(initial=0)) + 1)
+        g = -1 - np.arange(n_groups)
         self.top_from, self.top_to = np.searchsorted(owner, g), np.searchsorted(owner, g, side="right")
         n, k = n[self.order], np.array([len(sets[i]) for i in self.order], dtype=np.int64)
         if len(first):
@@ -233,13 +334,14 @@ class _Classes:
         return np.array([self.find(x) for x in range(len(self.up))], dtype=np.int64)
 
 
-def join_groups(items: list[np.ndarray], labels: np.ndarray, pivots: np.ndarray, groups: np.ndarray) -> list[tuple[int, int]]:
+def join_groups(items: list[np.ndarray], n: np.ndarray, labels: np.ndarray, pivots: np.ndarray, groups: np.ndarray) -> list[tuple[int, int]]:
     """Links (positions) that join the classes of sets, between pivots and all sets of their group.
 
-    Of links between sets that others connect already, none is given. Groups are numbers from 0, in order.
+    ``items`` are those of a set's n n-grams that other sets have too. Of links between sets that others connect
+    already, none is given. Groups are numbers from 0, in order.
     """
-    n = np.array([len(x) for x in items], dtype=np.int64)
-    flat, owner = np.concatenate(items), np.repeat(np.arange(len(items)), n)
+    size = np.array([len(x) for x in items], dtype=np.int64)
+    flat, owner = np.concatenate(items), np.repeat(np.arange(len(items)), size)
     of_group = groups[owner]
     # dense tokens: by group, how many of its sets have them, then their order; those of one set alone meet nothing
     by = np.lexsort((flat, of_group))
@@ -261,7 +363,7 @@ def join_groups(items: list[np.ndarray], labels: np.ndarray, pivots: np.ndarray,
     k = np.where(able, k, 0)
     begin = np.concatenate([[0], np.cumsum(k)])
     chosen = np.flatnonzero(pivots & able)
-    trie = Trie([dense[begin[i] : begin[i + 1]] for i in chosen], n[chosen], groups[chosen])
+    trie = Trie([dense[begin[i] : begin[i + 1]] for i in chosen], n[chosen], groups[chosen], int(groups.max()) + 1)
     leaves = chosen[trie.order]
     walk = _Walk(trie, leaves, n, k, begin, dense, groups)
     classes, links = _Classes(labels), []
@@ -349,40 +451,55 @@ class _Walk:
 
 
 def _join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links a, b of rows cluster, part, node, label, pivot, items, which come in order of cluster and part."""
+    """Links a, b of rows cluster, part, node, label, pivot, n, items, which come in order of cluster and part."""
 
     def answer(held: list[tuple]) -> pa.RecordBatch:
         groups = np.cumsum([0, *(x[:2] != y[:2] for x, y in zip(held, held[1:], strict=False))])
-        links = join_groups([np.frombuffer(x[5], dtype=U) for x in held], np.array([x[3] for x in held]), np.array([x[4] for x in held]), groups)
-        pairs = np.array([(held[i][2], held[j][2]) for i, j in links], dtype=np.int64).reshape(-1, 2)
+        _, _, node, label, pivot, n, items = zip(*held, strict=True)
+        links = join_groups([np.frombuffer(x, dtype=U) for x in items], np.array(n), np.array(label), np.array(pivot), groups)
+        pairs = np.array([(node[i], node[j]) for i, j in links], dtype=np.int64).reshape(-1, 2)
         return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     held: list[tuple] = []
     size = 0
     for batch in batches:
-        rest = zip(*(batch.column(c).to_pylist() for c in range(5)), batch.column(5), strict=True)
-        for *x, items in rest:
-            if size > LIMIT // 2 and held[-1][:2] != tuple(x[:2]):
+        for row in zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True):
+            if size > LIMIT // 2 and held[-1][:2] != row[:2]:
                 yield answer(held)
                 held, size = [], 0
-            held.append((*x, items.as_buffer().to_pybytes()))
-            size += len(held[-1][5]) // 8
+            held.append(row)
+            size += len(row[6]) // 8
     if held:
         yield answer(held)
 
 
-def _pick(docs: DataFrame, nodes: DataFrame, max_broadcast: int) -> DataFrame:
-    """Rows of ``docs`` (node, text) with one of the nodes."""
-    few = nodes.limit(max_broadcast + 1).count() <= max_broadcast
-    return docs.join(F.broadcast(nodes) if few else nodes, "node", "left_semi")
+def _clusters(rows: DataFrame) -> DataFrame:
+    """node, cluster of the nodes whose beginnings (token, node) meet others'."""
+    met = rows.groupBy("token").agg(F.min("node").alias("centre"), F.count("*").alias("rows")).filter("rows > 1")
+    kept = spread_join(rows, cut(met, "tokens"), ["token"], "rows")
+    return components(kept.filter("centre != node").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()).withColumnRenamed("label", "cluster")
+
 
+def shared_sets(texts: DataFrame, nodes: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """node (a number), n, items of the sets (num, node, s1, n) that share most of their n-grams with others.
+
+    All n-grams of distinct sets travel once, packed, to be counted, and those that several sets have go back to their
+    sets. The row count of the first is that of chunks times ranges, which both grow with the input.
+    """
+    total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    ranges = 1 << max(8, (total // RANGE).bit_length())
+    buckets = ranges // 4
+    on = nodes.select("node", "num", "s1")
+    few = on.limit(max_broadcast + 1).count() <= max_broadcast
+    picked = texts.join(F.broadcast(on) if few else on, "node").select("num", "s1", "text")
+    dealt = picked.mapInArrow(_deal(ranges), _PACKED)
+    told = _in_order(dealt).mapInArrow(_shared(ranges, buckets), _PACKED)
+    sizes = nodes.select("num", "n").mapInArrow(_sizes(buckets), _PACKED)
+    return cut(_in_order(told.unionByName(sizes)).mapInArrow(_able, "node long, n long, items binary"), "sets")
 
-def _clusters(rows: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
-    """Of rows token, node and others: those of tokens with more than one value of ``by``; and node, cluster of their nodes."""
-    mixed = rows.groupBy("token").agg(F.min("node").alias("centre"), F.min(by).alias("_low"), F.max(by).alias("_high"), F.count("*").alias("rows")).filter("_low < _high")
-    kept = cut(spread_join(rows, cut(mixed.select("token", "centre", "rows"), "tokens"), ["token"], "rows").drop("rows"), "beginnings")
-    stars = kept.filter("centre != node").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    return kept.drop("centre"), components(stars).withColumnRenamed("label", "cluster")
+
+def _in_order(rows: DataFrame) -> DataFrame:
+    return rows.repartition("place").sortWithinPartitions("place")
 
 
 def _placed(members: DataFrame, limit: int, turn: int) -> DataFrame:
@@ -400,30 +517,37 @@ def _placed(members: DataFrame, limit: int, turn: int) -> DataFrame:
     return joined.select("node", "cluster", "label", pivot.alias("pivot"), part.alias("parts"))
 
 
-def _links(texts: DataFrame, nodes: DataFrame, levels: np.ndarray, max_broadcast: int, limit: int) -> list[DataFrame]:
-    """All links that join classes: a, b."""
-    picked = _pick(texts, nodes.select("node").distinct(), max_broadcast)
-    rows = cut(picked.mapInArrow(_beginnings(levels), "token long, node long"), "beginnings")
-    sizes = nodes.groupBy("node").agg(F.sum("n").alias("n"))
+def links(sets: DataFrame, limit: int = LIMIT, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """a, b: links between sets (node, n, items) that join all classes."""
+    clusters = cut(_clusters(cut(sets.mapInArrow(_beginnings, "token long, node long"), "beginnings")), "clusters")
+    sizes = sets.select("node", F.length("items").alias("n"))
     found: list[DataFrame] = []
-    rows, clusters = _clusters(rows, "node")
-    labels, turn = None, 0
-    while not clusters.isEmpty():
-        members = clusters.join(sizes, "node").withColumn("label", F.col("node"))
-        if labels is not None:
-            members = members.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    members, turn = clusters.join(sizes, "node").withColumn("label", F.col("node")), 0
+    while True:
         placed = cut(_placed(members, limit, turn), "placed")
-        sets = _pick(texts, placed.select("node"), max_broadcast).mapInArrow(_full_sets(levels), "node long, items binary")
-        sent = sets.join(placed.withColumn("part", F.explode("parts")), "node").select("cluster", "part", "node", "label", "pivot", "items")
+        few = placed.limit(max_broadcast + 1).count() <= max_broadcast
+        sent = sets.join(F.broadcast(placed) if few else placed, "node").withColumn("part", F.explode("parts")).select("cluster", "part", "node", "label", "pivot", "n", "items")
         found.append(cut(sent.repartition("cluster", "part").sortWithinPartitions("cluster", "part").mapInArrow(_join, "a long, b long"), "links"))
-        waiting = placed.filter("not pivot").select("node")
+        waiting = placed.filter("not pivot").select("node", "cluster")
+        every = reduce(DataFrame.unionByName, found)
         if waiting.isEmpty():
-            break
-        labels = components(reduce(DataFrame.unionByName, found)).select("node", "label")
-        left = cut(rows.select("token", "node").join(waiting, "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "left")
-        rows, clusters = _clusters(left, "label")
-        turn += 1
-    return found
+            return every
+        labels = components(every).select("node", "label")
+        left = waiting.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        mixed = left.groupBy("cluster").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).filter("_low < _high").select("cluster")
+        members, turn = cut(left.join(mixed, "cluster", "left_semi").join(sizes, "node"), "left"), turn + 1
+        if members.isEmpty():
+            return every
+
+
+def _numbered(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with num, from 0 without gaps: places in the files' partitions, after those of the partitions before."""
+    rows = cut(nodes.withColumn("_id", F.monotonically_increasing_id()), "nodes")
+    slot = F.shiftright("_id", 33)
+    counts = rows.groupBy(slot.alias("_slot")).agg(F.count("*").alias("_n"))  # a row for each partition
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = rows.withColumn("_slot", slot).join(F.broadcast(counts.withColumn("_before", before)), "_slot")
+    return cut(numbered.withColumn("num", F.col("_before") + F.col("_id") - F.shiftleft("_slot", 33)).drop("_id", "_slot", "_n", "_before"), "numbered")
 
 
 def groups(docs: DataFrame, text: str = "text", doc: str = "doc_id", max_broadcast: int = MAX_BROADCAST, limit: int = LIMIT) -> DataFrame:
@@ -434,16 +558,17 @@ def groups(docs: DataFrame, text: str = "text", doc: str = "doc_id", max_broadca
     spark = docs.sparkSession
     ship(spark)
     texts = docs.select(F.col(doc).cast("long").alias("node"), F.col(text).cast("string").alias("text"))
-    every = cut(texts.mapInArrow(_sign, "doc long, n long, s1 long, s2 long, sketch binary"), "signed")
-    signed = every.filter("n >= 0").drop("sketch")
+    signed = cut(texts.mapInArrow(_sign, "doc long, n long, s1 long, s2 long"), "signed")
     full = signed.filter("n > 0 and doc is not null")
-    nodes = cut(full.groupBy("s1", "s2").agg(F.min("doc").alias("node"), F.min("n").alias("n"), F.count("*").alias("rows")), "nodes")
+    nodes = _numbered(full.groupBy("s1", "s2").agg(F.min("doc").alias("node"), F.min("n").alias("n"), F.count("*").alias("rows")))
     with scratch(spark):
-        found = _links(texts, nodes.select("node", "n"), frequency_levels(every), max_broadcast, limit)
+        by_number = links(shared_sets(texts, nodes, max_broadcast), limit, max_broadcast)
+        name = lambda c: nodes.select(F.col("num").alias(f"{c}_"), F.col("node").alias(c))
+        found = by_number.select(F.col("a").alias("a_"), F.col("b").alias("b_")).join(name("a"), "a_").join(name("b"), "b_").select("a", "b")
         same_id = _of_sets(full, nodes.select("s1", "s2", "node", "rows")).select(F.col("doc").alias("a"), F.col("node").alias("b")).filter("a != b")
         repeated = full.groupBy("doc").agg(F.min("s1").alias("x"), F.max("s1").alias("y")).filter("x != y").select(F.col("doc").alias("a"))
         extra = same_id.join(repeated, "a", "left_semi")  # an id with several texts joins their nodes
-        labels = cut(components(reduce(DataFrame.unionByName, found, extra)), "labels", inner=False)
+        labels = cut(components(found.unionByName(extra)), "labels", inner=False)
     named = cut(nodes.select("s1", "s2", "node", "rows").join(labels, "node", "left").select("s1", "s2", F.coalesce("label", "node").alias("component"), "rows"), "components")
     known = F.when((F.col("n") > 0) & F.col("doc").isNotNull(), F.col("component")).otherwise(F.col("doc"))
     return _of_sets(signed, named).select("doc", F.col("n").alias("n_shingles"), known.alias("component_id"))

@@ -1,6 +1,7 @@
 """Plain Python versions of the contracts, for small inputs."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -96,7 +97,7 @@ def shingles9(t):
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
 
 
-def op9(rows):
+def op9(rows, percent=75):
     sets = {d: shingles9(t) for d, t in rows}
     has, parent = defaultdict(list), {d: d for d in sets}
 
@@ -115,7 +116,7 @@ def op9(rows):
                 if (a, b) not in seen:
                     seen.add((a, b))
                     n = len(sets[a] & sets[b])
-                    if 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n):
+                    if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n):
                         x, y = sorted((top(a), top(b)))
                         parent[y] = x
     return {d: (len(s), top(d), top(d) == d) for d, s in sets.items()}
@@ -128,3 +129,57 @@ def op8(rows, encode, end=2):
         out[d] = (start, len(ids), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids)))
         start += len(ids)
     return out
+
+
+def terms11(t):
+    return re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+
+
+def op11(rows, items, depth=20):
+    """item_id, rank, doc_id, score, in order; a null id comes after others of equal score."""
+    docs = [(d, Counter(terms11(t))) for d, t in rows]
+    n_docs, length = sum(1 for _, c in docs if c), sum(sum(c.values()) for _, c in docs)
+    df = Counter(w for _, c in docs for w in c)
+    weight = {w: math.floor(1000 * math.log((2 * n_docs + 2) / (2 * k + 1))) for w, k in df.items()}
+    out = []
+    for i, t in items:
+        asked, scores = Counter(terms11(t)), []
+        for d, c in docs:
+            m = 75 + 25 * sum(c.values()) * n_docs // length if length else 0
+            score = sum(times * weight[w] * (1_000_000_000 * c[w] // (1000 * c[w] + 12 * m)) for w, times in asked.items() if c[w])
+            if score > 0:
+                scores.append((-score, d is None, d or 0, d))
+        out += [(i, k, d, -s) for k, (s, _, _, d) in enumerate(sorted(scores, key=lambda x: x[:3])[:depth], 1)]
+    return out
+
+
+def op13(rows, slips=97):
+    n = Counter()
+    for d, t in rows:
+        for w in re.findall("[a-zÀ-ÿ]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")):
+            h = zlib.crc32(f"{'' if d is None else d}:{w}".encode())
+            k = h % len(w)
+            w = w[:k] + w[k + 1 :] if h % slips == 0 else w
+            if len(w) >= 5:
+                n[w] += 1
+    n = {w: c for w, c in n.items() if c >= 3}
+    near, cuts = defaultdict(set), defaultdict(set)
+    for w in n:
+        for p in range(len(w)):
+            rest = w[:p] + w[p + 1 :]
+            cuts[p, rest].add(w)
+            if rest in n:
+                near[w].add(rest)
+                near[rest].add(w)
+    for ws in cuts.values():
+        for w in ws:
+            near[w] |= ws - {w}
+    best = {w: min(near[w], key=lambda x: (-n[x], x)) for w in n if near[w]}
+    form = {w: x for w, x in best.items() if n[x] >= 2 * n[w]}
+    out = {}
+    for w in n:
+        root = w
+        while root in form:
+            root = form[root]
+        out[w] = (form.get(w), root, n[w], len(near[w]), n[form[w]] if w in form else None)
+    return out
