@@ -53,7 +53,7 @@ TOKEN_BITS = 56
 #: Counts up to which n-grams are ordered; so many sets of a chunk with one n-gram make it a hot one.
 HOT = 64
 #: N-grams that a task deals out at a time, and of a range, about.
-CHUNK, RANGE = 4 << 20, 2 << 20
+CHUNK, RANGE = 2 << 20, 2 << 20
 #: N-grams of a cluster that one task joins at a time.
 LIMIT = 1 << 21
 #: Nodes whose ids are broadcast to pick texts; more of them are joined by a shuffle.
