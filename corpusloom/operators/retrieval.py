@@ -1,29 +1,43 @@
 """Ranked retrieval: one index, ten weighting models.
 
-The index is a postings table (term, docno, tf, dl) with its statistics, kept
-in files: built once, queried often. Its files hold whole documents, dealt out by
-their ids in buckets, so that a document's score is summed where its postings lie:
-nothing but each partition's best documents is shuffled. All models are
-expressions over one relation, so that an index serves every one of them. A
-model's weight of a term in a document is computed once, whatever the number of
-queries that ask for the term.
+The index holds blocks: the postings of one term in one slice of the documents. A
+block keeps its largest term frequency and its shortest document, from which every model has a
+bound of its weights. Files lie by shelf, a hash of the term, and by slice, in order of terms: a
+query reads the shelves of its terms only, and a document's score is summed
+where its postings lie, so that nothing but each partition's best documents is shuffled.
+
+A query over many slices first adds up the bounds of its terms in each slice, without reading
+postings, and leaves out slices that can't hold one of the best documents; ranks
+are the same as without. All models are expressions over one relation, so that an index serves
+every one of them.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusloom.session import cut, fresh
+
 K1, B, K3 = 1.2, 0.75, 8.0
 MU, LAMBDA, C = 2500.0, 0.15, 1.0
 DEPTH = 1000
-#: Terms of queries that are broadcast to the postings; more of them are joined by a shuffle.
-MAX_BROADCAST_TERMS = 1_000_000
+#: Terms of queries that are broadcast to the postings, and their bytes; more of them are joined by a shuffle.
+MAX_BROADCAST_TERMS, MAX_BROADCAST_BYTES = 500_000, 32 << 20
+#: Parts that terms are dealt into, and documents of one slice.
+SHELVES, SLICE_DOCS = 32, 1024
+#: From so many slices on, those that can't matter are left out; so many of each query are scored first, for each SLICE_DOCS of its depth.
+PRUNE_SLICES, SEEDS = 64, 4
+#: What scores may differ by for the order of sums and the rounding of ranks.
+SLACK = 1e-5
+#: The catalog's database of the tables of indexes.
+DATABASE = "corpusloom"
 
 
 def _log2(x: Column) -> Column:
@@ -112,13 +126,37 @@ class _Posting:
     avdl: Column
 
 
+def _highest_pl2(p, share: Column) -> Column:
+    """Of the first two terms, the fraction grows with tfn above the mean and falls below it; the third is 0.665 at most."""
+    tfn, lam = _tfn(p), p.cf / p.n
+    return F.greatest((tfn * _log2(tfn / lam) + (lam - tfn) * _LOG_E) / (tfn + 1), lam * _LOG_E) + 0.665
+
+
+def _highest_share(p, share: Column, start: float, rest: float) -> Column:
+    return p.tf / (p.tf + start) * F.greatest(_log2(share * p.avdl * p.n / p.cf), F.lit(0.0)) + rest
+
+
+#: What a block's weights don't exceed, by its largest tf and shortest document (as tf and dl) and its largest tf / dl.
+#: The other models grow with tf and fall with dl: their own weight is the bound. The numbers are what the
+#: Stirling term 0.5 * log2(2 * pi * tf) / (tf + start) has at tf = 1, its largest, rounded up.
+HIGHEST = {"pl2": _highest_pl2, "dph": lambda p, share: _highest_share(p, share, 1, 0.663), "dlh": lambda p, share: _highest_share(p, share, 0.5, 0.884)}
+
+
+def highest(model: str, p, share: Column) -> Column:
+    return F.greatest(HIGHEST[model](p, share) if model in HIGHEST else MODELS[model](p), F.lit(0.0))
+
+
 @dataclass(frozen=True)
 class Index:
-    """postings: term, docno, tf, dl; terms: term, df, cf; stats: one row n, total, avdl."""
+    """blocks: shelf, slice, term, df, cf, top_tf, low_dl, top_share, postings (an array of docno, tf, dl); terms: shelf, term, df, cf; stats: one row n, total, avdl.
 
-    postings: DataFrame
+    ``slices`` is the number of parts that documents are dealt into.
+    """
+
+    blocks: DataFrame
     terms: DataFrame
     stats: DataFrame
+    slices: int
 
 
 def query_terms(queries: DataFrame, tokens: Column, qid: str = "qid") -> DataFrame:
@@ -126,68 +164,143 @@ def query_terms(queries: DataFrame, tokens: Column, qid: str = "qid") -> DataFra
     return queries.select(F.col(qid).alias("qid"), F.explode(tokens).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
 
 
-def build_index(documents: DataFrame, tokens: Column, docno: str = "docno", buckets: int | None = None) -> Index:
+def _shelf(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(SHELVES)).cast("int")
+
+
+def build_index(documents: DataFrame, tokens: Column, docno: str = "docno", slices: int | None = None, buckets: int | None = None) -> Index:
     """The index as a plan, which is run anew by each query; ``write_index`` keeps it.
 
-    Documents are dealt out by their ids once, before their words are counted.
+    Texts travel once, to their slice; words are counted and blocks are made where they are.
     """
-    rows = documents.select(F.col(docno).alias("docno"), tokens.alias("tokens"))
-    dealt = rows.repartition(*([buckets] if buckets else []), "docno")
-    postings = dealt.select("docno", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term")).groupBy("docno", "term", "dl").agg(F.count("*").alias("tf"))
-    length = F.size("tokens").cast("long")
-    stats = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(length), F.lit(0)).alias("total"), F.avg(length).alias("avdl"))
-    return Index(postings, _terms(postings), stats)
+    slices = slices or int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    (own,) = fresh(documents, "slice")
+    dealt = documents.withColumn(own, F.pmod(F.xxhash64(docno), F.lit(slices)).cast("int")).repartition(*([buckets] if buckets else []), own)
+    rows = dealt.select(F.col(own).alias("slice"), F.col(docno).alias("docno"), tokens.alias("tokens"))
+    counted = rows.select("slice", "docno", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("slice", "docno", "term", "dl").agg(F.count("*").cast("int").alias("tf"))
+    figures = [F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("top_tf"), F.min("dl").alias("low_dl"), F.max(F.col("tf") / F.col("dl")).alias("top_share")]
+    blocks = counted.groupBy("slice", "term").agg(*figures, F.collect_list(F.struct("docno", "tf", "dl")).alias("postings")).withColumn("shelf", _shelf(F.col("term")))  # SLICE_DOCS postings or so
+    length = F.size(tokens).cast("long")
+    stats = documents.agg(F.count("*").alias("n"), F.coalesce(F.sum(length), F.lit(0)).alias("total"), F.avg(length).alias("avdl"))
+    return Index(blocks, _terms(blocks), stats, slices)
 
 
-def _terms(postings: DataFrame) -> DataFrame:
-    return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+def _terms(blocks: DataFrame) -> DataFrame:
+    return blocks.groupBy("shelf", "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
 
 
-def write_index(documents: DataFrame, tokens: Column, folder: str, docno: str = "docno", buckets: int | None = None) -> Index:
+def write_index(documents: DataFrame, tokens: Column, folder: str, docno: str = "docno", buckets: int | None = None, slice_docs: int = SLICE_DOCS) -> Index:
     """Build the index, write it to ``folder`` and give it back as it is read from there.
 
     The texts are read once. ``buckets``, by default as many as shuffle partitions, should be such that the
-    postings of one fit in an executor's memory.
+    words of one fit in an executor's memory.
     """
     spark = documents.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    postings = build_index(documents, tokens, docno, buckets).postings
-    kind = postings.schema["docno"].dataType.simpleString()
-    name = _table_name(folder)
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    postings.write.mode("overwrite").format("parquet").bucketBy(buckets, "docno").sortBy("term").option("path", f"{folder}/postings").saveAsTable(name)
-    _terms(spark.table(name)).write.mode("overwrite").parquet(f"{folder}/terms")
     n = documents.select(docno).count()  # documents without words count too
-    total = spark.read.parquet(f"{folder}/terms").agg(F.coalesce(F.sum("cf"), F.lit(0))).first()[0]
-    about = [(n, total, total / n if n else None, buckets, kind)]
-    spark.createDataFrame(about, "n long, total long, avdl double, buckets int, docno string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/about")
+    slices = max(1, -(-n // slice_docs))
+    buckets = min(buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), slices)
+    blocks = build_index(documents, tokens, docno, slices, buckets).blocks
+    kind = blocks.schema["postings"].dataType.elementType["docno"].dataType.simpleString()
+    name = _table_name(spark, folder)
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    blocks.write.mode("overwrite").format("parquet").partitionBy("shelf").bucketBy(buckets, "slice").sortBy("term").option("path", f"{folder}/blocks").saveAsTable(name)
+    _terms(spark.table(name)).repartition("shelf").write.mode("overwrite").partitionBy("shelf").parquet(f"{folder}/terms")
+    total = spark.read.schema("cf long").parquet(f"{folder}/terms").agg(F.coalesce(F.sum("cf"), F.lit(0))).first()[0]
+    about = [(n, total, total / n if n else None, slices, buckets, kind)]
+    spark.createDataFrame(about, "n long, total long, avdl double, slices int, buckets int, docno string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/about")
     return read_index(spark, folder)
 
 
-def _table_name(folder: str) -> str:
-    return f"corpusloom_index_{hashlib.sha256(folder.encode()).hexdigest()[:20]}"
+def _table_name(spark: SparkSession, folder: str) -> str:
+    """Bucketed files need a table; those of indexes are in a database of their own."""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {DATABASE}")
+    return f"{DATABASE}.index_{hashlib.sha256(folder.encode()).hexdigest()[:20]}"
 
 
 def read_index(spark: SparkSession, folder: str) -> Index:
     """An index that ``write_index`` wrote, in this session or another."""
-    about, name = spark.read.parquet(f"{folder}/about"), _table_name(folder)
-    buckets, kind = about.select("buckets", "docno").first()
+    about, name = spark.read.parquet(f"{folder}/about"), _table_name(spark, folder)
+    slices, buckets, kind = about.select("slices", "buckets", "docno").first()
     if not spark.catalog.tableExists(name):
-        spark.sql(f"CREATE TABLE {name} (docno {kind}, term STRING, dl BIGINT, tf BIGINT) USING parquet CLUSTERED BY (docno) SORTED BY (term) INTO {buckets} BUCKETS LOCATION '{folder}/postings'")
-    return Index(spark.table(name), spark.read.parquet(f"{folder}/terms"), about.select("n", "total", "avdl"))
+        columns = f"slice INT, term STRING, df BIGINT, cf BIGINT, top_tf INT, low_dl INT, top_share DOUBLE, postings ARRAY<STRUCT<docno: {kind}, tf: INT, dl: INT>>, shelf INT"
+        spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet PARTITIONED BY (shelf) CLUSTERED BY (slice) SORTED BY (term) INTO {buckets} BUCKETS LOCATION '{folder}/blocks'")
+        spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
+    terms = spark.read.schema("term string, df long, cf long, shelf int").parquet(f"{folder}/terms")
+    return Index(spark.table(name), terms, about.select("n", "total", "avdl"), slices)
+
+
+def forget_index(spark: SparkSession, folder: str) -> None:
+    """Drop the catalog's entry of an index; its files stay."""
+    spark.sql(f"DROP TABLE IF EXISTS {_table_name(spark, folder)}")
+
+
+@dataclass(frozen=True)
+class _Asked:
+    """What a batch of queries needs: its terms' weights, and the shelves that they are on."""
+
+    index: Index
+    model: str
+    terms: DataFrame  # qid, times, term, shelf, df, cf, n, total, avdl
+    small: Callable[[DataFrame], DataFrame]
+
+    def blocks(self, *columns: str) -> DataFrame:
+        return self.index.blocks.select("shelf", "slice", "term", *columns)
+
+
+def _asked(index: Index, queries: DataFrame, model: str) -> _Asked:
+    on = queries.select("qid", "term", query_weight(model, F.col("qtf").cast("double")).alias("times"), _shelf(F.col("term")).alias("shelf"))
+    rows, size, shelves = on.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("term") + 40), F.lit(0)), F.collect_set("shelf")).first()  # SHELVES numbers at most
+    small = F.broadcast if rows <= MAX_BROADCAST_TERMS and size <= MAX_BROADCAST_BYTES else lambda df: df
+    pruned = Index(index.blocks.filter(F.col("shelf").isin(shelves)), index.terms.filter(F.col("shelf").isin(shelves)), index.stats, index.slices)
+    known = pruned.terms.join(small(on), ["shelf", "term"]).crossJoin(F.broadcast(index.stats))  # stats: one row
+    return _Asked(pruned, model, known, small)
+
+
+def _figures(tf: str, dl: str) -> _Posting:
+    return _Posting(*[F.col(c).cast("double") for c in (tf, dl, "df", "cf", "n", "total", "avdl")])
+
+
+def _sums(asked: _Asked, rows: DataFrame) -> DataFrame:
+    """Scores from rows of blocks with what is asked of them (askers: an array of qid, times). A weight is computed once for each posting of a row."""
+    postings = rows.select("slice", "askers", "df", "cf", "n", "total", "avdl", F.explode("postings").alias("x"))
+    p = _figures("x.tf", "x.dl")
+    weighted = postings.select("slice", F.col("x.docno").alias("docno"), MODELS[asked.model](p).alias("weight"), F.explode("askers").alias("q"))
+    return weighted.groupBy("q.qid", "slice", "docno").agg(F.sum(F.col("weight") * F.col("q.times")).alias("score")).select("qid", "docno", "score")
+
+
+_TERM = ("df", "cf", "n", "total", "avdl")
 
 
 def score(index: Index, queries: DataFrame, model: str = "bm25") -> DataFrame:
     """qid, docno, score, of every document that shares a term with the query."""
     if model not in MODELS:
         raise ValueError(f"no weighting model {model!r}; there are {', '.join(MODELS)}")
-    few = queries.limit(MAX_BROADCAST_TERMS + 1).count() <= MAX_BROADCAST_TERMS
-    small = F.broadcast if few else lambda df: df
-    terms = index.terms.join(small(queries.select("term").distinct()), "term", "left_semi").crossJoin(F.broadcast(index.stats))  # stats: one row
-    p = _Posting(*[F.col(c).cast("double") for c in ("tf", "dl", "df", "cf", "n", "total", "avdl")])
-    weighted = index.postings.join(small(terms), "term").select("docno", "term", MODELS[model](p).alias("weight"))
-    asked = queries.select("qid", "term", query_weight(model, F.col("qtf").cast("double")).alias("times"))
-    return weighted.join(small(asked), "term").groupBy("qid", "docno").agg(F.sum(F.col("weight") * F.col("times")).alias("score"))
+    asked = _asked(index, queries, model)
+    by_term = asked.terms.groupBy("shelf", "term", *_TERM).agg(F.collect_list(F.struct("qid", "times")).alias("askers"))
+    return _sums(asked, asked.blocks("postings").join(asked.small(by_term), ["shelf", "term"]))
+
+
+def top(index: Index, queries: DataFrame, model: str = "bm25", depth: int = DEPTH) -> DataFrame:
+    """qid, docno, score, of all documents that may be among the ``depth`` best, and of others.
+
+    The bounds of a slice's blocks, added up over a query's terms, are what no document of the slice exceeds.
+    Slices with the highest are scored first. Those whose sum is below the score of the last document that is then
+    among the best are left out; their postings are neither unpacked nor weighed.
+    """
+    if model not in MODELS:
+        raise ValueError(f"no weighting model {model!r}; there are {', '.join(MODELS)}")
+    asked = _asked(index, queries, model)
+    terms = asked.small(asked.terms)
+    bound = highest(model, _figures("top_tf", "low_dl"), F.col("top_share")) * F.col("times")
+    limits = asked.blocks("top_tf", "low_dl", "top_share").join(terms, ["shelf", "term"]).select("qid", "slice", bound.alias("bound")).groupBy("qid", "slice").agg(F.sum("bound").alias("limit"))
+    best_first = Window.partitionBy("qid").orderBy(F.col("limit").desc(), "slice")
+    seeds = cut(limits.withColumn("place", F.row_number().over(best_first)).filter(F.col("place") <= SEEDS * (1 + depth // SLICE_DOCS)).select("qid", "slice"), "seeds")
+    row = F.array(F.struct("qid", "times")).alias("askers")
+    hits = asked.blocks("postings").join(terms, ["shelf", "term"]).select("qid", "slice", "postings", *_TERM, row)
+    first = _sums(asked, hits.join(asked.small(seeds), ["qid", "slice"], "left_semi"))
+    floor = rank(first, depth, None).filter(F.col("rank") == depth).select("qid", (F.col("score") - SLACK).alias("floor"))
+    able = limits.join(F.broadcast(cut(floor, "floors")), "qid", "left").filter(F.col("floor").isNull() | (F.col("limit") >= F.col("floor")))  # a row for each query
+    return _sums(asked, hits.join(able.select("qid", "slice"), ["qid", "slice"], "left_semi"))
 
 
 def rank(scores: DataFrame, depth: int = DEPTH, digits: int | None = 9) -> DataFrame:
@@ -201,8 +314,10 @@ def rank(scores: DataFrame, depth: int = DEPTH, digits: int | None = 9) -> DataF
 
 
 def search(index: Index, queries: DataFrame, query_tokens: Column, model: str = "bm25", depth: int = DEPTH, qid: str = "qid", digits: int | None = 9) -> DataFrame:
-    """Ranked documents of every query, from an index."""
-    return rank(score(index, query_terms(queries, query_tokens, qid), model), depth, digits)
+    """Ranked documents of every query, from an index. With many slices, those that can't matter are left out."""
+    terms = query_terms(queries, query_tokens, qid)
+    found = top(index, terms, model, depth) if index.slices >= PRUNE_SLICES else score(index, terms, model)
+    return rank(found, depth, digits)
 
 
 def retrieve(documents: DataFrame, queries: DataFrame, doc_tokens: Column, query_tokens: Column, model: str = "bm25", depth: int = DEPTH, docno: str = "docno", qid: str = "qid", digits: int | None = 9) -> DataFrame:

@@ -79,6 +79,17 @@ def drop_folder(spark: SparkSession, folder: str) -> None:
         pass
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores in front until no column of ``df`` has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 _inner: ContextVar[str | None] = ContextVar("inner", default=None)
 
 

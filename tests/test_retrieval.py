@@ -113,3 +113,77 @@ def test_ndcg(spark):
     rel = spark.createDataFrame([("1", "b", 1), ("2", "x", 1)], "qid string, docno string, rel int")
     got = {r["qid"]: r["ndcg"] for r in judging.ndcg(run, rel).collect()}
     assert abs(got["1"] - 1 / math.log2(3)) < 1e-12 and got["2"] == 0.0
+
+
+def generated(spark, n=300):
+    import random
+
+    r = random.Random(5)
+    words_ = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]
+    rows = [(i, " ".join(r.choice(words_[: r.choice((3, 10, 60))]) for _ in range(r.choice((0, 1, 3, 20, 200))))) for i in range(n)]
+    asked = [(q, " ".join(r.choice(words_) for _ in range(r.choice((1, 2, 6))))) for q in range(12)]
+    return spark.createDataFrame(rows, "docno long, text string"), spark.createDataFrame(asked, "qid long, text string")
+
+
+@pytest.fixture(scope="module")
+def small_slices(spark):
+    from corpusloom.session import new_path
+
+    docs, asked = generated(spark)
+    index = retrieval.write_index(docs, words(F.col("text")), new_path(spark, "index"), slice_docs=4)
+    return index, retrieval.query_terms(asked, words(F.col("text")))
+
+
+@pytest.mark.parametrize("model", sorted(retrieval.MODELS))
+def test_slices_that_cannot_matter_change_no_rank(small_slices, model):
+    index, asked = small_slices
+    for depth in (1, 5):
+        found, every = retrieval.top(index, asked, model, depth), retrieval.score(index, asked, model)
+        assert sorted(retrieval.rank(found, depth).collect()) == sorted(retrieval.rank(every, depth).collect())
+
+
+def test_slices_are_left_out(small_slices):
+    index, asked = small_slices
+    assert index.slices == 75
+    assert retrieval.top(index, asked, "bm25", 1).count() < retrieval.score(index, asked, "bm25").count() / 2
+
+
+def test_no_weight_is_above_its_bound(spark):
+    """Blocks of any two documents: their bound is computed from the larger tf, the shorter length and the larger share."""
+    import random
+
+    r = random.Random(3)
+    rows = []
+    for _ in range(4000):
+        n = r.choice((5, 1000, 10**6))
+        df = r.randint(1, n)
+        cf, total = df * r.choice((1, 3, 50)), n * r.choice((60, 300))
+        pair = [(tf, tf + r.choice((0, 1, 10, 500))) for tf in (r.choice((1, 2, 5, 40)) for _ in range(2))]
+        rows.append((*[float(x) for p in pair for x in p], float(max(p[0] for p in pair)), float(min(p[1] for p in pair)), max(a / b for a, b in pair), float(df), float(cf), float(n), float(total), total / n))
+    blocks = spark.createDataFrame(rows, "tf1 double, dl1 double, tf2 double, dl2 double, top_tf double, low_dl double, share double, df double, cf double, n double, total double, avdl double")
+    for model, weight in retrieval.MODELS.items():
+        bound = retrieval.highest(model, retrieval._figures("top_tf", "low_dl"), F.col("share"))
+        above = [weight(retrieval._figures(f"tf{i}", f"dl{i}")) > bound + 1e-9 for i in (1, 2)]
+        assert blocks.filter(above[0] | above[1]).count() == 0, model
+
+
+def test_a_query_reads_the_shelves_of_its_terms_and_sums_where_postings_lie(spark, small_slices):
+    index, _ = small_slices
+    one = spark.createDataFrame([("q", "waa")], "qid string, text string")
+    plan = retrieval.score(index, retrieval.query_terms(one, words(F.col("text"))))._jdf.queryExecution().executedPlan().toString()
+    filters = [x.split("]")[0] for x in plan.split("PartitionFilters: [")[1:]]
+    assert any("shelf#" in x and " = " in x for x in filters)
+    assert not [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "docno" in x]
+    shelves = {r["shelf"] for r in index.blocks.select("shelf").distinct().collect()}
+    assert len(shelves) > 10
+
+
+def test_index_is_read_again_after_the_catalog_forgot_it(spark):
+    from corpusloom.session import new_path
+
+    docs, asked = generated(spark, 50)
+    folder, t = new_path(spark, "index"), words(F.col("text"))
+    first = retrieval.search(retrieval.write_index(docs, t, folder), asked, t).collect()
+    retrieval.forget_index(spark, folder)
+    assert retrieval.search(retrieval.read_index(spark, folder), asked, t).collect() == first
+    assert not [x for x in spark.catalog.listTables("default") if x.name.startswith("corpusloom")]
