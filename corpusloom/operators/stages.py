@@ -8,49 +8,52 @@ import resource
 import time
 from collections.abc import Callable, Mapping
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from corpusloom.operators.tasks import upsert
-from corpusloom.session import cut
+from corpusloom.operators.keyed import KeyedTable, exists
 
 log = logging.getLogger(__name__)
 
 
-def stored(spark: SparkSession, path: str) -> DataFrame | None:
-    """A table written before, or None."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
-
-
 def resume(todo: DataFrame, path: str, key: str, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Records of all rows of ``todo``: those kept at ``path``, and of the rest what ``compute`` gives, which is kept from now on.
 
-    Kept records aren't computed again, nor compared with their input.
+    Kept records aren't computed again, nor compared with their input. A run beside this one may compute the same
+    records; the first to finish counts, and each key has one record. A run that ends early keeps nothing.
     """
-    kept = stored(todo.sparkSession, path)
-    left = todo if kept is None else todo.join(kept.select(key), key, "left_anti")
-    compute(left).write.mode("append").parquet(path)
-    return todo.sparkSession.read.parquet(path).join(todo.select(key).distinct(), key, "left_semi")
+    spark = todo.sparkSession
+    kept = _table_at(spark, path, key)
+    left = todo if kept is None else todo.join(kept.read().select(key), key, "left_anti")
+    made = compute(left)
+    table = kept or KeyedTable(spark, path, made.schema, key)
+    table.merge(made.select(*table.schema.names), keep_old=True)
+    return table.read().join(todo.select(key).distinct(), key, "left_semi")
+
+
+def _table_at(spark: SparkSession, path: str, key: str) -> KeyedTable | None:
+    """The keyed table at ``path`` with the schema of its files, or None."""
+    if not exists(spark, path):
+        return None
+    table = KeyedTable(spark, path, T.StructType(), key)
+    places = table._places(table.version())
+    if not places:
+        return None
+    bucket, label = next(iter(places.items()))
+    return KeyedTable(spark, path, spark.read.parquet(f"{path}/data/v={label}/bucket={bucket}").schema, key)
 
 
 def write_manifest(records: DataFrame, path: str, key: str = "pdf_url") -> DataFrame:
-    """Write records as JSON lines, in the place of those of the same key or beside the others; gives back all."""
-    spark = records.sparkSession
-    try:
-        old = spark.read.schema(records.schema).json(path)
-        records = upsert(old, records, key)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-    whole = cut(records, "manifest")  # before what it was made from is overwritten
-    whole.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
-    return whole
+    """Merge records into the manifest at ``path``, JSON lines in buckets: in the place of those of the same key or beside the others; gives back all.
+
+    Of several records with one key the last by ``ord`` counts, if there is such a column.
+    """
+    order = "ord" if "ord" in records.columns else None
+    schema = T.StructType([f for f in records.schema if f.name != "ord"])
+    table = KeyedTable(records.sparkSession, path, schema, key, format="json")
+    table.merge(records, order=order)
+    return table.read()
 
 
 def write_marker(spark: SparkSession, folder: str, value: str, name: str = "language") -> None:

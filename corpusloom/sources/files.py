@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.operators import keyed
 from corpusloom.operators.tasks import by_confidence
 
 QUERY = "qid string, query string, original_query struct<language:string,description:string,narrative:string>"
@@ -156,7 +157,13 @@ def sections(spark: SparkSession, path: str, volume: str | None = None) -> DataF
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Records of parsed texts with ``ord``, their place among all lines: later ones replace earlier ones."""
+    """Records of parsed texts with ``ord``, their place among all lines: later ones replace earlier ones.
+
+    Of a manifest that ``stages.write_manifest`` keeps, each record is the last of its key already.
+    """
+    if keyed.exists(spark, path):
+        table = keyed.KeyedTable(spark, path, T._parse_datatype_string(MANIFEST), "pdf_url", format="json")
+        return table.read().withColumn("ord", F.struct(F.lit("").alias("_file"), F.lit(0).cast("long").alias("_block"), F.lit(0).cast("long").alias("at")))
     rows = json_lines(spark, path, MANIFEST).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
     return rows.withColumn("ord", F.struct("_file", "_block", F.monotonically_increasing_id())).drop("_file", "_block")
 
