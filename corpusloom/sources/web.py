@@ -6,7 +6,6 @@ import gzip
 import io
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.session import cut, ship
+from corpusloom.sources import content
 
 RESPONSE = "record_id string, url string, content_type string, charset string, body binary, error string"
 PAPER = "section string, section_no int, position int, title string, authors array<string>, pdf_url string"
@@ -64,6 +64,24 @@ def _decoded(body: bytes, head: dict[str, str]) -> bytes:
     return body
 
 
+def response(head: dict[str, str], block: bytes, kinds: set[str] | None = None) -> tuple[str | None, str | None, bytes | None, str | None]:
+    """Content type, charset, body and error of a record's HTTP response; nothing of other records. Bodies of other content types than ``kinds`` aren't decoded."""
+    if head.get("warc-type") != "response" or not head.get("content-type", "").startswith("application/http"):
+        return None, None, None, None
+    top, _, body = block.partition(b"\r\n\r\n")
+    http = _headers(top)
+    kind, _, rest = http.get("content-type", "").partition(";")
+    kind = kind.strip().lower() or None
+    found = re.search(r"charset\s*=\s*[\"']?([\w.:-]+)", rest, re.I)
+    charset = found[1] if found else None
+    if kinds is not None and kind not in kinds:
+        return kind, charset, None, None
+    try:
+        return kind, charset, _decoded(body, http), None
+    except (LookupError, ValueError, OSError, zlib.error) as e:
+        return kind, charset, None, f"{type(e).__name__}: {e}"
+
+
 def responses(data: bytes) -> Iterator[tuple]:
     """Response records of a WARC file. One that can't be decoded has its error instead of a body."""
     for part in _members(data):
@@ -75,17 +93,8 @@ def responses(data: bytes) -> Iterator[tuple]:
             head = _headers(part[start:end])
             at = end + 4 + int(head.get("content-length", "0"))
             block = part[end + 4 : at]
-            if head.get("warc-type") != "response" or not head.get("content-type", "").startswith("application/http"):
-                continue
-            top, _, body = block.partition(b"\r\n\r\n")
-            http = _headers(top)
-            kind, _, rest = http.get("content-type", "").partition(";")
-            charset = re.search(r"charset\s*=\s*[\"']?([\w.:-]+)", rest, re.I)
-            row = (head.get("warc-record-id"), head.get("warc-target-uri"), kind.strip().lower() or None, charset[1] if charset else None)
-            try:
-                yield (*row, _decoded(body, http), None)
-            except (LookupError, ValueError, OSError, zlib.error) as e:
-                yield (*row, None, f"{type(e).__name__}: {e}")
+            if head.get("warc-type") == "response" and head.get("content-type", "").startswith("application/http"):
+                yield head.get("warc-record-id"), head.get("warc-target-uri"), *response(head, block)
 
 
 def archives(spark: SparkSession, path: str) -> list[str]:
@@ -124,66 +133,20 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(work, RESPONSE)
 
 
-class _Text(HTMLParser):
-    """Title and text of a page, without its menus, forms, scripts and comments."""
-
-    OUTSIDE = frozenset("script style nav aside footer form noscript template svg button select textarea iframe head header".split())
-    BLOCKS = frozenset("p div section article main h1 h2 h3 h4 h5 h6 ul ol li table tr blockquote pre dl dt dd figure figcaption br hr body".split())
-    VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.open: list[str] = []  # as they count: hidden elements as aside
-        self.stack: list[str] = []  # as they are named
-        self.counts: Counter[str] = Counter()  # of open elements by name
-        self.title: list[str] = []
-        self.parts: list[str] = []
-
-    def handle_starttag(self, tag, attrs):
-        if tag in self.BLOCKS:
-            self.parts.append("\n")
-        if tag not in self.VOID:
-            named = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role")).lower()
-            hidden = re.search(r"\b(ad|ads|advert\w*|comments?|cookie\w*|sidebar|breadcrumbs?|newsletter|navigation)\b", named)
-            self.open.append("aside" if hidden and tag not in ("body", "html", "article", "main") else tag)
-            self.stack.append(tag)
-            self.counts[tag] += 1
-
-    def handle_endtag(self, tag):
-        if self.counts[tag]:
-            last = None
-            while last != tag:
-                last = self.stack.pop()
-                self.open.pop()
-                self.counts[last] -= 1
-        if tag in self.BLOCKS:
-            self.parts.append("\n")
-
-    def handle_data(self, data):
-        if "title" in self.open:
-            self.title.append(data)
-        elif not self.OUTSIDE.intersection(self.open):
-            self.parts.append(data)
-
-    @classmethod
-    def of(cls, page: str) -> tuple[str, str]:
-        self = cls()
-        self.feed(page)
-        self.close()
-        rows = (" ".join(x.split()) for x in "".join(self.parts).split("\n"))
-        return " ".join("".join(self.title).split()), "\n".join(x for x in rows if x)
-
-
 def main_content(records: DataFrame, body: str = "body", charset: str = "charset") -> DataFrame:
-    """``records`` with title, content and error; the body is read as its charset, else as UTF-8. Errors are kept apart, not raised."""
+    """``records`` with title, content and failure: the lines of the element that holds most of the page's prose (see ``sources.content``).
+
+    The body is read as its charset, else as UTF-8. Errors are kept apart, not raised.
+    """
     ship(records.sparkSession)
     schema = T.StructType([*records.schema.fields, *[T.StructField(n, T.StringType()) for n in ("title", "content", "failure")]])
     i, j = records.columns.index(body), records.columns.index(charset)
 
     def one(data: bytes | None, name: str | None) -> tuple[str | None, str | None, str | None]:
         try:
-            return (*_Text.of((data or b"").decode(name or "utf-8", "replace")), None)
-        except (LookupError, UnicodeError, ValueError, AssertionError) as e:
+            page = content.parse((data or b"").decode(name or "utf-8", "replace"))
+            return page.title, "\n".join(content.densest(page)), None
+        except (LookupError, UnicodeError, ValueError) as e:
             return None, None, f"{type(e).__name__}: {e}"
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +206,7 @@ def build_documents(records: DataFrame, languages: tuple[str, ...] = LANGUAGES)
 class _Tree(HTMLParser):
     """A small element tree: nodes are [tag, attributes, children], texts are strings."""
 
-    VOID = _Text.VOID
+    VOID = content.VOID
 
     def __init__(self, page: str):
         super().__init__(convert_charrefs=True)
