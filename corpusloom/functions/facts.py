@@ -51,3 +51,28 @@ def overlap(left: Column, right: Column) -> Column:
 
 def missing(present: Column, required: Column) -> Column:
     return F.array_sort(F.array_except(_folded(required), _folded(present)))
+
+
+def round_exact(value: Column, digits: int = 3) -> Column:
+    """A double rounded to so many digits by its exact binary value, ties to even, as Python rounds.
+
+    SQL rounds the shortest decimal that reads as the double, which may lie on the other side of a half. Here the double is compared
+    with the double next to the half between two results; where they are equal, with the half itself, by an error-free product.
+    Doubles beyond 2 ** 52 / 10 ** digits have no further digits, and stay.
+    """
+    scale = 10**digits
+    x = F.abs(value)
+    near = F.floor(x * scale + 0.5).cast("double")
+
+    def side(k: Column) -> Column:
+        """Below 0, 0 or above 0 as x is below, on or above the half between k and k + 1."""
+        half = (2 * k + 1) / (2.0 * scale)
+        high = half * 134217729.0 - (half * 134217729.0 - half)  # the upper half of its digits
+        rest = ((2 * k + 1) - 2.0 * scale * high) - 2.0 * scale * (half - high)  # what the half is above its double, times 2 * scale
+        return F.when(x < half, -1).when(x > half, 1).otherwise(-F.signum(rest).cast("int"))
+
+    def up(k: Column) -> Column:
+        return let(side(k), lambda s: (s > 0) | ((s == 0) & (k % 2 == 1)))
+
+    k = F.when(up(near), near + 1).when((near >= 1) & ~up(near - 1), near - 1).otherwise(near)
+    return F.when(x >= 2.0**52 / scale, value).otherwise(F.signum(value) * k / scale)

@@ -132,24 +132,30 @@ def rouge_n(pairs: DataFrame, n: int, stems: bool = True) -> DataFrame:
 
 
 def lcs_length(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence, one row of the table at a time."""
-    row = [0] * (len(b) + 1)
-    for x in a:
-        diagonal = 0
-        for j, y in enumerate(b, 1):
-            diagonal, row[j] = row[j], diagonal + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+    """Length of the longest common subsequence, by the bits of one number: a step takes len(a) / 64 machine words.
 
-
-def rouge_l(pairs: DataFrame) -> DataFrame:
-    """id, rouge: F of the longest common subsequence of stemmed words."""
+    A zero at a place says that the longest subsequence up to there is longer than up to the place before.
+    """
+    places: dict[str, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for y in b:
+        if hit := row & places.get(y, 0):
+            row = (row + hit | row - hit) & full
+    return len(a) - row.bit_count()
+
+
+def rouge_l(pairs: DataFrame, stems: bool = True) -> DataFrame:
+    """id, rouge: F of the longest common subsequence of words, stemmed or with ``stems`` false as they are."""
     ship(pairs.sparkSession)
 
     @F.pandas_udf("long")
     def common(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([lcs_length(list(x), list(y)) for x, y in zip(a, b, strict=True)])
 
-    cut = pairs.select("id", rouge_words(F.col("hypothesis")).alias("hw"), rouge_words(F.col("reference")).alias("rw"))
+    cut = pairs.select("id", rouge_words(F.col("hypothesis"), stems).alias("hw"), rouge_words(F.col("reference"), stems).alias("rw"))
     return cut.select("id", _f(common("hw", "rw"), F.size("hw"), F.size("rw")).alias("rouge"))
 
 

@@ -14,15 +14,13 @@ from __future__ import annotations
 import logging
 from math import lcm
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from corpusloom.functions import titles
+from corpusloom.functions.facts import round_exact
 from corpusloom.functions.links import link_class
-from corpusloom.session import ship
 
 log = logging.getLogger(__name__)
 SECTION = ["parent_venue", "year", "volume", "section_no"]
@@ -131,18 +129,11 @@ def by_confidence(tasks: DataFrame, level: str = "high", task_id: str | None = N
     return one
 
 
-@F.pandas_udf(T.DoubleType())
-def _rounded(values: pd.Series) -> pd.Series:
-    """To three digits of the exact binary value, unlike SQL, which rounds the shortest decimal."""
-    return values.map(lambda v: round(v, 3), na_action="ignore")
-
-
 def join_counts(tasks: DataFrame, counts: DataFrame) -> DataFrame:
     """With ``counts``: papers, claimed teams and runs (task_id, teams, runs), and their ratio, unrounded in ``ratio``."""
-    ship(tasks.sparkSession)
     n = F.size("participants")
     ratio = F.when(F.col("teams") != 0, n / F.col("teams"))
-    nested = F.struct(n.alias("notebook_papers"), F.col("teams").alias("teams_claimed_in_overview"), F.col("runs").alias("runs_claimed_in_overview"), _rounded(ratio).alias("coverage_ratio"), ratio.alias("ratio"))
+    nested = F.struct(n.alias("notebook_papers"), F.col("teams").alias("teams_claimed_in_overview"), F.col("runs").alias("runs_claimed_in_overview"), round_exact(ratio).alias("coverage_ratio"), ratio.alias("ratio"))
     return tasks.join(counts.select("task_id", "teams", "runs"), "task_id", "left").withColumn("counts", nested).drop("teams", "runs")
 
 
