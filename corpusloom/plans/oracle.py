@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from corpusloom.functions.titles import TITLE_STOPWORDS
+from corpusloom.operators.review import POLICIES
 from corpusloom.sources.web import PROFILES
 
 _TOKENS = r"regexp_extract_all(lower({}), '\p{{L}}+')"
@@ -20,9 +21,9 @@ _FORMULAS = {
 }
 
 
-def _ctes(name: str, model: str) -> str:
+def _ctes(name: str, model: str, depth: int = 10) -> str:
     return f"""{name}_s AS (SELECT qid, docno, round(sum({_FORMULAS[model]}), 6) AS score FROM joined GROUP BY 1, 2),
-{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, docno) AS rank FROM {name}_s) WHERE rank <= 10)"""
+{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, docno) AS rank FROM {name}_s) WHERE rank <= {depth})"""
 
 
 _JOINED = rf"""WITH d AS (SELECT doc_id AS docno, {_TOKENS.format("text")} AS tok FROM documents),
@@ -33,8 +34,8 @@ q AS (SELECT qid, term, count(*)::DOUBLE AS qtf FROM (SELECT item_id AS qid, unn
 joined AS (SELECT *, tf * log2(1 + avdl / dl) AS tfn, cf * dl / total AS e FROM q JOIN post USING (term) JOIN terms USING (term) CROSS JOIN stats)"""
 
 
-def ranked(model: str) -> str:
-    return f"{_JOINED},\n{_ctes('r', model)}\nSELECT qid, docno, rank, score FROM r"
+def ranked(model: str, depth: int = 10) -> str:
+    return f"{_JOINED},\n{_ctes('r', model, depth)}\nSELECT qid, docno, rank, score FROM r"
 
 
 TOKENIZE = f"SELECT doc_id, len(t)::BIGINT AS n_tokens, len(list_distinct(t))::BIGINT AS n_distinct FROM (SELECT doc_id, {_TOKENS.format('text')} AS t FROM documents)"
@@ -65,8 +66,8 @@ PROJECTION = r"""SELECT page_id::VARCHAR AS doc_id, url, 'en' AS language, title
 FROM (SELECT page_id, url, trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)) AS title, trim(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)) AS content FROM pages)"""
 _TASKS = "t AS (SELECT o_orderkey AS task_id, coalesce(n, 0) AS n, o_custkey % 7 AS teams, o_orderpriority, o_orderstatus FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey)"
 _RATIO = "CASE WHEN teams <> 0 THEN n::DOUBLE / teams END"
-COVERAGE = f"WITH {_TASKS} SELECT task_id, n, teams, {_RATIO} AS ratio FROM t"
-SELECT = f"""WITH {_TASKS} SELECT task_id, n, teams, {_RATIO} AS ratio FROM t ORDER BY ({_RATIO}) IS NULL, ({_RATIO}) DESC,
+COVERAGE = f"WITH {_TASKS} SELECT task_id, n, teams, {_RATIO} AS ratio, printf('%.3f', {_RATIO})::DOUBLE AS rounded FROM t"
+SELECT = f"""WITH {_TASKS} SELECT task_id, n, teams, {_RATIO} AS ratio, printf('%.3f', {_RATIO})::DOUBLE AS rounded FROM t ORDER BY ({_RATIO}) IS NULL, ({_RATIO}) DESC,
 CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 ELSE 2 END, o_orderstatus = 'F', n DESC, task_id LIMIT 50"""
 VIOLATIONS = """WITH i AS (SELECT * FROM lineitem), t AS (SELECT l_orderkey, 't' || (l_orderkey % 1000) AS task_id, count(*)::DOUBLE / (1 + l_orderkey % 3) AS ratio FROM i GROUP BY 1),
 u AS (SELECT 't' || (l_orderkey % 1000) AS task_id, l_partkey::VARCHAR AS url FROM i UNION ALL SELECT task_id, 'o' || l_orderkey FROM t)
@@ -92,7 +93,8 @@ s AS (SELECT lang, doc_id, line, {_SCORE} AS score, concat_ws(' ', nullif(trim(b
 SELECT lang, score::BIGINT AS score, doc_id, line::BIGINT AS line, snippet FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, doc_id, line) AS k FROM s WHERE score > 0) WHERE k <= 20"""
 DATES = "SELECT o_orderkey, o_orderdate::DATE <= DATE '1995-06-17' AS passed, strftime(o_orderdate, '%Y-%m-%d') || ' <= 1995-06-17' AS expression FROM orders"
 SUMS = "SELECT l_orderkey, sum(l_extendedprice::DECIMAL(18, 2))::DOUBLE AS total, ((1 - l_orderkey % 4) * 0.01)::DOUBLE AS difference, l_orderkey % 4 <> 3 AS passed FROM lineitem GROUP BY 1"
-_PAIRS = "h AS (SELECT conv_id AS id, min(text) AS text FROM conversations WHERE turn = 1 GROUP BY 1), r AS (SELECT conv_id AS id, min(text) AS text FROM conversations WHERE turn = 0 GROUP BY 1), k AS (SELECT id FROM h JOIN r USING (id))"
+_PAIRS = """tp AS (SELECT conv_id || '-' || turn AS id, text, lag(text) OVER w AS before, row_number() OVER w AS place FROM (SELECT conv_id, turn, min(text) AS text FROM conversations GROUP BY 1, 2) WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+h AS (SELECT id, text FROM tp WHERE place > 1), r AS (SELECT id, before AS text FROM tp WHERE place > 1), k AS (SELECT id FROM h JOIN r USING (id))"""
 
 
 def _grams(side: str, tokens: str, order: int) -> str:
@@ -126,8 +128,8 @@ def _text(value: str | None) -> str:
 
 
 def expected(cases: list[tuple[str, str | None]]) -> str:
-    """The known answers, by the place of the case."""
-    return "SELECT id::BIGINT AS id, output FROM (VALUES " + ", ".join(f"({i}, {_text(b)})" for i, (_, b) in enumerate(cases)) + ") AS v(id, output)"
+    """The known answers, dealt over the rows of part."""
+    return "SELECT p_partkey AS id, output FROM part JOIN (VALUES " + ", ".join(f"({i}, {_text(b)})" for i, (_, b) in enumerate(cases)) + f") AS v(place, output) ON p_partkey % {len(cases)} = place"
 
 
 TITLE_KEYS = [("CheckThat!-2023", "checkthat 2023"), ("CheckThat! 2023", "checkthat 2023"), ("  A–B ", "a b")]
@@ -187,13 +189,13 @@ ENGLISH = [("The foxes are running quickly.", "fox run quick"), ("Cats, dogs, an
 GERMAN = [("Die Füchse laufen sehr schnell.", "fuchs lauf schnell"), ("Katzen laufen.\nHunde sprangen.", "katz lauf hund sprang"), ("Größere Häuser und schöne Gärten.", "gross haus schon gart")]
 PARSED_DATES = [("2026-10-20", "2026-10-20"), ("1.3.2026", "2026-03-01"), ("01.03.26", "2026-03-01"), ("1.3.70", "1970-03-01"), ("20/10/2026", None)]
 TABLE_TEXT = "| a | b |\n|---|---|\n| 1 | 2 |\ntext\n| alone\ntext\n| c | d |\n| 3 | 4 |"
-TABLES = "SELECT * FROM (VALUES ('a', 1::BIGINT, 2::BIGINT, '| a | b |/|---|---|/| 1 | 2 |'), ('a', 2, 2, '| c | d |/| 3 | 4 |')) AS v(doc, table_no, n_rows, lines)"
+TABLES = "SELECT p_partkey AS doc, table_no, n_rows, lines FROM part, (VALUES ('a', 1::BIGINT, 2::BIGINT, '| a | b |/|---|---|/| 1 | 2 |'), ('a', 2, 2, '| c | d |/| 3 | 4 |')) AS v(d, table_no, n_rows, lines)"
 RULED_PAGES = [
     ("a", 1, [(100.0, 445.0, 131.0, 131.0), (100.0, 445.0, 160.0, 160.0), (100.0, 445.0, 255.0, 255.0), (100.0, 156.0, 700.0, 700.0)]),
     ("b", 1, [(100.0, 445.0, 100.0, 100.0), (100.0, 445.0, 140.0, 140.0), (100.0, 445.0, 600.0, 600.0), (100.0, 445.0, 640.0, 640.0)]),
     ("c", 1, [(100.0, 445.0, 100.0, 100.0)]),
 ]
-REGIONS = "SELECT * FROM (VALUES ('a', 1::BIGINT, 1::BIGINT, 100.0::DOUBLE, 445.0::DOUBLE, 131.0::DOUBLE, 255.0::DOUBLE), ('b', 1, 1, 100, 445, 100, 140), ('b', 1, 2, 100, 445, 600, 640)) AS v(doc, page, index, x0, x1, y0, y1)"
+REGIONS = "SELECT doc, p_partkey AS page, index, x0, x1, y0, y1 FROM part, (VALUES ('a', 1::BIGINT, 1::BIGINT, 100.0::DOUBLE, 445.0::DOUBLE, 131.0::DOUBLE, 255.0::DOUBLE), ('b', 1, 1, 100, 445, 100, 140), ('b', 1, 2, 100, 445, 600, 640)) AS v(doc, p, index, x0, x1, y0, y1)"
 ANSWERS = [
     ("c1", 'So: {"antrag": "c1", "result": "abgelehnt", "begruendung": " Zu spät. "} Ende', "abgelehnt", "Zu spät.", None),
     ("c2", '```json\n{"antrag": "c2", "result": "angenommen", "begruendung": "Gut"}\n```', "angenommen", "Gut", None),
@@ -202,5 +204,11 @@ ANSWERS = [
     ("c5", '{"antrag": "c5", "result": "vielleicht", "begruendung": "x"}', "vielleicht", "x", "invalid result"),
     ("c6", '{"antrag": "c6", "result": "abgelehnt", "begruendung": " "}', "abgelehnt", "", "no reason"),
 ]
-DECISIONS = "SELECT * FROM (VALUES " + ", ".join(f"({_text(c)}, {_text(r)}, {_text(b)}, {_text(p)})" for c, _, r, b, p in ANSWERS) + ") AS v(case_id, result, begruendung, problem)"
-POLICY = "SELECT 'double_funding' AS key, 1::BIGINT AS score"
+DECISIONS = "SELECT p_partkey AS id, case_id, result, begruendung, problem FROM part JOIN (VALUES " + ", ".join(f"({i}, {_text(c)}, {_text(r)}, {_text(b)}, {_text(p)})" for i, (c, _, r, b, p) in enumerate(ANSWERS)) + f") AS v(place, case_id, result, begruendung, problem) ON p_partkey % {len(ANSWERS)} = place"
+#: Words that topics end with, in turn.
+TOPICS = ("Stipendium", "Rechnung Kosten", "Ausland A1 ausland", "x", "Die der private Reise", "all")
+_RULES = ", ".join(f"({_text(k)}, {_text(v)})" for k, v in POLICIES.items())
+POLICY = f"""WITH rules(key, policy) AS (VALUES {_RULES}), t AS (SELECT p_partkey, p_type || ' ' || [{", ".join(map(_text, TOPICS))}][(p_partkey % {len(TOPICS)} + 1)::INT] AS topic FROM part),
+w AS (SELECT p_partkey, unnest(list_filter(regexp_extract_all(lower(topic), '[\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) > 1)) AS term FROM t),
+s AS (SELECT p_partkey, key, sum((length(lower(key || ' ' || policy)) - length(replace(lower(key || ' ' || policy), term, ''))) // length(term))::BIGINT AS score FROM w, rules GROUP BY 1, 2)
+SELECT p_partkey, key, score FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, key) AS place FROM s WHERE score > 0) WHERE place <= 4"""

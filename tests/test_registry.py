@@ -11,7 +11,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from corpusloom.plans import registry, rows  # noqa: F401  rows adds its queries to the registry
+from corpusloom.plans import chains, registry, rows  # noqa: F401  chains and rows add their queries to the registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
