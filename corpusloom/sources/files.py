@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from corpusloom.operators import keyed
 from corpusloom.operators.tasks import by_confidence
+from corpusloom.session import cut
 
 QUERY = "qid string, query string, original_query struct<language:string,description:string,narrative:string>"
 DOCUMENT = "doc_id string, url string, language string, title string, content string, text string"
@@ -107,13 +109,23 @@ def qrels(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).filter(F.trim("value") != "").select(f[0].alias("qid"), f[1].cast("int").alias("iter"), f[2].alias("docno"), f[3].cast("int").alias("rel"))
 
 
-def summary_lines(spark: SparkSession, path: str) -> DataFrame:
-    """line_no (from 1), id, summary, and ``problem`` where the line is no valid summary.
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line_no (from 1 in each file) and value of every line, however many tasks read a file.
 
-    Line numbers need the order of a single file, so it is read whole.
+    Lines are counted in each split that is read; a split's lines are numbered from the sum of those before it.
     """
-    whole = spark.read.text(path, wholetext=True)
-    rows = whole.select(F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), "\n")).alias("at", "line"))
+    rows = spark.read.option("lineSep", "\n").text(path)
+    placed = rows.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
+    kept = cut(placed, "lines")  # places are those of one reading
+    splits = kept.groupBy("file", "block").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split of a file
+    offsets = splits.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    return kept.join(offsets, ["file", "block"]).select("file", (F.col("before") + F.col("place") - F.col("first") + 1).alias("line_no"), "value")
+
+
+def summary_lines(spark: SparkSession, path: str) -> DataFrame:
+    """line_no (from 1), id, summary, and ``problem`` where the line is no valid summary."""
+    rows = numbered_lines(spark, path).select((F.col("line_no") - 1).alias("at"), F.col("value").alias("line"))
     d = F.from_json("line", "id string, summary string, _bad string", {"columnNameOfCorruptRecord": "_bad"})
     out = rows.select((F.col("at") + 1).alias("line_no"), F.try_parse_json("line").alias("v"), d.alias("d"))
     kind = lambda name: F.schema_of_variant(F.try_variant_get("v", f"$.{name}", "variant"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,22 +22,50 @@ def write_json_lines(rows: DataFrame, path: str, order: list[str] | None = None)
     (rows.orderBy(*order) if order else rows).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
+def pool_lines(pools: DataFrame) -> DataFrame:
+    """The lines of a pool as one JSON object, queries in string order, a line for each.
+
+    Lines are sorted by ranges, so that no task holds more than its own; the comma that the last one lacks is told by the largest key.
+    """
+    key = F.col("qid").cast("string")
+    quoted = F.to_json(F.array(key))
+    entry = F.concat(F.lit("  "), quoted.substr(F.lit(2), F.length(quoted) - 2), F.lit(": "), F.to_json("docnos"))
+    last = pools.agg(F.max(key).alias("_last"))  # one row
+    rows = pools.select(F.lit(1).alias("kind"), key.alias("key"), entry.alias("entry")).crossJoin(F.broadcast(last))
+    body = rows.select("kind", "key", F.concat("entry", F.when(F.col("key") == F.col("_last"), "").otherwise(",")).alias("value"))
+    ends = pools.sparkSession.createDataFrame([(0, "", "{"), (2, "", "}")], "kind int, key string, value string")
+    return body.unionByName(ends).orderBy("kind", "key").select("value")
+
+
 def pool_json(pools: DataFrame) -> DataFrame:
-    """One row: the pool as a JSON object, queries in string order."""
-    entry = F.concat(F.to_json(F.array("qid")).substr(F.lit(2), F.length(F.to_json(F.array("qid"))) - 2), F.lit(": "), F.to_json("docnos"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("qid").cast("string"), entry.alias("e")))), lambda x: x["e"]), ",\n  ")
-    return pools.agg(F.concat(F.lit("{\n  "), body, F.lit("\n}")).alias("value"))
+    """One row: the pool as a JSON object, for pools that fit in one; ``write_pool`` writes any."""
+    rows = pool_lines(pools).withColumn("_at", F.monotonically_increasing_id())
+    return rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "value"))), lambda x: x["value"]), "\n").alias("value"))
+
+
+def write_pool(pools: DataFrame, path: str) -> None:
+    """Files that, one after the other by name, are the pool's JSON object."""
+    pool_lines(pools).write.mode("overwrite").text(path)
 
 
 def cached_pool(spark, path: str) -> DataFrame | None:
-    """A pool written before, untouched, or None. It is looked for before anything else is checked."""
+    """A pool written before, untouched, or None. It is looked for before anything else is checked.
+
+    Entries are read line by line where each has a line of its own, as ``write_pool`` writes them. An object that is
+    laid out in another way, such as an identifier a line, is read as one value.
+    """
     try:
-        rows = spark.read.schema("value string").text(path, wholetext=True)
-        return rows.select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("qid", "docnos"))
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
+        rows = spark.read.text(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
+    whole = r'^\s*(\{?\s*"([^"\\]|\\.)*"\s*:\s*\[.*\]\s*,?\s*\}?|[{}]|\{\s*\}|)\s*$'
+    if not rows.filter(~F.col("value").rlike(whole)).isEmpty():
+        rows = spark.read.text(path, wholetext=True)
+        return rows.select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("qid", "docnos"))
+    inner = F.regexp_replace(F.regexp_replace("value", r"^\s*\{|,\s*$", ""), r"\}\s*$", "")
+    return rows.select(F.explode(F.from_json(F.concat(F.lit("{"), inner, F.lit("}")), "map<string,array<string>>")).alias("qid", "docnos"))
 
 
 def run_lines(run: DataFrame, tag: str) -> DataFrame:

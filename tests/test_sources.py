@@ -110,3 +110,40 @@ def test_landing_table_and_manifest_order(spark, tmp_path):
 
 def test_volumes(spark):
     assert files.volumes(spark).count() == 8 and files.volumes(spark, "3497").first()["year"] == 2023
+
+
+def test_line_numbers_do_not_hang_on_how_a_file_is_split(spark, tmp_path):
+    import random
+
+    r = random.Random(2)
+    for name, n in (("a.jsonl", 3000), ("b.jsonl", 7)):
+        (tmp_path / name).write_text("".join("x" * r.choice((0, 1, 50, 900)) + f"-{i}\n" for i in range(n)).removesuffix("\n" if name == "b.jsonl" else "none"))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        for size in ("200k", "10k", "1g"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+            got = files.numbered_lines(spark, str(tmp_path)).collect()
+            assert len(got) == 3007
+            assert all(r["value"].rsplit("-", 1)[1] == str(r["line_no"] - 1) for r in got)
+            (tmp_path / "s.jsonl").write_text("".join('{"id": "%d", "summary": "s"}\n' % i for i in range(2000)) + '{"id": "3", "summary": "s"}\n')
+            with pytest.raises(ValueError, match=r":2001: duplicate id '3'"):
+                files.summaries(spark, str(tmp_path / "s.jsonl"))
+            (tmp_path / "s.jsonl").unlink()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", old[1])
+
+
+def test_pools_are_written_by_any_number_of_tasks(spark, tmp_path):
+    import json
+
+    pools = spark.range(500).selectExpr("cast(id as string) as qid", "array(cast(id * 2 as string), 'q\"x') as docnos")
+    for n in (1, 50):
+        sinks.write_pool(pools.repartition(n), str(tmp_path / f"p{n}"))
+        text = "".join(p.read_text() for p in sorted((tmp_path / f"p{n}").glob("part-*")))
+        assert json.loads(text) == {str(i): [str(2 * i), 'q"x'] for i in range(500)} and list(json.loads(text)) == sorted(map(str, range(500)))
+        assert sinks.cached_pool(spark, str(tmp_path / f"p{n}")).count() == 500
+    for indent in (None, 0, 2):
+        (tmp_path / "other.json").write_text(json.dumps({"a": ["1", "2"], "b": []}, indent=indent) + "\n")
+        assert {r["qid"]: r["docnos"] for r in sinks.cached_pool(spark, str(tmp_path / "other.json")).collect()} == {"a": ["1", "2"], "b": []}
