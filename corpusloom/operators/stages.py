@@ -75,10 +75,31 @@ def required(names: list[str], settings: Mapping[str, str] | None = None) -> dic
     return found
 
 
+#: Of a stage: the scheduler's name of a figure, ours, and what it is divided by.
+_FIGURES = (
+    ("executorCpuTime", "executor_cpu_ms", 10**6), ("executorRunTime", "executor_run_ms", 1), ("jvmGcTime", "executor_gc_ms", 1), ("inputBytes", "input_bytes", 1), ("outputBytes", "output_bytes", 1),
+    ("shuffleReadBytes", "shuffle_read_bytes", 1), ("shuffleWriteBytes", "shuffle_write_bytes", 1), ("memoryBytesSpilled", "memory_spill_bytes", 1), ("diskBytesSpilled", "disk_spill_bytes", 1), ("numCompleteTasks", "tasks", 1), ("numFailedTasks", "failed_tasks", 1),
+)
+
+
+def _scheduler_figures(spark: SparkSession, stages: set[int]) -> dict[str, int]:
+    """Sums over stages, as the scheduler's own store has them, and the most memory that a task of one took for execution."""
+    context = spark._jsc.sc()
+    context.listenerBus().waitUntilEmpty(30_000)  # the store follows the tasks by a moment
+    out, peak = {ours: 0 for _, ours, _ in _FIGURES}, 0
+    for stage in stages:
+        data = context.statusStore().lastStageAttempt(stage)
+        for name, ours, unit in _FIGURES:
+            out[ours] += getattr(data, name)() // unit
+        peak = max(peak, data.peakExecutionMemory())
+    return {**out, "peak_execution_bytes": peak}
+
+
 def measured(spark: SparkSession, name: str, action: Callable[[], object], path: str | None = None) -> tuple[object, dict]:
-    """What ``action`` gives, and the time it took: wall clock, the driver's CPU, the executors' as Spark counts it.
+    """What ``action`` gives, and what it took: wall clock, the driver's CPU, and of the executors CPU, bytes read, shuffled and spilled, tasks and memory.
 
-    With ``path`` the figures are also written there, a line for each.
+    Stages that a job skipped, as their shuffle was there already, count as nothing. With ``path`` the figures are also written there,
+    a line for each.
     """
     tracker, before, began = spark.sparkContext.statusTracker(), resource.getrusage(resource.RUSAGE_SELF), time.time()
     group = f"measured-{name}-{began}"
@@ -87,11 +108,12 @@ def measured(spark: SparkSession, name: str, action: Callable[[], object], path:
         out = action()
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
-    after = resource.getrusage(resource.RUSAGE_SELF)
-    stages = {s for j in tracker.getJobIdsForGroup(group) if (info := tracker.getJobInfo(j)) for s in info.stageIds}
+    after, took = resource.getrusage(resource.RUSAGE_SELF), time.time() - began
+    jobs = tracker.getJobIdsForGroup(group)
+    ran = {s for j in jobs if (info := tracker.getJobInfo(j)) for s in info.stageIds if tracker.getStageInfo(s) is not None}
     told = {
-        "name": name, "wallclock_ms": round(1000 * (time.time() - began)), "driver_user_ms": round(1000 * (after.ru_utime - before.ru_utime)),
-        "driver_system_ms": round(1000 * (after.ru_stime - before.ru_stime)), "driver_peak_kb": after.ru_maxrss, "jobs": len(tracker.getJobIdsForGroup(group)), "stages": len(stages), "spark": spark.version,
+        "name": name, "wallclock_ms": round(1000 * took), "driver_user_ms": round(1000 * (after.ru_utime - before.ru_utime)), "driver_system_ms": round(1000 * (after.ru_stime - before.ru_stime)),
+        "driver_peak_kb": after.ru_maxrss, "jobs": len(jobs), "stages": len(ran), **_scheduler_figures(spark, ran), "spark": spark.version,
     }
     if path:
         spark.createDataFrame([(f"{k}: {v}",) for k, v in told.items()], "value string").coalesce(1).write.mode("overwrite").text(path)

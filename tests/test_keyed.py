@@ -144,3 +144,13 @@ def test_languages_of_rows_that_nobody_has_seen(spark):
     assert got == {0: "de", 1: "en", 2: None, 3: None, 4: None, 5: None}
     with pytest.raises(ValueError, match="no row"):
         language.train(spark.createDataFrame([(None, "x")], "lang string, text string"))
+
+
+def test_figures_of_a_known_job(spark, tmp_path):
+    spark.range(200_000).write.parquet(str(tmp_path / "in"))
+    read = spark.read.parquet(str(tmp_path / "in"))
+    _, told = stages.measured(spark, "job", lambda: read.repartition(6, "id").selectExpr("sum(crc32(cast(id as string))) as x").collect(), str(tmp_path / "told"))
+    assert told["jobs"] >= 1 and told["tasks"] >= 2 and told["failed_tasks"] == 0
+    assert 200_000 < told["shuffle_write_bytes"] < 10_000_000 and told["shuffle_read_bytes"] == told["shuffle_write_bytes"]
+    assert told["input_bytes"] > 1_000 and 0 < told["executor_cpu_ms"] < 60_000 and told["disk_spill_bytes"] == 0
+    assert f"tasks: {told['tasks']}" in {r[0] for r in spark.read.text(str(tmp_path / "told")).collect()}
