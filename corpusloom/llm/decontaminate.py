@@ -1,7 +1,8 @@
 """Benchmark decontamination.
 
-The windows of all benchmark items form a hash set. Every document's token
-windows are hashed in place and probed against it; each probe that hits is
+The windows of all benchmark items form a hash set. Every document's words are
+looked up among the longest words of these windows; the token
+windows around those found are hashed in place and probed against the set; each probe that hits is
 verified word by word, and then its span, or its document, goes.
 
 The set is broadcast while its number of windows is at most
@@ -30,6 +31,8 @@ NOT_WORD = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 ITEM_WORD = rf"[^{WORD_BYTES}]++"
 #: Windows that are broadcast, and bytes of their words and items.
 MAX_BROADCAST, MAX_BROADCAST_BYTES = 200_000, 64 << 20
+#: Words that windows are looked for by, as part of the plan; with more of them every window is hashed.
+MAX_ANCHORS = 10_000
 #: Documents with hits whose keys are broadcast, so that no other text is shuffled; more of them are joined by a shuffle.
 MAX_HIT_KEYS = 1_000_000
 
@@ -70,18 +73,35 @@ def _fold(hashes: Column) -> Column:
     return F.xxhash64(hashes)
 
 
-def probes(docs: DataFrame, key: list[str], text: str, lengths: list[int]) -> DataFrame:
-    """A row for each window of a document: key, first word, length, hash."""
+def anchor(w: Column) -> Column:
+    """The hash of a window's longest word, which few other places of a text have."""
+    longest = F.array_max(F.transform(w, lambda x: F.struct(F.char_length(x).alias("n"), F.xxhash64(x).alias("h"))))
+    return longest["h"]
 
-    def of_length(h: Column, n: int) -> Column:
-        each = F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: F.struct(i.alias("at"), F.lit(n).alias("len"), _fold(F.slice(h, i + 1, n)).alias("h")))
-        return F.when(F.size(h) >= n, each).otherwise(F.array().cast("array<struct<at:int,len:int,h:bigint>>"))
 
-    def spots(h: Column) -> Column:
-        return F.concat(*[of_length(h, n) for n in lengths])
+def probes(docs: DataFrame, key: list[str], text: str, lengths: list[int], anchors: list[int] | None = None) -> DataFrame:
+    """A row for each window of a document: key, first word, length, hash.
+
+    With ``anchors`` windows that hold none of these words (by hash) are left out, and not hashed.
+    """
+    none = F.array().cast("array<struct<at:int,len:int,h:bigint>>")
+
+    def windows(h: Column, starts: Column, n: int) -> Column:
+        each = F.transform(starts, lambda i: F.struct(i.alias("at"), F.lit(n).alias("len"), _fold(F.slice(h, i + 1, n)).alias("h")))
+        return F.when(F.size(h) >= n, each).otherwise(none)
+
+    def every(h: Column) -> Column:
+        return F.concat(*[windows(h, F.sequence(F.lit(0), F.size(h) - n), n) for n in lengths])
+
+    def near(h: Column) -> Column:
+        last = lambda n: F.size(h) - n
+        around = lambda at, n: F.array_distinct(F.flatten(F.transform(at, lambda i: F.sequence(F.greatest(i - n + 1, F.lit(0)), F.least(i, last(n))))))
+        # of each length, the places of anchors that some window of it can hold
+        held = F.when(F.size(h) > 0, F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: F.get(h, i).isin(anchors))).otherwise(F.array().cast("array<int>"))
+        return let(held, lambda at: F.concat(*[windows(h, around(at, n), n) for n in lengths]))
 
     hashes = F.transform(words(F.col(text)), lambda x: F.xxhash64(x))
-    return docs.select(*key, F.explode(let(hashes, spots)).alias("w")).select(*key, "w.at", "w.len", "w.h")
+    return docs.select(*key, F.explode(let(hashes, every if anchors is None else near)).alias("w")).select(*key, "w.at", "w.len", "w.h")
 
 
 def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc: str = "doc_id", window: int = WINDOW, max_broadcast: int = MAX_BROADCAST, item: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -97,10 +117,12 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc: str = "
     empty = spark.createDataFrame([], "k1 long, k2 long, spots array<int>, items array<string>")
     if not sizes:
         return empty
+    rows = known.select(anchor(F.col("words")).alias("a")).distinct().limit(MAX_ANCHORS + 1).collect()
+    anchors = [r["a"] for r in rows] if len(rows) <= MAX_ANCHORS else None
     if sum(r["n"] for r in sizes) <= max_broadcast and sum(r["bytes"] for r in sizes) <= MAX_BROADCAST_BYTES:
         known = F.broadcast(known)
     keyed = docs.select(F.col(text).alias("text"), *[k.alias(n) for k, n in zip(row_keys(doc, text), ("k1", "k2"), strict=True)])
-    hits = probes(keyed, ["k1", "k2"], "text", sorted(r["len"] for r in sizes)).join(known, ["h", "len"])
+    hits = probes(keyed, ["k1", "k2"], "text", sorted(r["len"] for r in sizes), anchors).join(known, ["h", "len"])
     per_doc = cut(hits.groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "words", "items")).alias("hits")), "hits")
     if per_doc.count() <= MAX_HIT_KEYS:
         keyed = keyed.join(F.broadcast(per_doc.select("k1", "k2")), ["k1", "k2"], "left_semi")

@@ -68,10 +68,11 @@ def test_odd_rows_op2(odd_docs, odd_rows, hot):
     assert kept[4] == odd_rows[3][1].encode() and kept[5] == b""
 
 
-def test_odd_rows_op4(spark, odd_docs, odd_rows):
+def test_odd_rows_op4(spark, odd_docs, odd_rows, monkeypatch):
     items = [(1, None), (2, ""), (3, "three FOUR"), (4, " ".join(odd_rows[3][1].split()[5:20])), (5, "three four"), (11, "not found in any of these texts at all, not once")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for most in (decontaminate.MAX_BROADCAST, 0):
+    for most, anchors in ((decontaminate.MAX_BROADCAST, decontaminate.MAX_ANCHORS), (0, 0)):
+        monkeypatch.setattr(decontaminate, "MAX_ANCHORS", anchors)
         got = decontaminate.report(odd_docs, bench, max_broadcast=most).select("doc_id", "n_words", "n_hit", "n_items", sha256_hex(F.array_join("items", ",")), "contaminated")
         assert answers(got, 5) == brute.op4([r[:2] for r in odd_rows], items)
     left = {r["doc_id"]: r["text"] for r in decontaminate.decontaminate(odd_docs, bench, remove="spans").collect()}
