@@ -173,13 +173,30 @@ SELECT page_id, trim(regexp_replace(t, '\s+', ' ', 'g')) AS title, array_to_stri
 _UNESCAPE = "replace(replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', ''''), '&#39;', ''''), '&amp;', '&')"
 
 
-@query(CONTENT_SQL.replace("{0}", _UNESCAPE.format("x")).replace("{1}", _UNESCAPE.format("t")))
+ORACLE_CONTENT = CONTENT_SQL.replace("{0}", _UNESCAPE.format("x")).replace("{1}", _UNESCAPE.format("t"))
+
+
+@query(ORACLE_CONTENT)
 def page_contents(spark, sf_dir):
     """Title and main content of every page, by the density of prose."""
     pages = table(spark, sf_dir, "pages").select("page_id", F.col("html").cast("binary").alias("body"), F.lit("utf-8").alias("charset"))
     return web.main_content(pages).select("page_id", "title", "content")
 
 
+WEB_SQL = f"""WITH c AS ({ORACLE_CONTENT}), d AS (SELECT c.*, url, regexp_extract_all(lower(substring(content, 1, 10000)), '\\p{{L}}+') AS t FROM c JOIN pages USING (page_id) WHERE page_id % 10 <> 0),
+l AS (SELECT *, list_sort([{oracle._COUNTS}], 'DESC')[1] AS best FROM d)
+SELECT page_id::VARCHAR AS doc_id, url, best.l AS language, title, content, concat_ws(chr(10) || chr(10), nullif(title, ''), nullif(content, '')) AS text FROM l WHERE best.n > 0 AND best.l IN ('de', 'en')"""
+
+
+@query(WEB_SQL)
+def web_documents(spark, sf_dir):
+    """Pages as responses of an archive, one in ten of them images: main content, language, documents in two languages."""
+    kind = F.when(F.col("page_id") % 10 == 0, "image/png").otherwise("text/html")
+    record = F.concat(F.lit("<urn:uuid:"), F.col("page_id").cast("string"), F.lit(">"))
+    records = table(spark, sf_dir, "pages").select(record.alias("record_id"), "url", kind.alias("content_type"), F.lit("utf-8").alias("charset"), F.col("html").cast("binary").alias("body"), F.lit(None).cast("string").alias("error"))
+    return web.build_documents(records)[0]
+
+
 # -- longest common subsequences
 
 ROUGE_L_SQL = r"""WITH RECURSIVE {pairs},

@@ -46,7 +46,7 @@ def longs(df: DataFrame) -> DataFrame:
 # -- retrieval
 
 
-_indexes: dict[tuple, str] = {}
+_indexes: dict[tuple, retrieval.Index] = {}
 
 
 def _files(spark: SparkSession, path: str) -> tuple:
@@ -58,13 +58,12 @@ def _files(spark: SparkSession, path: str) -> tuple:
 
 def _index(spark: SparkSession, sf_dir: str, fresh: bool = False, slice_docs: int = retrieval.SLICE_DOCS) -> retrieval.Index:
     """The index of all documents by their words; it is built once for each state of the table."""
-    key = (spark.sparkContext.applicationId, _files(spark, f"{sf_dir}/documents.parquet"), slice_docs)
+    key = (spark.sparkContext.applicationId, id(spark), _files(spark, f"{sf_dir}/documents.parquet"), slice_docs)
     if fresh or key not in _indexes:
         folder = new_path(spark, "index")
         docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("docno"), "text")
-        retrieval.write_index(docs, words(F.col("text")), folder, slice_docs=slice_docs)
-        _indexes[key] = folder
-    return retrieval.read_index(spark, _indexes[key])
+        _indexes[key] = retrieval.write_index(docs, words(F.col("text")), folder, slice_docs=slice_docs)
+    return _indexes[key]
 
 
 def _run(spark: SparkSession, sf_dir: str, model: str, depth: int = 10) -> DataFrame:
