@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions import analysis, counts, facts, links, papers, titles
-from corpusloom.functions.text import words
+from corpusloom.functions.text import let, words
 from corpusloom.operators import islands, judging, metrics, retrieval, review, tasks
 from corpusloom.plans import oracle
 from corpusloom.session import new_path
@@ -128,6 +128,8 @@ def pool_topk(spark, sf_dir):
 
 #: Items whose texts are broadcast to the documents' windows, and their bytes; more of them are joined by a shuffle.
 MAX_BROADCAST_ITEMS, MAX_BROADCAST_BYTES = 20_000, 32 << 20
+#: Words that items are looked for by, as part of the plan; with more of them every window is hashed.
+MAX_ANCHORS = 10_000
 
 
 def _holders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,8 +140,15 @@ def _holders(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = lambda w: F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
     firsts = asked.withColumn("_n", F.least(F.size("_q"), F.lit(10))).select("qid", "_n", F.xxhash64(F.slice(hashed(F.col("_q")), 1, F.col("_n"))).alias("_h"), line(F.col("_q")).alias("_q"))
     lengths = {r[0]: (r[1], r[2]) for r in firsts.groupBy("_n").agg(F.count("*"), F.sum(F.octet_length("_q"))).collect()}  # ten at most
-    at = lambda w, n: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.struct(F.lit(n).alias("_n"), F.xxhash64(F.slice(w, i, n)).alias("_h")))).otherwise(F.array().cast("array<struct<_n:int,_h:bigint>>"))
-    starts = F.concat(*[at(F.col("_w"), n) for n in sorted(lengths)]) if lengths else F.array().cast("array<struct<_n:int,_h:bigint>>")
+    none = F.array().cast("array<struct<_n:int,_h:bigint>>")
+    # documents' words are looked up among the longest word of each item's beginning; only windows around those found are hashed
+    longest = F.array_max(F.transform(F.slice("_q", 1, F.least(F.size("_q"), F.lit(10))), lambda x: F.struct(F.char_length(x).alias("n"), F.xxhash64(x).alias("h"))))["h"]
+    found = [r[0] for r in asked.select(longest.alias("h")).distinct().limit(MAX_ANCHORS + 1).collect()]
+    near = (lambda w, i: F.get(w, i).isin(found)) if len(found) <= MAX_ANCHORS else (lambda w, i: F.lit(True))
+    around = lambda w, at, n: F.array_distinct(F.flatten(F.transform(at, lambda i: F.sequence(F.greatest(i - n + 1, F.lit(0)), F.least(i, F.size(w) - n)))))
+    hashed_at = lambda w, at, n: F.when(F.size(w) >= n, F.transform(around(w, at, n), lambda i: F.struct(F.lit(n).alias("_n"), F.xxhash64(F.slice(w, i + 1, n)).alias("_h")))).otherwise(none)
+    places = lambda w: F.when(F.size(w) > 0, F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: near(w, i))).otherwise(F.array().cast("array<int>"))
+    starts = let(F.col("_w"), lambda w: let(places(w), lambda at: F.concat(*[hashed_at(w, at, n) for n in sorted(lengths)]))) if lengths else none
     small = F.broadcast if sum(n for n, _ in lengths.values()) <= MAX_BROADCAST_ITEMS and sum(b for _, b in lengths.values()) <= MAX_BROADCAST_BYTES else lambda df: df
     met = docs.select("docno", hashed(F.col("_w")).alias("_w")).select("docno", F.explode(starts).alias("_s")).select("docno", "_s.*").join(small(firsts), ["_n", "_h"]).distinct()
     held = met.join(docs.select("docno", line(F.col("_w")).alias("_d")), "docno").filter(F.contains("_d", "_q"))
