@@ -6,7 +6,7 @@ import pytest
 from corpusloom.llm import queries
 from tests.llm.conftest import SF
 
-KINDS = {"bigint": "BIGINT", "string": "VARCHAR", "boolean": "BOOLEAN", "double": "DOUBLE"}
+KINDS = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "boolean": "BOOLEAN", "double": "DOUBLE"}
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
@@ -19,4 +19,4 @@ def test_query_matches_its_sql(spark, name):
     assert columns == sorted(want.columns)
     assert {c: KINDS[t] for c, t in got.dtypes} == dict(zip(want.columns, map(str, want.types), strict=True))
     order = [want.columns.index(c) for c in columns]
-    assert sorted(tuple(r[c] for c in columns) for r in got.collect()) == sorted(tuple(r[i] for i in order) for r in want.fetchall())
+    assert sorted((tuple(r[c] for c in columns) for r in got.collect()), key=str) == sorted((tuple(r[i] for i in order) for r in want.fetchall()), key=str)
