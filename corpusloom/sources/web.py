@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import html as entities
 import io
 import re
 import zlib
@@ -133,18 +134,20 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(work, RESPONSE)
 
 
-def main_content(records: DataFrame, body: str = "body", charset: str = "charset") -> DataFrame:
+def main_content(records: DataFrame, body: str = "body", charset: str = "charset", terminated: bool = False) -> DataFrame:
     """``records`` with title, content and failure: the lines of the element that holds most of the page's prose (see ``sources.content``).
 
-    The body is read as its charset, else as UTF-8. Errors are kept apart, not raised.
+    The body is read as its charset, else as UTF-8. Errors are kept apart, not raised. References without a semicolon,
+    such as those of text that was cut off, are decoded as HTML has it; ``terminated`` leaves them as they are.
     """
     ship(records.sparkSession)
+    unescape = content.unescape_terminated if terminated else entities.unescape
     schema = T.StructType([*records.schema.fields, *[T.StructField(n, T.StringType()) for n in ("title", "content", "failure")]])
     i, j = records.columns.index(body), records.columns.index(charset)
 
     def one(data: bytes | None, name: str | None) -> tuple[str | None, str | None, str | None]:
         try:
-            page = content.parse((data or b"").decode(name or "utf-8", "replace"))
+            page = content.parse((data or b"").decode(name or "utf-8", "replace"), unescape)
             return page.title, "\n".join(content.densest(page)), None
         except (LookupError, UnicodeError, ValueError) as e:
             return None, None, f"{type(e).__name__}: {e}"

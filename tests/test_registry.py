@@ -63,3 +63,19 @@ def test_entry_imports_without_the_llm_folder(tmp_path):
     assert said.returncode == 0, said.stderr
     names, checked = (line.split() for line in said.stdout.splitlines()[-2:])
     assert set(names) == set(registry.QUERIES) and set(checked) == set(registry.ORACLE)
+
+
+def _cut_pages(spark, folder):
+    """Pages whose titles were cut within references, and SQL's view of them."""
+    cut = ["Salt &amp; pepper &amp", "Salt &lt", "The rest of &quot", "Of &#x27", "&amp;lt; of the &amp;&#39;", "Of &am", "Of &nosuch; &eacute"]
+    page = "<html><head><title>{0}</title></head><body><article><h1>{0}</h1><p>The salt of the earth is in the sea, and that is &lt;all&gt; that we know of it &amp</p></article></body></html>"
+    rows = [(i, f"http://host/{i}", page.format(t)) for i, t in enumerate(cut, 1)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{folder}/pages.parquet/*.parquet'")
+    return con
+
+
+def test_page_contents_match_sql_where_references_are_cut(spark, tmp_path):
+    con = _cut_pages(spark, tmp_path)
+    assert values(registry.QUERIES["page_contents"](spark, str(tmp_path)).toPandas()) == values(con.sql(registry.ORACLE["page_contents"]).df())
