@@ -191,13 +191,13 @@ def project_documents(rows: DataFrame, record_id: str = "record_id") -> DataFram
     return rows.select(bare.alias("doc_id"), "url", "language", "title", "content", F.array_join(parts, "\n\n").alias("text"))
 
 
-def build_documents(records: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> tuple[DataFrame, DataFrame]:
+def build_documents(records: DataFrame, languages: tuple[str, ...] = LANGUAGES, terminated: bool = False) -> tuple[DataFrame, DataFrame]:
     """Documents in the wanted languages, and how many records were processed, written (by language), excluded and failed.
 
-    Records are read once: what they give is kept in the shared folder. Only HTML pages are parsed.
+    Records are read once: what they give is kept in the shared folder. Only HTML pages are parsed; ``terminated`` as in ``main_content``.
     """
     html = F.coalesce(F.col("content_type") == "text/html", F.lit(False))
-    parsed = main_content(records.withColumn("body", F.when(html, F.col("body")))).withColumn("content", F.trim("content")).withColumn("language", detect_language(F.col("content")))
+    parsed = main_content(records.withColumn("body", F.when(html, F.col("body"))), terminated=terminated).withColumn("content", F.trim("content")).withColumn("language", detect_language(F.col("content")))
     failed = F.coalesce(F.col("error"), F.col("failure")).isNotNull()
     status = F.when(~html, None).when(failed, "failed").when(F.col("language").isin(*languages), F.concat(F.lit("written-"), F.col("language"))).otherwise("excluded")
     named = cut(parsed.withColumn("status", status).drop("body"), "pages")

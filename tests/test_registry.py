@@ -79,3 +79,8 @@ def _cut_pages(spark, folder):
 def test_page_contents_match_sql_where_references_are_cut(spark, tmp_path):
     con = _cut_pages(spark, tmp_path)
     assert values(registry.QUERIES["page_contents"](spark, str(tmp_path)).toPandas()) == values(con.sql(registry.ORACLE["page_contents"]).df())
+
+
+def test_web_documents_match_sql_where_references_are_cut(spark, tmp_path):
+    con = _cut_pages(spark, tmp_path)
+    assert values(registry.QUERIES["web_documents"](spark, str(tmp_path)).toPandas()) == values(con.sql(registry.ORACLE["web_documents"]).df())
