@@ -67,21 +67,30 @@ def republished(papers: DataFrame) -> DataFrame:
     return papers.filter(F.col("title").rlike(titles.BEST_OF_LABS))
 
 
+def _by_tokens(papers: DataFrame) -> DataFrame:
+    """SECTION, position, tokens: the title words of each paper, sorted; papers without any are left out."""
+    rows = papers.select(*SECTION, "position", titles.title_tokens(F.col("title")).alias("tokens")).filter(F.size("tokens") > 0)
+    return rows.groupBy(*SECTION, "position").agg(F.sort_array(F.flatten(F.collect_list("tokens"))).alias("tokens"))  # a position is one row
+
+
 def best_overview(papers: DataFrame, overviews: DataFrame) -> DataFrame:
     """SECTION, position, overview: the overview that shares most title weight with each paper, if one leads.
 
     A token weighs one over the number of overviews in the section that have it. Neither side is
-    paired with all of the other: they meet by token.
+    paired with all of the other: they meet by token. Titles of the same words score the same, so each
+    set of words is scored once, whatever number of papers and overviews has it; one of several overviews never leads.
     """
-    tokens = lambda df, name: df.select(*SECTION, F.col("position").alias(name), F.explode(titles.title_tokens(F.col("title"))).alias("token"))
-    told = tokens(overviews, "overview")
-    per_token = told.groupBy(*SECTION, "token").agg(F.count("*").alias("n"))
+    titled = _by_tokens(papers)
+    kinds = titled.groupBy(*SECTION, "tokens").agg(F.min("position").alias("kind"))
+    told = _by_tokens(overviews).groupBy(*SECTION, "tokens").agg(F.min("position").alias("overview"), F.count("*").alias("copies")).select(*SECTION, "overview", "copies", F.explode("tokens").alias("token"))
+    per_token = told.groupBy(*SECTION, "token").agg(F.sum("copies").alias("n"))
     weight = F.when(F.col("n") <= EXACT_UP_TO, F.floor(F.lit(_UNIT) / F.col("n")).cast("decimal(38,9)")).otherwise((F.lit(_UNIT) / F.col("n")).cast("decimal(38,9)"))
     weighted = told.join(per_token, [*SECTION, "token"]).withColumn("weight", weight)
-    scores = tokens(papers, "position").join(weighted, [*SECTION, "token"]).groupBy(*SECTION, "position", "overview").agg(F.sum("weight").alias("score"))
-    w = Window.partitionBy(*SECTION, "position")
-    led = scores.withColumn("top", F.max("score").over(w)).filter("score = top").withColumn("ties", F.count("*").over(w))
-    return led.filter("ties = 1").select(*SECTION, "position", "overview")
+    asked = kinds.select(*SECTION, "kind", F.explode("tokens").alias("token"))
+    scores = asked.join(weighted, [*SECTION, "token"]).groupBy(*SECTION, "kind", "overview", "copies").agg(F.sum("weight").alias("score"))
+    w = Window.partitionBy(*SECTION, "kind")
+    led = scores.withColumn("top", F.max("score").over(w)).filter("score = top").withColumn("ties", F.sum("copies").over(w)).filter("ties = 1")
+    return titled.join(kinds, [*SECTION, "tokens"]).join(led, [*SECTION, "kind"]).select(*SECTION, "position", "overview")
 
 
 def assignments(marked: DataFrame) -> DataFrame:

@@ -128,3 +128,20 @@ def test_crop_boxes_stay_on_the_page(spark):
     regions = spark.createDataFrame([("d", 1, 1, 2.0, 100.0, 3.0, 50.0)], "doc string, page int, index int, x0 double, x1 double, y0 double, y1 double")
     row = islands.crop_boxes(regions, F.lit(200), F.lit(90)).first()
     assert (row["left"], row["top"], row["right"], row["bottom"]) == (0, 0, 200, 90)
+
+
+def _most_rows(node) -> int:
+    """The most rows that any operator of an executed plan gave."""
+    kind, metric = node.getClass().getSimpleName(), node.metrics().get("numOutputRows")
+    inner = [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else []
+    children = node.children()
+    return max([metric.get().value() if metric.isDefined() else 0, *map(_most_rows, inner), *[_most_rows(children.apply(i)) for i in range(children.size())]])
+
+
+def test_titles_of_the_same_words_are_scored_once(spark):
+    row = "parent_venue string, year int, volume string, section_no int, position int, title string"
+    papers = spark.createDataFrame([("V", 2024, "1", 0, i, ["Plants red", "Red plants", "Birds", "Fish"][i % 4]) for i in range(400)], row)
+    overviews = spark.createDataFrame([("V", 2024, "1", 0, 1000 + i, "Birds" if i < 60 else "Fish" if i == 60 else "Blue plants") for i in range(62)], row)
+    found = tasks.best_overview(papers, overviews)
+    assert sorted((r.position, r.overview) for r in found.collect()) == sorted((i, 1060 if i % 4 == 3 else 1061) for i in range(400) if i % 4 != 2)
+    assert _most_rows(found._jdf.queryExecution().executedPlan()) <= 600  # 100 papers and 60 overviews have a word in common
