@@ -300,7 +300,8 @@ def top(index: Index, queries: DataFrame, model: str = "bm25", depth: int = DEPT
     first = _sums(asked, hits.join(asked.small(seeds), ["qid", "slice"], "left_semi"))
     floor = rank(first, depth, None).filter(F.col("rank") == depth).select("qid", (F.col("score") - SLACK).alias("floor"))
     able = limits.join(F.broadcast(cut(floor, "floors")), "qid", "left").filter(F.col("floor").isNull() | (F.col("limit") >= F.col("floor")))  # a row for each query
-    return _sums(asked, hits.join(able.select("qid", "slice"), ["qid", "slice"], "left_semi"))
+    pairs = cut(able.select("qid", "slice"), "able")
+    return _sums(asked, hits.join(F.broadcast(pairs) if pairs.count() <= MAX_BROADCAST_TERMS else pairs, ["qid", "slice"], "left_semi"))  # else postings travel once for each query
 
 
 def rank(scores: DataFrame, depth: int = DEPTH, digits: int | None = 9) -> DataFrame:
