@@ -4,18 +4,18 @@ A byte goes if a string of ``LENGTH`` bytes that covers it also starts in a
 document with a smaller id. What would be one suffix array over the corpus is
 many small ones here, of only such text as can repeat:
 
-1. Texts go to block files, some 8 MB each, which all later steps read.
+1. Texts go to block files, some 16 MB each, which all later steps read.
 2. Every window of LENGTH bytes has a key that depends on nothing but its bytes: the
    least hash of its K-byte strings. Neighbouring windows mostly share it. Keys
    found in one document only are dropped; whatever repeats keeps its keys.
 3. A run of windows with one key that is left is a segment. Segments meet by key, equal ones
    of a block as one. So equal windows meet wherever they come from, and a
    passage that a third of all documents hold arrives once for each block.
-4. There the distinct segments get a Burrows-Wheeler transform. Intervals of
-   suffixes are extended backwards, breadth first: the boundaries found at step
+4. There the distinct segments of keys with several get a Burrows-Wheeler transform.
+   Intervals of suffixes are extended backwards, breadth first: the boundaries found at step
    n are those of common prefixes of n bytes, in increasing order. The search starts from
-   a table of all strings of 7 bytes and ends at LENGTH, where what no boundary parts is
-   equal windows. Each such set has a smallest document.
+   a table of all strings of 21 bytes (7 or 14 in very large sets) and ends at LENGTH, where what no boundary parts is
+   equal windows. Each such set has a smallest document, and so have the windows of a key's only segment.
 5. Blocks get these back, mark their bytes and report.
 
 Keys with very many blocks, such as those of set phrases, are divided further by a second hash
@@ -30,8 +30,9 @@ gives an empty result; other columns stay out.
 from __future__ import annotations
 
 import hashlib
-import io
 from collections.abc import Iterable, Iterator
+from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -45,30 +46,35 @@ from corpusloom.llm.files import open_random, written_whole
 from corpusloom.llm.hashing import U, byte_runs, inverses, mix, powers
 
 LENGTH = 50
-K = 16
-BLOCK_BYTES = 8 << 20
-CHUNK_BYTES = 1 << 20
+K = 20
+BLOCK_BYTES = 16 << 20
+CHUNK_BYTES = 1 << 16
 #: Bytes of distinct segments in one transform; a key's segments aren't parted.
-TRANSFORM_BYTES = 1_500_000
-#: A key in more blocks than this (16 GB of text or more) is divided by a second hash.
+TRANSFORM_BYTES = 300_000
+#: A key in more blocks than this (32 GB of text or more) is divided by a second hash.
 HOT_BLOCKS = 2000
 #: Symbols of 9 bits (a byte or a separator) in the first sort key.
 PACKED = 7
 MISSING = np.iinfo(np.int64).max
 
 
+@cache
+def _zstd() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed string."""
-    out = io.BytesIO()
-    for a in arrays:
-        np.save(out, a, allow_pickle=False)
-    return zstandard.compress(out.getvalue(), 1)
+    """Arrays as one compressed string: their lengths, then their bytes."""
+    sizes = np.array([len(a) for a in arrays], dtype=np.int64)
+    return _zstd()[0].compress(b"".join([sizes.tobytes(), *[a.tobytes() for a in arrays]]))
 
 
-def _unpack(data: bytes) -> list[np.ndarray]:
-    raw, out = io.BytesIO(zstandard.decompress(data)), []
-    while raw.tell() < len(raw.getbuffer()):
-        out.append(np.load(raw, allow_pickle=False))
+def _unpack(data: bytes, *kinds: type) -> list[np.ndarray]:
+    """Arrays of these kinds, as they were packed."""
+    raw, at, out = _zstd()[1].decompress(data), 8 * len(kinds), []
+    for kind, n in zip(kinds, np.frombuffer(raw, np.int64, len(kinds)).tolist(), strict=True):
+        out.append(np.frombuffer(raw, kind, n, at))
+        at += out[-1].nbytes
     return out
 
 
@@ -131,70 +137,95 @@ def _runs(texts: list[bytes]) -> Iterator[tuple[list[bytes], np.ndarray, np.ndar
 # -- steps 2 and 3: keys and segments
 
 
-def _least(data: np.ndarray, k: int, seed: int, length: int) -> np.ndarray:
-    """Of each window its least hash of k bytes."""
-    table = powers(k + 1)
-    rolled = {1: data.astype(U) + U(seed)}
-    size = 1
-    while size * 2 <= k:
-        x = rolled[size]
-        rolled[size * 2] = x[:-size] * table[size] + x[size:] if len(x) > size else x[:0]
-        size *= 2
-    h, used = None, 0
-    for size in sorted(rolled, reverse=True):
-        if k & size:
-            part = rolled[size]
-            if h is None:
-                h, used = part, size
-            else:
-                n = max(0, len(part) - used)
-                h, used = h[:n] * table[size] + part[used : used + n], used + size
-    m, span, width = mix(h), 1, length - k + 1
+def _sums(data: np.ndarray) -> np.ndarray:
+    """Running sums from which ``_hashes`` has the hash of any range."""
+    sums = np.zeros(len(data) + 1, dtype=U)
+    np.cumsum((data.astype(U) + U(1)) * powers(len(data) + 1)[1:], out=sums[1:])
+    return sums
+
+
+def _hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of segments."""
+    return mix((sums[end] - sums[start]) * inverses(len(sums))[start] + (end - start - LENGTH + 1).astype(U) * U(0xFF51AFD7ED558CCD))
+
+
+def _strings(sums: np.ndarray, k: int) -> np.ndarray:
+    """A number for each string of k bytes; it orders them, and isn't mixed."""
+    return (sums[k:] - sums[:-k]) * inverses(len(sums) - k)
+
+
+def _least(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of each so many neighbours."""
+    span = 1
     while span * 2 <= width:
-        m = np.minimum(m[:-span], m[span:]) if len(m) > span else m[:0]
+        x = np.minimum(x[:-span], x[span:])
         span *= 2
-    rest = width - span
-    return np.minimum(m[: len(m) - rest], m[rest:]) if rest and len(m) > rest else m[: max(0, len(m) - rest)]
+    return np.minimum(x[: span - width], x[width - span :]) if span < width else x
 
 
 class Segments:
-    """Segments of a run of texts: of each its text (row), start, number of windows, key and hash.
+    """Segments of a run of texts: of each its text (row), start, number of windows and key.
 
-    ``base`` is the key before the division of those in ``hot``.
+    ``base`` is the key before the division of those in ``hot``, which has numbers as ``least`` has them.
     """
 
     def __init__(self, texts: list[bytes], hot: np.ndarray | None = None, length: int = LENGTH, k: int = K):
         self.data = data = np.frombuffer(b"".join(texts), dtype=np.uint8)
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
         begin = np.concatenate([[0], np.cumsum(sizes)])
-        windows = np.maximum(sizes - length + 1, 0)
-        if not windows.any():
+        if not (sizes >= length).any():
             self.row = self.start = self.n = np.zeros(0, np.int64)
-            self.key = self.base = self.hash = np.zeros(0, U)
-            self.begin = begin
+            self.key = self.base = self.least = np.zeros(0, U)
             return
-        least = _least(data, k, 1, length)
-        at = np.repeat(begin[:-1] - np.concatenate([[0], np.cumsum(windows)[:-1]]), windows) + np.arange(windows.sum())
-        key, row = least[at], np.repeat(np.arange(len(texts)), windows)
-        base = key
+        self.sums = sums = _sums(data)
+        least = key = _least(_strings(sums, k), length - k + 1)
         if hot is not None and len(hot):
-            inside = np.isin(key, hot)
+            inside = np.isin(least, hot)
             if inside.any():
-                key = np.where(inside, mix(key + _least(data, 24, 77, length)[at] * U(0xD1342543DE82EF95)), key)
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])])
+                second = _least(mix(_strings(sums, 24)), length - 24 + 1)
+                key = np.where(inside, mix(least + second * U(0xD1342543DE82EF95)), least)
+        new = np.empty(len(key), dtype=bool)
+        np.not_equal(key[1:], key[:-1], out=new[1:])
+        new[0] = True
+        new[begin[:-1][sizes >= length]] = True
         first = np.flatnonzero(new)
-        self.begin, self.row, self.key, self.base = begin, row[first], key[first], base[first]
-        self.n = np.diff(np.append(first, len(key)))
-        self.start = at[first]  # in data
-        end = self.start + self.n + length - 1
-        sums = np.zeros(len(data) + 1, dtype=U)
-        np.cumsum((data.astype(U) + U(1)) * powers(len(data)), out=sums[1:])
-        self.hash = mix((sums[end] - sums[self.start]) * inverses(len(data) + 1)[self.start] + self.n.astype(U) * U(0xFF51AFD7ED558CCD))
+        row = np.searchsorted(begin, first, side="right") - 1
+        n = np.minimum(np.append(first[1:], len(key)), begin[row + 1] - length + 1) - first
+        whole = n > 0  # windows over the end of a text are none
+        self.row, self.start, self.n = row[whole], first[whole], n[whole]
+        self.least = least[self.start]
+        self.base = mix(self.least)
+        self.key = self.base if key is least else mix(key[self.start])
+
+    def hashes(self, i: np.ndarray | slice = slice(None)) -> np.ndarray:
+        start = self.start[i]
+        return _hashes(self.sums, start, start + self.n[i] + LENGTH - 1) if len(start) else np.zeros(0, U)
+
+
+def _scaled(key: np.ndarray, n: int) -> np.ndarray:
+    """A number below n for each key; it grows with the key."""
+    return ((key >> U(32)) * U(n) >> U(32)).astype(np.int64)
 
 
 def _tag(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Bucket and 40 further bits of a key. Two keys with one tag only cost time."""
-    return (key % U(buckets)).astype(np.int64), key >> U(24)
+    return _scaled(key, buckets), key & U((1 << 40) - 1)
+
+
+def _tags_out(tag: np.ndarray, flag: np.ndarray) -> bytes:
+    return (tag & U(0xFFFFFFFF)).astype(np.uint32).tobytes() + (tag >> U(32)).astype(np.uint8).tobytes() + np.packbits(flag).tobytes()
+
+
+def _tags_in(n: list[int], data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Tags and flags of several rows, joined."""
+    if not n:
+        return np.zeros(0, U), np.zeros(0, bool)
+    low = np.frombuffer(b"".join([d[: 4 * k] for k, d in zip(n, data, strict=True)]), np.uint32).astype(U)
+    high = np.frombuffer(b"".join([d[4 * k : 5 * k] for k, d in zip(n, data, strict=True)]), np.uint8).astype(U)
+    size = np.array(n, dtype=np.int64)
+    bits = np.unpackbits(np.frombuffer(b"".join([d[5 * k :] for k, d in zip(n, data, strict=True)]), np.uint8))
+    whole = (size + 7) // 8 * 8
+    return low | high << U(32), bits[_ranges(np.cumsum(whole) - whole, size)].astype(bool)
 
 
 def _keys(folder: str, buckets: int):
@@ -211,21 +242,24 @@ def _keys(folder: str, buckets: int):
             key, row = np.concatenate(keys), np.concatenate(rows)
             if not len(key):
                 continue
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             key, doc = key[order], docs[row[order]]
             first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
             bucket, tag = _tag(key[first], buckets)
-            order = np.argsort(bucket, kind="stable")
-            bucket, tag, several = bucket[order], tag[order], several[order]
             ends = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
-            low, high = (tag & U(0xFFFFFFFF)).astype(np.uint32), (tag >> U(32)).astype(np.uint8)
-            data = [low[a:b].tobytes() + high[a:b].tobytes() + np.packbits(several[a:b]).tobytes() for a, b in zip(ends, ends[1:], strict=False)]
+            data = [_tags_out(tag[a:b], several[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
             yield pa.record_batch([pa.array(bucket[ends[:-1]]), pa.array([name] * len(data)), pa.array((ends[1:] - ends[:-1]).astype(np.int64)), pa.array(data, pa.binary())], names=["bucket", "block", "n", "data"])
 
     return work
 
 
+def _back(order: np.ndarray, x: np.ndarray) -> np.ndarray:
+    out = np.empty_like(x)
+    out[order] = x
+    return out
+
+
 def _repeated(hot_blocks: int):
     """Of each bucket and block: the tags that occur in more than one document, and which of them are hot."""
 
@@ -235,58 +269,65 @@ def _repeated(hot_blocks: int):
             for bucket, block, n, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 held.setdefault(bucket, []).append((block, n, data))
         for bucket, parts in held.items():
-            low = np.concatenate([np.frombuffer(d, np.uint32, n) for _, n, d in parts]).astype(U)
-            high = np.concatenate([np.frombuffer(d, np.uint8, n, 4 * n) for _, n, d in parts]).astype(U)
-            several = np.concatenate([np.unpackbits(np.frombuffer(d, np.uint8, offset=5 * n), count=n) for _, n, d in parts])
+            tag, several = _tags_in([n for _, n, _ in parts], [d for _, _, d in parts])
             of = np.repeat(np.arange(len(parts)), [n for _, n, _ in parts])
-            tag = low | high << U(32)
-            order = np.argsort(tag, kind="stable")
+            order = np.argsort(tag)
             t = tag[order]
             first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
             times = np.diff(np.append(first, len(t)))
             good = (times > 1) | (np.maximum.reduceat(several[order], first) > 0)
             good, hot = np.repeat(good, times), np.repeat(times > hot_blocks, times)
-            pick = order[good]
-            hot, of_picked = hot[good], of[pick]
-            by = np.argsort(of_picked, kind="stable")
-            pick, hot, of_picked = pick[by], hot[by], of_picked[by]
+            good, hot = _back(order, good), _back(order, hot)
+            pick = np.flatnonzero(good)
+            hot, of_picked = hot[pick], of[pick]
             ends = np.searchsorted(of_picked, np.arange(len(parts) + 1))
-            rows = [(bucket, parts[i][0], int(b - a), _pack(tag[pick[a:b]], np.packbits(hot[a:b]))) for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False)) if b > a]
+            rows = [(bucket, parts[i][0], int(b - a), _tags_out(tag[pick[a:b]], hot[a:b])) for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False)) if b > a]
             if rows:
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "block", "n", "data"])
 
     return work
 
 
+class _Known:
+    """Sorted numbers in which others are looked up, first by their low bits."""
+
+    def __init__(self, numbers: np.ndarray):
+        self.numbers, self.low = numbers, np.zeros(1 << 20, dtype=bool)
+        self.low[self._low(numbers)] = True
+
+    def _low(self, x: np.ndarray) -> np.ndarray:
+        return (x & U(len(self.low) - 1)).view(np.int64)
+
+    def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of x are known, and where."""
+        i = np.flatnonzero(self.low[self._low(x)])
+        if not len(i):
+            return i, i
+        at = np.minimum(np.searchsorted(self.numbers, x[i]), len(self.numbers) - 1)
+        same = self.numbers[at] == x[i]
+        return i[same], at[same]
+
+
 class _Wanted:
     """Which keys of a block are repeated, and which of them hot."""
 
     def __init__(self, rows: list[dict], buckets: int):
-        self.buckets, tags, hot = buckets, [], []
-        for r in sorted(rows, key=lambda r: r["bucket"]):
-            t, h = _unpack(r["data"])
-            tags.append(t | U(r["bucket"]) << U(40))
-            hot.append(np.unpackbits(h, count=len(t)).astype(bool))
-        self.tags = np.concatenate(tags) if tags else np.zeros(0, U)
-        self.is_hot = np.concatenate(hot) if hot else np.zeros(0, bool)
-        order = np.argsort(self.tags)
-        self.tags, self.is_hot = self.tags[order], self.is_hot[order]
-
-    def has(self, key: np.ndarray, hot: bool = False) -> np.ndarray:
+        self.buckets = buckets
+        tags, is_hot = _tags_in([r["n"] for r in rows], [r["data"] for r in rows])
+        tags = tags | np.repeat(np.array([r["bucket"] for r in rows], dtype=U), [r["n"] for r in rows]) << U(40)
+        self.tags, self.hot = _Known(np.sort(tags)), _Known(np.sort(tags[is_hot]))
+
+    def find(self, key: np.ndarray, hot: bool = False) -> np.ndarray:
+        """Which of the keys are repeated, or hot."""
         bucket, tag = _tag(key, self.buckets)
-        tags = self.tags[self.is_hot] if hot else self.tags
-        if not len(tags):
-            return np.zeros(len(key), bool)
-        full = tag | bucket.astype(U) << U(40)
-        at = np.minimum(np.searchsorted(tags, full), len(tags) - 1)
-        return tags[at] == full
-
-    def segments(self, texts: list[bytes]) -> tuple[Segments, np.ndarray]:
-        """Segments of the texts, hot keys divided, and which of them are wanted."""
+        return (self.hot if hot else self.tags).find(tag | bucket.astype(U) << U(40))[0]
+
+    def segments(self, texts: list[bytes]) -> Segments:
+        """Segments of the texts, hot keys divided."""
         s = Segments(texts)
-        if self.is_hot.any() and (hot := self.has(s.key, hot=True)).any():
-            s = Segments(texts, np.unique(s.key[hot]))
-        return s, self.has(s.base)
+        if len(self.hot.numbers) and len(hot := self.find(s.base, hot=True)):
+            s = Segments(texts, np.unique(s.least[hot]))
+        return s
 
 
 def _block_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
@@ -303,24 +344,24 @@ def _send(folder: str, buckets: int, tasks: int):
             docs, texts = _read_block(folder, name)
             parts, base, content = [], 0, []
             for pieces, of, _ in _runs(texts):
-                s, good = wanted.segments(pieces)
-                i = np.flatnonzero(good)
+                s = wanted.segments(pieces)
+                i = wanted.find(s.base)
                 if len(i):
-                    parts.append((s.key[i], s.hash[i], docs[of[s.row[i]]], s.start[i] + base, s.n[i] + LENGTH - 1))
+                    parts.append((s.key[i], s.hashes(i), docs[of[s.row[i]]], s.start[i] + base, s.n[i] + LENGTH - 1))
                     content.append(s.data)
                     base += len(s.data)
             if not parts:
                 continue
             key, hashed, doc, start, size = (np.concatenate(c) for c in zip(*parts, strict=True))
             data = np.concatenate(content)
-            order = np.lexsort((doc, hashed))
-            hashed = hashed[order]
+            order = np.argsort(hashed)
+            hashed, doc = hashed[order], doc[order]
             first = np.flatnonzero(np.concatenate([[True], hashed[1:] != hashed[:-1]]))
-            last = np.append(first[1:], len(order)) - 1
-            key, low, high, start, size = key[order[first]], doc[order[first]], doc[order[last]], start[order[first]], size[order[first]]
-            task = (mix(key + U(99)) % U(tasks)).astype(np.int64)
-            by = np.lexsort((key, task))
-            key, low, high, start, size, task = key[by], low[by], high[by], start[by], size[by], task[by]
+            low, high, one = np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first), order[first]
+            by = np.argsort(key[one])
+            low, high, one = low[by], high[by], one[by]
+            key, start, size = key[one], start[one], size[one]
+            task = _scaled(key, tasks)
             ends = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1], [True]]))
             out = []
             for a, b in zip(ends, ends[1:], strict=False):
@@ -340,8 +381,8 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 # -- step 4: the transform
 
 
-def suffix_order(s: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of ``s`` in the order of their first ``depth`` symbols at least, and which start another string of PACKED symbols."""
+def suffix_order(s: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Positions of ``s`` in the order of their first ``depth`` symbols at least, and which start another string of as many symbols as is told, ``depth`` - 1 at most."""
     n = len(s)
     padded = np.concatenate([s.astype(U), np.zeros(PACKED, dtype=U)])
     key = np.zeros(n, dtype=U)
@@ -350,17 +391,22 @@ def suffix_order(s: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(key)
     ranked = key[order]
     new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
-    table, known = new, PACKED
+    table, told, known = new, PACKED, PACKED
     while known < depth and not new.all():
-        rank = np.empty(n, dtype=U)
-        rank[order] = np.cumsum(new).astype(U)
-        key = rank << U(32)
-        key[: n - known] |= rank[known:]
+        rank = np.cumsum(new).astype(U)
+        bits = 21 if rank[-1] < 1 << 21 else 32
+        rank = _back(order, rank)
+        key = rank
+        for i in range(1, 64 // bits):  # so many ranks in one key
+            key = key << U(bits)
+            key[: max(0, n - i * known)] |= rank[i * known :]
         order = np.argsort(key)
         ranked = key[order]
         new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
-        known *= 2
-    return order, table
+        known *= 64 // bits
+        if known < depth:
+            table, told = new, known
+    return order, table, told
 
 
 def equal_windows(s: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -373,7 +419,7 @@ def equal_windows(s: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.n
     prefixes one longer. A boundary that is known already was found by a shorter
     one, and its interval isn't followed, so that each boundary is visited once.
     """
-    order, table = suffix_order(s, length + 1)
+    order, table, told = suffix_order(s, length + 1)
     n = len(s)
     before = s[order - 1]  # position -1 is the separator at the end
     by_symbol = np.argsort(before, kind="stable")
@@ -383,10 +429,10 @@ def equal_windows(s: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.n
     following, previous = np.full(n, n, dtype=np.int32), np.full(n, -1, dtype=np.int32)
     following[by_symbol[:-1][same]] = by_symbol[1:][same]
     previous[by_symbol[1:][same]] = by_symbol[:-1][same]
-    boundary = np.append(table, True)  # prefixes shorter than PACKED
+    boundary = np.append(table, True)  # prefixes shorter than those of the table
     edges = np.flatnonzero(boundary).astype(np.int32)
     low, high = edges[:-1], edges[1:]
-    for _ in range(PACKED + 1, length + 1):
+    for _ in range(told + 1, length + 1):
         if not len(low):
             break
         size = high - low
@@ -421,69 +467,59 @@ def smallest_owner(data: np.ndarray, size: np.ndarray, doc: np.ndarray, length:
     return out[place]
 
 
-def _hash_segments(data: np.ndarray, size: np.ndarray) -> np.ndarray:
-    ends = np.cumsum(size)
-    starts = ends - size
-    sums = np.zeros(len(data) + 1, dtype=U)
-    np.cumsum((data.astype(U) + U(1)) * powers(len(data)), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverses(len(data) + 1)[starts] + (size - LENGTH + 1).astype(U) * U(0xFF51AFD7ED558CCD))
-
-
 def _answer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """To each block, of its segments with an earlier owner: hash, owners as runs."""
     names, parts = [], []
     for _, block, _, data in _block_rows(batches):
-        key, low, several, size, flat = _unpack(data)
+        key, low, several, size, flat = _unpack(data, U, np.int64, np.bool_, np.uint32, np.uint8)
         size = size.astype(np.int64)
-        parts.append((np.full(len(key), len(names)), key, low, several, size, _hash_segments(flat, size), flat))
+        end = np.cumsum(size)
+        parts.append((np.full(len(key), len(names)), key, low, several, size, _hashes(_sums(flat), end - size, end), flat))
         names.append(block)
     if not parts:
         return
     of, key, low, several, size, hashed, data = (np.concatenate(c) for c in zip(*parts, strict=True))
     del parts
     begin = np.cumsum(size) - size
-    order = np.lexsort((low, hashed, key))
+    order = np.lexsort((hashed, key))
     k, h = key[order], hashed[order]
     first = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (h[1:] != h[:-1])]))
     times = np.diff(np.append(first, len(order)))
-    one = order[first]  # a row for each distinct segment, with its smallest document
-    groups: list[list] = [[] for _ in names]
-    new_key = np.flatnonzero(np.concatenate([[True], key[one][1:] != key[one][:-1], [True]]))
-    at = 0
-    bytes_to = np.concatenate([[0], np.cumsum(size[one])])
-    while at < len(new_key) - 1:  # whole keys, up to the bytes of a transform
-        to = int(np.searchsorted(bytes_to[new_key], bytes_to[new_key[at]] + TRANSFORM_BYTES, side="right")) - 1
+    one = order[first]  # a row for each distinct segment
+    size, hashed, begin, earliest = size[one], hashed[one], begin[one], np.minimum.reduceat(low[order], first)
+    of_key = np.flatnonzero(np.concatenate([[True], k[first][1:] != k[first][:-1], [True]]))
+    compared = np.flatnonzero(np.repeat(np.diff(of_key) > 1, np.diff(of_key)))  # no others have their key: nothing to tell apart
+    floor, ceil = earliest.copy(), earliest.copy()
+    kept, at = [], 0
+    of_key = np.flatnonzero(np.concatenate([[True], np.diff(k[first[compared]]) != 0, [True]])) if len(compared) else np.zeros(1, np.int64)
+    bytes_to = np.concatenate([[0], np.cumsum(size[compared])])
+    while at < len(of_key) - 1:  # whole keys, up to the bytes of a transform
+        to = int(np.searchsorted(bytes_to[of_key], bytes_to[of_key[at]] + TRANSFORM_BYTES, side="right")) - 1
         to = max(at + 1, to)
-        a, b = new_key[at], new_key[to]
-        rows = one[a:b]
-        least = smallest_owner(data[_ranges(begin[rows], size[rows])], size[rows], low[rows])
-        _collect(groups, least, size[rows], hashed[rows], order, first[a:b], times[a:b], of, low, several)
+        rows = compared[of_key[at] : of_key[to]]
+        least = smallest_owner(data[_ranges(begin[rows], size[rows])], size[rows], earliest[rows])
+        windows = size[rows] - LENGTH + 1
+        least = least[_ranges(np.cumsum(size[rows]) - size[rows], windows)]
+        starts = np.cumsum(windows) - windows
+        floor[rows], ceil[rows] = np.minimum.reduceat(least, starts), np.maximum.reduceat(least, starts)
+        uneven = np.flatnonzero(floor[rows] < ceil[rows])
+        kept.append(least[_ranges(starts[uneven], windows[uneven])])
         at = to
-    for name, found in zip(names, groups, strict=True):
-        if found:
-            yield pa.record_batch([pa.array([name]), pa.array([_pack(*[np.concatenate(c) for c in zip(*found, strict=True)])], pa.binary())], names=["block", "data"])
-
-
-def _collect(groups, least, size, hashed, order, first, times, of, low, several) -> None:
-    windows = size - LENGTH + 1
-    starts = np.cumsum(size) - size
-    least = least[_ranges(starts, windows)]
-    at = np.cumsum(windows) - windows
-    floor, ceil = np.minimum.reduceat(least, at), np.maximum.reduceat(least, at)
-    which = np.repeat(np.arange(len(size)), times)
-    rows = order[_ranges(first, times)]
-    need = several[rows] | (floor[which] < low[rows])
-    rows, which = rows[need], which[need]
+    windows = np.where(floor < ceil, size - LENGTH + 1, 0)
+    starts, owners = np.cumsum(windows) - windows, np.concatenate([*kept, np.zeros(0, np.int64)])
+    which = np.repeat(np.arange(len(one)), times)
+    need = several[order] | (floor[which] < low[order])
+    rows, which = order[need], which[need]
     by = np.argsort(of[rows], kind="stable")
     rows, which = rows[by], which[by]
-    blocks = of[rows]
-    ends = np.flatnonzero(np.concatenate([[True], blocks[1:] != blocks[:-1], [True]]))
-    for a, b in zip(ends, ends[1:], strict=False):
+    ends = np.searchsorted(of[rows], np.arange(len(names) + 1))
+    for name, a, b in zip(names, ends, ends[1:], strict=False):
         if b > a:
             w = which[a:b]
-            even = floor[w] == ceil[w]
-            u = w[~even]
-            groups[blocks[a]].append((hashed[w[even]], floor[w[even]], hashed[u], windows[u], least[_ranges(at[u], windows[u])]))
+            even = windows[w] == 0
+            u, w = w[~even], w[even]
+            found = _pack(hashed[w], floor[w], hashed[u], windows[u], owners[_ranges(starts[u], windows[u])])
+            yield pa.record_batch([pa.array([name]), pa.array([found], pa.binary())], names=["block", "data"])
 
 
 # -- step 5: the report
@@ -494,62 +530,78 @@ def _report(folder: str, buckets: int, with_text: bool):
         for name, rows, answers in _block_rows(batches):
             wanted = _Wanted(rows or [], buckets)
             docs, texts = _read_block(folder, name)
-            got = [_unpack(x) for x in answers or []]
-            plain, owner, mixed, windows, owners = (np.concatenate(c) for c in zip(*got, strict=True)) if got else (np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64))
-            order = np.argsort(plain)
-            plain, owner = plain[order], owner[order]
-            begin = np.cumsum(windows) - windows
-            order = np.argsort(mixed)
-            mixed, windows, begin = mixed[order], windows[order], begin[order]
-            long = np.zeros(0, bool)  # what goes of a text that comes in pieces
+            got = [_unpack(x, U, np.int64, U, np.int64, np.int64) for x in answers or []]
+            none = [(np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+            plain, owner, mixed, windows, owners = (np.concatenate(c) for c in zip(*(got or none), strict=True))
+            hashed, begin = np.concatenate([plain, mixed]), np.cumsum(windows) - windows
+            owner, begin = np.append(owner, np.zeros(len(mixed), np.int64)), np.append(np.full(len(plain), -1), begin)
+            order = np.argsort(hashed)
+            known = _Owners(_Known(hashed[order]), owner[order], begin[order], owners)
+            long: list = []  # what goes of a text that comes in pieces
             for pieces, of, at in _runs(texts):
-                gone = _marked(pieces, docs[of], wanted, plain, owner, mixed, windows, begin, owners)
-                whole, here = [], 0
-                for piece, i, p in zip(pieces, of.tolist(), at.tolist(), strict=True):
-                    g, n = gone[here : here + len(piece)], len(texts[i])
-                    here += len(piece)
-                    if len(piece) < n:
-                        if p == 0:
-                            long = np.zeros(n, bool)
-                        long[p : p + len(piece)] |= g
-                        if p + len(piece) < n:
+                row, start, end = _gone(pieces, docs[of], wanted, known)
+                size = np.array([len(x) for x in pieces])
+                shift = (at - np.cumsum(size) + size)[row]
+                start, end = start + shift, end + shift  # in the texts
+                ends = np.searchsorted(row, np.arange(len(pieces) + 1)).tolist()
+                whole = []
+                for j, (i, p) in enumerate(zip(of.tolist(), at.tolist(), strict=True)):
+                    runs, n = (start[ends[j] : ends[j + 1]], end[ends[j] : ends[j + 1]]), len(texts[i])
+                    if len(pieces[j]) < n:
+                        long = [*long, runs] if p else [runs]
+                        if p + len(pieces[j]) < n:
                             continue
-                        g = long
-                    whole.append((docs[i], texts[i], g))
+                        start_of, end_of = (np.concatenate(c) for c in zip(*long, strict=True))
+                        runs = _joined(np.zeros(len(start_of), np.int64), start_of, end_of)[1:]
+                    whole.append((docs[i], texts[i], *runs))
                 if whole:
                     yield _figures(whole, with_text)
 
     return work
 
 
-def _marked(texts, docs, wanted, plain, owner, mixed, windows, begin, owners) -> np.ndarray:
-    """Of the joined texts, the bytes that go."""
-    s, good = wanted.segments(texts)
-    step = np.zeros(len(s.data) + 1, dtype=np.int64)
-    i = np.flatnonzero(good)
-    if len(i) and len(plain):
-        at = np.minimum(np.searchsorted(plain, s.hash[i]), len(plain) - 1)
-        hit = i[(plain[at] == s.hash[i]) & (owner[at] < docs[s.row[i]])]
-        np.add.at(step, s.start[hit], 1)
-        np.add.at(step, s.start[hit] + s.n[hit] + LENGTH - 1, -1)
-    if len(i) and len(mixed):
-        at = np.minimum(np.searchsorted(mixed, s.hash[i]), len(mixed) - 1)
-        same = mixed[at] == s.hash[i]
-        i, at = i[same], at[same]
-        window = _ranges(s.start[i], s.n[i])
-        earlier = owners[_ranges(begin[at], windows[at])] < np.repeat(docs[s.row[i]], s.n[i])
-        np.add.at(step, window[earlier], 1)
-        np.add.at(step, window[earlier] + LENGTH, -1)
-    return np.cumsum(step[:-1]) > 0
-
-
-def _figures(whole: list[tuple[int, bytes, np.ndarray]], with_text: bool) -> pa.RecordBatch:
+class _Owners(NamedTuple):
+    """Sorted hashes of segments, and their owners: one (where begin is -1), or from ``begin`` on in ``owners``."""
+
+    hashed: _Known
+    owner: np.ndarray
+    begin: np.ndarray
+    owners: np.ndarray
+
+
+def _joined(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs that some ranges cover, by row; rows lie one after the other."""
+    if not len(row):
+        return row, start, end
+    order = np.argsort(start, kind="stable")
+    row, start, reach = row[order], start[order], np.maximum.accumulate(end[order])
+    new = np.concatenate([[True], (start[1:] > reach[:-1]) | (row[1:] != row[:-1]), [True]])
+    first = np.flatnonzero(new)
+    return row[first[:-1]], start[first[:-1]], reach[first[1:] - 1]
+
+
+def _gone(texts: list[bytes], docs: np.ndarray, wanted: _Wanted, known: _Owners) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of bytes that go: their texts, and where they start and end in the joined texts."""
+    s = wanted.segments(texts)
+    i, at = known.hashed.find(s.hashes())
+    doc, even = docs[s.row[i]], known.begin[at] < 0
+    hit = i[even & (known.owner[at] < doc)]
+    i, at, doc = i[~even], at[~even], doc[~even]
+    earlier = known.owners[_ranges(known.begin[at], s.n[i])] < np.repeat(doc, s.n[i])
+    window, row = _ranges(s.start[i], s.n[i])[earlier], np.repeat(s.row[i], s.n[i])[earlier]
+    start = np.concatenate([s.start[hit], window])
+    end = np.concatenate([s.start[hit] + s.n[hit] + LENGTH - 1, window + LENGTH])
+    return _joined(np.concatenate([s.row[hit], row]), start, end)
+
+
+def _figures(whole: list[tuple[int, bytes, np.ndarray, np.ndarray]], with_text: bool) -> pa.RecordBatch:
     rows = []
-    for doc, text, g in whole:
-        removed = int(g.sum())
-        kept = np.frombuffer(text, np.uint8)[~g].tobytes() if removed else text
-        spans = int(g[0]) + int((g[1:] & ~g[:-1]).sum()) if removed else 0
-        rows.append((None if doc == MISSING else int(doc), len(text), removed, spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
+    for doc, text, start, end in whole:
+        kept, removed = text, 0
+        if len(start):
+            removed = int((end - start).sum())
+            kept = b"".join([text[a:b] for a, b in zip([0, *end.tolist()], [*start.tolist(), len(text)], strict=True)])
+        rows.append((None if doc == MISSING else int(doc), len(text), removed, len(start), hashlib.sha256(kept).hexdigest(), kept if with_text else None))
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
     columns = list(zip(*rows, strict=True)) or [[]] * 6
     return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
@@ -574,9 +626,9 @@ def dedup_substrings(docs: DataFrame, text: str = "text", doc: str = "doc_id", w
     repeated = cut(keys.repartition(tasks, "bucket").mapInArrow(_repeated(hot_blocks), "bucket long, block string, n long, data binary"), "repeated")
     n_repeated = repeated.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     transforms = max(shuffle, n_repeated * 70 // (12 << 20))
-    per_block = repeated.repartition(spread, "block").groupBy("block").agg(F.collect_list(F.struct("bucket", "data")).alias("rows"))
-    sent = per_block.mapInArrow(_send(folder, buckets, 4 * transforms), "task long, block string, n long, data binary")
-    answers = sent.repartition(transforms, "task").mapInArrow(_answer, "block string, data binary")
+    per_block = repeated.repartition(spread, "block").groupBy("block").agg(F.collect_list(F.struct("bucket", "n", "data")).alias("rows"))
+    sent = per_block.mapInArrow(_send(folder, buckets, transforms), "task long, block string, n long, data binary")
+    answers = sent.repartitionById(transforms, F.col("task").cast("int")).mapInArrow(_answer, "block string, data binary")
     per_block_answers = answers.repartition(spread, "block").groupBy("block").agg(F.collect_list("data").alias("answers"))
     work = blocks.select("block").repartition(spread, "block").join(per_block, "block", "left").join(per_block_answers, "block", "left").select("block", "rows", "answers")
     out = work.mapInArrow(_report(folder, buckets, with_text), "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

@@ -3,11 +3,13 @@
 import itertools
 import random
 import re
+import tempfile
 import time
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -15,6 +17,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpusloom.llm import chat, html_text, licences, line_dedup, near_dedup, pieces, quality, queries, substring_dedup, token_store
+from tests.llm import brute
 from tests.llm.conftest import LOREM, SF, prose
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -66,6 +69,63 @@ def test_smallest_owner_against_a_dictionary(seed):
     assert got.tolist() == want
 
 
+def _steps_of_op2(folder, rows, buckets=4, tasks=3):
+    """The steps of op2 without Spark, a block for each of the rows given: what is sent, and the report."""
+
+    def batch(names, *columns):
+        return pa.record_batch([pa.array(c) for c in columns], names=names)
+
+    blocks = []
+    for part in rows:
+        docs = batch(["doc", "text"], [d for d, _ in part], [t for _, t in part])
+        blocks += [b.column(0)[0].as_py() for b in substring_dedup._write_blocks(folder)([docs])]
+    keys = list(substring_dedup._keys(folder, buckets)([batch(["block"], blocks)]))
+    repeated = [r for b in substring_dedup._repeated(2000)(keys) for r in b.to_pylist()]
+    of = [[{k: r[k] for k in ("bucket", "n", "data")} for r in repeated if r["block"] == x] for x in blocks]
+    sent = list(substring_dedup._send(folder, buckets, tasks)([batch(["block", "rows"], [x for x, r in zip(blocks, of, strict=True) if r], [r for r in of if r])]))
+    by_task = pa.Table.from_batches(sent).to_pylist()
+    answers = []
+    for task in {r["task"] for r in by_task}:
+        mine = pa.Table.from_pylist([r for r in by_task if r["task"] == task], schema=sent[0].schema)
+        answers += [r for b in substring_dedup._answer(mine.combine_chunks().to_batches()) for r in b.to_pylist()]
+    got = [[r["data"] for r in answers if r["block"] == x] for x in blocks]
+    report = substring_dedup._report(folder, buckets, False)([batch(["block", "rows", "answers"], blocks, of, got)])
+    return by_task, {r["doc"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for b in report for r in b.to_pylist()}
+
+
+def test_op2_sends_a_row_for_each_block_and_task_and_compares_what_differs_only(tmp_path, monkeypatch):
+    r = np.random.default_rng(3)
+    passage = "".join(r.choice(list("abcdefgh"), 4000))
+    compared = []
+    owner = substring_dedup.smallest_owner
+    monkeypatch.setattr(substring_dedup, "smallest_owner", lambda data, *rest: compared.append(len(data)) or owner(data, *rest))
+    rows = [(1, passage), (5, passage)], [(9, passage), (4, "")], [(7, passage)]
+    sent, got = _steps_of_op2(str(tmp_path / "copies"), rows)
+    assert got == brute.op2([x for part in rows for x in part])
+    assert not compared  # each key has one segment, whoever has it
+    assert len(sent) == len({(x["task"], x["block"]) for x in sent}) <= 3 * 3
+    changed = passage[:2000] + "X" + passage[2001:]
+    rows = *rows, [(3, changed), (8, "before " + passage[1000:2500])]
+    _, got = _steps_of_op2(str(tmp_path / "changed"), rows)
+    assert got == brute.op2([x for part in rows for x in part])
+    assert 0 < sum(compared) < 2 * len(passage)  # the surroundings of where texts differ
+
+
+@given(st.integers(0, 10_000))
+@settings(max_examples=15, deadline=None)
+def test_op2_of_texts_that_share_pieces(seed):
+    r = np.random.default_rng(seed)
+    alphabet = list("ab" if seed % 3 == 0 else "abcdéß \n")
+    base = ["".join(r.choice(alphabet, int(r.integers(40, 400)))) for _ in range(4)]
+    rows = []
+    for d in r.permutation(12).tolist():
+        t = "".join(base[r.integers(4)][int(a) : int(a) + int(r.integers(30, 300))] for a in r.integers(0, 60, int(r.integers(0, 5))))
+        rows.append((d, t))
+    with tempfile.TemporaryDirectory() as folder:
+        _, got = _steps_of_op2(f"{folder}/blocks", [rows[:5], rows[5:6], rows[6:]])
+    assert got == brute.op2(rows)
+
+
 # -- signatures
 
 
