@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpusloom.functions.stem import stem
+from corpusloom.functions.text import let, words
 
 LANGUAGES = {"en": "english", "de": "german"}
 #: Endings that a word tokeniser parts from English words; they hold an apostrophe or are its halves.
@@ -35,7 +36,7 @@ def alphabetic_words(text: Column, language: str) -> Column:
     _check(language)
     lower = F.lower(text)
     if language == "en":
-        lower = F.regexp_replace(lower, _CLITIC, " ")
+        lower = let(lower, lambda x: F.when(x.contains("'") | x.contains("’"), F.regexp_replace(x, _CLITIC, " ")).otherwise(x))  # looking for the pattern takes far longer
     found = F.regexp_extract_all(lower, F.lit(r"[\p{L}\p{M}\p{N}_]+(?:[-'’][\p{L}\p{M}\p{N}_]+)*"), F.lit(0))
     return F.filter(found, lambda w: w.rlike(r"^\p{L}+$"))
 
@@ -55,5 +56,10 @@ def index_tokens(text: Column, language: str) -> Column:
     return tokens(text, language, {"en": "porter", "de": "german"}.get(language, language))
 
 
+def tokens_by_language(text: Column, language: Column) -> Column:
+    """``index_tokens`` where a row's language has an analysis, words elsewhere. Each text is analysed in its language only."""
+    return F.coalesce(*[index_tokens(F.when(language == x, text), x) for x in LANGUAGES], words(text))
+
+
 def query_text(query: Column, language: str) -> Column:
     return F.array_join(index_tokens(query, language), " ")

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.session import cut, fresh
+from corpusloom.session import cut, fresh, new_path, scratch
 
 K1, B, K3 = 1.2, 0.75, 8.0
 MU, LAMBDA, C = 2500.0, 0.15, 1.0
@@ -247,10 +247,19 @@ class _Asked:
         return self.index.blocks.select("shelf", "slice", "term", *columns)
 
 
+def _size() -> list[Column]:
+    """Rows of terms, and their bytes."""
+    return [F.count("*"), F.coalesce(F.sum(F.octet_length("term") + 40), F.lit(0))]
+
+
+def _hint(rows: int, size: int) -> Callable[[DataFrame], DataFrame]:
+    return F.broadcast if rows <= MAX_BROADCAST_TERMS and size <= MAX_BROADCAST_BYTES else lambda df: df
+
+
 def _asked(index: Index, queries: DataFrame, model: str) -> _Asked:
     on = queries.select("qid", "term", query_weight(model, F.col("qtf").cast("double")).alias("times"), _shelf(F.col("term")).alias("shelf"))
-    rows, size, shelves = on.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("term") + 40), F.lit(0)), F.collect_set("shelf")).first()  # SHELVES numbers at most
-    small = F.broadcast if rows <= MAX_BROADCAST_TERMS and size <= MAX_BROADCAST_BYTES else lambda df: df
+    rows, size, shelves = on.agg(*_size(), F.collect_set("shelf")).first()  # SHELVES numbers at most
+    small = _hint(rows, size)
     pruned = Index(index.blocks.filter(F.col("shelf").isin(shelves)), index.terms.filter(F.col("shelf").isin(shelves)), index.stats, index.slices)
     known = pruned.terms.join(small(on), ["shelf", "term"]).crossJoin(F.broadcast(index.stats))  # stats: one row
     return _Asked(pruned, model, known, small)
@@ -304,14 +313,14 @@ def top(index: Index, queries: DataFrame, model: str = "bm25", depth: int = DEPT
     return _sums(asked, hits.join(F.broadcast(pairs) if pairs.count() <= MAX_BROADCAST_TERMS else pairs, ["qid", "slice"], "left_semi"))  # else postings travel once for each query
 
 
-def rank(scores: DataFrame, depth: int = DEPTH, digits: int | None = 9) -> DataFrame:
-    """qid, docno, rank from 1, score: by score, then docno.
+def rank(scores: DataFrame, depth: int = DEPTH, digits: int | None = 9, parts: tuple[str, ...] = ()) -> DataFrame:
+    """qid, docno, rank from 1, score: by score, then docno. With ``parts``, columns that come first, within each of their values.
 
     Scores are compared after rounding, so that ties don't hang on the order in which sums were made.
     """
     shown = F.round("score", digits) if digits is not None else F.col("score")
-    order = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("docno"))
-    return scores.withColumn("score", shown).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= depth).select("qid", "docno", "rank", "score")
+    order = Window.partitionBy(*parts, "qid").orderBy(F.col("score").desc(), F.col("docno"))
+    return scores.withColumn("score", shown).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= depth).select(*parts, "qid", "docno", "rank", "score")
 
 
 def search(index: Index, queries: DataFrame, query_tokens: Column, model: str = "bm25", depth: int = DEPTH, qid: str = "qid", digits: int | None = 9) -> DataFrame:
@@ -321,9 +330,45 @@ def search(index: Index, queries: DataFrame, query_tokens: Column, model: str =
     return rank(found, depth, digits)
 
 
-def retrieve(documents: DataFrame, queries: DataFrame, doc_tokens: Column, query_tokens: Column, model: str = "bm25", depth: int = DEPTH, docno: str = "docno", qid: str = "qid", digits: int | None = 9) -> DataFrame:
-    """Ranked documents of every query, from the texts, in one plan."""
-    return search(build_index(documents, doc_tokens, docno), queries, query_tokens, model, depth, qid, digits)
+def _write_postings(documents: DataFrame, docno: str, part: Column, tokens: Column, terms: DataFrame, hint: Callable[[DataFrame], DataFrame], folder: str) -> DataFrame:
+    """part, docno, dl, term, tf, docs: the postings of ``terms`` (part, term), and with a null term what is left of documents; docs sums up to the number of documents."""
+    spark, buckets = documents.sparkSession, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = documents.repartition(buckets, docno).select(part.alias("part"), F.col(docno).alias("docno"), tokens.alias("tokens"))
+    found = texts.select("part", "docno", F.size("tokens").alias("dl"), F.posexplode_outer("tokens").alias("at", "term"))
+    first, known = F.coalesce(F.col("at") == 0, F.lit(True)), F.col("asked").isNotNull()  # documents without words have a row too
+    hits = found.join(hint(terms.withColumn("asked", F.lit(True))), ["part", "term"], "left").filter(known | first)
+    dealt = hits.select("part", "docno", "dl", F.when(known, F.col("term")).alias("term"), first.alias("first")).repartition(buckets, "docno")  # tokens may be made by Python, after which Spark no longer knows how rows are dealt
+    counted = dealt.groupBy("part", "docno", "dl", "term").agg(F.count("*").cast("int").alias("tf"), F.count_if("first").alias("docs"))
+    name = _table_name(spark, folder)
+    counted.write.format("parquet").bucketBy(buckets, "docno").sortBy("docno").option("path", folder).saveAsTable(name)
+    return spark.table(name)
+
+
+def retrieve(documents: DataFrame, queries: DataFrame, doc_tokens: Column, query_tokens: Column, model: str = "bm25", depth: int = DEPTH, docno: str = "docno", qid: str = "qid", digits: int | None = 9, part: str | None = None) -> DataFrame:
+    """Ranked documents of every query, from the texts, without an index: words that no query asks for become no postings.
+
+    With ``part``, a column of both, the documents of each of its values are a collection with figures of its own, and the
+    result has that column first. Texts are analysed once, and postings are kept until the ranks are written.
+    """
+    if model not in MODELS:
+        raise ValueError(f"no weighting model {model!r}; there are {', '.join(MODELS)}")
+    spark, of = documents.sparkSession, F.col(part) if part else F.lit(0)
+    with scratch(spark):
+        found = queries.select(of.alias("part"), F.col(qid).alias("qid"), F.explode(query_tokens).alias("term")).groupBy("part", "qid", "term").agg(F.count("*").cast("double").alias("qtf"))
+        asked = cut(found.select("part", "qid", "term", query_weight(model, F.col("qtf")).alias("times")), "asked")
+        hint = _hint(*asked.agg(*_size()).first())
+        folder = new_path(spark, "postings")
+        try:
+            postings = _write_postings(documents, docno, of, doc_tokens, asked.select("part", "term").distinct(), hint, folder)
+            stats = postings.groupBy("part").agg(F.sum("docs").alias("n"), F.sum(F.col("docs") * F.col("dl")).alias("total"), F.sum(F.when(F.col("dl").isNotNull(), F.col("docs"))).alias("with_text"))
+            stats = stats.select("part", "n", "total", (F.col("total") / F.col("with_text")).alias("avdl"))
+            figures = postings.filter("term IS NOT NULL").groupBy("part", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).join(stats, "part")
+            known = figures.join(asked.groupBy("part", "term").agg(F.collect_list(F.struct("qid", "times")).alias("askers")), ["part", "term"])
+            weighted = postings.join(hint(known), ["part", "term"]).select("part", "docno", MODELS[model](_figures("tf", "dl")).alias("weight"), F.explode("askers").alias("q"))
+            scores = weighted.groupBy("part", "q.qid", "docno").agg(F.sum(F.col("weight") * F.col("q.times")).alias("score"))
+            return cut(rank(scores, depth, digits, ("part",)).select(*([F.col("part").alias(part)] if part else []), "qid", "docno", "rank", "score"), "ranked", inner=False)
+        finally:
+            forget_index(spark, folder)
 
 
 def dataset_language(queries: DataFrame, language: str = "language") -> str:

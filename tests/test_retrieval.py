@@ -68,6 +68,33 @@ def test_stop_word_queries_have_no_rows_and_stems_meet(spark):
     assert [(r["qid"], r["docno"], r["rank"]) for r in got] == [("1", "d1", 1)]
 
 
+@pytest.mark.parametrize("broadcast", (500_000, 0))
+def test_parts_are_ranked_as_if_alone_and_texts_are_analysed_once(spark, tmp_path, monkeypatch, broadcast):
+    monkeypatch.setattr(retrieval, "MAX_BROADCAST_TERMS", broadcast)
+    rows = [("x", f"d{i}", " ".join("abcd"[(i * k) % 4] for k in range(1 + i % 5))) for i in range(40)] + [("y", f"e{i}", "a b " + "zz " * i) for i in range(15)] + [("x", "none", None), ("y", "digits", "1 2")]
+    docs = spark.createDataFrame(rows, "part string, docno string, text string")
+    asked = spark.createDataFrame([(p, q, t) for p in "xy" for q, t in (("q1", "a c c"), ("q2", "b zz nowhere"))], "part string, qid string, text string")
+    log = tmp_path / "seen"
+
+    @F.udf("array<string>")
+    def counted(text):
+        with log.open("a") as out:
+            out.write(f"{text}\n")
+        return None if text is None else [w for w in text.split() if w.isalpha()]
+
+    got = {tuple(r) for r in retrieval.retrieve(docs, asked, counted("text"), words(F.col("text")), depth=5, part="part").collect()}
+    assert sorted(log.read_text().splitlines()) == sorted(str(t) for _, _, t in rows)
+    index = {p: retrieval.build_index(docs.filter(F.col("part") == p), words(F.col("text"))) for p in "xy"}
+    assert got == {(p, *r) for p in "xy" for r in retrieval.search(index[p], asked.filter(F.col("part") == p), words(F.col("text")), depth=5).collect()}
+    assert len(got) == 20
+
+
+def test_tokens_by_language(spark):
+    rows = [("en", "The houses weren't running’s"), ("de", "Die Häuser laufen"), ("fr", "Les maisons d'ici"), ("", "The houses"), ("en", None), ("de", ""), ("en", "the")]
+    got = spark.createDataFrame(rows, "lang string, text string").select(analysis.tokens_by_language(F.col("text"), F.col("lang"))).collect()
+    assert [r[0] for r in got] == [["hous", "run"], ["haus", "lauf"], ["les", "maisons", "d", "ici"], ["the", "houses"], None, [], []]
+
+
 def test_unknown_model_and_language(spark):
     with pytest.raises(ValueError):
         retrieval.score(None, None, "none")
